@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, shared_path
 from .exact_dedup import exact_duplicates
 from .id_files import document_table, read_id_files, write_id_files
+from .mixing import mixed_words
 from .neardup import near_duplicates
 from .packing import pack
 from .token_counts import token_counts
@@ -19,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_words(documents(spark, sf_dir))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -37,7 +42,7 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_table(read_id_files(spark, path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_minhash, op5_token_counts, op8_exact_dedup, op9_id_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_mixing, op4_minhash, op5_token_counts, op8_exact_dedup, op9_id_files)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
