@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, shared_path
 from .exact_dedup import exact_duplicates
 from .id_files import document_table, read_id_files, write_id_files
+from .language import language_id
 from .mixing import mixed_words
 from .neardup import near_duplicates
 from .packing import pack
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
@@ -42,7 +48,11 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_table(read_id_files(spark, path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_mixing, op4_minhash, op5_token_counts, op8_exact_dedup, op9_id_files)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_mixing, op4_minhash, op5_token_counts, op6_toxicity, op8_exact_dedup, op9_id_files, op10_language)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
