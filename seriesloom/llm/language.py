@@ -24,7 +24,7 @@ FAMILIES = {
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
 #: Buckets of the hashed features; documents of each language that are fitted on, at most.
-BUCKETS, PER_LANGUAGE = 1 << 12, 2_000
+BUCKETS, PER_LANGUAGE = 1 << 11, 1_000
 _OTHER = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -56,13 +56,14 @@ def has_letter(text: str | None) -> bool:
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 120) -> np.ndarray:
     """Weights and bias (last) of a linear machine for y in {-1, 1}, by accelerated gradient on the squared hinge."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))  # both sides weigh the same
-    w = v = np.zeros(x.shape[1])
-    step = 1 / (1 + 4 * cost)
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)  # both sides weigh the same
+    w = v = np.zeros(x.shape[1], np.float32)
+    step = np.float32(1 / (1 + 4 * cost))
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * cost * (x.T @ (share * slack * y)))
-        w, v = new, new + k / (k + 3) * (new - w)
+        new = v - step * (v - np.float32(2 * cost) * (x.T @ (share * slack * y)))
+        w, v = new, new + np.float32(k / (k + 3)) * (new - w)
     return w
 
 

@@ -136,42 +136,65 @@ def _promising(threshold: float):
     return run
 
 
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets of hashes reach the similarity."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            keep = [_similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(threshold: float):
-    """Candidate pairs of different components in a block pair of a bucket; each pair in its first bucket only."""
+def _across(percent: int):
+    """Confirmed links between components of a bucket's block pair; a pair is looked at in its first bucket only.
+
+    Components that a link of this block has joined need no further link here, so a block gives fewer rows than
+    it has classes.
+    """
+    threshold = percent / 100
 
-    def pairs(group: pa.Table) -> pa.RecordBatch:
+    def links(group: pa.Table) -> pa.RecordBatch:
         ids, comp, n, side, lead, bucket_band = (np.asarray(group.column(i)) for i in (3, 4, 5, 6, 7, 8))
         bands = _matrix(group.column(9).combine_chunks())
+        sets = group.column(10)
         regs = bands.view(np.uint16)
         rows, cols = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
         ratio = np.minimum.outer(n[rows], n[cols]) >= threshold * np.maximum.outer(n[rows], n[cols])
         mask = (comp[rows][:, None] != comp[cols]) & ratio & ((ids[rows] != lead[0])[:, None] & (ids[cols] != lead[0]))
-        if len(rows) == len(cols) and side[0] == 2:
+        if side[0] == 2:
             mask &= ids[rows][:, None] < ids[cols]
         i, j = np.nonzero(mask)
-        out = []
+        found, guesses = [], []
         for at in range(0, len(i), 20_000):
             a, b = rows[i[at : at + 20_000]], cols[j[at : at + 20_000]]
-            equal = (regs[a] == regs[b]).sum(axis=1)
-            first = (bands[a] == bands[b]).argmax(axis=1) == bucket_band[0]
-            keep = first & (estimate(equal, n[a].astype(float), n[b].astype(float)) >= least_estimate(threshold))
-            out.append(np.stack([np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])])[:, keep])
-        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            guess = estimate((regs[a] == regs[b]).sum(axis=1), n[a].astype(float), n[b].astype(float))
+            keep = ((bands[a] == bands[b]).argmax(axis=1) == bucket_band[0]) & (guess >= least_estimate(threshold))
+            found.append(np.stack([a, b])[:, keep])
+            guesses.append(guess[keep])
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        out: list[tuple[int, int]] = []
+        for k in np.argsort(-np.concatenate(guesses), kind="stable").tolist() if guesses else []:
+            x, y = int(a[k]), int(b[k])
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q and _similar(sets[x].as_buffer(), sets[y].as_buffer(), percent):
+                root[max(p, q)] = min(p, q)
+                out.append((int(ids[x]), int(ids[y])))
+        return pa.RecordBatch.from_arrays([pa.array([max(o) for o in out], pa.int64()), pa.array([min(o) for o in out], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -184,12 +207,12 @@ def _across(threshold: float):
             for a, b in zip(cuts, cuts[1:], strict=False):
                 key = tuple(keys[:, a].tolist())
                 if held and key != last:
-                    yield pairs(pa.Table.from_batches(held))
+                    yield links(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(a, b - a))
                 last = key
         if held:
-            yield pairs(pa.Table.from_batches(held))
+            yield links(pa.Table.from_batches(held))
 
     return run
 
@@ -220,25 +243,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
     def other(df: DataFrame, side: str) -> DataFrame:
         return df.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in df.columns])
 
-    def confirm(pairs: DataFrame, promising: bool) -> DataFrame:
-        if not promising:
-            both = pairs.join(other(sized, "a"), "a").join(other(sized, "b"), "b")
-            both = both.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "bands_a", "bands_b")
-            pairs = both.mapInArrow(_promising(threshold), "a long, b long")
-        full_sets = pairs.join(other(sets, "a"), "a").join(other(sets, "b"), "b").select("a", "b", "elements_a", "elements_b")
-        return full_sets.mapInArrow(_confirmed(percent), "a long, b long")
-
     stars = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    first = stored(components(confirm(stars, promising=False)), "components")
+    both = stars.join(other(sized, "a"), "a").join(other(sized, "b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    likely = both.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_promising(threshold), "a long, b long")
+    full_sets = likely.join(other(sets, "a"), "a").join(other(sets, "b"), "b").select("a", "b", "elements_a", "elements_b")
+    first = stored(components(full_sets.mapInArrow(_confirmed(percent), "a long, b long")), "components")
 
     labelled = buckets.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spanning = labelled.where("size > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_rows = labelled.join(spanning, "bucket").join(sized, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    open_rows = labelled.join(spanning, "bucket").join(sized, "id").join(sets, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = open_rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("partner") == F.col("block"), 2).when(F.col("block") < F.col("partner"), 0).otherwise(1)
-    dealt = dealt.select("bucket", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "id", "component", "n", side.alias("side"), "lead", "band", "bands")
+    dealt = dealt.select("bucket", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "id", "component", "n", side.alias("side"), "lead", "band", "bands", "elements")
     blocks = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = confirm(blocks.mapInArrow(_across(threshold), "a long, b long").distinct(), promising=True)
+    more = blocks.mapInArrow(_across(percent), "a long, b long")
 
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     found = components(links)
