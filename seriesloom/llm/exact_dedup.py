@@ -58,6 +58,7 @@ def consume(spark: SparkSession, feed: str, state: str) -> None:
         own.conf.set(name, spark.conf.get(name))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores
     arrivals = own.readStream.schema(FEED).parquet(feed)
     groups = arrivals.groupBy("digest", "n_bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("id", "locator")).alias("kept_at"))
 
