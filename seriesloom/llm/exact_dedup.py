@@ -110,6 +110,10 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[bytes], str] = sha256_he
 
 
 def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; one row for each kept key."""
-    stays = exact_duplicates(docs, text=text, key=key).where("kept").select(F.col(key).alias("kept_key")).distinct()
-    return docs.join(stays, docs[key].eqNullSafe(F.col("kept_key")), "left_semi").dropDuplicates([key])
+    """The rows of `docs` that stay, with all their columns; one row for each kept key.
+
+    Rows with a null key stay as well, one for each text among them.
+    """
+    stays = exact_duplicates(docs, text=text, key=key).where(F.col("kept") & F.col(key).isNotNull()).select(key)
+    keyed = docs.join(stays, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return keyed.unionByName(docs.where(docs[key].isNull()).dropDuplicates([text]))

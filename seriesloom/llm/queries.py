@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, shared_path
 from .exact_dedup import exact_duplicates
 from .id_files import document_table, read_id_files, write_id_files
+from .html import visible_text
 from .language import language_id
+from .matroska import digest, store
 from .mixing import mixed_words
 from .neardup import near_duplicates
 from .packing import pack
@@ -18,6 +20,10 @@ from .token_counts import token_counts
 from .toxicity import toxicity
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visible_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(store(documents(spark, sf_dir)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(documents(spark, sf_dir)).withColumnRenamed("digest", "text_sha256")
 
@@ -52,7 +62,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_mixing, op4_minhash, op5_token_counts, op6_toxicity, op8_exact_dedup, op9_id_files, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_packing, op3_mixing, op4_minhash, op5_token_counts, op6_toxicity, op7_matroska, op8_exact_dedup, op9_id_files, op10_language)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -202,38 +202,57 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_ro
     return chain
 
 
+class _Scorer:
+    """Probabilities of texts under a chain; remembers which features a word has in which vocabulary."""
+
+    def __init__(self, chain: Chain) -> None:
+        self.chain, self.memo = chain, {}
+
+    def __call__(self, text: str | None) -> list[float]:
+        weights, memo = self.chain.weights, self.memo
+        found = words(text)
+        distinct = set(found)
+        hits: list[set[str]] = [{f for f in style(text, found) if f in own} for own in weights]
+        for w in distinct:
+            places = memo.get(w)
+            if places is None:
+                if len(memo) >= _MEMO:
+                    memo.clear()
+                fs = features(w)
+                places = memo[w] = tuple((i, f) for i, own in enumerate(weights) for f in fs if f in own)
+            for i, f in places:
+                hits[i].add(f)
+        return self.chain.probabilities([sum(weights[i][f] for f in sorted(h)) for i, h in enumerate(hits)], _dense(len(distinct)))
+
+
 def predict(docs: DataFrame, chain: Chain, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of `docs`: key and p_<category> of every category. A null or empty text has no features."""
+    """Per row of `docs`: key and p_<category> of every category. A null text counts as empty; repeated rows stay."""
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple] = {}
-        sums_of = chain.weights
+        score = _Scorer(chain)
         for batch in batches:
-            found: list[list[float]] = [[] for _ in names]
-            for t in batch.column(1).to_pylist():
-                own_words = words(t)
-                distinct = set(own_words)
-                hits: list[set[str]] = [{f for f in style(t, own_words) if f in weights} for weights in sums_of]
-                for w in distinct:
-                    own = memo.get(w)
-                    if own is None:
-                        fs = features(w)
-                        own = memo[w] = tuple((i, f) for i, weights in enumerate(sums_of) for f in fs if f in weights)
-                    for i, f in own:
-                        hits[i].add(f)
-                p = chain.probabilities([sum(sums_of[i][f] for f in sorted(h)) for i, h in enumerate(hits)], _dense(len(distinct)))
-                for column, v in zip(found, p, strict=True):
-                    column.append(v)
-            if len(memo) > _MEMO:
-                memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.float64()) for c in found]], ["k", *names])
+            rows = [score(t) for t in batch.column(1).to_pylist()]
+            columns = [pa.array([r[i] for r in rows], pa.float64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["k", *names])
 
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(run, f"k {kind}, " + ", ".join(f"`{n}` double" for n in names)).withColumnRenamed("k", key)
 
 
+def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, whose last category's probability is below the threshold."""
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _Scorer(chain)
+        for batch in batches:
+            yield batch.filter(pa.array([score(t)[-1] < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> Chain:
     """The chain low_quality -> toxic, the two properties that the labels table knows, fitted on labelled documents."""
     return fit_chain(docs, labels.withColumn("low_quality", 1 - F.col("quality")), ["low_quality", "toxic"])
