@@ -1,4 +1,9 @@
 """All queries of the library over the driver's tables, and the SQL of each."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from . import q_windows
+
+MODULES = (q_windows,)
+QUERIES = {name: fn for m in MODULES for name, fn in m.Q.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
