@@ -11,8 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PERIOD = "has boolean, period int, strength double"
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_INT, _DOUBLE = T.IntegerType(), T.DoubleType()
+PERIOD = _struct(has=T.BooleanType(), period=_INT, strength=_DOUBLE)
 
 
 def _acf(x: np.ndarray, max_lag: int) -> np.ndarray | None:
@@ -85,7 +92,7 @@ def acf_period(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([acf_of(v, _cap(len(v))) for v in values], columns=["has", "period", "strength"]).astype({"period": "Int32"})
 
 
-@F.pandas_udf("period int, strength double")
+@F.pandas_udf(_struct(period=_INT, strength=_DOUBLE))
 def fft_period(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([spectrum_of(v) for v in values], columns=["period", "strength"]).astype({"period": "Int32"})
 
@@ -96,7 +103,7 @@ def season(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["has", "period", "strength"]).astype({"period": "Int32"})
 
 
-@F.pandas_udf("lag int, strength double")
+@F.pandas_udf(_struct(lag=_INT, strength=_DOUBLE))
 def dominant_lag(values: pd.Series) -> pd.DataFrame:
     """The lag in 1..min(n/2, 200) of greatest centred autocorrelation over lag 0 (no detrending)."""
     rows = []
@@ -145,7 +152,7 @@ def best_cosine(y: np.ndarray, x: np.ndarray, max_lag: int) -> tuple[np.ndarray,
     return best, at
 
 
-CORR = "array<struct<var: int, corr: double, lag: int, corr_1: double, lag_1: int, corr_2: double, lag_2: int>>"
+CORR = T.ArrayType(_struct(var=_INT, corr=_DOUBLE, lag=_INT, corr_1=_DOUBLE, lag_1=_INT, corr_2=_DOUBLE, lag_2=_INT))
 
 
 @F.pandas_udf(CORR)
@@ -173,23 +180,26 @@ def _iou(a: tuple[int, int], b: tuple[int, int]) -> float:
     return common / (a[1] - a[0] + b[1] - b[0] + 2 - common) if common else 0.0
 
 
-def mmr_of(spans: list[tuple[int, int, float]], n: int, k: int = 5, penalty: float = 25.0, bonus: float = 8.0) -> list[int]:
-    """Places of up to k spans (start, end, score): the strongest first, then the greatest score less overlap with
-    those chosen plus a bonus for a third of the window not yet covered; given in time order."""
-    third = lambda s: min(2, (s[0] + s[1]) // 2 * 3 // max(n, 1))
-    left, chosen, seen = list(range(len(spans))), [], set()
+def mmr_of(spans: list[tuple[int, int, float]], k: int = 5, penalty: float = 25.0, bonus: float = 8.0) -> list[int]:
+    """Places of up to k spans (start, end, score), in time order. The strongest comes first; then, again and again,
+    the one of greatest score less its overlap with those chosen, plus a bonus if its start lies in a k-th of the
+    covered range that no chosen one starts in. Ties go to the stronger, then the earlier place."""
+    if not spans:
+        return []
+    low, high = min(s[0] for s in spans), max(s[1] for s in spans)
+    bucket = [min(k - 1, int((s[0] - low) / (high - low + 1) * k)) for s in spans]
+    order = sorted(range(len(spans)), key=lambda i: -spans[i][2])
+    chosen, left = order[:1], order[1:]
     while left and len(chosen) < k:
-        gain = lambda i: spans[i][2] - penalty * max((_iou(spans[i][:2], spans[j][:2]) for j in chosen), default=0.0) + bonus * (bool(chosen) and third(spans[i]) not in seen)
-        best = max(left, key=lambda i: (gain(i), -i))
-        chosen.append(best)
-        left.remove(best)
-        seen.add(third(spans[best]))
+        used = {bucket[j] for j in chosen}
+        gains = [spans[i][2] - penalty * max(_iou(spans[i][:2], spans[j][:2]) for j in chosen) + bonus * (bucket[i] not in used) for i in left]
+        chosen.append(left.pop(int(np.argmax(gains))))
     return sorted(chosen, key=lambda i: spans[i][0])
 
 
-@F.pandas_udf("array<int>")
-def select_mmr(spans: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([mmr_of([(s["start"], s["end"], s["score"]) for s in own], int(m)) for own, m in zip(spans, n, strict=True)])
+@F.pandas_udf(T.ArrayType(_INT))
+def select_mmr(spans: pd.Series) -> pd.Series:
+    return pd.Series([mmr_of([(s["start"], s["end"], s["score"]) for s in own]) for own in spans])
 
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -212,7 +222,7 @@ def rouge_l_of(reference: str | None, hypothesis: str | None) -> float:
     return 2 * common / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(_DOUBLE)
 def rouge_l(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([rouge_l_of(a, b) for a, b in zip(reference, hypothesis, strict=True)])
 

@@ -46,8 +46,8 @@ def segmented(windows: DataFrame, least: int = 10) -> DataFrame:
     before, label = F.lag("seg").over(IN_ORDER), F.lag("label").over(IN_ORDER)
     own = F.when((F.col("i") < F.col("n") - 1) | (F.col("n") == 1), F.struct(F.col("seg"), F.col("label")))
     other = F.when((F.col("i") == F.col("n") - 1) | (before != F.col("seg")), F.struct(before.alias("seg"), label.alias("label")))
-    both = first.withColumn("in", F.explode(F.filter(F.array(own, other), lambda x: x.isNotNull() & x["seg"].isNotNull())))
-    return both.drop("seg", "label", "head", "sign", "run").withColumns({"seg": F.col("in.seg"), "label": F.col("in.label")}).drop("in")
+    placed = first.withColumns({"own": own, "other": other}).withColumn("in", F.explode(F.array("own", "other"))).where("in.seg is not null")
+    return placed.drop("own", "other").drop("seg", "label", "head", "sign", "run").withColumns({"seg": F.col("in.seg"), "label": F.col("in.label")}).drop("in")
 
 
 def slope_segments(windows: DataFrame, least: int = 10) -> DataFrame:
@@ -118,9 +118,9 @@ def phases(windows: DataFrame, least: int = 20, fallback: int = 3) -> DataFrame:
 
 def phase_score(phase: DataFrame) -> DataFrame:
     """Adds score: change, length, spread, and a bonus if an inner extreme goes well beyond both ends."""
-    ends_high, ends_low = F.greatest("start_v", "end_v"), F.least("start_v", "end_v")
-    reach = F.greatest(F.col("max_v") - ends_high, ends_low - F.col("min_v"))
-    spike = F.when(reach > 0.5 * F.greatest(F.abs(F.col("end_v") - F.col("start_v")), F.lit(1e-8)), 1.0).otherwise(0.0)
+    bound = F.greatest(1.5 * F.abs(F.col("end_v") - F.col("start_v")), 0.05 * F.abs("start_v"), F.lit(1e-8))
+    beyond = (F.col("max_v") > F.greatest("start_v", "end_v") + bound) | (F.col("min_v") < F.least("start_v", "end_v") - bound)
+    spike = F.when(beyond, 1.0).otherwise(0.0)
     score = F.abs("delta_pct") + 3.0 * F.log1p(F.col("end") - F.col("start") + 1) + 50.0 * F.col("std") + 10.0 * spike
     return phase.withColumn("score", score)
 
@@ -135,9 +135,9 @@ def z_events(windows: DataFrame, bound: float = 2.5) -> DataFrame:
 
 
 def lift(windows: DataFrame) -> DataFrame:
-    """Adds lift: the value over the mean of the five points before, in percent; null at the start or over a zero mean."""
-    before = F.avg("value").over(IN_ORDER.rowsBetween(-5, -1))
-    return windows.withColumn("before", before).withColumn("lift", F.when(F.abs("before") > 1e-8, (F.col("value") - F.col("before")) / F.abs("before") * 100)).drop("before")
+    """Adds lift: the value less the mean of the five points before it; at the first point less the window's mean."""
+    before = F.coalesce(F.avg("value").over(IN_ORDER.rowsBetween(-5, -1)), F.avg("value").over(W))
+    return windows.withColumn("lift", F.col("value") - before)
 
 
 def spike_segments(events: DataFrame, z_least: float = 2.0, wide: int = 3) -> DataFrame:
