@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_events, q_windows
+from . import q_data, q_events, q_windows
 
-MODULES = (q_windows, q_events)
+MODULES = (q_windows, q_events, q_data)
 QUERIES = {name: fn for m in MODULES for name, fn in m.Q.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
