@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .features import W, with_z
+from .features import per_window, with_z
 from .windows import KEY, even_cut
 
-IN_ORDER = W.orderBy("i")
+
+def in_order() -> WindowSpec:
+    return per_window().orderBy("i")
 
 
 def smoothed_slope(windows: DataFrame) -> DataFrame:
     """Adds slope: steps of z (padded by a copy at both ends), averaged over five with zeros outside. Null at the last point."""
     z = windows if "z" in windows.columns else with_z(windows)
-    steps = z.withColumn("d", F.lead("z").over(IN_ORDER) - F.col("z"))
-    five = F.coalesce(F.sum("d").over(IN_ORDER.rowsBetween(-2, 2)), F.lit(0.0))
-    head = F.when(F.col("i") <= 1, F.first("d").over(IN_ORDER.rowsBetween(Window.unboundedPreceding, 0))).otherwise(0.0)
-    last = F.max(F.when(F.col("i") == F.col("n") - 2, F.col("d"))).over(W)
+    steps = z.withColumn("d", F.lead("z").over(in_order()) - F.col("z"))
+    five = F.coalesce(F.sum("d").over(in_order().rowsBetween(-2, 2)), F.lit(0.0))
+    head = F.when(F.col("i") <= 1, F.first("d").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).otherwise(0.0)
+    last = F.max(F.when(F.col("i") == F.col("n") - 2, F.col("d"))).over(per_window())
     tail = F.when(F.col("i") >= F.col("n") - 3, last).otherwise(0.0)
     return steps.withColumn("slope", F.when(F.col("i") < F.col("n") - 1, (five + head + tail) / 5))
 
@@ -27,8 +29,8 @@ def slope_runs(windows: DataFrame, threshold: float = 0.02) -> DataFrame:
     s = smoothed_slope(windows)
     sign = F.when(F.col("n") <= 3, 0).when(F.col("slope") > threshold, 1).when(F.col("slope") < -threshold, -1).otherwise(0)
     signed = s.withColumn("sign", F.when(F.col("slope").isNotNull(), sign))
-    turn = (F.coalesce(F.col("sign") != F.lag("sign").over(IN_ORDER), F.lit(False))).cast("int")
-    return signed.withColumn("run", F.when(F.col("slope").isNotNull(), F.sum(turn).over(IN_ORDER)))
+    turn = (F.coalesce(F.col("sign") != F.lag("sign").over(in_order()), F.lit(False))).cast("int")
+    return signed.withColumn("run", F.when(F.col("slope").isNotNull(), F.sum(turn).over(in_order())))
 
 
 def segmented(windows: DataFrame, least: int = 10) -> DataFrame:
@@ -41,9 +43,9 @@ def segmented(windows: DataFrame, least: int = 10) -> DataFrame:
     of_run = Window.partitionBy(*KEY, "run")
     size = F.count("slope").over(of_run) + 1
     head = ((F.col("i") == F.min("i").over(of_run)) & ((F.col("run") == 0) | (size >= least)) & F.col("slope").isNotNull()).cast("int")
-    numbered = runs.withColumn("head", head).withColumn("seg", F.sum("head").over(IN_ORDER) - 1)
-    first = numbered.withColumn("label", F.last(F.when(F.col("head") == 1, F.col("sign")), ignorenulls=True).over(IN_ORDER))
-    before, label = F.lag("seg").over(IN_ORDER), F.lag("label").over(IN_ORDER)
+    numbered = runs.withColumn("head", head).withColumn("seg", F.sum("head").over(in_order()) - 1)
+    first = numbered.withColumn("label", F.last(F.when(F.col("head") == 1, F.col("sign")), ignorenulls=True).over(in_order()))
+    before, label = F.lag("seg").over(in_order()), F.lag("label").over(in_order())
     own = F.when((F.col("i") < F.col("n") - 1) | (F.col("n") == 1), F.struct(F.col("seg"), F.col("label")))
     other = F.when((F.col("i") == F.col("n") - 1) | (before != F.col("seg")), F.struct(before.alias("seg"), label.alias("label")))
     placed = first.withColumns({"own": own, "other": other}).withColumn("in", F.explode(F.array("own", "other"))).where("in.seg is not null")
@@ -59,7 +61,7 @@ def slope_segments(windows: DataFrame, least: int = 10) -> DataFrame:
 def extrema(windows: DataFrame, z_least: float = 1.0) -> DataFrame:
     """Strict local maxima with z at or above the bound and minima at or below its negative: kind, i, z, delta_pct."""
     z = with_z(windows)
-    low, high = F.lag("z").over(IN_ORDER), F.lead("z").over(IN_ORDER)
+    low, high = F.lag("z").over(in_order()), F.lead("z").over(in_order())
     peak = (F.col("z") > low) & (F.col("z") > high) & (F.col("z") >= z_least)
     valley = (F.col("z") < low) & (F.col("z") < high) & (F.col("z") <= -z_least)
     kind = F.when(peak, "peak").when(valley, "valley")
@@ -103,7 +105,7 @@ def phases(windows: DataFrame, least: int = 20, fallback: int = 3) -> DataFrame:
 
     phase, start, end, label, start_v, end_v, delta_pct, min_v, min_i, max_v, max_i, std (over the scale).
     """
-    parts = segmented(windows, least).withColumn("segs", F.max("seg").over(W) + 1)
+    parts = segmented(windows, least).withColumn("segs", F.max("seg").over(per_window()) + 1)
     third = sum((F.col("i") >= even_cut(F.lit(k), F.col("n"), fallback)).cast("int") for k in range(1, fallback))
     one = F.col("segs") < 2
     own = parts.withColumn("phase", F.when(one, third).otherwise(F.col("seg")).cast("int")).dropDuplicates([*KEY, "phase", "i"])
@@ -128,7 +130,7 @@ def phase_score(phase: DataFrame) -> DataFrame:
 def z_events(windows: DataFrame, bound: float = 2.5) -> DataFrame:
     """Runs of points with abs(z) at or above the bound: start, end, peak_i (first greatest abs(z)), z, rank by abs(z) from 0."""
     z = with_z(windows).where(F.abs("z") >= bound)
-    island = z.withColumn("g", F.col("i") - F.row_number().over(IN_ORDER))
+    island = z.withColumn("g", F.col("i") - F.row_number().over(in_order()))
     each = island.groupBy(*KEY, "g").agg(F.min("i").alias("start"), F.max("i").alias("end"), F.max(F.struct(F.abs("z").alias("a"), (-F.col("i")).alias("j"), F.col("z"))).alias("top"))
     order = Window.partitionBy(*KEY).orderBy(F.desc(F.abs("z")), "start")
     return each.select(*KEY, "start", "end", (-F.col("top.j")).alias("peak_i"), F.col("top.z").alias("z")).withColumn("rank", F.row_number().over(order) - 1)
@@ -136,7 +138,7 @@ def z_events(windows: DataFrame, bound: float = 2.5) -> DataFrame:
 
 def lift(windows: DataFrame) -> DataFrame:
     """Adds lift: the value less the mean of the five points before it; at the first point less the window's mean."""
-    before = F.coalesce(F.avg("value").over(IN_ORDER.rowsBetween(-5, -1)), F.avg("value").over(W))
+    before = F.coalesce(F.avg("value").over(in_order().rowsBetween(-5, -1)), F.avg("value").over(per_window()))
     return windows.withColumn("lift", F.col("value") - before)
 
 
@@ -148,8 +150,8 @@ def spike_segments(events: DataFrame, z_least: float = 2.0, wide: int = 3) -> Da
 
 def longest_rise(windows: DataFrame, least: int = 5) -> DataFrame:
     """The greatest number of successive rising steps, and whether it reaches `least`."""
-    up = windows.withColumn("up", (F.col("value") > F.lag("value").over(IN_ORDER)).cast("int"))
-    group = up.withColumn("g", F.sum(F.when(F.col("up") == 1, 0).otherwise(1)).over(IN_ORDER))
+    up = windows.withColumn("up", (F.col("value") > F.lag("value").over(in_order())).cast("int"))
+    group = up.withColumn("g", F.sum(F.when(F.col("up") == 1, 0).otherwise(1)).over(in_order()))
     runs = group.groupBy(*KEY, "g").agg(F.sum("up").alias("steps"))
     return runs.groupBy(*KEY).agg(F.coalesce(F.max("steps"), F.lit(0)).alias("longest")).withColumn("long", F.col("longest") >= least)
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .windows import KEY, equal_segment
 
-W = Window.partitionBy(*KEY)
 EPS = 1e-8
 
 
+def per_window() -> WindowSpec:
+    """The rows of a window."""
+    return Window.partitionBy(*KEY)
+
+
 def mean_of(value: str = "value") -> Column:
-    return F.avg(value).over(W)
+    return F.avg(value).over(per_window())
 
 
 def std_of(value: str = "value") -> Column:
-    return F.stddev_pop(value).over(W)
+    return F.stddev_pop(value).over(per_window())
 
 
 def z_score(value: str = "value") -> Column:
@@ -39,7 +43,7 @@ def with_z(windows: DataFrame) -> DataFrame:
 
 def detrend(windows: DataFrame) -> DataFrame:
     """Adds residual: the value less the window's least-squares line; with under three points, less the mean."""
-    slope, level = F.regr_slope("value", "i").over(W), F.regr_intercept("value", "i").over(W)
+    slope, level = F.regr_slope("value", "i").over(per_window()), F.regr_intercept("value", "i").over(per_window())
     line = F.when(F.col("n") < 3, mean_of()).otherwise(F.coalesce(slope, F.lit(0.0)) * F.col("i") + F.coalesce(level, mean_of()))
     return windows.withColumn("residual", F.col("value") - line)
 
@@ -71,7 +75,7 @@ def net_change(windows: DataFrame) -> DataFrame:
 def volatility(windows: DataFrame, k: int = 3) -> DataFrame:
     """Standard deviation over range, of z in each equal segment, and the first most volatile segment."""
     part = with_z(windows).withColumn("seg", equal_segment(F.col("i"), F.col("n"), k))
-    span = F.max("value").over(W) - F.min("value").over(W)
+    span = F.max("value").over(per_window()) - F.min("value").over(per_window())
     part = part.withColumn("overall", F.col("std") / F.when(span > 0, span).otherwise(F.lit(1.0)))
     each = part.groupBy(*KEY, "seg").agg(F.stddev_pop("z").alias("seg_std"), F.first("overall").alias("overall"))
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("seg_std"), "seg"))
@@ -82,7 +86,7 @@ def volatility(windows: DataFrame, k: int = 3) -> DataFrame:
 
 def volatility_label(windows: DataFrame) -> DataFrame:
     """low, medium or high by the deviation of the steps of z."""
-    step = F.col("z") - F.lag("z").over(W.orderBy("i"))
+    step = F.col("z") - F.lag("z").over(per_window().orderBy("i"))
     d = with_z(windows).withColumn("d", step).groupBy(*KEY).agg(F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("step_std"))
     return d.select(*KEY, "step_std", F.when(F.col("step_std") < 0.5, "low").when(F.col("step_std") < 1.0, "medium").otherwise("high").alias("volatility"))
 
@@ -100,7 +104,7 @@ def series_stats(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def instance_norm(windows: DataFrame) -> DataFrame:
     """Adds normed = (value - mean) / sqrt(var + 1e-5) and restored, its inverse."""
-    root = F.sqrt(F.var_pop("value").over(W) + 1e-5)
+    root = F.sqrt(F.var_pop("value").over(per_window()) + 1e-5)
     out = windows.withColumns({"level": mean_of(), "root": root}).withColumn("normed", (F.col("value") - F.col("level")) / F.col("root"))
     return out.withColumn("restored", F.col("normed") * F.col("root") + F.col("level")).drop("level", "root")
 
@@ -157,7 +161,7 @@ def window_label(points: DataFrame, mode: str = "any", constant: int = 0) -> Dat
 
 def amplitude(windows: DataFrame) -> DataFrame:
     """start, end, mean, extremes with their first places, net change and range in percent of the mean."""
-    part = windows.withColumns({"low": F.min("value").over(W), "high": F.max("value").over(W)})
+    part = windows.withColumns({"low": F.min("value").over(per_window()), "high": F.max("value").over(per_window())})
     at = lambda c: F.min(F.when(F.col("value") == F.col(c), F.col("i")))
     agg = part.groupBy(*KEY).agg(F.min_by("value", "i").alias("start_v"), F.max_by("value", "i").alias("end_v"), F.avg("value").alias("mean"), F.first("low").alias("min_v"), at("low").alias("min_i"), F.first("high").alias("max_v"), at("high").alias("max_i"))
     share = lambda x: F.when(F.abs("mean") <= EPS, F.lit(0.0)).otherwise(x / F.abs("mean") * 100)
