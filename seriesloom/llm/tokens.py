@@ -251,7 +251,7 @@ class WordBpe(PieceEncoder):
 class PieceBpe(PieceEncoder):
     """Sentencepiece BPE: each word carries its space in front, the first one a space that the library adds."""
 
-    hard = r"^ .|. $|^ $|  |\x{2581}|\x00"
+    hard = r"^ | $|  |\x{2581}|\x00"
 
     def __init__(self, path: str) -> None:
         super().__init__()
