@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import documents, stored
+from seriesloom.llm.common import bound_batches, documents, stored
 from seriesloom.llm.exact_dedup import drop_duplicates
 from seriesloom.llm.mixing import mixed_texts
 from seriesloom.llm.neardup import near_duplicates
@@ -41,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of at most 1024 token ids."""
+    bound_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

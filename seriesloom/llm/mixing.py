@@ -139,8 +139,10 @@ def mixed_texts(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] =
     spans = mix_spans(sizes, stored(source_targets(sizes, share, weights), "targets"), seed).where("words > 0")
     # working columns have names of their own beside whatever columns the documents bring
     per = spans.groupBy(F.col("id").alias("__mix_id")).agg(F.sort_array(F.collect_list(F.struct("epoch", "from_word", "words"))).alias("__mix_spans"))
-    words = F.regexp_extract_all(docs["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = docs.join(per, docs["doc_id"] == per["__mix_id"]).withColumn("__mix_words", words)
-    texts = F.transform("__mix_spans", lambda s: F.array_join(F.slice("__mix_words", s["from_word"].cast("int") + 1, s["words"].cast("int")), ""))
+    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = docs.join(per.hint("merge"), docs["doc_id"] == per["__mix_id"])
+    # as a lambda's variable the words are found once a text, not once a span
+    of = lambda w: F.transform("__mix_spans", lambda s: F.array_join(F.slice(w, s["from_word"].cast("int") + 1, s["words"].cast("int")), ""))
+    texts = F.transform(F.array(words), of)[0]
     joined = F.array_join(F.transform(texts, lambda t: F.ltrim(t)), " ")
     return cut.withColumn("text", joined).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

@@ -32,7 +32,7 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Classes of a bucket that are compared in one block.
 BLOCK = 512
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 _random = np.random.default_rng(20240607)
 _MULTIPLIERS = _random.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _random.integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,6 +109,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n", "digest", "bands"])
+    _words.clear()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

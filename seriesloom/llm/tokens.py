@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are encoded at once; a longer text is cut further at safe places.
 CHUNK_BYTES = 12 << 20
 #: Pieces whose ids a Python worker remembers before it forgets those of the generation before.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 200_000
 #: Letters and signs for which a piece's ids are those of its letters followed by those of its signs.
 LETTERS, SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
 
@@ -160,8 +160,9 @@ def _flat(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of `flat` (of the given sizes) in the order of `index`, one after another, and their sizes."""
     begin, each = (np.cumsum(size) - size)[index], size[index]
-    where = np.repeat(begin - (np.cumsum(each) - each), each)
-    where += np.arange(len(where))
+    shift = begin - (np.cumsum(each) - each)
+    where = np.repeat(shift.astype(np.int32), each)  # a chunk has far fewer than 2**31 ids
+    where += np.arange(len(where), dtype=np.int32)
     return flat[where], each
 
 

@@ -29,7 +29,7 @@ SAMPLE_ROWS, FEATURES, FOLDS = 20_000, 4_000, 5
 #: A feature joins a vocabulary if the lower confidence bound of its label's share is this many times the label's
 #: share of all rows, but at most this share itself.
 LIFT, SURE, DEVIATIONS = 3.0, 0.4, 1.3
-_MEMO = 200_000
+_MEMO = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -181,7 +181,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], most_ro
 
     got = sample.select("id", "labels", "words", "style").mapInArrow(run, "id long, own array<string>, labels array<int>, dense double").collect()
     if not got:
-        return Chain(categories, [{} for _ in categories], [[0.0] * i for i in range(len(categories))], [0.0] * len(categories), [-30.0] * len(categories))
+        return Chain(categories, [{} for _ in categories], [0.0] * len(categories), [[0.0] * i for i in range(len(categories))], [-30.0] * len(categories))
     got.sort(key=lambda r: r.id)
     labels_of = np.array([r.labels for r in got], float)
     fold = np.arange(len(got)) % FOLDS
@@ -248,7 +248,9 @@ def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5, text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _Scorer(chain)
         for batch in batches:
-            yield batch.filter(pa.array([score(t)[-1] < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                yield part.filter(pa.array([score(t)[-1] < threshold for t in part.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
