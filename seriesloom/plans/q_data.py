@@ -359,9 +359,9 @@ def t7(spark, d):
     return table(spark, d, "conversations").select((F.col("conv_id") % 5).alias("k"), F.regexp_extract(file, pattern, 1).alias("task"), F.regexp_extract(file, pattern, 2).cast("long").alias("length")).distinct()
 
 
-@query("t8_number_text", "SELECT o_orderkey, CASE WHEN v >= 1000 AND abs(v - round(v)) < 1e-6 THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE printf('%.2f', v) END AS text FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS DOUBLE) ELSE o_totalprice / 700 END AS v FROM orders)")
+@query("t8_number_text", "SELECT o_orderkey, CASE WHEN v >= 1000 AND abs(v - round(v)) < 1e-6 THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE printf('%.2f', v) END AS text FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS DOUBLE) ELSE o_totalprice / 777 END AS v FROM orders)")
 def t8(spark, d):
-    v = F.when(F.col("o_orderkey") % 2 == 0, F.floor("o_totalprice").cast("double")).otherwise(F.col("o_totalprice") / 700)
+    v = F.when(F.col("o_orderkey") % 2 == 0, F.floor("o_totalprice").cast("double")).otherwise(F.col("o_totalprice") / 777)
     return table(spark, d, "orders").select("o_orderkey", x.number_text(v).alias("text"))
 
 

@@ -152,7 +152,7 @@ def v_records(spark, d):
     data = lambda **v: F.struct(*[v.get(n, null(ty)).cast(ty).alias(n) for n, ty in types.items()])
     claim = lambda kind, idx, d_: F.struct(F.lit(kind).alias("id"), F.lit(kind).alias("type"), idx.cast("int").alias("idx"), d_.alias("data"))
     claims_ = F.array(
-        claim("global_trend_label", null("int"), data(label=F.when(k % 2 == 0, "up").otherwise("flat"), label_final=F.when(k % 4 == 1, "down"))), claim("global_net_change", null("int"), data(delta_pct=F.round(p / 700 - 300, 2))),
+        claim("global_trend_label", null("int"), data(label=F.when(k % 2 == 0, "up").otherwise("flat"), label_final=F.when(k % 4 == 1, "down"))), claim("global_net_change", null("int"), data(delta_pct=F.round(p / 777 - 300, 2))),
         claim("peak", k % 9, data(value=F.round(p / 100, 0))), claim("peak", k % 7, data(value=F.lit(2000.0))), claim("valley", k % 5, data(value=F.round(-p / 100, 0))), claim("seasonality", null("int"), data(has=k % 3 == 0, period=F.when(k % 3 == 0, k % 12))),
     )
     dense = F.struct(F.struct(F.lit("").alias("zh"), F.when(k % 2 == 0, F.concat(F.lit("caption "), k)).alias("en")).alias("global"), F.struct(null("string").alias("zh"), null("string").alias("en")).alias("domain_integrated"),
@@ -160,7 +160,7 @@ def v_records(spark, d):
     return table(spark, d, "orders").select(F.lit("o").alias("dataset"), F.lit("t").alias("task"), k.cast("string").alias("series_key"), F.array(F.array(p)).alias("timeseries"), null("string").alias("label"), F.struct(F.when(k % 2 == 0, "low").alias("volatility")).alias("features"), claims_.alias("claims"), F.struct((k % 5 != 0).alias("pass")).alias("claim_check"), F.array(F.when(k % 7 != 0, F.lit("d0")).otherwise(" ")).alias("descriptions"), dense.alias("dense_captions"))
 
 
-FACTS = """f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 1 THEN 'down' WHEN o_orderkey % 2 = 0 THEN 'up' ELSE 'flat' END AS trend, round(o_totalprice / 700 - 300, 2) AS delta, greatest(round(o_totalprice / 100, 0), 2000) AS pv, CASE WHEN round(o_totalprice / 100, 0) >= 2000 THEN o_orderkey % 9 ELSE o_orderkey % 7 END AS pi, round(-o_totalprice / 100, 0) AS vv, o_orderkey % 5 AS vi, o_orderkey % 3 = 0 AS has, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 12 END AS period, CASE WHEN o_orderkey % 2 = 0 THEN 'low' END AS vol FROM orders)"""
+FACTS = """f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 4 = 1 THEN 'down' WHEN o_orderkey % 2 = 0 THEN 'up' ELSE 'flat' END AS trend, round(o_totalprice / 777 - 300, 2) AS delta, greatest(round(o_totalprice / 100, 0), 2000) AS pv, CASE WHEN round(o_totalprice / 100, 0) >= 2000 THEN o_orderkey % 9 ELSE o_orderkey % 7 END AS pi, round(-o_totalprice / 100, 0) AS vv, o_orderkey % 5 AS vi, o_orderkey % 3 = 0 AS has, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 12 END AS period, CASE WHEN o_orderkey % 2 = 0 THEN 'low' END AS vol FROM orders)"""
 
 
 @query("b1_facts", f"WITH {FACTS} SELECT CAST(k AS VARCHAR) AS series_key, trend, delta AS delta_pct, CASE WHEN delta > 0 THEN 'pos' WHEN delta < 0 THEN 'neg' ELSE 'zero' END AS sign, CAST(pi AS INT) AS peak_idx, pv AS peak_value, CAST(vi AS INT) AS valley_idx, vv AS valley_value, has, CAST(period AS INT) AS period, vol AS volatility FROM f")
