@@ -114,7 +114,8 @@ def mix_spans(sizes: DataFrame, targets: DataFrame, seed: int = 1, block_words:
     low = F.greatest(F.col("block") * F.col("length"), F.col("begin"))
     high = F.least((F.col("block") + 1) * F.col("length"), F.col("begin") + F.col("size"))
     parts = parts.withColumn("from_word", low - F.col("begin")).withColumn("n", high - low)
-    joined = parts.join(drawn, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    # sizes behind an explode are not known to the planner: without the hint it would broadcast all slots
+    joined = parts.join(drawn.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     words = F.when(F.col("slot").isNotNull(), F.col("n")).otherwise(F.lit(0))
     return joined.select("shard", "slot", "source", "block", "epoch", "id", "size", "source_size", "target", "begin", "from_word", words.alias("words"))
 
