@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once; a longer text is cut further at safe places.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 #: Pieces whose ids a Python worker remembers before it forgets those of the generation before.
 MEMO_PIECES = 200_000
 #: Letters and signs for which a piece's ids are those of its letters followed by those of its signs.
