@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -33,10 +34,15 @@ def edge_rows():
     return [(1, None, "a"), (2, "", None), (3, "one two", "a"), (4, "one two", "a"), (4, "one two", "a"), (5, long_text, "b"), (6, long_text + " end", "b"), (None, "one two", "a"), (7, "ÀB c", "c"), (8, "Àb C", "c"), (9, "   \n ", "c")]
 
 
+@functools.cache
+def library(path):
+    return sentencepiece.SentencePieceProcessor(model_file=path) if path.endswith(".model") else Tokenizer.from_file(path)
+
+
 def whole_ids(path, text):
     if path.endswith(".model"):
-        return sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
-    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        return library(path).encode(text)
+    return library(path).encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD, PIECE])
