@@ -17,18 +17,31 @@ from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_BARE_END = re.compile(r"=\s*[^\s\"'>]+\Z")  # a slash at the end of an unquoted value closes nothing
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = set("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas svg math area param rp".split())
+HIDDEN = set("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas area param rp".split())
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table ul xmp".split())
 SPACED = set("blockquote dl figure h1 h2 h3 h4 h5 h6 hr listing menu ol p pre table ul fieldset".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "legend"}
 TABLE_PARTS = {"table", "caption", "colgroup", "tbody", "thead", "tfoot", "tr", "td", "th"}
 LISTS = {"ul", "ol", "menu", "dir"}
-#: Deeper elements become siblings; spans of cells are cut at the standard's limits.
-MAX_DEPTH, MAX_COLSPAN, MAX_ROWSPAN = 200, 1000, 65534
+TABLE_CONTEXT = {"table", "tbody", "thead", "tfoot", "tr"}
+#: What stays in place between table parts; all else is shown before the table.
+IN_TABLE = TABLE_PARTS | {"col", "script", "style", "template"}
+# SVG and MathML: tags that end them, elements that hold HTML again, elements that are not drawn, elements of text.
+BREAKOUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = {"svg": {"foreignobject", "desc", "title"}, "math": {"mi", "mo", "mn", "ms", "mtext"}}
+HOLDS_HTML_KEYS = {f"{space} {tag}" for space, tags in HOLDS_HTML.items() for tag in tags - {"desc", "title"}} | {"math annotation-xml"}
+INNER = {"td", "th", "caption", "template"} | HOLDS_HTML_KEYS
+CELLS = INNER | {"table"}
+UNDRAWN = set("title desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient script style annotation annotation-xml mphantom".split())
+SVG_TEXT = {"text", "tspan", "textpath", "a", "tref"}
+MATH_TOKENS = HOLDS_HTML["math"]
+#: Spans of cells are cut at the standard's limits; deeper lists and quotes keep their text at the indent of this level.
+MAX_COLSPAN, MAX_ROWSPAN, MAX_INDENTS = 1000, 65534, 200
 
 
 @dataclass
@@ -36,6 +49,7 @@ class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
+    space: str = ""  # svg or math
 
 
 class TreeBuilder:
@@ -44,64 +58,107 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Node("html")
         self.stack = [self.root]
+        self.places: dict[str, list[int]] = {}  # of the open elements by key, so that no rule walks a deep stack
 
     def feed(self, text: str) -> Node:
         at, end = 0, len(text)
         while at < end:
+            if text.startswith("<![CDATA[", at) and self._foreign():
+                stop = text.find("]]>", at)
+                self.text(text[at + 9 : stop if stop >= 0 else end])
+                at = stop + 3 if stop >= 0 else end
+                continue
             m = _TOKEN.match(text, at)
             at = m.end()
             if m[2]:
                 tag = m[2].lower()
                 if m[1]:
                     self.close(tag)
-                else:
-                    self.open(tag, m[3])
-                    if tag in RAW:
-                        stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
-                        raw = text[at : stop.start() if stop else end]
-                        self.text(html.unescape(raw) if tag in ("textarea", "title") else raw)
-                        at = stop.start() if stop else end
+                elif self.open(tag, m[3]):
+                    stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
+                    raw = text[at : stop.start() if stop else end]
+                    self.text(html.unescape(raw) if tag in ("textarea", "title") else raw)
+                    at = stop.start() if stop else end
             elif m[0][0] != "<" or m[0] == "<":
                 self.text(html.unescape(m[0]))
         return self.root
 
     def text(self, value: str) -> None:
-        if self.stack[-1].tag in ("table", "tbody", "thead", "tfoot", "tr") and value.strip():
-            # text between table parts is shown before the table
-            at = max(i for i, n in enumerate(self.stack) if n.tag == "table")
-            self.stack[at - 1].children.insert(-1, value)
-            return
-        self.stack[-1].children.append(value)
+        if value.strip():
+            self._leave_columns()
+            self._insert(value)
+        else:
+            self.stack[-1].children.append(value)
+
+    def _last(self, keys: set[str]) -> int:
+        """Place of the innermost open element of these keys; 0 if there is none."""
+        return max((p[-1] for k in keys if (p := self.places.get(k))), default=0)
+
+    def _cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[_key(self.stack.pop())].pop()
+
+    def _foreign(self) -> bool:
+        top = self.stack[-1]
+        if not top.space or top.tag in HOLDS_HTML[top.space]:
+            return False
+        return top.tag != "annotation-xml" or top.attrs.get("encoding", "").lower() not in ("text/html", "application/xhtml+xml")
+
+    def _between_parts(self) -> bool:
+        """Whether the open element is a table or a row, outside of its cells."""
+        top = self.stack[-1]
+        return top.tag in TABLE_CONTEXT and not top.space and self._last({"table"}) > self._last({"template"})
+
+    def _leave_columns(self) -> None:
+        if self.stack[-1].tag == "colgroup" and not self.stack[-1].space:
+            self._cut(len(self.stack) - 1)
+
+    def _insert(self, child: Node | str) -> None:
+        """Adds to the open element; what may not be between table parts is shown before the table."""
+        if self._between_parts():
+            self.stack[self._last({"table"}) - 1].children.insert(-1, child)
+        else:
+            self.stack[-1].children.append(child)
 
     def _until(self, tags: set[str], barrier: set[str]) -> None:
         """Closes the innermost of `tags`, unless an element of `barrier` is met first."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in barrier:
-                return
-
-    def open(self, tag: str, raw: str) -> None:
+        place = self._last(tags)
+        if place and place > self._last(barrier - tags):
+            self._cut(place)
+
+    def open(self, tag: str, raw: str) -> bool:
+        """Adds an element; true if raw text follows."""
         attrs = {}
         if raw and not raw.isspace():
             for a in _ATTRIBUTE.finditer(raw):
                 attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in self.stack):
-            return
-        cells = {"td", "th", "caption"}
+        closed = bool(raw) and raw[-1] == "/" and not _BARE_END.search(raw)
+        if self._foreign():
+            if tag not in BREAKOUT and not (tag == "font" and attrs.keys() & {"color", "face", "size"}):
+                node = Node(tag, attrs, space=self.stack[-1].space)
+                self.stack[-1].children.append(node)
+                if not closed:
+                    self._enter(node)
+                return False
+            self._leave_foreign()
+        cells = CELLS
+        in_table = bool(self.places.get("table")) and self._last({"table"}) > self._last(INNER)
+        if tag == "html" or tag == "body" and self.places.get("body") or in_table and tag in ("body", "head", "form"):
+            return False  # a form between table parts holds nothing
         if tag in CLOSES_P:
             self._until({"p"}, cells | {"button", "object"})
         if tag in BLOCK and tag != "head":
             self._until({"head"}, cells)
-        if tag == "li":
+        if tag == "table" and in_table:
+            self._cut(self._last({"table"}))
+        elif tag == "li":
             self._until({"li"}, LISTS | cells)
         elif tag in ("dt", "dd"):
             self._until({"dt", "dd"}, {"dl"} | cells)
         elif tag in ("option", "optgroup"):
             self._until({"option"} if tag == "option" else {"optgroup", "option"}, {"select", "datalist"} | cells)
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6") and self.stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         elif tag in ("caption", "colgroup", "tbody", "thead", "tfoot"):
             self._back_to({"table"})
         elif tag == "tr":
@@ -114,33 +171,50 @@ class TreeBuilder:
                 self._push(Node("tbody"))
             if self.stack[-1].tag in ("tbody", "thead", "tfoot"):
                 self._push(Node("tr"))
-        node = Node(tag, attrs)
-        if tag in VOID or len(self.stack) >= MAX_DEPTH and tag not in RAW:
+        if tag not in ("col", "template"):
+            self._leave_columns()
+        node = Node(tag, attrs, space=tag if tag in HOLDS_HTML else "")
+        if tag in IN_TABLE and tag != "table" or tag == "input" and attrs.get("type", "").lower() == "hidden":
             self.stack[-1].children.append(node)
         else:
-            self._push(node)
+            self._insert(node)
+        if tag not in VOID and not (closed and node.space):
+            self._enter(node)
+        return tag in RAW
+
+    def _enter(self, node: Node) -> None:
+        self.places.setdefault(_key(node), []).append(len(self.stack))
+        self.stack.append(node)
 
     def _push(self, node: Node) -> None:
         self.stack[-1].children.append(node)
-        self.stack.append(node)
+        self._enter(node)
+
+    def _leave_foreign(self) -> None:
+        while self._foreign():
+            self._cut(len(self.stack) - 1)
 
     def _back_to(self, tags: set[str]) -> None:
         """Leaves what is open inside the innermost table, down to one of `tags`."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                del self.stack[i + 1 :]
-                return
-            if self.stack[i].tag == "table":
-                return
+        place = self._last(tags)
+        if place and place >= self._last({"table"}) and place > self._last({"template"}):
+            self._cut(place + 1)
 
     def close(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag == "br" or tag == "p" and not any(n.tag == "p" for n in self.stack):
-            self.stack[-1].children.append(Node(tag))
+        if tag in ("br", "p"):
+            self._leave_foreign()
+        if tag == "br" or tag == "p" and not self.places.get("p"):
+            self._leave_columns()
+            self._insert(Node(tag))
             return
-        barrier = set() if tag == "table" else {"table"} if tag in TABLE_PARTS else {"td", "th", "caption", "table"}
-        self._until({tag}, barrier)
+        barrier = set() if tag == "template" else {"template"} if tag == "table" else {"table", "template"} if tag in TABLE_PARTS else {"td", "th", "caption", "table", "template"}
+        self._until({tag, f"svg {tag}", f"math {tag}"}, barrier)
+
+
+def _key(node: Node) -> str:
+    return f"{node.space} {node.tag}" if node.space else node.tag
 
 
 _STYLE = re.compile(r"(display|visibility|white-space|text-align)\s*:\s*([a-z-]+)", re.I)
@@ -187,7 +261,7 @@ class Flow:
         if self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        indent = "".join(self.prefix)
+        indent = "".join(self.prefix[:MAX_INDENTS])
         if self.marker:
             indent, self.marker = indent[: len(indent) - len(self.marker)] + self.marker, ""
         self.lines.append((indent + line).rstrip(" "))
@@ -204,21 +278,87 @@ class Flow:
 
 
 def render(root: Node) -> str:
+    """Runs the steps below, each a generator of the steps inside it, on a stack of its own: any depth is laid out."""
     flow = Flow()
-    _render(root, flow, pre=False, shown=True)
+    steps = [_render(root, flow, False, True)]
+    while steps:
+        inner = next(steps[-1], None)
+        if inner is None:
+            steps.pop()
+        else:
+            steps.append(inner)
     return "\n".join(flow.result())
 
 
-def _children(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
+Steps = Iterator["Steps"]
+
+
+def _children(node: Node, flow: Flow, pre: bool, shown: bool) -> Steps:
     for child in node.children:
         if isinstance(child, str):
             if shown and child:
                 flow.text(child, pre)
         else:
-            _render(child, flow, pre, shown)
+            yield _render(child, flow, pre, shown)
+
 
+def _drawn(node: Node, style: dict[str, str]) -> bool:
+    return node.tag not in UNDRAWN and (style.get("display") or node.attrs.get("display", "")).strip().lower() != "none"
 
-def _render(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
+
+def _svg(node: Node, flow: Flow, shown: bool, inside: bool) -> Steps:
+    """Text elements and embedded HTML of a drawing; they are apart from each other."""
+    children = node.children
+    if node.tag == "switch":
+        fits = (c for c in children if isinstance(c, Node) and "requiredextensions" not in c.attrs and ("systemlanguage" not in c.attrs or re.search(r"\ben\b", c.attrs["systemlanguage"])))
+        children = [c for c in [next(fits, None)] if c]
+    for child in children:
+        if isinstance(child, str):
+            if inside and shown:
+                flow.text(child)
+            continue
+        if not child.space:
+            yield _render(child, flow, False, shown)
+            continue
+        style = _styles(child) if "style" in child.attrs else {}
+        if not _drawn(child, style):
+            continue
+        seen = style.get("visibility") or child.attrs.get("visibility", "").strip().lower()
+        seen = seen == "visible" if seen in ("visible", "hidden", "collapse") else shown
+        if child.tag == "foreignobject":
+            flow.text(" ")
+            yield from _children(child, flow, False, seen)
+            flow.text(" ")
+        else:
+            apart = child.tag == "text"
+            if apart:
+                flow.text(" ")
+            yield _svg(child, flow, seen, apart or inside and child.tag in SVG_TEXT)
+            if apart:
+                flow.text(" ")
+
+
+def _math(node: Node, flow: Flow, shown: bool) -> Steps:
+    """A formula's symbols in order; the parts of fractions and matrices are apart from each other."""
+    first = node.tag == "maction"
+    for child in node.children:
+        if isinstance(child, str):
+            if shown and (child.strip() or node.tag == "mtext"):
+                flow.text(child if node.tag == "mtext" else child.strip())
+            continue
+        if not child.space:
+            yield _render(child, flow, False, shown)
+            continue
+        style = _styles(child) if "style" in child.attrs else {}
+        if _drawn(child, style):
+            yield _math(child, flow, style["visibility"] == "visible" if "visibility" in style else shown)
+            if node.tag in ("mfrac", "mtr", "mtable"):
+                flow.text(" ")
+        if first:
+            break
+
+
+def _render(node: Node, flow: Flow, pre: bool, shown: bool) -> Steps:
     tag, style = node.tag, _styles(node) if "style" in node.attrs else {}
     if tag in HIDDEN or "hidden" in node.attrs or style.get("display") == "none" or tag == "dialog" and "open" not in node.attrs:
         return
@@ -226,7 +366,16 @@ def _render(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
         shown = style["visibility"] == "visible"
     if "white-space" in style:
         pre = style["white-space"].startswith("pre")
-    if tag == "br":
+    if node.space == "svg":
+        if _drawn(node, style) and node.attrs.get("visibility", "").lower() not in ("hidden", "collapse"):
+            yield _svg(node, flow, shown, False)
+    elif node.space == "math":
+        if node.attrs.get("display", "").lower() == "block":
+            flow.block(0)
+        yield _math(node, flow, shown)
+        if node.attrs.get("display", "").lower() == "block":
+            flow.block(0)
+    elif tag == "br":
         flow.end_line(keep_empty=True)
     elif tag == "wbr" or tag == "img":
         return
@@ -240,26 +389,26 @@ def _render(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
         options = _find(node, "option")
         chosen = [o for o in options if "selected" in o.attrs] or options[:1]
         for o in options if "multiple" in node.attrs else chosen[-1:]:
-            _children(o, flow, pre, shown)
+            yield from _children(o, flow, pre, shown)
             flow.text(" ")
     elif tag == "details" and "open" not in node.attrs:
         flow.block(0)
         for child in node.children:
             if isinstance(child, Node) and child.tag == "summary":
-                _render(child, flow, pre, shown)
+                yield _render(child, flow, pre, shown)
                 break
         flow.block(0)
     elif tag == "table":
         flow.block(1)
-        _table(node, flow, shown)
+        yield from _table(node, flow, shown)
         flow.block(1)
     elif tag in LISTS:
-        _list(node, flow, pre, shown)
+        yield from _list(node, flow, pre, shown)
     elif tag == "li":
-        _item(node, flow, pre, shown, "- ")
+        yield from _item(node, flow, pre, shown, "- ")
     elif tag == "q":
         flow.text("“" if shown else "")
-        _children(node, flow, pre, shown)
+        yield from _children(node, flow, pre, shown)
         flow.text("”" if shown else "")
     elif tag in BLOCK or style.get("display") in ("block", "flex", "grid", "list-item"):
         blank = 1 if tag in SPACED else 0
@@ -267,22 +416,25 @@ def _render(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
         indent = {"blockquote": "  ", "dd": "    "}.get(tag)
         if indent:
             flow.prefix.append(indent)
-        _children(node, flow, pre or tag in ("pre", "listing", "xmp", "plaintext"), shown)
+        yield from _children(node, flow, pre or tag in ("pre", "listing", "xmp", "plaintext"), shown)
         flow.end_line()
         if indent:
             flow.prefix.pop()
         flow.block(blank)
     else:
-        _children(node, flow, pre or tag == "textarea", shown)
+        yield from _children(node, flow, pre or tag == "textarea", shown)
         if tag in ("td", "th", "button"):
             flow.text(" ")
 
 
 def _find(node: Node, tag: str) -> list[Node]:
-    out = []
-    for child in node.children:
-        if isinstance(child, Node):
-            out += [child] if child.tag == tag else _find(child, tag)
+    out, left = [], [node]
+    while left:
+        at = left.pop()
+        if at.tag == tag and at is not node:
+            out.append(at)
+        else:
+            left += [c for c in reversed(at.children) if isinstance(c, Node)]
     return out
 
 
@@ -291,18 +443,18 @@ def _whole(value: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
-def _item(node: Node, flow: Flow, pre: bool, shown: bool, marker: str) -> None:
+def _item(node: Node, flow: Flow, pre: bool, shown: bool, marker: str) -> Steps:
     flow.block(0)
     flow.prefix.append(" " * len(marker))
     flow.marker = marker if shown else ""
-    _children(node, flow, pre, shown)
+    yield from _children(node, flow, pre, shown)
     flow.end_line()
     if flow.marker:  # an empty item still shows its marker
         flow._emit("")
     flow.prefix.pop()
 
 
-def _list(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
+def _list(node: Node, flow: Flow, pre: bool, shown: bool) -> Steps:
     blank = 0 if flow.prefix else 1
     flow.block(blank)
     items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
@@ -313,11 +465,11 @@ def _list(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
             number = _whole(child.attrs.get("value"), number)
             if "hidden" in child.attrs or _styles(child).get("display") == "none":
                 continue
-            _item(child, flow, pre, shown, f"{number}. " if node.tag == "ol" else "- ")
+            yield from _item(child, flow, pre, shown, f"{number}. " if node.tag == "ol" else "- ")
             number += step
         elif isinstance(child, Node):
             flow.prefix.append("  ")
-            _render(child, flow, pre, shown)
+            yield _render(child, flow, pre, shown)
             flow.end_line()
             flow.prefix.pop()
         elif shown:
@@ -325,26 +477,26 @@ def _list(node: Node, flow: Flow, pre: bool, shown: bool) -> None:
     flow.block(blank)
 
 
-def _table(node: Node, flow: Flow, shown: bool) -> None:
+def _table(node: Node, flow: Flow, shown: bool) -> Steps:
     """Cells in columns as wide as their widest line; spans take the columns they cover."""
     rows: list[Node] = []
     foot: list[Node] = []
 
-    def gather(part: Node, into: list[Node]) -> None:
+    def gather(part: Node, into: list[Node]) -> Steps:
         for child in part.children:
             if not isinstance(child, Node) or child.tag in HIDDEN or "hidden" in child.attrs or _styles(child).get("display") == "none":
                 continue
             if child.tag == "tr":
                 into.append(child)
             elif child.tag in ("tbody", "thead"):
-                gather(child, rows)
+                yield from gather(child, rows)
             elif child.tag == "tfoot":
-                gather(child, foot)
+                yield from gather(child, foot)
             elif child.tag == "caption":
-                _children(child, flow, False, shown)
+                yield from _children(child, flow, False, shown)
                 flow.end_line()
 
-    gather(node, rows)
+    yield from gather(node, rows)
     rows += foot
     placed: list[tuple[int, int, int, list[str], bool]] = []  # row, column, columns, lines, right
     busy: dict[int, int] = {}  # column: first row that is free again
@@ -360,7 +512,7 @@ def _table(node: Node, flow: Flow, shown: bool) -> None:
             down = min(down, MAX_ROWSPAN) if down > 0 else len(rows) - r
             inner = Flow()
             style = _styles(cell)
-            _children(cell, inner, style.get("white-space", "").startswith("pre"), shown and style.get("visibility", "visible") == "visible")
+            yield from _children(cell, inner, style.get("white-space", "").startswith("pre"), shown and style.get("visibility", "visible") == "visible")
             right = (style.get("text-align") or cell.attrs.get("align", "")).lower() in ("right", "end")
             placed.append((r, c, across, inner.result(), right))
             for k in range(c, c + across):

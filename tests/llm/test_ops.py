@@ -349,6 +349,39 @@ def test_html_cases(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><div>Title</div><tr><td>x</table>", "Title\n\nx"),
+        ("<table><tr><b>note</b><td>x</table>", "note\n\nx"),
+        ("<table><tbody><center>c</center><p>p<tr><td>x<td>y</table>z", "c\n\np\n\nx  y\n\nz"),
+        ("<table><colgroup><a>link</a><tr><td>x</table>", "link\n\nx"),
+        ("<table><form><tr><td>x</form></table>", "x"),
+        ("<table><tr><td>a<table><tr><div>in</div><td>b</table></table>", "a\nin\nb"),
+        ("<table><tr><td>a</td><table><tr><td>b</table>", "a\n\nb"),
+        ("<ul><li>o<table><li>i</li><tr><td>x</table></ul>", "- o\n  - i\n\n  x"),
+        ("<table><template><tr><td>no</template><tr><td>x</table>", "x"),
+        ("<tr>x<td>y", "xy"),
+        ("a<svg><title>no</title><defs><text>no</text></defs>no<rect/><g><text>Jan</text><text>F<tspan>eb</tspan></text></g></svg>b", "a Jan Feb b"),
+        ("<svg><style/><title/><text display=none>no</text><foreignObject><p>in</p></foreignObject></svg>out", "in\n\nout"),
+        ("<svg><path><p>text", "text"),
+        ("<p><math><semantics><mrow><mi>x</mi> <mo>=</mo> <mn>1</mn></mrow><annotation>no</annotation></semantics></math>.", "x=1."),
+        ("<div>" * 300 + "<div hidden>no</div><template>no</template><b style='display:none'>no</b>yes", "yes"),
+        ("<table><tr><td>" * 100 + "<p>a<p>b" + "</table>" * 100, "a\nb"),
+        ("<b>" * 300 + "<i><pre>  k</pre></i>", "  k"),
+        ("<section>" * 20000 + "<span>" * 20000 + "deep" + "</span>" * 20000 + " end", "deep end"),
+        ("<table><tr><td>" * 3000 + "deep", "deep"),
+    ],
+)
+def test_html_shows_all_text(page, text):
+    assert html.extract(page) == text
+
+
+def test_html_deep_lists_keep_their_text():
+    got = html.extract("".join(f"<ul><li>w{i} " for i in range(3000)))
+    assert got.split() == [x for i in range(3000) for x in ("-", f"w{i}")] and max(map(len, got.split("\n"))) < 500
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "<p>x"), (2, None), (2, "")], "page_id long, html string")
     got = sorted((r.page_id, r.text or "", r.n_lines) for r in html.visible_text(pages).collect())
