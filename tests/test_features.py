@@ -143,3 +143,20 @@ def test_kernel_matches_window_form(spark):
 def test_sql_kernels(spark):
     k.register(spark)
     assert spark.sql("SELECT rouge_l('a b c', 'a c') AS r").first().r == pytest.approx(0.8)
+
+
+def test_transpose_query_takes_every_series(spark, tmp_path):
+    """Five suppliers, one of them with two windows, against windows built by hand."""
+    from datetime import datetime, timedelta
+
+    from seriesloom.plans.q_data import p16
+
+    sizes = {1: 3, 2: 1, 5: 2, 7: 130, 9: 192}
+    rows = [(o, 1, 1, s, datetime(2020, 1, 1) + timedelta(days=o), float(o % 7), s * 1000.0 + o, 0.0, 0.0) for s, n in sizes.items() for o in range(n)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = []
+    for s, n in sizes.items():
+        for w in range(0, max(n - 128, 0) + 1, 64):
+            for i in range(min(n, 128)):
+                want += [(s, w, 0, i, s * 1000.0 + w + i), (s, w, 1, i, float((w + i) % 7))]
+    assert sorted(tuple(r) for r in p16(spark, str(tmp_path)).collect()) == sorted(want)
