@@ -10,6 +10,8 @@ from ..operators import texteval as m
 from .views import table
 
 Q, SQL = {}, {}
+# The reference's defaults (eval_grounding.py): longest span, spans kept, series on the shortlist.
+SPAN, KEEP, NEAR = 32, 5, 50
 
 
 def query(name: str, sql: str | None = None):
@@ -94,7 +96,7 @@ def v_truth(spark, d):
 
 @query("r7_top_spans", f"WITH {TOP.format(m=8, k=5)} SELECT id, CAST(s AS INT) AS \"start\", CAST(e AS INT) AS \"end\", round(score, 9) AS score, CAST(rank AS INT) AS rank FROM tp")
 def r7(spark, d):
-    return r.top_spans(v_scores(spark, d), 8, 5).withColumn("score", F.round("score", 9))
+    return r.top_spans(v_scores(spark, d), SPAN, KEEP).withColumn("score", F.round("score", 9))
 
 
 @query("r8_pointing", f"WITH {TRUTH}, x AS (SELECT vec_id AS id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings), t AS (SELECT id, arg_max(i, (v, -i)) AS place FROM x GROUP BY id) SELECT id, CAST(place AS INT) AS place, place >= gs AND place < ge AS hit FROM t JOIN tr USING (id)")
@@ -108,7 +110,7 @@ OVER = "ov AS (SELECT id, rank, greatest(least(e, ge) - greatest(s, gs), 0) AS h
 
 @query("r9_span_recall", f"WITH {TOP.format(m=8, k=5)}, {TRUTH}, {OVER} {RECALL}")
 def r9(spark, d):
-    out = r.span_recall(r.top_spans(v_scores(spark, d), 8, 5), v_truth(spark, d))
+    out = r.span_recall(r.top_spans(v_scores(spark, d), SPAN, KEEP), v_truth(spark, d))
     return out.select("queries", *[F.round(c, 9).alias(c) for c in out.columns if c != "queries"])
 
 
@@ -136,11 +138,11 @@ def v_queries(spark, d):
     return e.select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("group_key"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-@query("r11_corpus_grounding", f"""WITH {PATCH}, sh AS (SELECT q.id, c.id // 10 AS series FROM emb q JOIN emb c ON q.id % 10 = 7 AND c.id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, c.v) DESC, c.id) <= 20),
+@query("r11_corpus_grounding", f"""WITH {PATCH}, sh AS (SELECT q.id, c.id // 10 AS series FROM emb q JOIN emb c ON q.id % 10 = 7 AND c.id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, c.v) DESC, c.id) <= {NEAR}),
  sc AS (SELECT sh.id, sh.series, p.patch, round(list_inner_product(q.v, p.v), 12) AS s FROM sh JOIN emb q ON q.id = sh.id JOIN pt p ON p.series = sh.series), b AS (SELECT id, series, max(s) AS score FROM sc GROUP BY ALL)
- SELECT id, series, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, series) AS INT) AS rank, round(score, 9) AS score FROM b QUALIFY rank <= 5""")
+ SELECT id, series, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, series) AS INT) AS rank, round(score, 9) AS score FROM b QUALIFY rank <= {KEEP}""")
 def r11(spark, d):
-    g = r.corpus_grounding(v_queries(spark, d), v_series(spark, d), v_patches(spark, d), near=20, most=4, count=5)
+    g = r.corpus_grounding(v_queries(spark, d), v_series(spark, d), v_patches(spark, d), near=NEAR, most=SPAN, count=KEEP)
     return g.select("id", "series", "rank", F.round("score", 9).alias("score"))
 
 

@@ -160,3 +160,39 @@ def test_transpose_query_takes_every_series(spark, tmp_path):
             for i in range(min(n, 128)):
                 want += [(s, w, 0, i, s * 1000.0 + w + i), (s, w, 1, i, float((w + i) % 7))]
     assert sorted(tuple(r) for r in p16(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_span_queries_search_as_the_reference(spark, tmp_path, monkeypatch):
+    """A span of n places has n - 1 shorter ones of at least its mean (one side of each cut), so the length of the
+    search shows in its candidates, not in the best 5."""
+    from seriesloom.plans import q_eval
+
+    rng = np.random.default_rng(5)
+    vectors = [(i, 0, [float(x) for x in rng.integers(0, 3, 64)]) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lengths, own = [], q_eval.r.top_spans
+    monkeypatch.setattr(q_eval.r, "top_spans", lambda scores, most, count: lengths.append((most, count)) or own(scores, most, count))
+    got = sorted((x.id, x.rank, x.start, x.end, x.score) for x in q_eval.r7(spark, str(tmp_path)).collect())
+    want = []
+    for i, _, v in vectors:
+        spans = [(a, b, round(sum(v[a:b]) / (b - a), 12)) for a in range(64) for b in range(a + 1, min(a + 32, 64) + 1)]
+        best = sorted(spans, key=lambda x: (-x[2], x[1] - x[0], x[0]))[:5]
+        want += [(i, k + 1, a, b, round(m, 9)) for k, (a, b, m) in enumerate(best)]
+    assert got == want
+    assert q_eval.r9(spark, str(tmp_path)).collect()[0].queries == 60
+    q_eval.r11(spark, str(tmp_path))
+    assert lengths == [(32, 5), (32, 5), (32, 1)]
+
+
+def test_corpus_grounding_query_takes_fifty_series(spark, tmp_path):
+    from seriesloom.plans.q_eval import r11
+
+    vec = np.random.default_rng(6).normal(size=(600, 8))
+    spark.createDataFrame([(i, 0, [float(x) for x in v]) for i, v in enumerate(vec)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    vec /= np.linalg.norm(vec, axis=1, keepdims=True)
+    want = []
+    for q in range(7, 600, 10):
+        near = np.argsort(-(vec[::10] @ vec[q]))[:50]
+        best = sorted(((vec[10 * s : 10 * s + 10] @ vec[q]).max(), s) for s in near)[::-1][:5]
+        want += [(q, int(s), k + 1, pytest.approx(m, abs=1e-8)) for k, (m, s) in enumerate(best)]
+    assert sorted((x.id, x.series, x.rank, x.score) for x in r11(spark, str(tmp_path)).orderBy("id", "rank").collect()) == sorted(want, key=lambda x: x[:3][:2])
