@@ -10,6 +10,8 @@ from ..operators.clean import fill_array
 
 # Names that a time column may have, in order of preference.
 TIME_NAMES = ("date", "datetime", "timestamp", "time", "Date", "Datetime", "Timestamp", "Time")
+# Cells of a numeric column: numbers, blanks and the marks of missing values that pandas reads.
+NUMBER = r"^\s*(?:[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?|[-+]?(?i:inf|infinity)|#N/A|#N/A N/A|#NA|-1\.#IND|-1\.#QNAN|1\.#IND|1\.#QNAN|-?NaN|-?nan|<NA>|N/A|NA|NULL|None|n/a|null)?\s*$"
 RECORD = """dataset string, task string, series_key string, indices array<int>, time array<string>, timeseries array<array<double>>,
  variables array<struct<name: string, index: int, role: string, meaning: string, unit: string>>, label string,
  features struct<trend: string, volatility: string, seasonality: struct<period: int, strength: string>, correlations: array<struct<pair: array<string>, rho: double>>>,
@@ -38,16 +40,16 @@ def target_column(columns: list[str], dataset: str = "") -> str:
 def read_wide_csv(spark: SparkSession, path: str, time_col: str | None = None, series_cols: list[str] | None = None) -> DataFrame:
     """A CSV with header as text time and double values; names are trimmed, cells that are no number are null.
 
-    Which columns are numeric is told from the header and the first data rows, not by a pass over the files.
+    Without `series_cols`, series are the columns whose cells are all numbers or missing, told by one aggregate over all
+    rows.
     """
     raw = spark.read.csv(path, header=True)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     time_col = time_col or time_column(raw.columns)
     if series_cols is None:
-        head = raw.limit(100).toPandas()  # bounded
         rest = [c for c in raw.columns if c != time_col]
-        numbers = head[rest].apply(lambda s: s.dropna().str.strip().str.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|nan|NaN|").all())
-        series_cols = [c for c in rest if bool(numbers[c])]
+        others = raw.agg(F.lit(0), *[F.count_if(~F.col(f"`{c}`").rlike(NUMBER)) for c in rest]).first()[1:]
+        series_cols = [c for c, n in zip(rest, others, strict=True) if n == 0]
     return raw.select(F.col(f"`{time_col}`").alias(time_col), *[F.expr(f"try_cast(`{c}` AS double)").alias(c) for c in series_cols])
 
 

@@ -196,3 +196,19 @@ def test_corpus_grounding_query_takes_fifty_series(spark, tmp_path):
         best = sorted(((vec[10 * s : 10 * s + 10] @ vec[q]).max(), s) for s in near)[::-1][:5]
         want += [(q, int(s), k + 1, pytest.approx(m, abs=1e-8)) for k, (m, s) in enumerate(best)]
     assert sorted((x.id, x.series, x.rank, x.score) for x in r11(spark, str(tmp_path)).orderBy("id", "rank").collect()) == sorted(want, key=lambda x: x[:3][:2])
+
+
+def test_wide_csv_judges_columns_by_all_rows(spark, tmp_path):
+    """A first cell of text after row 100, or in another file, leaves the column out; missing values do not."""
+    from seriesloom.sources.readers import read_wide_csv
+
+    def cells(i):
+        return [f"d{i}", i, "late" if i == 150 else i, "NA" if i == 180 else f" {i}.5 ", "" if i > 90 else "-1e3", "true" if i == 399 else "1"]
+
+    for part in range(2):
+        (tmp_path / f"{part}.csv").write_text("date,a, b ,c.x,d,e\n" + "".join(",".join(map(str, cells(i))) + "\n" for i in range(200 * part, 200 * part + 200)))
+    got = read_wide_csv(spark, str(tmp_path))
+    assert got.columns == ["date", "a", "c.x", "d"]
+    rows = {r[0]: r[1:] for r in got.collect()}
+    assert rows == {f"d{i}": (float(i), None if i == 180 else i + 0.5, None if i > 90 else -1000.0) for i in range(400)}
+    assert read_wide_csv(spark, str(tmp_path), series_cols=["b"]).where("b is null").count() == 1
