@@ -143,8 +143,9 @@ def y1(spark, d):
         spans = win.where("i = 0").select("series_key", F.array("w_start", "w_end").cast("array<int>").alias("indices"))
         return spans.select(F.lit("events").alias("dataset"), "series_key", "indices")
 
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by series, so that each is whole in one file
     for part in (0, 1):  # two arrivals
-        points.where(F.col("series_key").cast("long") % 2 == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        points.where(F.col("series_key").cast("long") % 2 == part).repartition(files, "series_key").write.mode("append").parquet(f"{root}/in")
         stream_records(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", build, 32, 16)
     back = r.read_records(spark, f"{root}/out")
     return back.select("series_key", F.col("indices")[0].cast("long").alias("w_start"), F.col("indices")[1].cast("long").alias("w_end"))

@@ -212,3 +212,24 @@ def test_wide_csv_judges_columns_by_all_rows(spark, tmp_path):
     rows = {r[0]: r[1:] for r in got.collect()}
     assert rows == {f"d{i}": (float(i), None if i == 180 else i + 0.5, None if i > 90 else -1000.0) for i in range(400)}
     assert read_wide_csv(spark, str(tmp_path), series_cols=["b"]).where("b is null").count() == 1
+
+
+def test_stream_arrivals_are_spread_by_series(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from seriesloom.plans import q_files
+
+    rows = [(i, i % 40, datetime(2024, 1, 1) + timedelta(hours=i), "view", float(i), "{}") for i in range(40 * 70)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    arrivals, own = [], q_files.stream_records
+
+    def seen(session, folder, *rest):
+        files = session.read.parquet(folder).select("series_key", F.col("_metadata.file_name").alias("f")).distinct().collect()
+        arrivals.append((len({r.f for r in files}), len(files), len({r.series_key for r in files})))
+        own(session, folder, *rest)
+
+    monkeypatch.setattr(q_files, "stream_records", seen)
+    got = sorted((int(r.series_key), r.w_start, r.w_end) for r in q_files.y1(spark, str(tmp_path)).collect())
+    assert got == [(k, w, w + 31) for k in range(40) for w in (0, 16, 32)]
+    assert [a[1:] for a in arrivals] == [(20, 20), (40, 40)]  # each series whole in one file
+    assert arrivals[0][0] > 1
