@@ -44,9 +44,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """`df` without columns named as an operator's own working or result columns (any case)."""
-    own = {n.lower() for n in names}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in own])

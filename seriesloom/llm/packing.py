@@ -9,6 +9,7 @@ in constant time a step.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -18,10 +19,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .tokens import encoder
+from .tokens import chunks, encoder, with_ends
 
-#: Ids that are planned at once; the last windows of a run are planned again with what follows.
-RUN_IDS = 1 << 19
 SENTENCE_PENALTY, INNER_PENALTY = 1, 12
 #: Distance of the places inside a sentence at which a window may end.
 INNER_STEP = 16
@@ -29,35 +28,76 @@ INNER_STEP = 16
 STRIDE = 1 << 36
 
 
-def cut_places(docs: np.ndarray, sentences: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places at which windows may end, ascending, and their penalties. docs, sentences: sorted end places."""
-    marks = np.union1d(docs, sentences)
-    inner = np.setdiff1d(np.arange(INNER_STEP, total, INNER_STEP), marks, assume_unique=True)
-    places = np.concatenate((marks, inner))
-    cost = np.concatenate((np.where(np.isin(marks, docs), 0, SENTENCE_PENALTY), np.full(len(inner), INNER_PENALTY)))
-    order = np.argsort(places, kind="stable")
-    return places[order], cost[order]
+def cut_places(docs: np.ndarray, sentences: np.ndarray, total: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a stretch of a stream at which windows may end, ascending, and their penalties.
+
+    docs, sentences: end places, counted from the stretch's begin, which is place `base` of the stream.
+    """
+    cost = np.full(total + 1, -1, np.int8)
+    cost[INNER_STEP - base % INNER_STEP :: INNER_STEP] = INNER_PENALTY
+    cost[sentences] = SENTENCE_PENALTY
+    cost[docs] = 0
+    cost[0] = -1
+    places = np.flatnonzero(cost >= 0)
+    return places, cost[places]
+
+
+class Planner:
+    """The dynamic programme over a stream that arrives in stretches.
+
+    A cut is settled once every place from which the stream can still go on descends from it, so the cuts are the
+    best ones of the whole stream, whatever the stretches. Only what follows the last settled cut is held.
+    """
+
+    def __init__(self, window: int) -> None:
+        self.window = window
+        self.places, self.back = [0], [0]  # number 0: the last settled cut
+        self.queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # f(i) + i, place i, its number; least value in front
+
+    def extend(self, places: np.ndarray, cost: np.ndarray) -> None:
+        """Goes on with places, ascending and at most a window apart, and their penalties."""
+        queue, back, window = self.queue, self.back, self.window
+        k = len(self.places)
+        for j, c in zip(places.tolist(), cost.tolist(), strict=True):
+            while queue[0][1] < j - window:
+                queue.popleft()
+            value, _, i = queue[0]
+            f = value + window + c  # f(j) + j
+            back.append(i)
+            while queue and queue[-1][0] >= f:
+                queue.pop()
+            queue.append((f, j, k))
+            k += 1
+        self.places.extend(places.tolist())
+
+    def settle(self, last: bool) -> list[int]:
+        """The newly settled cuts, ascending; all up to the end if this is the last stretch."""
+        if last:
+            common = len(self.places) - 1
+        else:  # the nearest place that all live ones descend from
+            live = [-k for _, _, k in self.queue]
+            heapq.heapify(live)
+            while True:
+                common = -heapq.heappop(live)
+                while live and live[0] == -common:
+                    heapq.heappop(live)
+                if not live:
+                    break
+                heapq.heappush(live, -self.back[common])
+        cuts, k = [], common
+        while k:
+            cuts.append(self.places[k])
+            k = self.back[k]
+        self.places, self.back = self.places[common:], [max(0, b - common) for b in self.back[common:]]
+        self.queue = deque((f, j, k - common) for f, j, k in self.queue)
+        return cuts[::-1]
 
 
 def best_cuts(places: np.ndarray, cost: np.ndarray, window: int) -> np.ndarray:
-    """The window ends of least total padding and penalty, the last place among them. Gaps are at most a window."""
-    n = len(places)
-    total, back = [0] * (n + 1), [0] * (n + 1)
-    queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # f(i) + i, place, number; least value in front
-    for k, (j, c) in enumerate(zip(places.tolist(), cost.tolist(), strict=True), 1):
-        while queue[0][1] < j - window:
-            queue.popleft()
-        value, _, i = queue[0]
-        total[k], back[k] = (f := value + window - j + c), i
-        f += j
-        while queue and queue[-1][0] >= f:
-            queue.pop()
-        queue.append((f, j, k))
-    cuts, k = [], n
-    while k:
-        cuts.append(k - 1)
-        k = back[k]
-    return places[np.array(cuts[::-1], np.int64)] if cuts else np.zeros(0, np.int64)
+    """The window ends of least total padding and penalty, the last place among them."""
+    planner = Planner(window)
+    planner.extend(places, cost)
+    return np.array(planner.settle(last=True), np.int64)
 
 
 def sentence_end_ids(vocabulary: str) -> np.ndarray:
@@ -73,53 +113,36 @@ class _Stream:
     """The pieces of a partition's windows, from its documents in order."""
 
     def __init__(self, vocabulary: str, window: int, part: int) -> None:
-        self.ends_sentence, self.window, self.sequence = sentence_end_ids(vocabulary), window, part * STRIDE
-        self.keys, self.sizes, self.ids, self.held, self.first = [], [], [], 0, 0  # first: ids of the first document already out
-        self.fields = [[] for _ in range(7)]
-
-    def add(self, key, ids: np.ndarray) -> None:
-        self.keys.append(key)
-        self.sizes.append(len(ids))
-        self.ids.append(ids)
-        self.held += len(ids)
-
-    def plan(self, last: bool) -> None:
-        """Emits the windows of what is held; if more follows, the last two stay open."""
-        if not self.held:
-            return
-        ids = np.concatenate(self.ids)
-        ends = np.cumsum(self.sizes)
-        ends[:] -= self.first
-        stream = ids[self.first :]
-        sentences = np.flatnonzero(self.ends_sentence[stream]) + 1
-        places, cost = cut_places(ends, sentences[sentences < len(stream)], len(stream))
-        cuts = best_cuts(places, cost, self.window)
-        if not last:
-            cuts = cuts[:-2]
-        if not len(cuts):
-            return
-        done = int(cuts[-1])
-        bounds = np.union1d(cuts, ends[ends <= done])
-        lows = np.concatenate(([0], bounds[:-1]))
-        doc = np.searchsorted(ends, lows, side="right")
-        win = np.searchsorted(cuts, lows, side="right")
-        begins = np.concatenate(([-self.first], ends[:-1]))
-        opens = np.concatenate(([0], cuts[:-1]))
-        raw = memoryview(np.ascontiguousarray(stream)).cast("B")
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lows.tolist(), bounds.tolist(), strict=True)]
-        sizes = np.array(self.sizes, np.int64)
-        for field, values in zip(self.fields, ([self.keys[i] for i in doc.tolist()], (lows - begins[doc]).tolist(), (bounds - lows).tolist(), crc, sizes[doc].tolist(), (self.sequence + win).tolist(), (lows - opens[win]).tolist()), strict=True):
-            field.extend(values)
+        self.ends_sentence, self.planner, self.sequence = sentence_end_ids(vocabulary), Planner(window), part * STRIDE
+        self.ids, self.first = np.zeros(0, "<u4"), 0  # ids that are not out yet, and the place of the first of them
+        self.keys, self.ends, self.begin = pa.array([], pa.int64()), np.zeros(0, np.int64), 0  # of documents not wholly out
+
+    def add(self, keys: pa.Array, ids: np.ndarray, offsets: np.ndarray) -> None:
+        base = self.first + len(self.ids)
+        sentences = np.flatnonzero(self.ends_sentence[ids]) + 1
+        places, cost = cut_places(offsets[1:], sentences, len(ids), base)
+        self.planner.extend(places + base, cost)
+        self.ids = np.concatenate((self.ids, ids))
+        self.ends = np.concatenate((self.ends, base + offsets[1:]))
+        self.keys = pa.concat_arrays([self.keys, keys])
+
+    def take(self, last: bool) -> pa.RecordBatch:
+        """The pieces of the windows that are settled."""
+        cuts = np.array(self.planner.settle(last), np.int64)
+        done = int(cuts[-1]) if len(cuts) else self.first
+        bounds = np.union1d(cuts, self.ends[self.ends <= done])
+        lows = np.concatenate(([self.first], bounds[:-1])) if len(bounds) else bounds
+        begins = np.concatenate(([self.begin], self.ends[:-1]))
+        opens = np.concatenate(([self.first], cuts[:-1]))
+        doc, win = np.searchsorted(self.ends, lows, side="right"), np.searchsorted(cuts, lows, side="right")
+        raw = memoryview(np.ascontiguousarray(self.ids)).cast("B")
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip((4 * (lows - self.first)).tolist(), (4 * (bounds - self.first)).tolist(), strict=True)]
+        columns = [self.keys.take(pa.array(doc)), lows - begins[doc], bounds - lows, crc, (self.ends - begins)[doc], self.sequence + win, lows - opens[win]]
         self.sequence += len(cuts)
-        gone = int(np.searchsorted(ends, done, side="right"))
-        self.first = done - int(begins[gone]) if gone < len(ends) else 0
-        self.keys, self.sizes, self.ids = self.keys[gone:], self.sizes[gone:], self.ids[gone:]
-        self.held = sum(self.sizes) - self.first
-
-    def take(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in self.fields], NAMES)
-        self.fields = [[] for _ in range(7)]
-        return out
+        gone = int(np.searchsorted(self.ends, done, side="right"))
+        self.begin = int(self.ends[gone - 1]) if gone else self.begin
+        self.ids, self.first, self.keys, self.ends = self.ids[done - self.first :], done, self.keys.slice(gone), self.ends[gone:]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
 
 NAMES = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -131,24 +154,19 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
     Per piece: key, start (the document's ids before it), length, ids_crc32, doc_tokens, sequence_id, offset
     (place in the window). Every id lies in exactly one piece, windows hold consecutive pieces in input order,
     and within a partition only the last window is cut short by the end of the input. Partitions of the input
-    are packed apart, so nothing is shuffled; memory is bounded by a run of ids plus one document. A null text is
-    empty and has the end id alone; repeated rows and null keys are packed as further documents.
+    are packed apart, each by the best cuts of its whole stream, so nothing is shuffled; memory is that of a chunk of
+    texts and of the windows not settled yet. A null text is empty and has the end id alone; repeated rows and null
+    keys are packed as further documents; an empty table gives no rows; other columns of `docs` are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         stream = _Stream(vocabulary, window, TaskContext.get().partitionId())
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 2000):
-                part = batch.slice(begin, 2000)
-                flat, offsets = enc.encode(part.column(1))
-                for i, k in enumerate(part.column(0).to_pylist()):
-                    stream.add(k, np.append(flat[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4"))
-                    if stream.held >= RUN_IDS:
-                        stream.plan(last=False)
-                        yield stream.take()
-        stream.plan(last=True)
-        yield stream.take()
+        for batch in chunks(batches, 1):
+            ids, offsets = with_ends(*enc.encode(batch.column(1)), end_id)
+            stream.add(batch.column(0), ids, offsets)
+            yield stream.take(last=False)
+        yield stream.take(last=True)
 
     rows = docs.select(docs[key].cast("long").alias("k"), docs[text].cast("string").alias("t"))
     out = rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in NAMES))

@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .tokens import CHUNK_BYTES, cut_long, encoder
+from .tokens import CHUNK_BYTES, chunks, cut_long, encoder
 
 
 def lengths(texts: pa.Array, vocabulary: str) -> np.ndarray:
@@ -37,7 +36,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 4096, text: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, 1):
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
             n = lengths(texts, vocabulary)
             yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(n), pa.array(n > limit)], ["k", "n_bytes", "n_tokens", "over_limit"])
@@ -45,8 +44,3 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 4096, text: str
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(run, f"k {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("k", key)
-
-
-def check_sums(counts: DataFrame) -> DataFrame:
-    """One row of totals of a token-count table, for reports."""
-    return counts.agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"), F.sum("n_tokens").alias("tokens"))
