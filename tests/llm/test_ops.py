@@ -200,14 +200,58 @@ def test_mixing(spark):
     assert mixing.mixed_words(docs(spark, [])).count() == 0
 
 
+def test_mixing_keeps_every_row(spark):
+    long_text = "w " * 40_000
+    rows = edge_rows() + [(None, None, "a"), (None, None, "a"), (1, None, "a"), (20, "w w w w", "a"), (20, "x y", "a"), (20, "x y", "b"), (21, long_text, "b"), (21, long_text, "b"), (None, "z " * 70, None)]
+    got = mixing.mixed_words(docs(spark, rows)).collect()
+    size = lambda t: len((t or "").encode().split())
+    per = Counter()
+    for _, t, s in rows:
+        per[s] += size(t)
+    want = levels(dict(per))
+    assert Counter((r.doc_id, r.size, r.source_size) for r in got) == Counter((i, size(t), per[s]) for i, t, s in rows)
+    taken = defaultdict(int)
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source_size] += r.taken
+    for s, n in per.items():
+        assert abs(taken[n] - want[s]) <= 0.01 * want[s] + 3
+    again = mixing.mixed_words(docs(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def test_shard_counts_are_a_draw(spark):
+    plan = spark.createDataFrame([("a", 1, 50_000, 10), ("b", 2, 1_000, 10), ("c", 3, 0, 10)], "source string, src long, slots long, shards long")
+    plan = plan.withColumn("blocks", F.greatest(F.floor(F.col("slots") / 2), F.lit(1)))
+    counts = {(r.src, r.shard): r for r in mixing.shard_counts(plan).collect()}
+    assert len(counts) == 20
+    for src, total in ((1, 50_000), (2, 1_000)):
+        own = [counts[src, k] for k in range(10)]
+        assert [r.first for r in own] == np.cumsum([0, *[r["count"] for r in own[:-1]]]).tolist() and sum(r["count"] for r in own) == total
+        spread = sum((r["count"] - total / 10) ** 2 / (total / 10) for r in own)  # chi-squared, 9 degrees of freedom
+        assert 1 < spread < 30
+    slots = mixing.shard_slots(mixing.shard_counts(plan), plan).collect()
+    for src, total in ((1, 50_000), (2, 1_000)):
+        own = [r for r in slots if r.src == src]
+        assert sorted(r.slot for r in own) == list(range(total))
+        assert Counter(r.block for r in own) == dict.fromkeys(range(total // 2), 2) and {r.epoch for r in own} == {0, 1}
+        assert Counter(r.shard for r in own) == {k: counts[src, k]["count"] for k in range(10)}
+
+
 def test_mixed_texts_hold_what_is_taken(spark):
-    rows = [(i, f"  d{i}  w1\nw2 w3 {'x ' * (i % 40)}", "ab"[i % 2]) for i in range(120)]
+    rows = [(i, f"  d{i}  w1\nw2 w3 {'x ' * (i % 40)}", "ab"[i % 2]) for i in range(120)] + [(None, "n o key", "a"), (7, "key of two", "a"), (7, "key of two", "a"), (8, None, "b")]
     table = docs(spark, rows)
-    taken = {r.doc_id: r.taken for r in mixing.mixed_words(table).collect()}
+    taken = Counter()
+    for r in mixing.mixed_words(table).collect():
+        taken[r.doc_id] += r.taken
     out = mixing.mixed_texts(table)
     assert out.columns == table.columns
-    texts = {r.doc_id: r.text for r in out.collect()}
-    assert {i: len(t.split()) for i, t in texts.items()} == {i: n for i, n in taken.items() if n}
+    words, stretches = Counter(), out.collect()
+    for r in stretches:
+        words[r.doc_id] += len(r.text.split())
+        assert r.n_chars == len(r.text) and any(r.text in (t or "") for i, t, _ in rows if i == r.doc_id)
+    assert words == Counter({i: n for i, n in taken.items() if n})
+    assert mixing.mixed_texts(docs(spark, [])).count() == 0
 
 
 def brute_components(rows):
