@@ -9,15 +9,15 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])))*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_BARE_END = re.compile(r"=\s*[^\s\"'>]+\Z")  # a slash at the end of an unquoted value closes nothing
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element kinds of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +44,50 @@ MATH_TOKENS = HOLDS_HTML["math"]
 MAX_COLSPAN, MAX_ROWSPAN, MAX_INDENTS = 1000, 65534, 200
 
 
+class TagEnds:
+    """Where the tags of a page end, for pages with tags that never do.
+
+    A tag ends at the first > outside of its quoted values, so scans from two places agree from the first value on
+    that both open. Ends are remembered by the place of that value: all tags of a page together cost one pass.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.known = text, {}
+        self.marks = [m.start() for m in re.finditer(r">|=\s*+[\"']", text)]
+        self.stops = [m.start() for m in re.finditer(r"[\s/>]", text)]
+
+    def of(self, at: int) -> int:
+        """Place of the > that ends a tag whose name begins at `at`; -1 if there is none."""
+        text, passed, end = self.text, [], -1
+        stop = bisect_left(self.stops, at)
+        at = self.stops[stop] if stop < len(self.stops) else len(text)
+        while (k := bisect_left(self.marks, at)) < len(self.marks):
+            mark = self.marks[k]
+            if text[mark] == ">":
+                end = mark
+                break
+            if mark in self.known:
+                end = self.known[mark]
+                break
+            passed.append(mark)
+            quote = mark + 1
+            while text[quote].isspace():
+                quote += 1
+            if (close := text.find(text[quote], quote + 1)) < 0:
+                break
+            at = close + 1
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
+def _closes_itself(raw: str) -> bool:
+    """Whether a tag's inside ends in a slash that is not the end of an unquoted value."""
+    if not raw.endswith("/"):
+        return False
+    at = max(map(raw.rfind, " \t\n\r\f\v\"'>")) + 1
+    return "=" not in raw[at:-1] and not raw[:at].rstrip().endswith("=")
+
+
 @dataclass
 class Node:
     tag: str
@@ -61,26 +105,46 @@ class TreeBuilder:
         self.places: dict[str, list[int]] = {}  # of the open elements by key, so that no rule walks a deep stack
 
     def feed(self, text: str) -> Node:
-        at, end = 0, len(text)
+        at, end, ends = 0, len(text), None
+        last = text.rfind(">")
+        plain: list[str] = []  # text up to the next tag
+
+        def flush() -> None:
+            if plain:
+                self.text(html.unescape("".join(plain)))
+                plain.clear()
+
         while at < end:
-            if text.startswith("<![CDATA[", at) and self._foreign():
-                stop = text.find("]]>", at)
-                self.text(text[at + 9 : stop if stop >= 0 else end])
-                at = stop + 3 if stop >= 0 else end
-                continue
+            if text[at] == "<" and at + 1 < end:
+                if text.startswith("<![CDATA[", at):
+                    flush()
+                    if self._foreign():
+                        stop = text.find("]]>", at)
+                        self.text(text[at + 9 : stop if stop >= 0 else end])
+                        at = stop + 3 if stop >= 0 else end
+                        continue
+                named = at + 1 + (text[at + 1] == "/")
+                if at > last and not text.startswith("<!--", at) or ends and text[named : named + 1].isalpha() and ends.of(named) < 0:
+                    plain.append("<")
+                    at += 1
+                    continue
             m = _TOKEN.match(text, at)
             at = m.end()
             if m[2]:
+                flush()
                 tag = m[2].lower()
                 if m[1]:
                     self.close(tag)
                 elif self.open(tag, m[3]):
-                    stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
+                    stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(text, at)
                     raw = text[at : stop.start() if stop else end]
                     self.text(html.unescape(raw) if tag in ("textarea", "title") else raw)
                     at = stop.start() if stop else end
             elif m[0][0] != "<" or m[0] == "<":
-                self.text(html.unescape(m[0]))
+                plain.append(m[0])
+                if m[0] == "<" and not ends and text[at : at + 2].lstrip("/")[:1].isalpha():
+                    ends = TagEnds(text)  # one tag without an end: look before each further one
+        flush()
         return self.root
 
     def text(self, value: str) -> None:
@@ -132,7 +196,7 @@ class TreeBuilder:
         if raw and not raw.isspace():
             for a in _ATTRIBUTE.finditer(raw):
                 attrs.setdefault(a[1].lower(), html.unescape(a[2] or a[3] or a[4] or ""))
-        closed = bool(raw) and raw[-1] == "/" and not _BARE_END.search(raw)
+        closed = _closes_itself(raw)
         if self._foreign():
             if tag not in BREAKOUT and not (tag == "font" and attrs.keys() & {"color", "face", "size"}):
                 node = Node(tag, attrs, space=self.stack[-1].space)
@@ -233,27 +297,31 @@ class Flow:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the open line; none is empty
         self.gap = 0
         self.prefix: list[str] = []  # indents of the open blocks; a list marker replaces the last one once
         self.marker = ""
 
+    def add(self, value: str) -> None:
+        if value:
+            self.parts.append(value)
+
     def text(self, value: str, pre: bool = False) -> None:
         if pre:
             first, *rest = value.replace("\r\n", "\n").split("\n")
-            self.line += first.expandtabs(8)
+            self.add(first.expandtabs(8))
             for x in rest:
                 self.end_line(keep_empty=True)
-                self.line = x.expandtabs(8)
+                self.add(x.expandtabs(8))
             return
         value = _SPACE.sub(" ", value)
-        if value[:1] == " " and (not self.line or self.line[-1] == " "):
+        if value[:1] == " " and (not self.parts or self.parts[-1][-1] == " "):
             value = value[1:]
-        self.line += value
+        self.add(value)
 
     def end_line(self, keep_empty: bool = False) -> None:
-        line = self.line.rstrip(" ")
-        self.line = ""
+        line = "".join(self.parts).rstrip(" ")
+        self.parts = []
         if line or keep_empty:
             self._emit(line)
 
@@ -543,7 +611,7 @@ def _table(node: Node, flow: Flow, shown: bool) -> Steps:
                     begin += max(0, sum(widths[k] + (2 if widths[k] and k > c else 0) for k in range(c, c + across)) - _width(text))
                 line += " " * (begin - used) + text
                 used = max(used, begin) + _width(text)
-            flow.line = line
+            flow.add(line)
             flow.end_line()
 
 

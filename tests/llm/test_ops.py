@@ -3,6 +3,8 @@
 import functools
 import hashlib
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -464,9 +466,73 @@ def test_html_deep_lists_keep_their_text():
 
 
 def test_html_table(spark):
-    pages = spark.createDataFrame([(1, "<p>x"), (2, None), (2, "")], "page_id long, html string")
-    got = sorted((r.page_id, r.text or "", r.n_lines) for r in html.visible_text(pages).collect())
-    assert got == [(1, "x", 1), (2, "", 0), (2, "", 0)]
+    schema = "page_id long, html string, text string, k int, h string, n_lines long"
+    pages = spark.createDataFrame([(1, "<p>x", "y", 1, "z", 9), (2, None, None, None, None, None), (2, "", "y", 1, "z", 9), (None, "<p>a<p>b", "y", 1, "z", 9)], schema)
+    got = sorted((r.page_id or 0, r.text or "", r.n_lines) for r in html.visible_text(pages).collect())
+    assert got == [(0, "a\n\nb", 3), (1, "x", 1), (2, "", 0), (2, "", 0)]
+    assert html.visible_text(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<a ", "x <", '<a "', "<a =\"'", "<!x ", "<?x ", "</a ", "<a=", "<b>x</b>", "<x y='", "<p>", "<td>", "& "])
+def test_html_takes_long_pages(part):
+    began = time.process_time()
+    html.extract(part * (300_000 // len(part)))
+    assert time.process_time() - began < 5  # a quadratic scan takes minutes
+
+
+@pytest.mark.parametrize(("page", "text"), [("a <b x y", "a <b x y"), ('<p class="a" ">t</p>', "t"), ("<p title='a>b'>t", "t"), ('<a href=x"y>t</a>', "t"), ('<a b="c <i>t</i>', '<a b="c t'), ("x < y <!d> z <! w", "x < y z <! w"), ("<p a=b/>t", "t"), ("<svg><g/></svg>t", "t")])
+def test_html_tag_ends(page, text):
+    assert html.extract(page) == text
+
+
+def plain_layout(tree):
+    """The lines of a tree of (tag, children) by plain recursion: blocks, paragraphs, spans, line breaks, hidden parts."""
+    lines, open_, gap = [], "", 0
+
+    def end():
+        nonlocal open_, gap
+        if open_.strip():
+            lines.extend([""] * (gap if lines else 0) + [open_.strip()])
+            gap = 0
+        open_ = ""
+
+    def walk(node):
+        nonlocal open_, gap
+        if isinstance(node, str):
+            open_ += node
+            return
+        tag, children = node
+        if tag == "template":
+            return
+        if tag in ("div", "p"):
+            end()
+            gap = max(gap, int(tag == "p"))
+        for c in children:
+            walk(c)
+        if tag in ("div", "p"):
+            end()
+            gap = max(gap, int(tag == "p"))
+
+    walk(tree)
+    end()
+    return "\n".join(re.sub(" +", " ", x) for x in lines)
+
+
+def test_html_random_trees():
+    rng = random.Random(11)
+
+    def grow(depth, inline):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["ab", " c ", "d", " e"])
+        tag = rng.choice(["span", "b", "template"] if inline else ["div", "div", "p", "span", "b", "template"])
+        return tag, [grow(depth - 1, inline or tag in ("p", "span", "b")) for _ in range(rng.randint(0, 4))]
+
+    def markup(node):
+        return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(markup, node[1]))}</{node[0]}>"
+
+    for _ in range(400):
+        tree = ("div", [grow(5, False) for _ in range(3)])
+        assert html.extract(markup(tree)) == plain_layout(tree), markup(tree)
 
 
 def test_toxicity_learns_stems(spark):
