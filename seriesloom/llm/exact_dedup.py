@@ -1,11 +1,14 @@
 """Exact deduplication with disk-backed streaming state.
 
-Arrivals are fingerprinted (SHA-256 of the text with A-Z lower-cased) into a thin feed. A streaming aggregation
-over the feed keeps, per digest and without expiry, the number of rows, the largest key and where its content
-lies; RocksDB holds that state on disk and the checkpoint in the shared folder carries it from call to call.
-Partial aggregation before the shuffle leaves one row per digest and task, so a group that holds a third of all
-rows is no hot spot. Digests that more than one row shares are hits: their full bytes are compared before the
-result is given.
+Arrivals are fingerprinted (SHA-256 of the text with A-Z lower-cased) into a thin feed of digest, identifier and
+locator, the file and row in which the content lies. A streaming aggregation over the feed keeps, per digest and
+without expiry, the number of rows, the largest identifier and its locator; RocksDB holds that state on disk and
+the checkpoint in the shared folder carries it from call to call. Digests that more than one row shares are hits:
+their full bytes are fetched by locator and compared before the result is given.
+
+A group that holds a third of all rows is no hot spot: the feed is aggregated within tasks before its shuffle,
+rows of large groups are dealt to many parts when they learn their group, and equal bytes of a task are one row
+before bytes are compared across tasks.
 """
 
 from __future__ import annotations
@@ -14,12 +17,16 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
+from .common import bound_batches, meet, shared_path, stored
 
 FEED = "id long, digest string, n_bytes long, locator string"
+GROUP = ["digest", "n_bytes"]
+#: Column of the locator beside the columns of documents.
+PLACE = "__dedup_locator"
 
 
 def sha256_hex(normalized: bytes) -> str:
@@ -39,13 +46,27 @@ def _prints(digest: Callable[[bytes], str], bodies: bool):
     return run
 
 
-def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
-    return docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"), F.input_file_name().alias("locator"))
+def located(docs: DataFrame) -> DataFrame:
+    """`docs` with each row's locator. Rows that do not come straight from files that Spark can number the rows of are
+    first written to the shared folder."""
+    bound_batches(docs.sparkSession)
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(PLACE)
+    try:
+        return docs.select(*[docs[f"`{c}`"] for c in docs.columns], place)
+    except AnalysisException:
+        kept = stored(docs, "dedup-documents")
+        return kept.select(*[kept[f"`{c}`"] for c in kept.columns], place)
 
 
-def arrive(docs: DataFrame, feed: str, digest: Callable[[bytes], str] = sha256_hex, text: str = "text", key: str = "doc_id") -> None:
-    """Appends the fingerprints of `docs` to the feed."""
-    _rows(docs, text, key).mapInArrow(_prints(digest, bodies=False), FEED).write.mode("append").parquet(feed)
+def _rows(places: DataFrame, text: str, key: str) -> DataFrame:
+    return places.select(places[key].cast("long").alias("id"), places[text].cast("string").alias("t"), F.col(PLACE).alias("locator"))
+
+
+def arrive(docs: DataFrame, feed: str, digest: Callable[[bytes], str] = sha256_hex, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Appends the fingerprints of `docs` to the feed; returns `docs` with the locators that the feed names."""
+    places = located(docs)
+    _rows(places, text, key).mapInArrow(_prints(digest, bodies=False), FEED).write.mode("append").parquet(feed)
+    return places
 
 
 def consume(spark: SparkSession, feed: str, state: str) -> None:
@@ -60,7 +81,7 @@ def consume(spark: SparkSession, feed: str, state: str) -> None:
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores
     arrivals = own.readStream.schema(FEED).parquet(feed)
-    groups = arrivals.groupBy("digest", "n_bytes").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("id", "locator")).alias("kept_at"))
+    groups = arrivals.groupBy(*GROUP).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("id", "locator")).alias("kept_at"))
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{state}/groups/batch={number}")
@@ -70,11 +91,37 @@ def consume(spark: SparkSession, feed: str, state: str) -> None:
 
 
 def known_groups(spark: SparkSession, state: str) -> DataFrame:
-    """digest, n_bytes, keep_id, group_size, locator of every group so far."""
+    """digest, n_bytes, keep_id, group_size, kept_at (the locator of the row that stays) of every group so far."""
     schema = "digest string, n_bytes long, keep_id long, group_size long, kept_at struct<id: long, locator: string>"
     read = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{state}/groups")
-    latest = read.groupBy("digest", "n_bytes").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max("kept_at").alias("kept_at"))
-    return latest.select("digest", "n_bytes", "keep_id", "group_size", F.col("kept_at.locator").alias("locator"))
+    latest = read.groupBy(*GROUP).agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max("kept_at").alias("kept_at"))
+    return latest.withColumn("kept_at", F.col("kept_at.locator"))
+
+
+def _fetched(places: DataFrame, wanted: DataFrame, digest: Callable[[bytes], str], text: str, key: str) -> DataFrame:
+    """The full bytes of the rows whose locators are wanted: id, digest, n_bytes, locator, body."""
+    rows = _rows(places, text, key).join(wanted.select("locator"), "locator", "left_semi").select("id", "t", "locator")
+    return rows.mapInArrow(_prints(digest, bodies=True), FEED + ", body binary")
+
+
+def _grouped(docs: DataFrame, digest: Callable[[bytes], str], text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """`docs` with locators, and per row: id, digest, n_bytes, locator, keep_id, group_size, kept_at."""
+    spark = docs.sparkSession
+    feed, state = shared_path(spark, "dedup-feed"), shared_path(spark, "dedup-state")
+    places = arrive(docs, feed, digest, text, key)
+    consume(spark, feed, state)
+    named = stored(meet(spark.read.schema(FEED).parquet(feed), known_groups(spark, state), GROUP, "group_size", "locator"), "dedup-named")
+
+    bodies = _fetched(places, named.where("group_size > 1"), digest, text, key)
+    kinds = bodies.select(*GROUP, "body").distinct()  # a task's equal bytes are one row before they are shuffled
+    clashes = stored(kinds.groupBy(*GROUP).agg(F.count("*").alias("n")).where("n > 1").select(*GROUP), "dedup-clashes")
+    if clashes.isEmpty():
+        return places, named
+    # the digest, not the text, is to blame: these few digests' groups are formed anew on the full bytes
+    odd = _fetched(places, named.join(clashes, GROUP, "left_semi"), digest, text, key)
+    exact = odd.groupBy(*GROUP, "body").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("id", "locator"))["locator"].alias("kept_at"))
+    redone = odd.join(exact, [*GROUP, "body"]).select(*named.columns)
+    return places, named.join(clashes, GROUP, "left_anti").unionByName(redone)
 
 
 def exact_duplicates(docs: DataFrame, digest: Callable[[bytes], str] = sha256_hex, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -82,38 +129,19 @@ def exact_duplicates(docs: DataFrame, digest: Callable[[bytes], str] = sha256_he
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest key stays; a row that repeats both key and text is marked kept as well (drop_duplicates() leaves one).
-    Null keys lose against any other; a group of null keys has keep_id null and is kept. Other columns are not
-    read. If texts that share a digest differ, their groups are formed anew on the full bytes.
+    Null keys lose against any other; a group of null keys has keep_id null and is kept. An empty table gives no
+    rows. Other columns are not read. If texts that share a digest differ, their groups are formed anew on the full bytes.
     """
-    spark = docs.sparkSession
-    feed, state = shared_path(spark, "dedup-feed"), shared_path(spark, "dedup-state")
-    arrive(docs, feed, digest, text, key)
-    consume(spark, feed, state)
-    arrived = spark.read.schema(FEED).parquet(feed).select("id", "digest", "n_bytes")
-    groups = known_groups(spark, state)
-
-    shared = groups.where("group_size > 1")
-    hits = arrived.join(shared.select("digest", "n_bytes", "keep_id"), ["digest", "n_bytes"]).where("id is not null")
-    found = _rows(docs, text, key).join(hits.select("id").distinct(), "id", "left_semi")
-    bodies = stored(found.mapInArrow(_prints(digest, bodies=True), FEED + ", body binary"), "hits").drop("locator")
-    kept = bodies.join(shared.select("digest", "n_bytes", F.col("keep_id").alias("id")), ["id", "digest", "n_bytes"], "left_semi")
-    first = kept.dropDuplicates(["digest", "n_bytes"]).select("digest", "n_bytes", F.col("body").alias("first"))
-    clashes = stored(bodies.join(first, ["digest", "n_bytes"]).where("body <> first").select("digest", "n_bytes").distinct(), "clashes")
-
-    named = arrived.join(groups.select("digest", "n_bytes", "keep_id", "group_size"), ["digest", "n_bytes"])
-    if not clashes.isEmpty():
-        again = _rows(docs, text, key).mapInArrow(_prints(digest, bodies=True), FEED + ", body binary").join(F.broadcast(clashes), ["digest", "n_bytes"], "left_semi")
-        exact = again.groupBy("digest", "n_bytes", "body").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-        redone = again.join(exact, ["digest", "n_bytes", "body"]).select(*named.columns)
-        named = named.join(clashes, ["digest", "n_bytes"], "left_anti").unionByName(redone)
+    _, named = _grouped(docs, digest, text, key)
     return named.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
-def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; one row for each kept key.
+def drop_duplicates(docs: DataFrame, digest: Callable[[bytes], str] = sha256_hex, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: exactly one for each text, the one that the state locates.
 
-    Rows with a null key stay as well, one for each text among them.
+    That is the row of the largest key, null keys last; of rows that repeat both key and text, the one that lies
+    last in the files. Rows that share a key but not the text are apart from each other.
     """
-    stays = exact_duplicates(docs, text=text, key=key).where(F.col("kept") & F.col(key).isNotNull()).select(key)
-    keyed = docs.join(stays, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
-    return keyed.unionByName(docs.where(docs[key].isNull()).dropDuplicates([text]))
+    places, named = _grouped(docs, digest, text, key)
+    stays = named.where(F.col("locator") == F.col("kept_at")).select(F.col("locator").alias(PLACE))
+    return places.join(stays, PLACE, "left_semi").select(*[places[f"`{c}`"] for c in docs.columns])
