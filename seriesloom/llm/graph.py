@@ -15,8 +15,9 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (a long, b long): the smallest node that it reaches.
 
-    A round is two joins with per-node minima, so a node with very many neighbours is spread over tasks. Each
-    round is written to the shared folder; rounds grow with the logarithm of the graph's size. Self-loops and
+    A round is two joins with per-node minima. Edges are pairs of numbers; those of a node with very many neighbours
+    meet its minimum in one task, which adaptive execution splits once they are more than a partition should hold.
+    Each round is written to the shared folder; rounds grow with the logarithm of the graph's size. Self-loops and
     null ends are ignored; no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

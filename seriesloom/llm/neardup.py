@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import meet, stored
 from .graph import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -229,12 +229,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
     rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
     kinds = stored(rows.mapInArrow(_signatures, "id long, n long, digest binary, bands array<long>"), "signatures")
     full = kinds.where("n > 0 and id is not null")
-    least = full.groupBy("digest", "n").agg(F.min("id").alias("id"))
+    least = full.groupBy("digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = stored(full.select("id", "digest", "n", "bands").join(least, ["id", "digest", "n"], "left_semi").dropDuplicates(["id"]), "classes")
 
     keys = classes.select(F.col("id"), F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
-    buckets = stored(keys.join(shared, "bucket"), "buckets")
+    buckets = stored(meet(keys, shared, ["bucket"], "size", "id"), "buckets")
 
     ids = buckets.select("id").distinct()
     bodies = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
@@ -245,14 +245,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
         return df.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in df.columns])
 
     stars = buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    both = stars.join(other(sized, "a"), "a").join(other(sized, "b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
-    likely = both.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_promising(threshold), "a long, b long")
-    full_sets = likely.join(other(sets, "a"), "a").join(other(sets, "b"), "b").select("a", "b", "elements_a", "elements_b")
+    leads = stars.groupBy("b").agg(F.count("*").alias("partners"))
+    both = meet(stars.join(other(sized, "a"), "a"), leads.join(other(sized, "b"), "b"), ["b"], "partners", "a").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b"))
+    likely = stored(both.select("a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_promising(threshold), "a long, b long"), "likely")
+    leads = likely.groupBy("b").agg(F.count("*").alias("partners"))
+    full_sets = meet(likely.join(other(sets, "a"), "a"), leads.join(other(sets, "b"), "b"), ["b"], "partners", "a").select("a", "b", "elements_a", "elements_b")
     first = stored(components(full_sets.mapInArrow(_confirmed(percent), "a long, b long")), "components")
 
     labelled = buckets.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     spanning = labelled.where("size > 2").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    open_rows = labelled.join(spanning, "bucket").join(sized, "id").join(sets, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    open_rows = meet(labelled, shared.select("bucket", F.col("size").alias("rows")).join(spanning, "bucket"), ["bucket"], "rows", "id").drop("rows").join(sized, "id").join(sets, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = open_rows.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("partner") == F.col("block"), 2).when(F.col("block") < F.col("partner"), 0).otherwise(1)
     dealt = dealt.select("bucket", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "id", "component", "n", side.alias("side"), "lead", "band", "bands", "elements")
@@ -262,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     found = components(links)
     by_class = classes.select("digest", "n", "id").join(found.withColumnRenamed("node", "id"), "id").select("digest", "n", "component")
-    named = least.withColumnRenamed("id", "own").join(by_class, ["digest", "n"], "left").select("digest", "n", F.coalesce("component", "own").alias("component"))
-    out = kinds.select("id", "n", "digest").join(named, ["digest", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    named = least.withColumnRenamed("id", "own").join(by_class, ["digest", "n"], "left").select("digest", "n", "copies", F.coalesce("component", "own").alias("component"))
+    linked = meet(full.select("id", "n", "digest"), named, ["digest", "n"], "copies", "id").select("id", "n", "component")
+    alone = kinds.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
