@@ -10,13 +10,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow function takes at once, but for a single longer text.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 #: A group of this many rows is large; the parts to which the rows of a large group are dealt.
 LARGE, PARTS = 1_000, 64
+#: Column of a row's locator, the file and row in which it lies, beside the columns of documents.
+PLACE = "__locator"
 
 #: Rows of an Arrow batch between Spark and Python: texts are long, and a batch is in memory several times.
 BATCH_ROWS = 2000
@@ -81,6 +84,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """`docs` with each row's locator. Rows that do not come straight from files that Spark can number the rows of are
+    first written to the shared folder."""
+    bound_batches(docs.sparkSession)
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(PLACE)
+    try:
+        return docs.select(*[docs[f"`{c}`"] for c in docs.columns], place)
+    except AnalysisException:
+        kept = stored(docs, "documents")
+        return kept.select(*[kept[f"`{c}`"] for c in kept.columns], place)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most PART_BYTES of one column of text; a longer text is a part of its own."""
     for batch in batches:
@@ -91,6 +106,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Reco
             end = max(int(np.searchsorted(size, before + PART_BYTES, side="right")), begin + 1)
             yield batch.slice(begin, end - begin)
             begin = end
+            pa.default_memory_pool().release_unused()  # two workers share an executor's memory with its JVM
 
 
 def meet(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: str) -> DataFrame:

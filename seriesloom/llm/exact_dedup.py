@@ -17,16 +17,13 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, meet, shared_path, stored
+from .common import PLACE, located, meet, shared_path, stored
 
 FEED = "id long, digest string, n_bytes long, locator string"
 GROUP = ["digest", "n_bytes"]
-#: Column of the locator beside the columns of documents.
-PLACE = "__dedup_locator"
 
 
 def sha256_hex(normalized: bytes) -> str:
@@ -46,18 +43,6 @@ def _prints(digest: Callable[[bytes], str], bodies: bool):
     return run
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """`docs` with each row's locator. Rows that do not come straight from files that Spark can number the rows of are
-    first written to the shared folder."""
-    bound_batches(docs.sparkSession)
-    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias(PLACE)
-    try:
-        return docs.select(*[docs[f"`{c}`"] for c in docs.columns], place)
-    except AnalysisException:
-        kept = stored(docs, "dedup-documents")
-        return kept.select(*[kept[f"`{c}`"] for c in kept.columns], place)
-
-
 def _rows(places: DataFrame, text: str, key: str) -> DataFrame:
     return places.select(places[key].cast("long").alias("id"), places[text].cast("string").alias("t"), F.col(PLACE).alias("locator"))
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import PLACE, located, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block; sources of fewer than 512 such blocks have shorter ones.
@@ -166,17 +166,16 @@ def mixed_texts(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] =
     which nothing is taken have no row; repeated rows and null keys are documents of their own; further columns may
     have any names.
     """
-    own = "__mix_row"
-    kept = stored(docs.withColumn(own, F.monotonically_increasing_id()), "mixed-documents")
-    sizes = stored(with_sizes(kept, row=F.col(own)), "sizes")
+    kept = located(docs)
+    sizes = stored(with_sizes(kept, row=F.col(PLACE)), "sizes")
     spans = mix_spans(sizes, stored(mix_plan(sizes, share, weights), "plan"), seed)
     per = spans.groupBy(F.col("row").alias("__mix_of")).agg(F.collect_list(F.struct("shard", "place", "from_word", "words")).alias("__mix_spans"))
     words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = kept.join(per.hint("merge"), F.col(own) == F.col("__mix_of"))
+    cut = kept.join(per.hint("merge"), F.col(PLACE) == F.col("__mix_of"))
     # as a lambda's variable the words are found once a text, not once a span
     stretch = lambda w, s: F.ltrim(F.array_join(F.slice(w, s["from_word"].cast("int") + 1, s["words"].cast("int")), ""), F.lit(" \t\n\x0b\f\r"))
     of = lambda w: F.transform("__mix_spans", lambda s: F.struct(s["shard"].alias("shard"), s["place"].alias("place"), stretch(w, s).alias("text")))
-    rows = cut.withColumn("__mix_part", F.explode(F.transform(F.array(words), of)[0])).drop("text", "__mix_spans", "__mix_of", own)
+    rows = cut.withColumn("__mix_part", F.explode(F.transform(F.array(words), of)[0])).drop("text", "__mix_spans", "__mix_of", PLACE)
     dealt = rows.repartition(_tasks(docs.sparkSession), F.col("__mix_part.shard")).sortWithinPartitions("__mix_part.shard", "__mix_part.place", "doc_id")
     text = F.col("__mix_part.text")
     return dealt.withColumn("text", text).withColumn("n_chars", F.length(text).cast("long")).select(*docs.columns)

@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once; a longer text is cut further at safe places.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Pieces whose ids a Python worker remembers; beyond it, only those of the last chunk stay.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
 #: Letters and signs for which a piece's ids are those of its letters followed by those of its signs.
 LETTERS, SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
 
@@ -191,6 +191,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
         if size >= CHUNK_BYTES:
             yield pa.concat_batches(held)
             held, size = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 
