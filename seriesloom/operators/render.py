@@ -19,13 +19,17 @@ def _choice(options: list[str], *parts: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(*parts), F.lit(len(options))) + 1).cast("int"))
 
 
+def _kept_phase(r: Column, n: Column) -> Column:
+    step = F.greatest(F.floor((n - 4) / 2), F.lit(1))
+    return (n <= 5) | (r < 2) | (r >= n - 2) | ((r - 2) % step == 0)
+
+
 def thinned_phases(phases: DataFrame) -> DataFrame:
-    """More than five phases: the first two, one in the middle, the last two."""
+    """More than five phases: the first two, the last two, and of the m between every max(1, m // 2)-th."""
     w = Window.partitionBy("series_key", "w_start")
     r, n = F.row_number().over(w.orderBy("phase")) - 1, F.count("*").over(w)
     placed = phases.withColumns({"_r": r, "_n": n})
-    keep = (F.col("_n") <= 5) | (F.col("_r") < 2) | (F.col("_r") >= F.col("_n") - 2) | (F.col("_r") == F.floor(F.col("_n") / 2))
-    return placed.where(keep).drop("_r", "_n")
+    return placed.where(_kept_phase(F.col("_r"), F.col("_n"))).drop("_r", "_n")
 
 
 def render_zh(claims: Column, target: str, series_key: Column, w_start: Column, times: Column) -> Column:
@@ -39,7 +43,7 @@ def render_zh(claims: Column, target: str, series_key: Column, w_start: Column,
     overview = F.concat(_choice(["整体呈", "总体表现为", "大体上呈"], series_key, w_start, F.lit("o")), label, F.lit("走势，由"), number_text(net["start_v"]), F.lit("变为"), number_text(net["end_v"]), F.lit("（"), number_text(net["delta_pct"]), F.lit("%）。"))
     every = of("phase")
     n = F.size(every)
-    shown = F.filter(every, lambda c, i: (n <= 5) | (i < 2) | (i >= n - 2) | (i == F.floor(n / 2)))
+    shown = F.filter(every, lambda c, i: _kept_phase(i, n))
     phase = F.transform(shown, lambda c: F.concat(c["t_start"], F.lit("至"), short_time(c["t_end"], c["t_start"]), _words(c["data"]["label"], TREND_ZH), F.lit("（"), number_text(c["data"]["delta_pct"]), F.lit("%）")))
     phases = F.when(n > 0, F.concat(_choice(["分阶段看，", "其中，"], series_key, w_start, F.lit("p")), F.array_join(phase, "；"), F.lit("。")))
     extreme = F.transform(F.concat(of("peak"), of("valley")), lambda c: F.concat(F.coalesce(c["t_idx"], F.lit("")), F.when(c["type"] == "peak", "出现峰值").otherwise("出现谷值"), number_text(c["data"]["value"])))

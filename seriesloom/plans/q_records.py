@@ -89,9 +89,11 @@ def l4(spark, d):
     return c.repair_trend(some).where("type = 'global_trend_label'").select(*KEY, "label_raw", "label_final")
 
 
-@query("l5_amplitude_note", f"WITH {VL[: VL.index(', dz AS')]}, dz AS (SELECT series_key, w_start, z - lag(z) OVER (PARTITION BY series_key, w_start ORDER BY i) AS d FROM zz) SELECT series_key, w_start, CAST(NULL AS VARCHAR) AS note FROM (SELECT series_key, w_start, stddev_pop(d) AS s FROM dz GROUP BY ALL)")
+@query("l5_amplitude_note", f"WITH {TOPK} SELECT series_key, w_start, CASE WHEN series_key % 2 = 0 AND max(CASE WHEN rank IS NOT NULL THEN abs(delta_pct) END) >= 98 THEN 'low_short_term_but_large_amplitude' END AS note FROM (SELECT DISTINCT series_key, w_start FROM zz) LEFT JOIN tk USING (series_key, w_start) GROUP BY series_key, w_start")
 def l5(spark, d):
-    return c.amplitude_note(claims_of(spark, d)).where("type = 'volatility_most_segment'").select(*KEY, "note")
+    """Every second series is said to be of low volatility; some windows reach 98 % off the mean, others don't."""
+    calm = claims_of(spark, d).withColumn("label", F.when((F.col("type") == "volatility_most_segment") & (F.col("series_key") % 2 == 0), "low").otherwise(F.col("label")))
+    return c.amplitude_note(calm, 98.0).where("type = 'volatility_most_segment'").select(*KEY, "note")
 
 
 @query("l6_policy", f"WITH {GT} SELECT series_key, w_start, CAST(count(*) FILTER (WHERE series_key % 5 <> 0 OR trend = 'up') AS BIGINT) AS trends, CAST(1 AS BIGINT) AS nets FROM gt GROUP BY ALL")
@@ -100,10 +102,9 @@ def l6(spark, d):
     return kept.groupBy(*KEY).agg(F.count_if(F.col("type") == "global_trend_label").alias("trends"), F.count_if(F.col("type") == "global_net_change").alias("nets"))
 
 
-@query("l7_budget", f"WITH {TOPK} SELECT series_key, w_start, kind AS type, 1 AS c, max(abs(z)) IS NOT NULL AS known FROM tk GROUP BY ALL")
+@query("l7_budget", f"WITH {TOPK} SELECT series_key, w_start, kind AS type, CAST(i AS INT) AS idx, round(z, 6) AS z FROM tk WHERE rank = 0")
 def l7(spark, d):
-    kept = c.apply_budget(claims_of(spark, d)).where("type in ('peak', 'valley')")
-    return kept.groupBy(*KEY, "type").agg(F.count("*").cast("int").alias("c"), F.max(F.abs("z")).isNotNull().alias("known"))
+    return c.apply_budget(claims_of(spark, d)).where("type in ('peak', 'valley')").select(*KEY, "type", "idx", F.round("z", 6).alias("z"))
 
 
 @query("a21_claim_check", f"WITH {GT} SELECT series_key, w_start, CAST((series_key % 5 = 0 AND trend <> 'up')::INT + ((w_start % 3) * 0.9 > 1)::INT AS BIGINT) AS n_failed FROM gt")
@@ -139,7 +140,7 @@ def t15(spark, d):
     return c.prompt_payload(records(spark, d))
 
 
-@query("t14_thinned_phases", f"WITH {PHASE}, r AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start ORDER BY phase) - 1 AS r, count(*) OVER (PARTITION BY series_key, w_start) AS c FROM pq) SELECT series_key, w_start, phase FROM r WHERE c <= 5 OR r < 2 OR r >= c - 2 OR r = c // 2")
+@query("t14_thinned_phases", f"WITH {PHASE}, r AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start ORDER BY phase) - 1 AS r, count(*) OVER (PARTITION BY series_key, w_start) AS c FROM pq) SELECT series_key, w_start, phase FROM r WHERE c <= 5 OR r < 2 OR r >= c - 2 OR (r - 2) % greatest(1, (c - 4) // 2) = 0")
 def t14(spark, d):
     return thinned_phases(phases(supp_windows(spark, d))).select(*KEY, "phase")
 

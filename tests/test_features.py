@@ -233,3 +233,16 @@ def test_stream_arrivals_are_spread_by_series(spark, tmp_path, monkeypatch):
     assert got == [(k, w, w + 31) for k in range(40) for w in (0, 16, 32)]
     assert [a[1:] for a in arrivals] == [(20, 20), (40, 40)]  # each series whole in one file
     assert arrivals[0][0] > 1
+
+
+def test_thinned_phases_of_every_number(spark):
+    from seriesloom.operators.render import thinned_phases
+
+    rows = [(n, 0, p) for n in range(1, 13) for p in range(n)]
+    kept = {}
+    for r in thinned_phases(spark.createDataFrame(rows, "series_key long, w_start long, phase int")).collect():
+        kept.setdefault(r.series_key, []).append(r.phase)
+    for n in range(1, 13):
+        middle = list(range(2, n - 2))
+        want = list(range(n)) if n <= 5 else [0, 1, *middle[:: max(1, len(middle) // 2)], n - 2, n - 1]
+        assert sorted(kept[n]) == want
