@@ -35,7 +35,7 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the words that the mix of sources takes of each, repeats included."""
+    """The mixed stream: stretches of documents, as often as the mix of sources takes them, in the order of its shards."""
     return mixed_texts(docs)
 
 
