@@ -259,7 +259,8 @@ def digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
             for k, n, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 p = parse(m)
                 payload = b"".join([m[x.begin : x.end] for x in p.packets])
-                seekable = all(p.segment + place in set(p.clusters) for _, _, place in p.cues)
+                clusters = set(p.clusters)
+                seekable = all(p.segment + place in clusters for _, _, place in p.cues)
                 feature = f"{p.codec};packets={len(p.packets)};clusters={len(p.clusters)};cues={len(p.cues)};seekable={int(seekable)};ms={p.duration:.0f};last={p.packets[-1].timestamp if p.packets else 0};mean={sum(payload) / max(len(payload), 1):.4f}"
                 rows.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
