@@ -173,7 +173,7 @@ def caption_records(windows: DataFrame, variables: list[str], dataset: str, task
     checked = validate_claims(build_claims(windows, variables), windows, variables)
     check = claim_check(checked).drop("n")
     final = apply_policy(amplitude_note(repair_trend(checked)))
-    data = F.struct(*[F.round(k, 4).alias(k) if t == "double" else F.col(k) for k, t in DATA.items() if k not in ("min_v", "max_v", "std")])
+    data = F.struct(*[F.round(k, 4).alias(k) if t == "double" else F.col(k) for k, t in DATA.items() if k != "std"])
     arrays = window_arrays(windows.withColumn("time", F.date_format("ts", "yyyy-MM-dd HH:mm")), ["time", "value", *variables])
     timed = final.join(arrays.select(*KEY, "time"), KEY)
     at = lambda c: F.when(F.col(c).isNotNull(), time_at(F.col("time"), F.col(c)))
@@ -195,7 +195,7 @@ def caption_records(windows: DataFrame, variables: list[str], dataset: str, task
     texts = F.transform(F.coalesce("segments", F.array().cast("array<struct<segment_id:int,start:int,end:int,t_start:string,t_end:string,type:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t_start"].alias("t_start"), s["t_end"].alias("t_end"), s["type"].alias("type"), F.lit("").alias("description_zh"), F.lit("").alias("description_en")))
     return joined.select(
         F.lit(dataset).alias("dataset"), F.lit(task).alias("task"), F.col("series_key").cast("string").alias("series_key"), F.array("w_start", "w_end").cast("array<int>").alias("indices"), "time", matrix.alias("timeseries"), meta.alias("variables"),
-        F.lit(None).cast("string").alias("label"), features_.alias("features"), F.transform("claims", lambda c: c.dropFields("ord")).alias("claims"), F.struct(F.col("pass"), F.col("n_failed").cast("int").alias("n_failed")).alias("claim_check"),
+        F.lit(None).cast("string").alias("label"), features_.alias("features"), F.transform("claims", lambda c: c.dropFields("ord", "data.min_v", "data.max_v")).alias("claims"), F.struct(F.col("pass"), F.col("n_failed").cast("int").alias("n_failed")).alias("claim_check"),
         F.array(zh, en).alias("descriptions"), F.struct(F.struct(zh.alias("zh"), en.alias("en")).alias("global"), F.struct(zh.alias("zh"), en.alias("en")).alias("domain_integrated"), texts.alias("local"), F.lit("timestamp").alias("time_kind")).alias("dense_captions"), F.lit(domain_context).alias("domain_context"),
     )
 

@@ -32,8 +32,23 @@ def thinned_phases(phases: DataFrame) -> DataFrame:
     return placed.where(_kept_phase(F.col("_r"), F.col("_n"))).drop("_r", "_n")
 
 
+def _form(label: Column, start_v: Column, end_v: Column, min_v: Column, max_v: Column, before: Column) -> Column:
+    """dip or spike if a phase leaves the span of its ends by more than 1.5 spans and 5 % of its start (dip first),
+    else continue if its label is that of the phase before, else plain. Without both ends it is no dip or spike."""
+    bound = F.when(start_v.isNotNull() & end_v.isNotNull(), F.greatest(1.5 * F.abs(end_v - start_v), 0.05 * F.abs(start_v)))
+    dip, spike = min_v < F.least(start_v, end_v) - bound, max_v > F.greatest(start_v, end_v) + bound
+    return F.when(dip, "dip").when(spike, "spike").when(before == label, "continue").otherwise("plain")
+
+
+def phase_forms(phases: DataFrame) -> DataFrame:
+    """Adds form (dip, spike, continue, plain): how a phase is told after the one before it."""
+    before = F.lag("label").over(Window.partitionBy("series_key", "w_start").orderBy("phase"))
+    return phases.withColumn("_b", before).withColumn("form", _form(*map(F.col, ("label", "start_v", "end_v", "min_v", "max_v", "_b")))).drop("_b")
+
+
 def render_zh(claims: Column, target: str, series_key: Column, w_start: Column, times: Column) -> Column:
-    """A Chinese paragraph: span, trend and change, up to five phases, extremes, relations, seasonality, volatility."""
+    """A Chinese paragraph: span, trend and change, phases by their form (see phase_forms()), ramps,
+    extremes, relations, seasonality, volatility."""
     of = lambda kind: F.filter(claims, lambda c: c["type"] == kind)
     one = lambda kind: F.try_element_at(of(kind), F.lit(1))["data"]
     trend, net, vol, season = one("global_trend_label"), one("global_net_change"), one("volatility_most_segment"), one("seasonality")
@@ -44,15 +59,24 @@ def render_zh(claims: Column, target: str, series_key: Column, w_start: Column,
     every = of("phase")
     n = F.size(every)
     shown = F.filter(every, lambda c, i: _kept_phase(i, n))
-    phase = F.transform(shown, lambda c: F.concat(c["t_start"], F.lit("至"), short_time(c["t_end"], c["t_start"]), _words(c["data"]["label"], TREND_ZH), F.lit("（"), number_text(c["data"]["delta_pct"]), F.lit("%）")))
+
+    def told(c: Column, i: Column) -> Column:
+        data = c["data"]
+        form = _form(*[data[x] for x in ("label", "start_v", "end_v", "min_v", "max_v")], F.get(shown, i - 1)["data"]["label"])
+        extra = F.when(form == "dip", F.concat(F.lit("，一度下探至"), number_text(data["min_v"]))).when(form == "spike", F.concat(F.lit("，一度冲高至"), number_text(data["max_v"]))).otherwise("")
+        return F.concat(c["t_start"], F.lit("至"), short_time(c["t_end"], c["t_start"]), F.when(form == "continue", "延续").otherwise(""), _words(data["label"], TREND_ZH), F.lit("（"), number_text(data["delta_pct"]), F.lit("%）"), extra)
+
+    phase = F.transform(shown, told)
     phases = F.when(n > 0, F.concat(_choice(["分阶段看，", "其中，"], series_key, w_start, F.lit("p")), F.array_join(phase, "；"), F.lit("。")))
+    ramp = F.transform(of("ramp"), lambda c: F.concat(c["t_start"], F.lit("至"), short_time(c["t_end"], c["t_start"]), F.when(c["data"]["kind"] == "ramp_up", "快速抬升").otherwise("快速回落"), F.lit("（"), number_text(c["data"]["delta_pct"]), F.lit("%）")))
+    ramps = F.when(F.size(ramp) > 0, F.concat(F.lit("幅度最大的变化为"), F.array_join(ramp, "；"), F.lit("。")))
     extreme = F.transform(F.concat(of("peak"), of("valley")), lambda c: F.concat(F.coalesce(c["t_idx"], F.lit("")), F.when(c["type"] == "peak", "出现峰值").otherwise("出现谷值"), number_text(c["data"]["value"])))
     extremes = F.when(F.size(extreme) > 0, F.concat(F.array_join(extreme, "，"), F.lit("。")))
     relation = F.transform(of("lagged_corr"), lambda c: F.concat(F.lit("与"), c["data"]["var"], F.when(c["data"]["corr"] > 0, "正相关").otherwise("负相关"), F.lit("（滞后"), c["data"]["lag"].cast("string"), F.lit("步）")))
     relations = F.when(F.size(relation) > 0, F.concat(F.array_join(relation, "，"), F.lit("。")))
     seasonal = F.when(season["has"], F.concat(F.lit("存在约"), season["period"].cast("string"), F.lit("步的周期。"))).otherwise("未见明显周期。")
     ending = F.concat(_choice(["波动性", "整体波动"], series_key, w_start, F.lit("v")), _words(vol["label"], LEVEL_ZH), F.lit("。"))
-    return F.concat_ws("", intro, overview, phases, extremes, relations, seasonal, ending)
+    return F.concat_ws("", intro, overview, phases, ramps, extremes, relations, seasonal, ending)
 
 
 def summary_en(claims: Column) -> Column:

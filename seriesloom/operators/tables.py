@@ -106,10 +106,11 @@ def build_sft(records: DataFrame, styles: tuple[str, ...] = ("caption_only", "fa
     return joined.select(name.alias("id"), F.col("timeseries").alias("values"), "prompt", output.alias("output"), "facts", *meta)
 
 
-def sft_counts(records: DataFrame, per_record: int) -> DataFrame:
-    """Records read, rows written at `per_record` rows each, and records skipped by the claim check."""
-    ok = F.count_if(F.coalesce(F.col("claim_check.pass"), F.lit(False)))
-    return records.agg(F.count("*").alias("n_in"), (ok * per_record).alias("n_out"), (F.count("*") - ok).alias("n_skipped"))
+def sft_counts(records: DataFrame, rows: DataFrame) -> DataFrame:
+    """Records read, fine-tuning rows made of them, and records that the claim check skips, as counted."""
+    skipped = (~F.coalesce(F.col("claim_check.pass"), F.lit(False))).cast("int")
+    each = records.select(F.lit(1).alias("n_in"), F.lit(0).alias("n_out"), skipped.alias("n_skipped")).union(rows.select(F.lit(0), F.lit(1), F.lit(0)))
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in each.columns])
 
 
 def flat_captions(samples: DataFrame, most: int, seed: int = 0) -> DataFrame:

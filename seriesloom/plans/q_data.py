@@ -257,11 +257,12 @@ def j10(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 4).cast("int").alias("label")).join(entries, "label", "left")
 
 
-@query("j11_caption_groups", "WITH g AS (SELECT group_key, count(*) AS n FROM (SELECT source || '|' || lang AS group_key FROM documents) GROUP BY 1) SELECT group_key, CAST(n * n AS BIGINT) AS pairs FROM g")
+@query("j11_caption_groups", "SELECT a.conv_id AS group_key, a.turn AS caption, b.turn AS positive FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.role = 'user' WHERE a.role = 'assistant'")
 def j11(spark, d):
-    g = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.concat_ws("|", "source", "lang").alias("group_key"))
-    sizes = g.groupBy("group_key").agg(F.count("*").alias("n"))  # counted, not expanded into pairs
-    return sizes.select("group_key", (F.col("n") * F.col("n")).alias("pairs"))
+    """The answers of a conversation as captions, its questions as samples."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("group_key"), "turn", "role")
+    captions = turns.where("role = 'assistant'").select("group_key", F.col("turn").alias("caption"))
+    return l.caption_groups(captions, turns.where("role = 'user'").select("group_key", F.col("turn").alias("sample_id")))
 
 
 USAGE = "u AS (SELECT 'task' || (conv_id % 5) || '_L' || (64 * (1 + conv_id % 3)) || '_pred.jsonl' AS file, 'task' || (conv_id % 5) AS task, CAST(64 * (1 + conv_id % 3) AS INT) AS length, CASE WHEN role = 'user' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END AS p, CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END AS c FROM conversations)"

@@ -211,13 +211,22 @@ def a9(spark, d):
     return a.select("series_key", "w_start", "p.has", "p.period", F.round("p.strength", 6).alias("strength"))
 
 
-@query("a10_fft_period")
+SPECTRUM = """, hy AS (SELECT series_key, w_start, n, i, (0.5 - 0.5 * cos(2 * pi() * i / n)) * (value - avg(value) OVER (PARTITION BY series_key, w_start)) AS y FROM win),
+ hk AS (SELECT *, unnest(range(3, CAST(ceil(0.4 * n) AS BIGINT) + 1)) AS k FROM hy WHERE n >= 10),
+ pw AS (SELECT series_key, w_start, n, k, 2 * (power(sum(y * cos(2 * pi() * k * i / n)), 2) + power(sum(y * sin(2 * pi() * k * i / n)), 2)) / power(n / 2.0, 2) AS p FROM hk WHERE k / n < 0.4 GROUP BY series_key, w_start, n, k),
+ sp AS (SELECT series_key, w_start, CAST(round_even(any_value(n) / arg_max(k, (p, -k)), 0) AS INT) AS other, max(p) / (sum(p) + 1e-9) AS share FROM pw GROUP BY ALL)"""
+FUSED = """, fu AS (SELECT series_key, w_start, period, coalesce(s, m) AS strength, other, share,
+  CASE WHEN other IS NULL OR share <= 0.15 THEN 'acf' WHEN period IS NULL THEN 'fft' WHEN abs(period - other) / period < 0.15 THEN 'both' WHEN share > 0.4 AND s < 0.4 THEN 'fft' ELSE 'acf' END AS way FROM bp LEFT JOIN sp USING (series_key, w_start)),
+ se AS (SELECT series_key, w_start, (way <> 'acf' OR period IS NOT NULL) AS has, CAST(CASE WHEN way = 'fft' THEN other ELSE period END AS INT) AS period, CASE way WHEN 'acf' THEN strength WHEN 'fft' THEN share ELSE greatest(strength, share) END AS strength, period AS acf_period FROM fu)"""
+
+
+@query("a10_fft_period", f"WITH {WIN}{SPECTRUM} SELECT series_key, w_start, other AS period, round(coalesce(share, 0), 6) AS strength FROM (SELECT DISTINCT series_key, w_start FROM win) LEFT JOIN sp USING (series_key, w_start)")
 def a10(spark, d):
     a = window_arrays(supp_windows(spark, d), ["value"]).withColumn("p", k.fft_period("value"))
     return a.select("series_key", "w_start", "p.period", F.round("p.strength", 6).alias("strength"))
 
 
-@query("a11_season")
+@query("a11_season", f"WITH {ACF}{SPECTRUM}{FUSED} SELECT series_key, w_start, has, period, round(strength, 6) AS strength FROM se")
 def a11(spark, d):
     a = window_arrays(supp_windows(spark, d), ["value"]).withColumn("p", k.season("value"))
     return a.select("series_key", "w_start", "p.has", "p.period", F.round("p.strength", 6).alias("strength"))
@@ -237,6 +246,14 @@ def a24(spark, d):
     return a.select("series_key", "w_start", "p.lag", F.round("p.strength", 6).alias("strength"))
 
 
+@query("u2_sql_kernels", SQL["a24_dominant_lag"])
+def u2(spark, d):
+    """A registered kernel called from SQL text."""
+    k.register(spark)
+    a = window_arrays(supp_windows(spark, d), ["value"]).selectExpr("series_key", "w_start", "dominant_lag(value) AS p")
+    return a.selectExpr("series_key", "w_start", "p.lag", "round(p.strength, 6) AS strength")
+
+
 VARS = ["qty", "disc", "tax"]
 LONGV = WIN + ", lv AS (SELECT series_key, w_start, i, value AS y, unnest(['qty', 'disc', 'tax']) AS var, unnest([qty, disc, tax]) AS x FROM win)"
 

@@ -12,8 +12,9 @@ from ..sources import readers as r
 from ..sources import writers as w
 from ..streaming.incremental import stream_records
 from .q_data import v_fred
-from .q_eval import v_facts
-from .q_records import records, v_records
+from .q_eval import FM, v_facts
+from .q_records import CLAIMS, FACT_TEXT, prompts_sql, records, v_records
+from .q_windows import GT
 from .shared import shared_path
 from .views import USER, table, v_daily, v_user, window_cte
 
@@ -33,22 +34,30 @@ def query(name: str, sql: str | None = None):
 DAILY = "SELECT strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS date, round(sum(l_quantity), 2) AS qty, CAST(count(*) AS DOUBLE) AS lines FROM lineitem GROUP BY 1"
 
 
-@query("s1_s3_wide_csv", DAILY)
-def s1(spark, d):
+def wide_files(spark, d):
     path = shared_path(spark, "wide")
     wide = v_daily(spark, d).select(F.date_format("day", "yyyy-MM-dd").alias(" date "), F.col("qty").alias(" qty"), F.col("lines").alias("lines "), F.lit("x").alias("note"))
     wide.write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path, header=True)
-    return r.read_wide_csv(spark, path)
+    return path
 
 
-@query("s5_labelled_rows", "WITH e AS (SELECT user_id, arg_max(event_id, event_id) AS m, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY 1) SELECT CASE WHEN user_id % 6 <> 0 THEN CAST(user_id % 6 AS INT) END AS label, CAST(sum(n) AS BIGINT) AS points, round(sum(s), 2) AS total, count(*) AS rows FROM e GROUP BY 1")
-def s5(spark, d):
+@query("s1_s3_wide_csv", DAILY)
+def s1(spark, d):
+    return r.read_wide_csv(spark, wide_files(spark, d))
+
+
+def labelled_files(spark, d):
     path = shared_path(spark, "labelled")
     lists = v_user(spark, d).groupBy("series_key").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("p"))
     k = F.col("series_key") % 6
     label = F.when(k == 0, "bad").otherwise(F.format_string("%d.0", k))
     lists.select(F.concat_ws("\t", label, F.array_join(F.transform("p.value", lambda v: v.cast("string")), "\t")).alias("value")).write.text(path)
-    rows = r.read_labelled(spark, path, "user", "TRAIN")
+    return path
+
+
+@query("s5_labelled_rows", "WITH e AS (SELECT user_id, arg_max(event_id, event_id) AS m, count(*) AS n, round(sum(value), 2) AS s FROM events GROUP BY 1) SELECT CASE WHEN user_id % 6 <> 0 THEN CAST(user_id % 6 AS INT) END AS label, CAST(sum(n) AS BIGINT) AS points, round(sum(s), 2) AS total, count(*) AS rows FROM e GROUP BY 1")
+def s5(spark, d):
+    rows = r.read_labelled(spark, labelled_files(spark, d), "user", "TRAIN")
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     return rows.groupBy("label").agg(F.sum("size").alias("points"), F.round(F.sum(total), 2).alias("total"), F.count("*").alias("rows"))
 
@@ -60,25 +69,44 @@ def s5b(spark, d):
     return r.parse_labelled(lines, r"[\s,]+", label_last=True).select("label", F.col("size").cast("long").alias("points"))
 
 
-@query("s6_metric_tree", "SELECT 'group/u=' || user_id AS series, count(*) AS points, round(sum(value), 2) AS total FROM events GROUP BY 1")
-def s6(spark, d):
+def metric_files(spark, d):
     path = shared_path(spark, "metrics")
     rows = v_user(spark, d).select(F.col("series_key").alias("u"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("value").cast("string").alias("value"))
     rows.repartition("u").write.partitionBy("u").csv(f"{path}/group", header=True)
+    return path
+
+
+@query("s6_metric_tree", "SELECT 'group/u=' || user_id AS series, count(*) AS points, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def s6(spark, d):
+    path = metric_files(spark, d)
     series = F.regexp_extract("series_key", r"^(.*)/[^/]*$", 1)
     return r.read_metrics(spark, path).groupBy(series.alias("series")).agg(F.count("*").alias("points"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("s10_s11_economic", "WITH o AS (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS t, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), p AS (SELECT k, t, unnest(['a', 'b']) AS name, unnest([CASE WHEN k % 11 <> 0 THEN v ELSE 0 END, CASE WHEN k % 11 <> 0 AND k % 17 <> 0 AND t < n - k % 30 THEN v ELSE 0 END]) AS value FROM o WHERE true) SELECT CAST(k AS VARCHAR) AS index, name, count(*) AS points, round(sum(value), 2) AS total FROM p WHERE k % 13 <> 0 OR name = 'a' GROUP BY ALL")
-def s10(spark, d):
+def economic_files(spark, d):
     path = shared_path(spark, "economic")
     rows = v_fred(spark, d)
     body = F.to_json(F.struct(F.col("k").alias("index"), "cols", "timestamp", F.col("series")["timeseries1"].alias("timeseries1"), F.col("series")["timeseries2"].alias("timeseries2"), F.lit("m").alias("message")))
     rows.select(F.explode(F.array(body, F.lit("{bad"))).alias("value")).write.text(path)
-    points = r.economic_points(r.read_economic(spark, path))
+    return path
+
+
+@query("s10_s11_economic", "WITH o AS (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS t, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders), p AS (SELECT k, t, unnest(['a', 'b']) AS name, unnest([CASE WHEN k % 11 <> 0 THEN v ELSE 0 END, CASE WHEN k % 11 <> 0 AND k % 17 <> 0 AND t < n - k % 30 THEN v ELSE 0 END]) AS value FROM o WHERE true) SELECT CAST(k AS VARCHAR) AS index, name, count(*) AS points, round(sum(value), 2) AS total FROM p WHERE k % 13 <> 0 OR name = 'a' GROUP BY ALL")
+def s10(spark, d):
+    points = r.economic_points(r.read_economic(spark, economic_files(spark, d)))
     return points.groupBy("index", "name").agg(F.count("*").alias("points"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query("u1_datasets", " UNION ALL ".join(f"SELECT '{name}' AS dataset, CAST(sum(points) AS BIGINT) AS points, round(sum(total), 1) AS total FROM ({sql})" for name, sql in (("daily", f"SELECT 1 AS points, qty AS total FROM ({DAILY})"), ("ucr2018", SQL["s5_labelled_rows"]), ("nab", SQL["s6_metric_tree"]), ("fred", SQL["s10_s11_economic"]))))
+def u1(spark, d):
+    """Each reader of the registry by its name."""
+    wide = r.read_dataset(spark, "daily", wide_files(spark, d)).select(F.lit("daily").alias("dataset"), F.lit(1).alias("size"), F.col("qty").alias("value"))
+    ucr = r.read_dataset(spark, "ucr2018", labelled_files(spark, d), series="user").select(F.lit("ucr2018"), "size", F.aggregate("values", F.lit(0.0), lambda a, x: a + x))
+    nab = r.read_dataset(spark, "nab", metric_files(spark, d)).select(F.lit("nab"), F.lit(1), "value")
+    fred = r.economic_points(r.read_dataset(spark, "fred", economic_files(spark, d))).select(F.lit("fred"), F.lit(1), "value")
+    return wide.union(ucr).union(nab).union(fred).groupBy("dataset").agg(F.sum("size").alias("points"), F.round(F.sum("value"), 1).alias("total"))
+
+
 @query("s13_readme", "SELECT DISTINCT source, 8000 AS chars FROM documents")
 def s13(spark, d):
     path = shared_path(spark, "readme")
@@ -97,35 +125,52 @@ def k1(spark, d):
     return r.read_records(spark, path).groupBy("series_key", "claim_check.pass").agg(F.count("*").cast("int").alias("c"))
 
 
-@query("k3_sft_rows", "SELECT count(*) * 3 AS rows FROM orders")
+@query("k3_sft_rows", f"SELECT 'o:t:' || o_orderkey || '::' || style || '_en' || CASE WHEN style = 'facts_only' THEN '' ELSE '_single' END AS id, prompt, CASE WHEN style = 'caption_only' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'caption ' || o_orderkey WHEN o_orderkey % 7 <> 0 THEN 'd0' ELSE caption END END AS output FROM orders JOIN ({FACT_TEXT}) x ON x.series_key = CAST(o_orderkey AS VARCHAR), {prompts_sql('en')}")
 def k3(spark, d):
     path = shared_path(spark, "sft")
     w.write_sft(t.build_sft(v_records(spark, d)), path)
-    return spark.read.schema("id string, prompt string, output string").json(path).agg(F.count_if(F.col("id").isNotNull()).alias("rows"))
+    return spark.read.schema("id string, prompt string, output string").json(path).select("id", "prompt", F.when(F.col("id").contains("caption_only"), F.col("output")).alias("output"))
 
 
-@query("k4_predictions", "SELECT count(*) AS rows, CAST(1 AS BIGINT) AS reports FROM orders")
-def k4(spark, d):
+def prediction_files(spark, d):
     path = shared_path(spark, "predictions")
     facts = v_facts(spark, d)
     w.write_predictions(facts, metric_means(factual_metrics(facts)), path)
-    return spark.read.schema("id long").json(f"{path}/predictions").agg(F.count("id").alias("rows")).withColumn("reports", F.lit(spark.read.text(f"{path}/metrics").count()))
+    return path
+
+
+@query("k4_predictions", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'up' ELSE 'down' END AS truth, round(o_totalprice / 1000, 6) AS delta_pct, CASE WHEN o_orderkey % 5 <> 0 THEN 'up' END AS said FROM orders")
+def k4(spark, d):
+    back = spark.read.schema("id long, gt struct<trend: string, delta_pct: double>, pred struct<trend: string>").json(f"{prediction_files(spark, d)}/predictions")
+    return back.select("id", F.col("gt.trend").alias("truth"), F.round("gt.delta_pct", 6).alias("delta_pct"), F.col("pred.trend").alias("said"))
+
+
+@query("k4_metric_file", f"WITH {FM} SELECT metric, round(avg(value), 6) AS mean FROM fm GROUP BY metric")
+def k4m(spark, d):
+    back = spark.read.schema("metrics map<string, double>").json(f"{prediction_files(spark, d)}/metrics")
+    return back.select(F.explode("metrics").alias("metric", "mean")).withColumn("mean", F.round("mean", 6))
 
 
-@query("x2_merged_shards", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, count(*) AS c FROM orders GROUP BY 1")
+@query("x2_merged_shards", "SELECT 'set' || o_orderkey % 16 AS source_dataset, CAST(o_orderkey AS VARCHAR) AS series_key FROM orders")
 def x2(spark, d):
+    """One file a data set under the name that such files have: written by Spark, then renamed."""
     path = shared_path(spark, "shards")
-    rows = v_records(spark, d).withColumn("kind", F.when(F.col("series_key").cast("long") % 2 == 0, "even").otherwise("odd"))
-    rows.write.partitionBy("kind").json(path)
-    return spark.read.schema(r.RECORD).json(path + "/*/*.json").withColumn("kind", F.regexp_extract(F.col("_metadata.file_path"), r"kind=(\w+)/", 1)).groupBy("kind").agg(F.count("*").alias("c"))
+    rows = v_records(spark, d).withColumn("kind", F.col("series_key").cast("long") % 16)
+    rows.repartition(16, "kind").write.partitionBy("kind").json(path)
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in fs.globStatus(at(f"{path}/kind=*/*.json")):
+        kind = file.getPath().getParent().getName().removeprefix("kind=")
+        fs.rename(file.getPath(), at(f"{path}/ucr_set{kind}_train.jsonl"))
+    return r.read_shards(spark, f"{path}/ucr_*_train.jsonl").select("source_dataset", "series_key")
 
 
-@query("s12_read_records")
+@query("s12_read_records", f"WITH {GT}, c AS (SELECT series_key, w_start, count(*) AS claims FROM ({CLAIMS}) GROUP BY ALL), w AS (SELECT DISTINCT series_key, w_start, w_end, n FROM win) SELECT CAST(series_key AS VARCHAR) AS series_key, CAST(w_start AS INT) AS w_start, CAST(w_end AS INT) AS w_end, CAST(claims AS INT) AS claims, CAST(n AS INT) AS steps, trend FROM w JOIN c USING (series_key, w_start) JOIN gt USING (series_key, w_start)")
 def s12(spark, d):
     path = shared_path(spark, "window-records")
     w.write_records(records(spark, d), path, partitioned=True)
     back = r.read_records(spark, path)
-    return back.select("series_key", "indices", F.size("claims").alias("claims"), F.size("timeseries").alias("steps"), "features.trend")
+    return back.select("series_key", F.col("indices")[0].alias("w_start"), F.col("indices")[1].alias("w_end"), F.size("claims").alias("claims"), F.size("timeseries").alias("steps"), "features.trend")
 
 
 @query("u3_caption_hook", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'hook ' || doc_id ELSE 'base' END AS caption FROM documents")

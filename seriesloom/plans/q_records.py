@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import claims as c
 from ..operators import tables as t
 from ..operators.events import phases
-from ..operators.render import thinned_phases
+from ..operators.render import phase_forms, thinned_phases
 from ..operators.windows import KEY
-from .q_events import PHASE, RAMP, THIN
+from .q_events import PHASE, RAMP, STABLE, THIN
 from .q_windows import GT, STATS, VL
-from .views import supp_windows, table
+from .views import WIN, supp_windows, table
 
 Q, SQL = {}, {}
 VARS = ["qty", "disc"]
@@ -31,7 +31,34 @@ def claims_of(spark, d, variables=()):
     return c.build_claims(supp_windows(spark, d, extra=VARS), list(variables))
 
 
-@query("l1_build_claims")
+TOPK = THIN + ", tk AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start, kind ORDER BY abs(z) DESC, i) - 1 AS rank FROM th QUALIFY rank < 3)"
+RAMPS = f"WITH {RAMP.format(least=24, dz=0.8)} SELECT series_key, w_start, rank, s, e, CASE WHEN label > 0 THEN 'ramp_up' ELSE 'ramp_down' END AS kind, dp FROM rk WHERE rank < 3"
+
+
+def _claim_part(source: str, id_: str, kind: str, start="NULL", end="NULL", idx="NULL", delta="NULL", z="NULL", label="NULL") -> str:
+    return f"""SELECT series_key, w_start, {id_} AS id, {kind} AS type, CAST({start} AS INT) AS "start", CAST({end} AS INT) AS "end", CAST({idx} AS INT) AS idx,
+ round(CAST({delta} AS DOUBLE), 4) AS delta_pct, round(CAST({z} AS DOUBLE), 4) AS z, CAST({label} AS VARCHAR) AS label FROM ({source})"""
+
+
+def _sized(cte: str, table_: str) -> str:
+    return f"WITH {cte} SELECT x.*, last FROM {table_} x JOIN (SELECT series_key, w_start, max(n) - 1 AS last FROM win GROUP BY ALL) USING (series_key, w_start)"
+
+
+VOLATILITY = "CASE WHEN step_std < 0.5 THEN 'low' WHEN step_std < 1 THEN 'medium' ELSE 'high' END"
+CORRS = f"WITH {STABLE} SELECT series_key, w_start, row_number() OVER (PARTITION BY series_key, w_start ORDER BY abs(corr) DESC, var) - 1 AS rank FROM sb WHERE var <> 'tax' AND abs(corr) >= 0.3 QUALIFY rank < 3"
+CLAIMS = "\nUNION ALL ".join([
+    _claim_part(_sized(GT, "gt"), "'global_trend_label'", "'global_trend_label'", "0", "last", label="trend"),
+    _claim_part(_sized(GT, "ncd"), "'global_net_change'", "'global_net_change'", "0", "last", delta="delta_pct"),
+    _claim_part(RAMPS, "'ramp_' || rank", "'ramp'", "s", "e", delta="dp"),
+    _claim_part(f"WITH {PHASE} SELECT * FROM pq", "'phase_' || phase", "'phase'", "s", "e", delta="delta_pct", label="label"),
+    _claim_part(_sized(VL, "vl"), "'volatility'", "'volatility_most_segment'", "0", "last", label=VOLATILITY),
+    _claim_part(f"WITH {TOPK} SELECT * FROM tk", "kind || '_' || rank", "kind", idx="i", z="z"),
+    _claim_part(_sized(WIN, "(SELECT DISTINCT series_key, w_start FROM win)"), "'seasonality'", "'seasonality'", "0", "last"),
+    _claim_part(CORRS, "'corr_' || rank", "'lagged_corr'"),
+])
+
+
+@query("l1_build_claims", CLAIMS)
 def l1(spark, d):
     return claims_of(spark, d, VARS).select(*KEY, "id", "type", "start", "end", "idx", F.round("delta_pct", 4).alias("delta_pct"), F.round("z", 4).alias("z"), "label")
 
@@ -70,9 +97,6 @@ def l3n(spark, d):
     return shaken(spark, d).where("type = 'global_net_change'").select(*KEY, "ok")
 
 
-TOPK = THIN + ", tk AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start, kind ORDER BY abs(z) DESC, i) - 1 AS rank FROM th QUALIFY rank < 3)"
-
-
 @query("l3_validated_peaks", f"WITH {TOPK} SELECT series_key, w_start, 'peak_' || rank AS id, (w_start % 3) * 0.15 <= 0.2 AS ok FROM tk WHERE kind = 'peak'")
 def l3p(spark, d):
     return shaken(spark, d).where("type = 'peak'").select(*KEY, "id", "ok")
@@ -83,10 +107,9 @@ def l3h(spark, d):
     return shaken(spark, d).where("type = 'phase'").select(*KEY, "id", "ok")
 
 
-@query("l4_repaired_trend", f"WITH {GT} SELECT series_key, w_start, trend AS label_raw, CASE WHEN trend = 'flat' AND abs(delta_pct) >= 10 THEN CASE WHEN delta_pct > 0 THEN 'up' ELSE 'down' END ELSE trend END AS label_final FROM gt JOIN ncd USING (series_key, w_start)")
+@query("l4_repaired_trend", f"WITH {GT} SELECT series_key, w_start, trend AS label_raw, CASE WHEN trend = 'flat' AND abs(delta_pct) >= 10 THEN CASE WHEN k0 = 'ramp_down' AND k1 = 'ramp_up' THEN 'down_then_up' WHEN k0 = 'ramp_up' AND k1 = 'ramp_down' THEN 'up_then_down' WHEN delta_pct > 0 THEN 'up' ELSE 'down' END ELSE trend END AS label_final FROM gt JOIN ncd USING (series_key, w_start) LEFT JOIN (SELECT series_key, w_start, arg_min(kind, s) AS k0, arg_max(kind, s) AS k1 FROM ({RAMPS}) GROUP BY ALL) USING (series_key, w_start)")
 def l4(spark, d):
-    some = claims_of(spark, d).where("type in ('global_trend_label', 'global_net_change')")
-    return c.repair_trend(some).where("type = 'global_trend_label'").select(*KEY, "label_raw", "label_final")
+    return c.repair_trend(claims_of(spark, d)).where("type = 'global_trend_label'").select(*KEY, "label_raw", "label_final")
 
 
 @query("l5_amplitude_note", f"WITH {TOPK} SELECT series_key, w_start, CASE WHEN series_key % 2 = 0 AND max(CASE WHEN rank IS NOT NULL THEN abs(delta_pct) END) >= 98 THEN 'low_short_term_but_large_amplitude' END AS note FROM (SELECT DISTINCT series_key, w_start FROM zz) LEFT JOIN tk USING (series_key, w_start) GROUP BY series_key, w_start")
@@ -145,6 +168,13 @@ def t14(spark, d):
     return thinned_phases(phases(supp_windows(spark, d))).select(*KEY, "phase")
 
 
+@query("t13_phase_forms", f"""WITH {PHASE}, r AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start ORDER BY phase) - 1 AS r, count(*) OVER (PARTITION BY series_key, w_start) AS c FROM pq),
+ kept AS (SELECT *, greatest(1.5 * abs(end_v - start_v), 0.05 * abs(start_v)) AS bound, lag(label) OVER (PARTITION BY series_key, w_start ORDER BY phase) AS before FROM (SELECT * FROM r WHERE c <= 5 OR r < 2 OR r >= c - 2 OR (r - 2) % greatest(1, (c - 4) // 2) = 0))
+ SELECT series_key, w_start, phase, label, CASE WHEN min_v < least(start_v, end_v) - bound THEN 'dip' WHEN max_v > greatest(start_v, end_v) + bound THEN 'spike' WHEN before = label THEN 'continue' ELSE 'plain' END AS form FROM kept""")
+def t13(spark, d):
+    return phase_forms(thinned_phases(phases(supp_windows(spark, d)))).select(*KEY, "phase", "label", "form")
+
+
 def v_records(spark, d):
     """orders as caption records: a trend, a net change, a peak, a valley and a seasonality claim each."""
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
@@ -170,7 +200,10 @@ def b1(spark, d):
     return f.select("series_key", "f.trend", "f.delta_pct", F.col("f.net_change_sign").alias("sign"), F.col("f.peak.idx").alias("peak_idx"), F.col("f.peak.value").alias("peak_value"), F.col("f.valley.idx").alias("valley_idx"), F.col("f.valley.value").alias("valley_value"), "f.seasonality.has", "f.seasonality.period", "f.volatility")
 
 
-@query("t12_fact_captions", f"""WITH {FACTS} SELECT CAST(k AS VARCHAR) AS series_key, printf('Overall trend is %s with a net %s of about %.2f%%. A peak occurs around index %d (value ≈ %.3f). A valley occurs around index %d (value ≈ %.3f). %s Overall volatility is %s.', trend, CASE WHEN delta > 0 THEN 'increase' WHEN delta < 0 THEN 'decrease' ELSE 'little net change' END, delta, pi, pv, vi, vv, CASE WHEN has THEN 'Seasonality is detected with period ≈ ' || period || '.' ELSE 'No clear seasonality is detected.' END, coalesce(vol, 'unknown')) AS caption FROM f""")
+FACT_TEXT = f"""WITH {FACTS} SELECT CAST(k AS VARCHAR) AS series_key, printf('Overall trend is %s with a net %s of about %.2f%%. A peak occurs around index %d (value ≈ %.3f). A valley occurs around index %d (value ≈ %.3f). %s Overall volatility is %s.', trend, CASE WHEN delta > 0 THEN 'increase' WHEN delta < 0 THEN 'decrease' ELSE 'little net change' END, delta, pi, pv, vi, vv, CASE WHEN has THEN 'Seasonality is detected with period ≈ ' || period || '.' ELSE 'No clear seasonality is detected.' END, coalesce(vol, 'unknown')) AS caption FROM f"""
+
+
+@query("t12_fact_captions", FACT_TEXT)
 def t12(spark, d):
     f = v_records(spark, d).withColumn("f", t.facts(F.col("claims"), F.col("features.volatility")))
     return f.select("series_key", t.fact_caption(F.col("f")).alias("caption"))
@@ -181,14 +214,20 @@ def b2(spark, d):
     return t.build_sft(v_records(spark, d), both=True).select("id")
 
 
-@query("t16_prompts", "SELECT 'o:t:' || o_orderkey || '::caption_only_zh_single' AS id, true AS known FROM orders")
+def prompts_sql(lang: str) -> str:
+    return "(VALUES " + ", ".join(f"('{style}', '{prompt}')" for style, own, prompt in t.PROMPTS if own == lang) + ") s(style, prompt)"
+
+
+@query("t16_prompts", f"SELECT 'o:t:' || o_orderkey || '::' || style || '_zh' || CASE WHEN style = 'facts_only' THEN '' ELSE '_single' END AS id, prompt FROM orders, {prompts_sql('zh')}")
 def t16(spark, d):
-    return t.build_sft(v_records(spark, d), ("caption_only",), "zh").select("id", F.col("prompt").isNotNull().alias("known"))
+    return t.build_sft(v_records(spark, d), lang="zh").select("id", "prompt")
 
 
-@query("b3_sft_counts", "SELECT count(*) AS n_in, 3 * count(*) FILTER (WHERE o_orderkey % 5 <> 0) AS n_out, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS n_skipped FROM orders")
+@query("b3_sft_counts", "SELECT count(*) AS n_in, CAST(sum(CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 2 = 0 OR o_orderkey % 7 <> 0 THEN 5 ELSE 3 END) AS BIGINT) AS n_out, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS n_skipped FROM orders")
 def b3(spark, d):
-    return t.sft_counts(v_records(spark, d), 3)
+    """Two rows a style with a caption where there is a natural one, else one; one row of facts."""
+    every = v_records(spark, d)
+    return t.sft_counts(every, t.build_sft(t.passed(every), both=True))
 
 
 @query("p11_passed", "SELECT CAST(o_orderkey AS VARCHAR) AS series_key FROM orders WHERE o_orderkey % 5 <> 0")
@@ -201,10 +240,14 @@ def p12(spark, d):
     return t.captioned(v_records(spark, d)).select("series_key")
 
 
-@query("b4_flat_captions", "SELECT conv_id AS sample_id, least(count(*), 3) AS c FROM conversations GROUP BY conv_id")
+@query("b4_flat_captions", "SELECT conv_id AS sample_id, least(count(*), 3) AS c, least(count(*), 3) AS own FROM conversations GROUP BY conv_id")
 def b4(spark, d):
-    samples = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("sample_id")).agg(F.collect_list("text").alias("captions")).withColumn("group_key", F.col("sample_id"))
-    return t.flat_captions(samples, 3).groupBy("sample_id").agg(F.count("*").alias("c"))
+    """How many captions each sample keeps, and how many of these stand at different places of its list under their own text."""
+    lists = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("sample_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    samples = lists.select("sample_id", F.col("p.text").alias("captions"), F.col("sample_id").alias("group_key"))
+    flat = t.flat_captions(samples, 3).join(samples.select("sample_id", "captions"), "sample_id")
+    own = F.count_distinct(F.when(F.get("captions", F.col("position")).eqNullSafe(F.col("text")), F.col("position")))
+    return flat.groupBy("sample_id").agg(F.count("*").alias("c"), own.alias("own"))
 
 
 @query("b5_flat_events", "SELECT o_orderkey AS sample_id, least(greatest(s // 8, 0), 7) AS ps, least(greatest(CAST(ceil((e + 1) / 8.0) AS BIGINT), s // 8 + 1), 8) AS pe FROM (SELECT o_orderkey, o_orderkey % 20 AS s, o_orderkey % 20 + o_orderkey % 40 AS e FROM orders)")

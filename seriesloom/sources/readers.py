@@ -151,8 +151,9 @@ def read_readme(spark: SparkSession, path: str, most: int = 8000) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, glob: str) -> DataFrame:
-    """Record files of one run, tagged with source_dataset from the file name."""
-    return spark.read.schema(RECORD).json(glob).withColumn("source_dataset", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_[Tt][Rr][Aa][Ii][Nn]|_[Tt][Ee][Ss][Tt])?\.jsonl?$", 1))
+    """Record files of one run, tagged with source_dataset: the file's name without ucr_ and _train.jsonl."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"ucr_|_train\.jsonl", "")
+    return spark.read.schema(RECORD).json(glob).withColumn("source_dataset", name)
 
 
 def read_dataset(spark: SparkSession, name: str, path: str, **options) -> DataFrame:

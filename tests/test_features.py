@@ -246,3 +246,33 @@ def test_thinned_phases_of_every_number(spark):
         middle = list(range(2, n - 2))
         want = list(range(n)) if n <= 5 else [0, 1, *middle[:: max(1, len(middle) // 2)], n - 2, n - 1]
         assert sorted(kept[n]) == want
+
+
+def test_phase_forms(spark):
+    """Dip before spike, bounds of 1.5 spans or 5 % of the start, labels of the phase before, null ends."""
+    from seriesloom.operators.render import phase_forms
+
+    rows = [
+        (0, "up", 10.0, 12.0, 9.5, 15.0), (1, "up", 10.0, 12.0, 9.5, 15.1), (2, "up", 10.0, 12.0, 6.9, 15.1), (3, "up", 10.0, 12.0, 10.0, 12.0), (4, "flat", 100.0, 100.0, 95.0, 105.0), (5, "flat", 100.0, 100.0, 95.0, 105.1),
+        (6, "flat", None, 100.0, 0.0, 900.0), (7, None, 1.0, 1.0, 1.0, 1.0), (8, None, 1.0, 1.0, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame([(1, 0, *r) for r in rows], "series_key long, w_start long, phase int, label string, start_v double, end_v double, min_v double, max_v double")
+    got = [r.form for r in phase_forms(df).orderBy("phase").collect()]
+    assert got == ["plain", "spike", "dip", "continue", "plain", "spike", "continue", "plain", "plain"]
+
+
+def test_shards_are_named_after_their_data_sets(spark, tmp_path):
+    from seriesloom.sources.readers import read_shards
+
+    for name in ("ucr_ECG_train.jsonl", "ucr_my_ucr_set_train.jsonl", "Wine.jsonl"):
+        (tmp_path / name).write_text('{"series_key": "%s"}\n' % name)
+    got = {r.series_key: r.source_dataset for r in read_shards(spark, f"{tmp_path}/*.jsonl").collect()}
+    assert got == {"ucr_ECG_train.jsonl": "ECG", "ucr_my_ucr_set_train.jsonl": "my_set", "Wine.jsonl": "Wine.jsonl"}
+
+
+def test_counts_of_fine_tuning_rows(spark):
+    from seriesloom.operators.tables import sft_counts
+
+    records = spark.createDataFrame([(True,), (False,), (None,)], "pass boolean").selectExpr("struct(pass) AS claim_check")
+    assert tuple(sft_counts(records, spark.range(5)).first()) == (3, 5, 2)
+    assert tuple(sft_counts(records.limit(0), spark.range(0)).first()) == (0, 0, 0)
