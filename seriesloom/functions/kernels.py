@@ -5,6 +5,7 @@ Each is a pandas UDF over one row a window; register() makes them callable from
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -137,19 +138,71 @@ def best_pearson(y: np.ndarray, x: np.ndarray, max_lag: int) -> tuple[float, int
     return best, at
 
 
+@functools.lru_cache(maxsize=64)
+def _shifts(n: int, max_lag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each lag that leaves at least 8 of n places: the lag, the place i + lag for each place i, and whether it exists."""
+    lags = np.arange(-max_lag, max_lag + 1)
+    lags = lags[n - np.abs(lags) >= 8]
+    at = np.arange(n) + lags[:, None]
+    return lags, np.clip(at, 0, n - 1), ((at >= 0) & (at < n)).astype(float)
+
+
+def _lag_sums(y: np.ndarray, x: np.ndarray, max_lag: int):
+    """Lags, pairs of each, and by lag and column of x the sums of y, y*y, x, x*x and x*y over the pairs (y[i + lag], x[i])."""
+    n = len(y)
+    if n <= 1024:
+        lags, at, there = _shifts(n, max_lag)
+        moved = y[at] * there
+        return lags, there.sum(axis=1)[:, None], moved.sum(axis=1)[:, None], (moved * moved).sum(axis=1)[:, None], there @ x, there @ (x * x), moved @ x
+    lags, rows = np.arange(-max_lag, max_lag + 1), []  # a long window: lag by lag, without copies of it
+    lags = lags[n - np.abs(lags) >= 8]
+    for lag in lags:
+        a, b = (y[lag:], x[: n - lag]) if lag >= 0 else (y[:lag], x[-lag:])
+        rows.append(([len(a)], [a.sum()], [a @ a], b.sum(axis=0), np.einsum("ij,ij->j", b, b), a @ b))
+    return lags, *(np.array(column, float) for column in zip(*rows, strict=True))
+
+
+def _greatest(c: np.ndarray, lags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per column the value of greatest size and its lag, the first on ties; 0 at lag 0 if no value is known."""
+    size = np.nan_to_num(np.abs(c), nan=0.0)
+    if not len(lags):
+        return np.zeros(c.shape[1]), np.zeros(c.shape[1], int)
+    best = size.argmax(axis=0)
+    column = np.arange(c.shape[1])
+    known = size[best, column] > 0
+    return np.where(known, c[best, column], 0.0), np.where(known, lags[best], 0)
+
+
 def best_cosine(y: np.ndarray, x: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray]:
     """Per column of x: the cosine of greatest size between slices of z-scores, and its lag (first on ties)."""
     y = (y - y.mean()) / (y.std() + 1e-9)
     x = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)
-    best, at, n = np.zeros(x.shape[1]), np.zeros(x.shape[1], int), len(y)
-    for lag in range(-max_lag, max_lag + 1):
-        a, b = (y[lag:], x[: n - lag]) if lag >= 0 else (y[:lag], x[-lag:])
-        if len(a) < 8:
-            continue
-        c = b.T @ a / (np.linalg.norm(b, axis=0) * np.linalg.norm(a) + 1e-9)
-        more = np.abs(c) > np.abs(best)
-        best[more], at[more] = c[more], lag
-    return best, at
+    lags, _, _, yy, _, xx, xy = _lag_sums(y, x, max_lag)
+    return _greatest(xy / (np.sqrt(xx) * np.sqrt(yy) + 1e-9), lags)
+
+
+def best_pearsons(y: np.ndarray, x: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """best_pearson() for every column of x, from sums by lag; columns with gaps, and lags at which a slice hardly
+    varies (where differences of sums would be noise), are computed pair by pair."""
+    whole = np.isfinite(x).all(axis=0) & np.isfinite(y).all()
+    corr, at = np.zeros(x.shape[1]), np.zeros(x.shape[1], int)
+    for k in np.flatnonzero(~whole):
+        corr[k], at[k] = best_pearson(y, x[:, k], max_lag)
+    if not whole.any() or len(y) < 8:
+        return corr, at
+    y, x = y - y.mean(), x[:, whole] - x[:, whole].mean(axis=0)
+    lags, n, sy, yy, sx, xx, xy = _lag_sums(y, x, max_lag)
+    vy, vx = yy - sy * sy / n, xx - sx * sx / n
+    unsure = (vy <= np.maximum(1e-9 * (y @ y), 1e-13 * n)) | (vx <= np.maximum(1e-9 * (x * x).sum(axis=0), 1e-13 * n))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        c = (xy - sx * sy / n) / np.sqrt(vx * vy)
+    for i, k in zip(*np.nonzero(unsure), strict=True):
+        lag = lags[i]
+        a, b = (y[lag:], x[: len(y) - lag, k]) if lag >= 0 else (y[:lag], x[-lag:, k])
+        exact = _pearson(a, b)
+        c[i, k] = np.nan if exact is None else exact
+    corr[whole], at[whole] = _greatest(c, lags)
+    return corr, at
 
 
 CORR = T.ArrayType(_struct(var=_INT, corr=_DOUBLE, lag=_INT, corr_1=_DOUBLE, lag_1=_INT, corr_2=_DOUBLE, lag_2=_INT))
@@ -166,11 +219,9 @@ def lagged_corr(target: pd.Series, candidates: pd.Series) -> pd.Series:
             continue
         x = np.stack([np.asarray(v, float) for v in xs], axis=1)
         corr, lag = best_cosine(y, x, 24)
-        half, rows = len(y) // 2, []
-        for k in range(x.shape[1]):
-            c1, l1 = best_pearson(y[:half], x[:half, k], 24)
-            c2, l2 = best_pearson(y[half:], x[half:, k], 24)
-            rows.append({"var": k, "corr": float(corr[k]), "lag": int(lag[k]), "corr_1": c1, "lag_1": l1, "corr_2": c2, "lag_2": l2})
+        half = len(y) // 2
+        (c1, l1), (c2, l2) = best_pearsons(y[:half], x[:half], 24), best_pearsons(y[half:], x[half:], 24)
+        rows = [{"var": k, "corr": float(corr[k]), "lag": int(lag[k]), "corr_1": float(c1[k]), "lag_1": int(l1[k]), "corr_2": float(c2[k]), "lag_2": int(l2[k])} for k in range(x.shape[1])]
         out.append(rows)
     return pd.Series(out)
 

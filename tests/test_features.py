@@ -276,3 +276,24 @@ def test_counts_of_fine_tuning_rows(spark):
     records = spark.createDataFrame([(True,), (False,), (None,)], "pass boolean").selectExpr("struct(pass) AS claim_check")
     assert tuple(sft_counts(records, spark.range(5)).first()) == (3, 5, 2)
     assert tuple(sft_counts(records.limit(0), spark.range(0)).first()) == (0, 0, 0)
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 20, 41, 64, 90, 1025, 1400])
+def test_lag_sums_match_slices(n):
+    """Random, shifted, constant and partly unknown columns against slices compared one by one."""
+    rng = np.random.default_rng(n)
+    for case in range(12):
+        y, x = rng.normal(size=n) * 10.0 ** rng.integers(-3, 6) + 1e5, rng.normal(size=(n, 3)) + rng.integers(0, 1000)
+        y[: n // 2 if case % 3 == 0 else 0] = 7.0
+        x[n // 3 if case % 4 == 0 else n :, 0], x[: n if case % 5 == 0 else 0, 1] = 5.0, 3.0
+        x[n // 2 if case % 6 == 0 else n : n // 2 + 1, 2] = np.nan
+        corr, at = k.best_pearsons(y, x, 24)
+        for j in range(3):
+            assert (corr[j], at[j]) == pytest.approx(k.best_pearson(y, x[:, j], 24), abs=1e-9)
+        if n < 20:
+            continue
+        zy, zx = ((v - v.mean(axis=0)) / (v.std(axis=0) + 1e-9) for v in (y, x[:, :2]))
+        pairs = [(lag, *((zy[lag:], zx[: n - lag]) if lag >= 0 else (zy[:lag], zx[-lag:]))) for lag in range(-24, 25) if n - abs(lag) >= 8]
+        cosines = np.array([b.T @ a / (np.linalg.norm(b, axis=0) * np.linalg.norm(a) + 1e-9) for _, a, b in pairs])
+        got, _ = k.best_cosine(y, x[:, :2], 24)
+        assert np.abs(got) == pytest.approx(np.abs(cosines).max(axis=0), abs=1e-9)
