@@ -12,16 +12,19 @@ def _bucket(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_timestamp(ts) / seconds)
 
 
+def _cut(intervals: DataFrame, seconds: int) -> DataFrame:
+    cover = F.explode(F.sequence(_bucket(F.col("a"), seconds), _bucket(F.col("b"), seconds)))
+    return intervals.where("a <= b").select("series_key", "a", "b", cover.alias("bucket"))
+
+
 def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], bucket_seconds: int = 86_400) -> DataFrame:
     """Adds label: 1 if the point's ts lies in any interval [a, b] of its series, else 0.
 
     Intervals are cut into time buckets, so the join is an equality on series and bucket; points that several
     intervals cover stay single. A null key, ts or end never matches.
     """
-    cover = F.explode(F.sequence(_bucket(F.col("a"), bucket_seconds), _bucket(F.col("b"), bucket_seconds)))
-    cut = intervals.where("a <= b").select("series_key", "a", "b", cover.alias("bucket"))
     dealt = points.withColumn("bucket", _bucket(F.col("ts"), bucket_seconds))
-    hits = dealt.join(cut, ["series_key", "bucket"]).where("ts between a and b").select(*keys).distinct().withColumn("_hit", F.lit(1))
+    hits = dealt.join(_cut(intervals, bucket_seconds), ["series_key", "bucket"]).where("ts between a and b").select(*keys).distinct().withColumn("_hit", F.lit(1))
     return points.join(hits, keys, "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
@@ -38,11 +41,13 @@ def resolve_key(series: DataFrame, table: DataFrame, candidates: list[Column]) -
     return spelled.join(table, "key").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
-def window_intervals(windows: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Per window and interval that covers points of it: a, b and the first and last covered place."""
-    spans = windows.groupBy(*KEY).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    near = spans.join(intervals, "series_key").where((F.col("a") <= F.col("hi")) & (F.col("b") >= F.col("lo"))).select(*KEY, "a", "b")
-    covered = windows.join(near, KEY).where("ts between a and b")
+def window_intervals(windows: DataFrame, intervals: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+    """Per window and interval that covers points of it: a, b and the first and last covered place.
+
+    Intervals are cut into time buckets as in label_points(), so points meet those of their bucket only.
+    """
+    dealt = windows.select(*KEY, "i", "ts", _bucket(F.col("ts"), bucket_seconds).alias("bucket"))
+    covered = dealt.join(_cut(intervals, bucket_seconds), ["series_key", "bucket"]).where("ts between a and b")
     return covered.groupBy(*KEY, "a", "b").agg(F.min("i").alias("first"), F.max("i").alias("last"))
 
 
