@@ -120,18 +120,18 @@ def _ids(column: pa.Array) -> tuple[bytes, bytes]:
     return np.asarray(column.fill_null(0), np.int64).tobytes(), np.asarray(column.is_null()).tobytes()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """Anchors by nearest centre, packed in blocks; each anchor gets a number of its own."""
     part, number = TaskContext.get().partitionId() << 40, 0
-    for batch in _runs(batches, 16 * BLOCK_ROWS):
+    for batch in _runs(batches, 16 * size):
         m = _matrix(batch.column(2))
         angle = _angles(_unit(m)[0], centres)
         near = angle.argmin(axis=1)
         out = []
         for c in np.unique(near).tolist():
             own = np.flatnonzero(near == c)
-            for at in range(0, len(own), BLOCK_ROWS):
-                rows = own[at : at + BLOCK_ROWS]
+            for at in range(0, len(own), size):
+                rows = own[at : at + size]
                 some = batch.take(pa.array(rows))
                 ids, no_id = _ids(some.column(0))
                 width, item, data = _packed(m[rows])
@@ -140,12 +140,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.float64(), *[pa.binary()] * 4, pa.int32(), pa.int32(), pa.binary()), strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
 
 
-def _shards(batches: Iterator[pa.RecordBatch], centres: np.ndarray, spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], centres: np.ndarray, spread: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """Rows packed in shards, each with its greatest bound (less the anchor's norm) for every cluster."""
     part, number = TaskContext.get().partitionId() << 32, 0
     names = ["shard", "n", "ids", "no_id", "labels", "width", "item", "data", "bounds"]
     kind = pa.list_(pa.struct([("cluster", pa.int32()), ("angle", pa.float64()), ("most", pa.float64())]))
-    for batch in _runs(batches, SHARD_ROWS):
+    for batch in _runs(batches, size):
         m = _matrix(batch.column(2))
         bound = bounds(m, centres, spread)
         each = [{"cluster": c, "angle": float(spread[c]), "most": float(bound[:, c].max())} for c in range(len(centres)) if spread[c] >= 0]
@@ -185,18 +185,19 @@ class List:
 class Walk:
     """The members of a block of anchors on a list, and what each member keeps."""
 
-    def __init__(self, anchors: np.ndarray, labels: np.ndarray, rows: List) -> None:
+    def __init__(self, anchors: np.ndarray, labels: np.ndarray, rows: List, step: int = STEP) -> None:
         self.anchors, self.own, self.norm, self.list = anchors, labels, _unit(anchors)[1], rows
+        self.step = step
         self.walked = np.zeros(len(anchors), np.int64)
 
     def steps(self, floor: np.ndarray) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
         """(members still walking, places of the list, their scores). A member stops when the bound of the next place
         times its norm is below floor[member], which the caller raises meanwhile."""
-        for at in range(0, len(self.list.bound), STEP):
+        for at in range(0, len(self.list.bound), self.step):
             going = np.flatnonzero(self.norm * self.list.bound[at] >= floor)
             if not len(going):
                 return
-            part = slice(at, min(at + STEP, len(self.list.bound)))
+            part = slice(at, min(at + self.step, len(self.list.bound)))
             self.walked[going] += part.stop - at
             yield going, part, products(self.anchors[going], self.list.m[part])
 
@@ -244,7 +245,7 @@ class Walk:
 FOUND = "block long, anchor long, anchor_id long, no_anchor_id boolean, own long, place int, id long, score long, walked long"
 
 
-def _walks(batches: Iterator[pa.RecordBatch], centres: np.ndarray, spread: np.ndarray, k: int, percent: int | None) -> Iterator[pa.RecordBatch]:
+def _walks(batches: Iterator[pa.RecordBatch], centres: np.ndarray, spread: np.ndarray, k: int, percent: int | None, step: int) -> Iterator[pa.RecordBatch]:
     """Every pair of block and shard walked: the members' best rows of the same label, or with `percent` their best
     rows of other labels for each positive (place: which of them)."""
     shard, lists = None, {}
@@ -258,7 +259,7 @@ def _walks(batches: Iterator[pa.RecordBatch], centres: np.ndarray, spread: np.nd
                 m = _unpacked(get("s_n"), get("s_width"), get("s_item"), get("s_data"))
                 lists[c] = List(m, np.frombuffer(get("s_ids"), np.int64), np.frombuffer(get("s_no_id"), bool), np.frombuffer(get("s_labels"), np.int64), bounds(m, centres[c : c + 1], spread[c : c + 1])[:, 0])
             anchors, rows = _unpacked(n, get("width"), get("item"), get("data")), np.frombuffer(get("rows"), np.int64).tolist()
-            walk = Walk(anchors, np.frombuffer(get("labels"), np.int64), lists[c])
+            walk = Walk(anchors, np.frombuffer(get("labels"), np.int64), lists[c], step)
             known = {x["anchor"]: x["scores"] for x in get("known") or []}
             if percent is None:
                 kept = walk.positives(k, np.array([known.get(r, [-np.inf])[0] for r in rows], float))
@@ -292,10 +293,11 @@ def _met(pairs: DataFrame, blocks: DataFrame, shards: DataFrame, known: DataFram
 
 
 def _mined(blocks: DataFrame, shards: DataFrame, centres: np.ndarray, spread: np.ndarray, positives: int, negatives: int, percent: int) -> DataFrame:
+    step = STEP
     k = positives + 1  # the anchor itself is among the rows of its label
 
     def walk(pairs: DataFrame, known: DataFrame | None, keep: int, share: int | None) -> DataFrame:
-        return _met(pairs, blocks, shards, known).mapInArrow(lambda b: _walks(b, centres, spread, keep, share), FOUND)
+        return _met(pairs, blocks, shards, known).mapInArrow(lambda b: _walks(b, centres, spread, keep, share, step), FOUND)
 
     lists = shards.select("shard", F.explode("bounds").alias("x")).select("shard", "x.cluster", "x.most")
     lists = lists.withColumn("turn", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("most"), "shard")))
@@ -342,12 +344,13 @@ def hard_negatives(rows: DataFrame, anchor: Column, key: str = "vec_id", label:
     centres = _centres(anchors, clusters)
     if not len(centres):
         return rows.sparkSession.createDataFrame([], RESULT)
-    blocks = stored(anchors.mapInArrow(lambda b: _blocks(b, centres), BLOCK), "anchor-blocks")
+    block_rows, shard_rows = BLOCK_ROWS, SHARD_ROWS
+    blocks = stored(anchors.mapInArrow(lambda b: _blocks(b, centres, block_rows), BLOCK), "anchor-blocks")
     spread = np.full(len(centres), -1.0)
     for r in blocks.groupBy("cluster").agg(F.max("spread").alias("s")).collect():  # at most a row a cluster
         spread[r.cluster] = r.s
 
     celled = base.select("id", "label", "vec").mapInArrow(lambda b: _celled(b, centres), "id long, label long, vec array<long>, cell int")
     dealt = celled.repartitionByRange("cell", "id").sortWithinPartitions("cell").drop("cell")  # neighbours lie in one shard
-    shards = stored(dealt.mapInArrow(lambda b: _shards(b, centres, spread), SHARD), "shards")
+    shards = stored(dealt.mapInArrow(lambda b: _shards(b, centres, spread, shard_rows), SHARD), "shards")
     return _mined(blocks, shards, centres, spread, positives, negatives, percent)

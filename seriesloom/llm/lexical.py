@@ -24,7 +24,7 @@ from .tokens import chunks
 
 #: Bytes of items' texts whose terms go to the tasks at once; more items are searched in further rounds.
 ITEM_BYTES = 4 << 20
-#: Documents whose accumulators are in memory at once, but for those of one segment.
+#: Documents whose accumulators are in memory at once, and documents of a segment at most.
 ACCUMULATORS = 1 << 15
 #: One in this many segments is searched first, for the floors.
 SEED_PARTS = 16
@@ -51,8 +51,8 @@ def _list(values) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, 1):
+def _segments(batches: Iterator[pa.RecordBatch], vocabulary: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    for batch in (chunk.slice(at, most) for chunk in chunks(batches, 1) for at in range(0, chunk.num_rows, most)):
         lists = term_lists(batch.column(1))
         flat, ends = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
         doc = np.repeat(np.arange(len(lists)), np.diff(ends))
@@ -126,7 +126,7 @@ def _best(keys: pa.Array, scores: np.ndarray, k: int) -> tuple[pa.Array, np.ndar
     return keys.take(order), scores[np.asarray(order)]
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, np.ndarray]], weights: np.ndarray, documents: int, words: int, k: int, floors: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, np.ndarray]], weights: np.ndarray, documents: int, words: int, k: int, floors: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
     """Each item's best documents of this task: item (its number), i (its key), k, score."""
     floors = floors.copy()
     held: list[tuple[pa.Array, np.ndarray]] = [(pa.array([], pa.int64()), np.zeros(0, np.int64)) for _ in items]
@@ -145,7 +145,7 @@ def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int | None, np.
     for b in batches:
         for i in range(b.num_rows):
             row = (b.column(0)[i].values, *[_np(b.column(c), i) for c in range(1, 6)])
-            if rows and size + len(row[0]) > ACCUMULATORS:
+            if rows and size + len(row[0]) > most:
                 take(rows)
                 rows, size = [], 0
             rows.append(row)
@@ -181,8 +181,8 @@ def _one_block(rows: DataFrame, block: list[tuple[int | None, list[str]]], k: in
     words_of = sorted({t for _, terms in block for t in terms})
     if not words_of:
         return None
-    vocabulary = pa.array(words_of, pa.string())
-    segments = stored(rows.mapInArrow(lambda b: _segments(b, vocabulary), SEGMENT), "segments")
+    vocabulary, most = pa.array(words_of, pa.string()), ACCUMULATORS
+    segments = stored(rows.mapInArrow(lambda b: _segments(b, vocabulary, most), SEGMENT), "segments")
     one = segments.agg(F.sum(F.size(F.filter("sizes", lambda n: n > 0))).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)).alias("l")).first()
     documents, words = int(one.n or 0), int(one.l or 0)
     held = segments.select(F.explode(F.arrays_zip("terms", "dfs")).alias("p")).groupBy("p.terms").agg(F.sum("p.dfs").alias("df"))
@@ -195,7 +195,7 @@ def _one_block(rows: DataFrame, block: list[tuple[int | None, list[str]]], k: in
     asked = list(zip([i for i, _ in block], terms, strict=True))
 
     def search(part: DataFrame, floors: np.ndarray) -> DataFrame:
-        return part.mapInArrow(lambda b: _search(b, asked, weights, documents, words, k, floors), "item int, i long, k long, score long")
+        return part.mapInArrow(lambda b: _search(b, asked, weights, documents, words, k, floors, most), "item int, i long, k long, score long")
 
     floors = np.zeros(len(block), np.int64)
     seed = search(segments.where(F.pmod(F.xxhash64("keys"), F.lit(SEED_PARTS)) == 0), floors)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seriesloom.llm import best_fit, hard_negatives, lexical, queries, tokens
+from seriesloom.llm import best_fit, hard_negatives, lexical, queries
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
@@ -182,7 +182,6 @@ def test_terms():
 def test_search_matches_brute_force(spark, monkeypatch, parts, accumulators, item_bytes):
     monkeypatch.setattr(lexical, "ACCUMULATORS", accumulators)
     monkeypatch.setattr(lexical, "ITEM_BYTES", item_bytes)
-    monkeypatch.setattr(tokens, "CHUNK_BYTES", 1500)
     monkeypatch.setattr(lexical, "SEED_PARTS", 2)
     rng = random.Random(parts)
     words = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(3000)]
