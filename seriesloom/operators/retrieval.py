@@ -1,8 +1,8 @@
 """Retrieval ranks and span grounding from embeddings.
 
-Similarities are computed block by block: both sides are dealt into blocks of bounded size, every query block meets
-every candidate block through an equality join on the block's number, and a matrix product per pair leaves only what
-a rank needs (the best positive, the number above it), never the similarities themselves.
+Searches run over metric indexes (operators.vectors): pairs of blocks whose bounds show that they cannot change a result
+are not looked at, and a pair that is looked at leaves only what a result needs (a best candidate, a number above it,
+a short list), never the similarities themselves.
 """
 
 from __future__ import annotations
@@ -14,7 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+from ..sources.scratch import stored
+from .vectors import SAME, block_pairs, met, metric_index, nearest_pairs, sides, unit_rows
+
+#: Positive pairs a query up to which they are compared one by one; beyond, block by block.
+FEW_POSITIVES = 64
+#: Blocks whose candidates give a short list's first floors.
+HEAD = 2
 
 
 def normalized(vec: Column) -> Column:
@@ -23,55 +29,93 @@ def normalized(vec: Column) -> Column:
     return F.transform(vec, lambda x: x / norm)
 
 
-def _dealt(side: DataFrame, name: str, extra: list[str], blocks: int) -> DataFrame:
-    own = side.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias(f"{name}_block"), F.struct("id", "group_key", normalized(F.col("vec").cast("array<double>")).alias("vec"), *extra).alias("x"))
-    return own.groupBy(f"{name}_block").agg(F.collect_list("x").alias(name))
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+
+def _best_by_pair(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """id, sim, at: each query's best candidate of its group, from an equality join on the group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _batch(["id", "at", "sim"], b.column(0), b.column(1), np.einsum("ij,ij->i", unit_rows(b.column(2)), unit_rows(b.column(3))))
+
+    queries, candidates = (df.where(F.col("vec").isNotNull()) for df in (queries, candidates))
+    pairs = queries.select("id", "group_key", "vec").join(candidates.select(F.col("id").alias("at"), "group_key", F.col("vec").alias("other")), "group_key")
+    return pairs.select("id", "at", "vec", "other").mapInArrow(run, "id long, at long, sim double")
+
 
+def _best_by_block(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """As _best_by_pair(), for large groups: only blocks that share a group meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, q, c, sim in sides(batches):
+            sim = np.where(q.groups[:, None] == c.groups[None, :], sim, -np.inf)
+            best = sim.max(axis=1)
+            at = np.where(sim >= best[:, None] - SAME, c.ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+            known = np.isfinite(best)
+            yield _batch(["id", "at", "sim"], q.ids[known], at[known], best[known])
 
-def block_pairs(queries: DataFrame, candidates: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """q and c: arrays of (id, group_key, vec) of every pair of blocks. Blocks hold about BLOCK vectors."""
-    count = lambda df: max(1, -(-df.count() // BLOCK))
-    nq, nc = count(queries), count(candidates)
-    left = _dealt(queries, "q", extra or [], nq).withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))).withColumn("c_block", F.col("c_block").cast("long"))
-    return left.join(_dealt(candidates, "c", [], nc), "c_block").select("q", "c")
+    def groups(df: DataFrame, name: str) -> DataFrame:
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    each = np.unique(np.frombuffer(b.column(1)[i].as_py(), np.int64))
+                    yield _batch([name, "grp"], np.full(len(each), b.column(0)[i].as_py(), np.int64), each)
 
+        return df.select("block", "groups").mapInArrow(own, f"{name} long, grp long")
 
-def _side(column: pa.Array, i: int) -> tuple[np.ndarray, list, np.ndarray, pa.StructArray]:
-    rows = column[i].values
-    vec = rows.field("vec").combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows.field("vec")
-    return np.asarray(rows.field("id")), np.asarray(rows.field("group_key").to_pylist(), object), np.asarray(vec.flatten()).reshape(len(rows), -1), rows
+    left, right = metric_index(queries, by_group=True), metric_index(candidates, by_group=True)
+    pairs = groups(left, "q").join(groups(right, "c"), "grp").select("q", "c").distinct()
+    return met(pairs, left, right).mapInArrow(run, "id long, at long, sim double")
+
+
+def rank_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pairs of blocks of two indexes, queries with known similarities, with what their bounds say: none (no candidate
+    is above any query's known one), all (all are), look."""
+    kind = F.when(F.col("most") < F.col("q_low") - SAME, "none").when(F.col("least") > F.col("q_high") + SAME, "all").otherwise("look")
+    return block_pairs(queries, candidates).withColumn("kind", kind)
 
 
 def first_positive_rank(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per query (id, group_key, vec long/any/array): rank of its first candidate of the same group, candidates + 1
-    if there is none. Equal similarities are ordered by candidate id."""
+    """Per query (id, group_key, vec): rank of its first candidate of the same group, candidates + 1 if there is none.
+    Ids are unique. Similarities within 1e-12 are equal and ordered by candidate id.
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                (qi, qg, qv, _), (ci, cg, cv, _) = _side(b.column(0), i), _side(b.column(1), i)
-                order = np.argsort(ci)
-                ci, cg, cv = ci[order], cg[order], cv[order]
-                sim = np.where(qg[:, None] == cg[None, :], qv @ cv.T, -np.inf)
-                at = sim.argmax(axis=1)
-                found = sim[np.arange(len(qi)), at]
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(found, mask=np.isinf(found)), pa.array(ci[at], mask=np.isinf(found))], ["id", "sim", "at"])
+    The best positive comes from the pairs of a group; the candidates above it from one pass over the pairs of blocks
+    that bounds leave open. A query's own positive is told by its id, not by comparing similarities.
+    """
 
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                (qi, _, qv, rows), (ci, _, cv, _) = _side(b.column(0), i), _side(b.column(1), i)
-                sim, best_sim = qv @ cv.T, np.asarray(rows.field("sim").to_pylist(), float)
-                at = np.asarray([-1 if v is None else v for v in rows.field("at").to_pylist()])
-                count = ((sim > best_sim[:, None]) | ((sim == best_sim[:, None]) & (ci[None, :] < at[:, None]))).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(count)], ["id", "above"])
-
-    found = block_pairs(queries, candidates).mapInArrow(best, "id long, sim double, at long")
-    top = found.groupBy("id").agg(F.max(F.struct("sim", (-F.col("at")).alias("neg"))).alias("t")).select("id", F.col("t.sim").alias("sim"), (-F.col("t.neg")).alias("at"))
-    known = queries.join(top, "id")
-    counted = block_pairs(known, candidates, ["sim", "at"]).mapInArrow(above, "id long, above long").groupBy("id").agg(F.sum("above").alias("above"))
+        for _, q, c, sim in sides(batches):
+            apart = sim - q.sims[:, None]
+            count = (apart > SAME).sum(axis=1)
+            tied = np.abs(apart) <= SAME
+            for r in np.flatnonzero(tied.any(axis=1)):
+                count[r] += (c.ids[tied[r]] < q.ats[r]).sum() - (apart[r, c.ids == q.ats[r]] > SAME).sum()
+            yield _batch(["id", "above"], q.ids, count)
+
     total = candidates.count()
-    return known.join(counted, "id").select("id", F.when(F.col("sim").isNull(), F.lit(total + 1)).otherwise(F.col("above") + 1).cast("long").alias("rank"))
+    sizes = queries.groupBy("group_key").agg(F.count("*").alias("nq")).join(candidates.groupBy("group_key").agg(F.count("*").alias("nc")), "group_key")
+    work = sizes.agg(F.sum("nq").alias("q"), F.sum(F.col("nq").cast("double") * F.col("nc")).alias("pairs")).first()
+    few = (work.pairs or 0) <= FEW_POSITIVES * (work.q or 0)
+    found = stored((_best_by_pair if few else _best_by_block)(queries, candidates), "positives")
+    top = found.join(found.groupBy("id").agg(F.max("sim").alias("best")), "id").where(F.col("sim") >= F.col("best") - SAME)
+    top = top.groupBy("id").agg(F.max("best").alias("sim"), F.min("at").alias("at"))
+    left, right = metric_index(queries.select("id", "group_key", "vec").join(top, "id")), metric_index(candidates)
+    pairs = stored(rank_pairs(left, right), "block-pairs")
+    seen = met(pairs.where("kind = 'look'"), left, right).mapInArrow(above, "id long, above long").groupBy("id").agg(F.sum("above").alias("above"))
+    ids = left.select(F.col("block").alias("q"), "ids").mapInArrow(_members, "q long, id long")
+    whole = ids.join(pairs.where("kind = 'all'").groupBy("q").agg(F.sum("c_n").alias("whole")), "q").select("id", "whole")
+    ranks = top.select("id").join(seen, "id", "left").join(whole, "id", "left")
+    known = ranks.select("id", (F.coalesce("above", F.lit(0)) + F.coalesce("whole", F.lit(0)) + 1).alias("rank"))
+    return queries.select("id").join(known, "id", "left").select("id", F.coalesce("rank", F.lit(total + 1)).cast("long").alias("rank"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            ids = np.frombuffer(b.column(1)[i].as_py(), np.int64)
+            yield _batch(["q", "id"], np.full(len(ids), b.column(0)[i].as_py(), np.int64), ids)
 
 
 def rank_report(ranks: DataFrame) -> DataFrame:
@@ -80,22 +124,54 @@ def rank_report(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count("*").alias("queries"), at(1).alias("r1"), at(5).alias("r5"), at(10).alias("r10"), F.percentile("rank", F.lit(0.5)).alias("median"), F.avg("rank").alias("mean"), F.avg(1.0 / F.col("rank")).alias("mrr"))
 
 
-def shortlist(queries: DataFrame, candidates: DataFrame, count: int) -> DataFrame:
-    """The `count` most similar candidates of each query: id, candidate, sim, rank from 1; ties by candidate id."""
+def _shortlist(queries: DataFrame, candidates: DataFrame, count: int, by_group: bool) -> DataFrame:
+    """id, candidate (its id, or its group), sim: the `count` best of each query, from two rounds: the blocks nearest
+    to a block of queries give floors, then come the blocks that may hold something above them."""
+    left, right = metric_index(queries), metric_index(candidates, by_group)
+    pairs = stored(block_pairs(left, right), "block-pairs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                (qi, _, qv, _), (ci, _, cv, _) = _side(b.column(0), i), _side(b.column(1), i)
-                order = np.argsort(ci)
-                ci, cv = ci[order], cv[order]
-                sim = qv @ cv.T
-                top = np.argsort(-sim, axis=1, kind="stable")[:, :count]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, top.shape[1])), pa.array(ci[top].ravel()), pa.array(np.take_along_axis(sim, top, axis=1).ravel())], ["id", "candidate", "sim"])
-
-    each = block_pairs(queries, candidates).mapInArrow(run, "id long, candidate long, sim double")
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, q, c, sim in sides(batches):
+            names = c.ids
+            if by_group:  # the greatest similarity of each group in this block
+                order = np.argsort(c.groups, kind="stable")
+                names, begin = np.unique(c.groups[order], return_index=True)
+                sim = np.maximum.reduceat(sim[:, order], begin, axis=1)
+            else:
+                order = np.argsort(names, kind="stable")
+                names, sim = names[order], sim[:, order]
+            if 4 * count < len(names):  # whatever reaches the count-th value, then in order
+                kth = np.partition(sim, len(names) - count, axis=1)[:, len(names) - count]
+                row, col = np.nonzero(sim >= kth[:, None])
+            else:
+                row, col = np.divmod(np.arange(sim.size), len(names))
+            order = np.lexsort((col, -sim[row, col], row))
+            row, col = row[order], col[order]
+            turn = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[turn < count], col[turn < count]
+            yield _batch(["q", "id", "candidate", "sim"], np.full(len(row), block, np.int64), q.ids[row], names[col], sim[row, col])
+
+    schema = "q long, id long, candidate long, sim double"
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "candidate")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        if by_group:  # a group may lie in several blocks
+            found = found.groupBy("q", "id", "candidate").agg(F.max("sim").alias("sim"))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
+
+    first = nearest_pairs(pairs, HEAD, F.col("most"))
+    heads = stored(met(first, left, right).mapInArrow(best, schema), "first-lists")
+    floors = ranked(heads).where(F.col("rank") == count).groupBy("q").agg(F.min("sim").alias("floor"), F.count("*").alias("full"))
+    size = left.select(F.col("block").alias("q"), F.col("n").alias("q_n"))
+    open_ = pairs.join(first.select("q", "c"), ["q", "c"], "left_anti").join(size, "q").join(floors, "q", "left")
+    useless = (F.col("full") == F.col("q_n")) & (F.col("most") < F.col("floor") - SAME)
+    rest = met(open_.where(~F.coalesce(useless, F.lit(False))), left, right).mapInArrow(best, schema)
+    return ranked(heads.unionByName(rest)).select("id", "candidate", "sim", "rank")
+
+
+def shortlist(queries: DataFrame, candidates: DataFrame, count: int) -> DataFrame:
+    """The `count` most similar candidates of each query: id, candidate, sim, rank from 1; ties by candidate id."""
+    return _shortlist(queries, candidates, count, by_group=False)
 
 
 def iou(a0: Column, a1: Column, b0: Column, b1: Column, inclusive: bool = False) -> Column:
@@ -107,19 +183,41 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column, inclusive: bool = False)
 
 
 def top_spans(scores: DataFrame, most: int, count: int) -> DataFrame:
-    """Per id the `count` spans of greatest mean score, up to `most` places long: rank, start, end (exclusive), score.
+    """Per id the `count` spans of greatest mean score, up to `most` places long: id, rank, start, end (exclusive), score.
 
-    scores: id, values (array of doubles). Ties go to the shorter, then the earlier span.
+    scores: id, values (array of doubles). Means are rounded to 12 digits; ties go to the shorter, then the earlier span.
+    Spans over a null or NaN take no part. Cut a span of n places at any of its n - 1 inner places: one side has at
+    least its mean. So n - 1 shorter spans come before it, and the best `count` have at most `count` places: longer ones
+    are not formed. A list costs its length times min(most, count), and leaves `count` rows.
     """
-    sums = F.aggregate("values", F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    n = F.size("values")
-    ends = lambda s: F.transform(F.sequence(s + 1, F.least(s + most, n)), lambda e: F.struct(s.alias("start"), e.alias("end")))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), ends))
-    each = scores.where(n > 0).withColumn("ps", sums).select("id", "ps", F.explode(spans).alias("s"))
-    mean = (F.element_at("ps", F.col("s.end") + 1) - F.element_at("ps", F.col("s.start") + 1)) / (F.col("s.end") - F.col("s.start"))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), F.col("end") - F.col("start"), "start")
-    ranked = each.select("id", "s.start", "s.end", F.round(mean, 12).alias("score")).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= count)
+    reach = min(most, count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            size = np.diff(np.asarray(lists.offsets))
+            known = np.asarray(lists.is_valid())
+            for n in np.unique(size[known & (size > 0)]).tolist():
+                rows = np.flatnonzero(known & (size == n))
+                for part in np.array_split(rows, -(-len(rows) * n * reach // (1 << 21))):
+                    v = np.asarray(lists.take(pa.array(part)).flatten().cast(pa.float64()).fill_null(np.nan), float).reshape(len(part), n)
+                    total, means, width, start = v, [], [], []
+                    for k in range(1, min(reach, n) + 1):
+                        if k > 1:
+                            total = total[:, :-1] + v[:, k - 1 :]
+                        means.append(np.round(total / k, 12))
+                        width.append(np.full(n - k + 1, k))
+                        start.append(np.arange(n - k + 1))
+                    mean, width, start = np.concatenate(means, axis=1), np.concatenate(width), np.concatenate(start)
+                    order = np.argsort(-mean, axis=1, kind="stable")[:, :count]  # columns: shorter first, then earlier; NaN last
+                    row, rank = np.nonzero(~np.isnan(np.take_along_axis(mean, order, axis=1)))
+                    col = order[row, rank]
+                    begin = start[col]
+                    ids = b.column(0).take(pa.array(part[row]))
+                    yield _batch(["id", "rank", "start", "end", "score"], ids, rank.astype(np.int32) + 1, begin.astype(np.int32), (begin + width[col]).astype(np.int32), mean[row, col])
+
+    kind = scores.schema["id"].dataType.simpleString()
+    return scores.select("id", F.col("values").cast("array<double>")).mapInArrow(run, f"id {kind}, rank int, start int, end int, score double")
 
 
 def pointing(scores: DataFrame, truth: DataFrame) -> DataFrame:
@@ -141,12 +239,21 @@ def span_recall(spans: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5)
 def patch_scores(queries: DataFrame, patches: DataFrame) -> DataFrame:
     """Dot products of each query's vector with the patches of its series: id, series, values in order of patch.
 
-    queries: id, series, vec; patches: series, patch, vec.
+    queries: id, series, vec; patches: series, patch, vec. A series' patches travel as one packed row.
     """
-    dot = F.aggregate(F.zip_with("qv", "pv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    joined = queries.select("id", "series", normalized(F.col("vec").cast("array<double>")).alias("qv")).join(patches.select("series", "patch", normalized(F.col("vec").cast("array<double>")).alias("pv")), "series")
-    lists = joined.select("id", "series", "patch", dot.alias("s")).groupBy("id", "series").agg(F.array_sort(F.collect_list(F.struct("patch", "s"))).alias("p"))
-    return lists.select("id", "series", F.col("p.s").alias("values"))
+
+    def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q, lists = unit_rows(b.column(2)), b.column(3)
+            ends = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+            p = unit_rows(lists.flatten())
+            each = np.einsum("ij,ij->i", np.repeat(q, np.diff(ends), axis=0), p)
+            yield _batch(["id", "series", "values"], b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(each)))
+
+    queries, patches = (df.where(F.col("vec").isNotNull()) for df in (queries, patches))
+    whole = patches.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("patch", F.col("vec").cast("array<double>").alias("vec")))).alias("p"))
+    joined = queries.select("id", "series", F.col("vec").cast("array<double>").alias("vec")).join(whole.select("series", F.col("p.vec").alias("p")), "series")
+    return joined.select("id", "series", "vec", "p").mapInArrow(dots, "id long, series long, values array<double>")
 
 
 def corpus_grounding(queries: DataFrame, series: DataFrame, patches: DataFrame, near: int = 50, most: int = 32, count: int = 5) -> DataFrame:
@@ -162,20 +269,8 @@ def corpus_grounding(queries: DataFrame, series: DataFrame, patches: DataFrame,
 
 def best_patch_shortlist(queries: DataFrame, patches: DataFrame, count: int) -> DataFrame:
     """The `count` series of greatest single patch similarity: id, series, sim, rank. Patches: id, group_key (the
-    series), vec."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                (qi, _, qv, _), (_, cg, cv, _) = _side(b.column(0), i), _side(b.column(1), i)
-                names, place = np.unique(cg.astype(np.int64), return_inverse=True)
-                top = np.full((len(qi), len(names)), -np.inf)
-                np.maximum.at(top.T, place, (qv @ cv.T).T)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, len(names))), pa.array(np.tile(names, len(qi))), pa.array(top.ravel())], ["id", "series", "sim"])
-
-    each = block_pairs(queries, patches).mapInArrow(run, "id long, series long, sim double").groupBy("id", "series").agg(F.max("sim").alias("sim"))
-    order = Window.partitionBy("id").orderBy(F.desc("sim"), "series")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
+    series, a number), vec. A pair of blocks leaves at most `count` series a query."""
+    return _shortlist(queries, patches, count, by_group=True).withColumnRenamed("candidate", "series")
 
 
 def span_embedding(spans: DataFrame, patches: DataFrame) -> DataFrame:

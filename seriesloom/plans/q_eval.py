@@ -121,24 +121,29 @@ def v_patches(spark, d):
 PATCH = EMB + ", pt AS (SELECT id // 10 AS series, CAST(id % 10 AS INT) AS patch, v FROM emb)"
 
 
-@query("r10_within_series", f"WITH {PATCH}, sc AS (SELECT q.id, p.patch, round(list_inner_product(q.v, p.v), 9) AS s FROM emb q JOIN pt p ON p.series = q.id // 10 WHERE q.id % 10 = 3) SELECT id, arg_max(patch, (s, -patch)) AS place, round(max(s), 8) AS score FROM sc GROUP BY id")
+@query("r10_within_series", f"WITH {PATCH}, sc AS (SELECT q.id, p.patch, round(list_inner_product(q.v, p.v), 9) AS s FROM emb q JOIN pt p ON p.series = q.id // 10) SELECT id, arg_max(patch, (s, -patch)) AS place, round(max(s), 8) AS score FROM sc GROUP BY id")
 def r10(spark, d):
-    q = table(spark, d, "embeddings").where("vec_id % 10 = 3").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("series"), F.col("embedding").cast("array<double>").alias("vec"))
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("series"), F.col("embedding").cast("array<double>").alias("vec"))
     best = r.top_spans(r.patch_scores(q, v_patches(spark, d)).select("id", "values"), 1, 1)
     return best.select("id", F.col("start").alias("place"), F.round("score", 8).alias("score"))
 
 
 def v_series(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id % 10 = 0")
-    return e.select(F.floor(F.col("vec_id") / 10).alias("id"), F.lit(0).cast("long").alias("group_key"), F.col("embedding").cast("array<double>").alias("vec"))
+    """A series' vector: the mean of its patches."""
+    each = v_patches(spark, d).select("series", F.posexplode("vec").alias("dim", "x")).groupBy("series", "dim").agg(F.avg("x").alias("x"))
+    vec = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"])
+    return each.groupBy("series").agg(vec.alias("vec")).select(F.col("series").alias("id"), F.lit(0).cast("long").alias("group_key"), "vec")
 
 
 def v_queries(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id % 10 = 7")
+    e = table(spark, d, "embeddings").where("vec_id % 100 = 0")
     return e.select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("group_key"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-@query("r11_corpus_grounding", f"""WITH {PATCH}, sh AS (SELECT q.id, c.id // 10 AS series FROM emb q JOIN emb c ON q.id % 10 = 7 AND c.id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, c.v) DESC, c.id) <= {NEAR}),
+SERIES = "sd AS (SELECT id // 10 AS series, unnest(range(64)) AS dim, unnest(v) AS x FROM e0), sm AS (SELECT series, dim, avg(x) AS x FROM sd GROUP BY ALL), sv AS (SELECT series, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-8)) AS v FROM (SELECT series, list(x ORDER BY dim) AS v FROM sm GROUP BY series))"
+
+
+@query("r11_corpus_grounding", f"""WITH {PATCH}, {SERIES}, sh AS (SELECT q.id, c.series FROM emb q JOIN sv c ON q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, c.v) DESC, c.series) <= {NEAR}),
  sc AS (SELECT sh.id, sh.series, p.patch, round(list_inner_product(q.v, p.v), 12) AS s FROM sh JOIN emb q ON q.id = sh.id JOIN pt p ON p.series = sh.series), b AS (SELECT id, series, max(s) AS score FROM sc GROUP BY ALL)
  SELECT id, series, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, series) AS INT) AS rank, round(score, 9) AS score FROM b QUALIFY rank <= {KEEP}""")
 def r11(spark, d):
@@ -146,7 +151,7 @@ def r11(spark, d):
     return g.select("id", "series", "rank", F.round("score", 9).alias("score"))
 
 
-@query("r12_best_patch_shortlist", f"WITH {PATCH}, sc AS (SELECT q.id, p.series, max(list_inner_product(q.v, p.v)) AS sim FROM emb q JOIN pt p ON q.id % 10 = 7 GROUP BY ALL) SELECT id, series, round(sim, 9) AS sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, series) AS INT) AS rank FROM sc QUALIFY rank <= 5")
+@query("r12_best_patch_shortlist", f"WITH {PATCH}, sc AS (SELECT q.id, p.series, max(list_inner_product(q.v, p.v)) AS sim FROM emb q JOIN pt p ON q.id % 100 = 0 GROUP BY ALL) SELECT id, series, round(sim, 9) AS sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, series) AS INT) AS rank FROM sc QUALIFY rank <= 5")
 def r12(spark, d):
     patches = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("group_key"), F.col("embedding").cast("array<double>").alias("vec"))
     return r.best_patch_shortlist(v_queries(spark, d), patches, 5).withColumn("sim", F.round("sim", 9))

@@ -1,19 +1,5 @@
 """A folder that the driver and all executors can reach."""
 
-from __future__ import annotations
+from ..sources.scratch import shared_path
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir; a local session without it uses the temporary directory."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "seriesloom-shared")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["shared_path"]
