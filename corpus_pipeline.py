@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm.common import bound_batches, documents, stored
 from seriesloom.llm.exact_dedup import drop_duplicates
 from seriesloom.llm.mixing import mixed_texts
-from seriesloom.llm.neardup import near_duplicates
+from seriesloom.llm.neardup import drop_near_duplicates
 from seriesloom.llm.packing import pack
 from seriesloom.llm.toxicity import keep_clean, toxicity_chain
 
@@ -30,8 +30,7 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

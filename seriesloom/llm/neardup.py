@@ -2,14 +2,16 @@
 
 1. Each document becomes the set of its five-word shingles (64-bit hashes), the set's size and digest, and 128
    registers. A register keeps, of the least hash under its own multiplier, the number of leading zeros (6 bits)
-   and the 10 bits after the first one. Equal sets form one class, represented by its smallest id.
+   and the 10 bits after the first one. Equal sets form one class, which gets a number; a row is told by its locator,
+   so rows that repeat a key are apart.
 2. Four registers make a band of 64 bits; classes that agree on one of 32 bands are candidates (a pair at 0.75
    escapes all bands with probability 5e-6). In each bucket, every class is first paired with the bucket's
    smallest class only.
 3. Pairs whose estimate, corrected for chance collisions of compressed registers, is more than five standard
    errors below the threshold are dropped; the others are compared on their full sets.
 4. Components of the confirmed links. Buckets that still span several components are searched in blocks for
-   pairs across components, so that no link is lost because a bucket's smallest class was not similar.
+   pairs across components, so that no link is lost because a bucket's smallest class was not similar. Only then
+   do components take the smallest key of their rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import meet, stored
+from .common import PLACE, located, meet, stored
 from .graph import components
 
 SHINGLE, BANDS, ROWS = 5, 32, 4
@@ -108,7 +110,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(registers(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
         ends = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], ["id", "n", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, batch.column(2)], ["id", "n", "digest", "bands", "place"])
     _words.clear()
 
 
@@ -218,26 +220,23 @@ def _across(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row of `docs`: key, n_shingles, component_id (smallest key reachable by links), kept.
-
-    Two texts are linked if 100 * |intersection| >= percent * |union| of their shingle sets. A null or empty text
-    has no shingles and no links. Rows with a null key are not linked (component_id null, kept true). Rows that
-    repeat a key count as one document. Copies are never expanded into pairs; other columns are not read.
-    """
+def _near(docs: DataFrame, percent: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """`docs` with locators, and per row: own (its key), n, place (its locator), component (smallest key reachable),
+    kept_at (the locator of the component's row that stays); no component for a null key or an empty set."""
     threshold = percent / 100
-    rows = docs.select(docs[key].cast("long").alias("id"), docs[text].cast("string").alias("t"))
-    kinds = stored(rows.mapInArrow(_signatures, "id long, n long, digest binary, bands array<long>"), "signatures")
-    full = kinds.where("n > 0 and id is not null")
-    least = full.groupBy("digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    classes = stored(full.select("id", "digest", "n", "bands").join(least, ["id", "digest", "n"], "left_semi").dropDuplicates(["id"]), "classes")
+    places = located(docs)
+    rows = places.select(places[f"`{key}`"].cast("long").alias("own"), places[f"`{text}`"].cast("string").alias("t"), F.col(PLACE).alias("place"))
+    kinds = stored(rows.mapInArrow(_signatures, "own long, n long, digest binary, bands array<long>, place string"), "signatures")
+    full = kinds.where("n > 0 and own is not null")
+    least = full.groupBy("digest", "n").agg(F.min(F.struct("own", "place"))["place"].alias("place"), F.count("*").alias("copies"))
+    classes = stored(full.join(least.select("place", "copies"), "place").withColumn("id", F.monotonically_increasing_id()), "classes")
 
     keys = classes.select(F.col("id"), F.posexplode("bands").alias("band", "value")).select("id", "band", F.xxhash64("band", "value").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("size")).where("size > 1")
     buckets = stored(meet(keys, shared, ["bucket"], "size", "id"), "buckets")
 
-    ids = buckets.select("id").distinct()
-    bodies = rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    wanted = classes.select("id", "place").join(buckets.select("id").distinct(), "id", "left_semi")
+    bodies = rows.select("place", "t").join(wanted, "place").select("id", "t")
     sets = stored(bodies.mapInArrow(_sets, "id long, elements binary"), "sets")
     sized = classes.select("id", "n", "bands")
 
@@ -263,8 +262,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key:
 
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     found = components(links)
-    by_class = classes.select("digest", "n", "id").join(found.withColumnRenamed("node", "id"), "id").select("digest", "n", "component")
-    named = least.withColumnRenamed("id", "own").join(by_class, ["digest", "n"], "left").select("digest", "n", "copies", F.coalesce("component", "own").alias("component"))
-    linked = meet(full.select("id", "n", "digest"), named, ["digest", "n"], "copies", "id").select("id", "n", "component")
-    alone = kinds.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
+    by_class = classes.select("digest", "n", "copies", "own", "place", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = by_class.groupBy("component").agg(F.min(F.struct("own", "place")).alias("head"), F.count("*").alias("members"))
+    named = meet(by_class.drop("own", "place"), heads, ["component"], "members", "id").select("digest", "n", "copies", F.col("head.own").alias("component"), F.col("head.place").alias("kept_at"))
+    linked = meet(full.select("own", "n", "digest", "place"), named, ["digest", "n"], "copies", "place").select("own", "n", "place", "component", "kept_at")
+    alone = kinds.where("n = 0 or own is null").select("own", "n", "place", F.lit(None).cast("long").alias("component"), F.lit(None).cast("string").alias("kept_at"))
+    return places, linked.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per row of `docs`: key, n_shingles, component_id (smallest key reachable by links), kept.
+
+    Two texts are linked if 100 * |intersection| >= percent * |union| of their shingle sets. A null or empty text
+    has no shingles and no links. Rows with a null key are not linked (component_id null, kept true). Rows that
+    repeat a key have each the component of their own text; all rows whose key is the component's are marked kept
+    (drop_near_duplicates() leaves one). Copies are never expanded into pairs; an empty table gives no rows; other
+    columns are not read.
+    """
+    _, found = _near(docs, percent, text, key)
+    component = F.coalesce("component", "own")
+    return found.select(F.col("own").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("own"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of `docs` that stay, with all their columns: of each component exactly one, that of the smallest key (of
+    rows that share it, the one that lies first in the files); rows without a key or without words all stay."""
+    places, found = _near(docs, percent, text, key)
+    gone = found.where(F.col("place") != F.col("kept_at")).select(F.col("place").alias(PLACE))
+    return places.join(gone, PLACE, "left_anti").select(*[places[f"`{c}`"] for c in docs.columns])

@@ -306,6 +306,20 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_near_duplicates_by_text_not_by_key(spark, parts):
+    """Rows that share a key but not the text keep their own links, however the rows lie."""
+    base = [f"w{i}" for i in range(40)]
+    texts = {"a": base, "b": base[:39] + ["x"], "c": [f"v{i}" for i in range(40)], "d": [f"v{i}" for i in range(39)] + ["y"], "e": [f"u{i}" for i in range(30)]}
+    rows = [(1, "a"), (2, "b"), (2, "d"), (3, "c"), (3, "e"), (3, "e"), (4, "a"), (5, "e"), (None, "a")]
+    table = docs(spark, [(i, " ".join(texts[t]), t) for i, t in rows]).repartition(parts)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(table).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 3, True), (3, 3, True), (4, 1, False), (5, 3, False), (None, None, True)])
+    left = neardup.drop_near_duplicates(table)
+    assert left.columns == table.columns
+    assert Counter((r.doc_id, r.source) for r in left.collect()) == Counter([(1, "a"), (2, "d"), (3, "e"), (None, "a")])
+
+
 def test_estimates_are_close():
     rng = np.random.default_rng(0)
     errors = []
