@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import last_and_next
+
 #: Noise words of economic series names, removed in this order. Fixed values.
 NAME_NOISE = (
     r",\s*(Monthly|Quarterly|Annual|Daily|Weekly)",
@@ -25,7 +27,7 @@ def to_points(wide: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 def fill_series(points: DataFrame, keys: list[str], order: str = "t", value: str = "value", policy: str = "ffill_bfill_zero") -> DataFrame:
     """Fills gaps of a series. Policies: ffill_bfill_zero (last known, else next known, else 0), zero, drop.
 
-    Text that is no number and NaN count as gaps.
+    Text that is no number and NaN count as gaps. A long series is filled in buckets (operators.scan).
     """
     number = F.col(value) if dict(points.dtypes)[value] in ("double", "float") else F.expr(f"try_cast(`{value}` AS double)")
     clean = points.withColumn(value, F.when(~F.isnan(number), number))
@@ -33,10 +35,8 @@ def fill_series(points: DataFrame, keys: list[str], order: str = "t", value: str
         return clean.dropna(subset=[value])
     if policy == "zero":
         return clean.withColumn(value, F.coalesce(value, F.lit(0.0)))
-    w = Window.partitionBy(*keys).orderBy(order)
-    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return clean.withColumn(value, F.coalesce(before, after, F.lit(0.0)))
+    near, before, after = last_and_next(clean, keys, order, value)
+    return near.withColumn(value, F.coalesce(before, after, F.lit(0.0))).select(*points.columns)
 
 
 def fill_array(values: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.clean import fill_array
+from ..operators.scan import numbered
 
 # Names that a time column may have, in order of preference.
 TIME_NAMES = ("date", "datetime", "timestamp", "time", "Date", "Datetime", "Timestamp", "Time")
@@ -93,7 +94,7 @@ def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     path = F.regexp_replace(F.col("_metadata.file_path"), r"\\", "/")
     key = F.regexp_replace(path, r"^.*" + base.replace(".", r"\.") + "/", "")
     rows = parse_metric_rows(raw.select(key.alias("series_key"), "timestamp", "value")).drop("timestamp")
-    return rows.withColumn("t", (F.row_number().over(Window.partitionBy("series_key").orderBy("ts", "value")) - 1).cast("long"))
+    return numbered(rows, ["series_key"], ["ts", "value"])
 
 
 def parse_interval_map(rows: DataFrame, column: str) -> DataFrame:
