@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from .vectors import SAME, block_pairs, met, metric_index, nearest_pairs, sides, unit_rows
+from .vectors import SAME, block_pairs, folded, met, metric_index, nearest_pairs, unit_rows
 
 #: Positive pairs a query up to which they are compared one by one; beyond, block by block.
 FEW_POSITIVES = 64
@@ -48,13 +48,18 @@ def _best_by_pair(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 def _best_by_block(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """As _best_by_pair(), for large groups: only blocks that share a group meet."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, q, c, sim in sides(batches):
-            sim = np.where(q.groups[:, None] == c.groups[None, :], sim, -np.inf)
-            best = sim.max(axis=1)
-            at = np.where(sim >= best[:, None] - SAME, c.ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-            known = np.isfinite(best)
-            yield _batch(["id", "at", "sim"], q.ids[known], at[known], best[known])
+    def start(q):
+        return np.full(len(q.ids), -np.inf), np.full(len(q.ids), np.iinfo(np.int64).max)
+
+    def step(q, c, sim, state):
+        sim = np.where(q.groups[:, None] == c.groups[None, :], sim, -np.inf)
+        best = np.maximum(state[0], sim.max(axis=1))
+        at = np.where(sim >= best[:, None] - SAME, c.ids[None, :], np.iinfo(np.int64).max).min(axis=1)
+        return best, np.where(state[0] >= best - SAME, np.minimum(state[1], at), at)
+
+    def finish(_, q, state):
+        known = np.isfinite(state[0])
+        return _batch(["id", "at", "sim"], q.ids[known], state[1][known], state[0][known])
 
     def groups(df: DataFrame, name: str) -> DataFrame:
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +72,7 @@ def _best_by_block(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
     left, right = metric_index(queries, by_group=True), metric_index(candidates, by_group=True)
     pairs = groups(left, "q").join(groups(right, "c"), "grp").select("q", "c").distinct()
-    return met(pairs, left, right).mapInArrow(run, "id long, at long, sim double")
+    return met(pairs, left, right).mapInArrow(lambda b: folded(b, start, step, finish), "id long, at long, sim double")
 
 
 def rank_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -82,17 +87,19 @@ def first_positive_rank(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     Ids are unique. Similarities within 1e-12 are equal and ordered by candidate id.
 
     The best positive comes from the pairs of a group; the candidates above it from one pass over the pairs of blocks
-    that bounds leave open. A query's own positive is told by its id, not by comparing similarities.
+    that bounds leave open. That a pass computes a similarity a little differently is nothing above it.
     """
 
+    def step(q, c, sim, count):
+        apart = sim - q.sims[:, None]
+        count = count + (apart > SAME).sum(axis=1)
+        tied = np.abs(apart) <= SAME
+        for r in np.flatnonzero(tied.any(axis=1)):
+            count[r] += (c.ids[tied[r]] < q.ats[r]).sum()
+        return count
+
     def above(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, q, c, sim in sides(batches):
-            apart = sim - q.sims[:, None]
-            count = (apart > SAME).sum(axis=1)
-            tied = np.abs(apart) <= SAME
-            for r in np.flatnonzero(tied.any(axis=1)):
-                count[r] += (c.ids[tied[r]] < q.ats[r]).sum() - (apart[r, c.ids == q.ats[r]] > SAME).sum()
-            yield _batch(["id", "above"], q.ids, count)
+        return folded(batches, lambda q: np.zeros(len(q.ids), np.int64), step, lambda _, q, count: _batch(["id", "above"], q.ids, count))
 
     total = candidates.count()
     sizes = queries.groupBy("group_key").agg(F.count("*").alias("nq")).join(candidates.groupBy("group_key").agg(F.count("*").alias("nc")), "group_key")
@@ -130,26 +137,39 @@ def _shortlist(queries: DataFrame, candidates: DataFrame, count: int, by_group:
     left, right = metric_index(queries), metric_index(candidates, by_group)
     pairs = stored(block_pairs(left, right), "block-pairs")
 
+    def tops(row: np.ndarray, name: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if by_group:  # a group that lies in several blocks: its greatest
+            order = np.lexsort((-sim, name, row))
+            row, name, sim = row[order], name[order], sim[order]
+            new = np.concatenate(([True], (row[1:] != row[:-1]) | (name[1:] != name[:-1])))[: len(row)]
+            row, name, sim = row[new], name[new], sim[new]
+        order = np.lexsort((name, -sim, row))
+        row, name, sim = row[order], name[order], sim[order]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < count
+        return row[first], name[first], sim[first]
+
+    def step(q, c, sim, state):
+        order = np.argsort(c.groups if by_group else c.ids, kind="stable")
+        sim, names = sim[:, order], c.ids[order]
+        if by_group:  # the greatest similarity of each group in this block
+            names, begin = np.unique(c.groups[order], return_index=True)
+            sim = np.maximum.reduceat(sim, begin, axis=1)
+        if count < len(names):  # whatever reaches the count-th value
+            kth = np.partition(sim, len(names) - count, axis=1)[:, len(names) - count]
+            row, col = np.nonzero(sim >= kth[:, None])
+        else:
+            row, col = np.divmod(np.arange(sim.size), len(names))
+        return tops(*(np.concatenate(x) for x in zip(state, (row, names[col], sim[row, col]), strict=True)))
+
+    def start(q):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def finish(block, q, state):
+        row, name, sim = state
+        return _batch(["q", "id", "candidate", "sim"], np.full(len(row), block, np.int64), q.ids[row], name, sim)
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, q, c, sim in sides(batches):
-            names = c.ids
-            if by_group:  # the greatest similarity of each group in this block
-                order = np.argsort(c.groups, kind="stable")
-                names, begin = np.unique(c.groups[order], return_index=True)
-                sim = np.maximum.reduceat(sim[:, order], begin, axis=1)
-            else:
-                order = np.argsort(names, kind="stable")
-                names, sim = names[order], sim[:, order]
-            if 4 * count < len(names):  # whatever reaches the count-th value, then in order
-                kth = np.partition(sim, len(names) - count, axis=1)[:, len(names) - count]
-                row, col = np.nonzero(sim >= kth[:, None])
-            else:
-                row, col = np.divmod(np.arange(sim.size), len(names))
-            order = np.lexsort((col, -sim[row, col], row))
-            row, col = row[order], col[order]
-            turn = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col = row[turn < count], col[turn < count]
-            yield _batch(["q", "id", "candidate", "sim"], np.full(len(row), block, np.int64), q.ids[row], names[col], sim[row, col])
+        return folded(batches, start, step, finish)
 
     schema = "q long, id long, candidate long, sim double"
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "candidate")

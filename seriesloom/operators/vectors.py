@@ -8,7 +8,7 @@ rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ BLOCK, SAMPLE, CELLS, ROUNDS = 1024, 4096, 64, 5
 SLACK = 1e-6
 #: Similarities this close are equal.
 SAME = 1e-12
-#: Parts over which pairs of blocks are formed.
-SLOTS = 64
+#: Parts over which pairs of blocks are formed, and parts of the candidates of a query block.
+SLOTS, PARTS = 64, 8
 
 SCHEMA = "block long, n int, ids binary, groups binary, sims binary, ats binary, low double, high double, pivot array<double>, radius double, data binary"
 
@@ -119,9 +119,12 @@ def block_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def met(pairs: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs (q, c) with both blocks' contents: columns q_ and c_ of the index."""
+    """The pairs (q, c) with both blocks' contents: columns q_ and c_ of the index. The candidates of a query block are
+    dealt to PARTS parts, and the pairs of a block and part follow one another in one task."""
     side = lambda df, p: df.select(F.col("block").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "ids", "groups", "sims", "ats", "data")])
-    return pairs.select("q", "c").join(side(queries, "q"), "q").join(side(candidates, "c"), "c")
+    dealt = pairs.select("q", "c", F.pmod(F.xxhash64("c"), F.lit(PARTS)).cast("int").alias("part")).join(side(candidates, "c"), "c")
+    copies = side(queries, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return dealt.join(copies.hint("merge"), ["q", "part"])
 
 
 class Side:
@@ -133,12 +136,22 @@ class Side:
         self.vec = np.frombuffer(b.column(f"{p}_data")[i].as_py(), float).reshape(len(self.ids), -1)
 
 
-def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Side, Side, np.ndarray]]:
-    """(query block, its contents, the candidate block's, their products) of every pair."""
+def folded(batches: Iterator[pa.RecordBatch], start: Callable, step: Callable, finish: Callable) -> Iterator[pa.RecordBatch]:
+    """One result for each run of pairs of a query block: finish(block, its contents, state) after
+    state = step(contents, candidate block's contents, their products, state) over its pairs, from start(contents)."""
+    key, q, state = None, None, None
     for b in batches:
         for i in range(b.num_rows):
-            q, c = Side(b, i, "q"), Side(b, i, "c")
-            yield b.column("q")[i].as_py(), q, c, q.vec @ c.vec.T
+            new = (b.column("q")[i].as_py(), b.column("part")[i].as_py())
+            if new != key:
+                if key is not None:
+                    yield finish(key[0], q, state)
+                key, q = new, Side(b, i, "q")
+                state = start(q)
+            c = Side(b, i, "c")
+            state = step(q, c, q.vec @ c.vec.T, state)
+    if key is not None:
+        yield finish(key[0], q, state)
 
 
 def nearest_pairs(pairs: DataFrame, count: int, order: Column) -> DataFrame:
