@@ -6,13 +6,15 @@ of which a type fills its own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..sources.scratch import stored
 from . import corr as corr_ops
 from . import events, features
-from .windows import KEY, window_arrays
+from .features import EPS, window_features
+from .windows import KEY
 
 DATA = {
     "label": "string", "label_final": "string", "label_raw": "string", "kind": "string", "start_v": "double", "end_v": "double", "delta_pct": "double", "value": "double", "z": "double", "delta_pct_vs_mean": "double",
@@ -21,77 +23,95 @@ DATA = {
 ORDER = ("global_trend_label", "global_net_change", "ramp", "phase", "volatility_most_segment", "peak", "valley", "seasonality", "lagged_corr")
 
 
-def _claims(rows: DataFrame, claim: str, number=None, start=None, end=None, idx=None, **data) -> DataFrame:
+def _claim(claim: str, number=None, start=None, end=None, idx=None, **data) -> Column:
+    """A claim as a struct."""
     name = F.lit({"volatility_most_segment": "volatility", "lagged_corr": "corr"}.get(claim, claim))
     place = F.lit(0) if number is None else number
     whole = [F.lit(ORDER.index(claim) * 1000) + place, name if number is None else F.concat_ws("_", name, number.cast("string")), F.lit(claim)]
     spans = [F.lit(None) if c is None else c for c in (start, end, idx)]
     cells = [data.get(k, F.lit(None)).cast(t).alias(k) for k, t in DATA.items()]
-    return rows.select(*KEY, whole[0].cast("int").alias("ord"), whole[1].alias("id"), whole[2].alias("type"), *[s.cast("int").alias(n) for s, n in zip(spans, ("start", "end", "idx"), strict=True)], *cells)
+    return F.struct(whole[0].cast("int").alias("ord"), whole[1].alias("id"), whole[2].alias("type"), *[s.cast("int").alias(n) for s, n in zip(spans, ("start", "end", "idx"), strict=True)], *cells)
+
+
+def _claims(rows: DataFrame, claim: str, number=None, start=None, end=None, idx=None, **data) -> DataFrame:
+    return rows.select(*KEY, _claim(claim, number, start, end, idx, **data).alias("c")).select(*KEY, "c.*")
+
+
+def _lag_claims(variables: list[str], least: float = 0.3, count: int = 3) -> Column:
+    """The `count` greatest correlations of a window at or above `least`, as corr.kept_correlations() ranks them."""
+    names = F.array(*[F.lit(v) for v in variables])
+    found = F.transform("lags", lambda c: F.struct((-F.abs(c["corr"])).alias("o"), F.element_at(names, c["var"] + 1).alias("name"), c.alias("c"), corr_ops.is_stable(c).alias("stable")))
+    kept = F.slice(F.array_sort(F.filter(found, lambda x: F.abs(x["c"]["corr"]) >= least)), 1, count)
+    return F.transform(kept, lambda x, i: _claim("lagged_corr", i, var=x["name"], corr=x["c"]["corr"], lag=x["c"]["lag"], stable=x["stable"]))
 
 
-def build_claims(windows: DataFrame, variables: list[str] = ()) -> DataFrame:
-    """All claims of windows (value: the target; `variables`: columns to correlate with it)."""
-    size = windows.groupBy(*KEY).agg(F.max("n").alias("n"))
+def build_claims(windows: DataFrame, variables: list[str] = (), known: DataFrame | None = None) -> DataFrame:
+    """All claims of windows (value: the target; `variables`: columns to correlate with it).
+
+    Claims about a whole window come from its row of features.window_features() (`known`, if the caller has them
+    stored), exploded once; ramps, phases and extremes from the windows' points. Without `known`, the windows' points are
+    stored first, so that they are formed once.
+    """
+    if known is None:
+        windows = stored(windows.select(*KEY, "w_end", "n", "i", "value", *variables), "windows")
+        known = window_features(windows, list(variables))
     last = F.col("n") - 1
-    trend = features.global_trend(features.trend_segments(windows)).join(size, KEY)
-    net = features.net_change(windows).join(size, KEY)
-    vol = features.volatility(windows).join(features.volatility_label(windows), KEY).join(size, KEY)
+    whole = F.array(
+        _claim("global_trend_label", None, F.lit(0), last, label=F.col("trend")),
+        _claim("global_net_change", None, F.lit(0), last, start_v=F.col("start_v"), end_v=F.col("end_v"), delta_pct=F.col("delta_pct")),
+        _claim("volatility_most_segment", None, F.lit(0), last, label=F.col("volatility"), most=F.col("most")),
+        _claim("seasonality", None, F.lit(0), last, has=F.col("season.has") & F.col("season.period").isNotNull(), period=F.col("season.period"), strength=F.col("season.strength")),
+    )
+    if variables:
+        whole = F.concat(whole, _lag_claims(list(variables)))
     tops = events.top_events(events.thin(events.extrema(windows)))
-    season = window_arrays(windows, ["value"]).withColumn("s", kernels.season("value"))
+    number, z = F.col("rank"), {"value": F.col("value"), "z": F.col("z"), "delta_pct_vs_mean": F.col("delta_pct")}
+    extreme = F.when(F.col("kind") == "peak", _claim("peak", number, idx=F.col("i"), **z)).otherwise(_claim("valley", number, idx=F.col("i"), **z))
     parts = [
-        _claims(trend, "global_trend_label", None, F.lit(0), last, label=F.col("trend")),
-        _claims(net, "global_net_change", None, F.lit(0), last, start_v=F.col("start_v"), end_v=F.col("end_v"), delta_pct=F.col("delta_pct")),
+        known.select(*KEY, F.inline(whole)),
         _claims(r := events.ramps(windows), "ramp", r["rank"], r["start"], r["end"], kind=r["kind"], delta_pct=r["delta_pct"]),
         _claims(p := events.phases(windows), "phase", p["phase"], p["start"], p["end"], **{c: p[c] for c in ("label", "start_v", "end_v", "delta_pct", "min_v", "max_v", "std")}),
-        _claims(vol, "volatility_most_segment", None, F.lit(0), last, label=F.col("volatility"), most=F.col("most")),
-        *[_claims(tops.where(F.col("kind") == k), k, F.col("rank"), idx=F.col("i"), value=F.col("value"), z=F.col("z"), delta_pct_vs_mean=F.col("delta_pct")) for k in ("peak", "valley")],
-        _claims(season, "seasonality", None, F.lit(0), last, has=F.col("s.has") & F.col("s.period").isNotNull(), period=F.col("s.period"), strength=F.col("s.strength")),
+        tops.select(*KEY, extreme.alias("c")).select(*KEY, "c.*"),
     ]
-    if variables:
-        kept = corr_ops.kept_correlations(corr_ops.with_stability(corr_ops.best_lags(windows, "value", list(variables))))
-        parts.append(_claims(kept, "lagged_corr", F.col("rank"), **{c: F.col(c) for c in ("var", "corr", "lag", "stable")}))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def validate_claims(claims: DataFrame, windows: DataFrame, variables: list[str] = ()) -> DataFrame:
+def validate_claims(claims: DataFrame, windows: DataFrame, variables: list[str] = (), known: DataFrame | None = None) -> DataFrame:
     """Adds ok, reason and evidence (the recomputed number or word, as text) by recomputing each claim from the points.
 
     Tolerances: net change 1 point, ramps and phases 2, z 0.2, period 1, correlation 0.05. Seasonality is checked by
-    autocorrelation alone, so a period that only the spectrum shows does not pass.
+    autocorrelation alone, so a period that only the spectrum shows does not pass. A claim meets its window's row of
+    features.window_features() (`known`, if the caller has them stored) in one join.
     """
-    points = features.with_z(windows).select(*KEY, "i", "value", "z", "scale")
-    at = lambda name: points.select(*KEY, F.col("i").alias(name), F.col("value").alias(f"_{name}_v"), F.col("z").alias(f"_{name}_z"), F.col("scale").alias(f"_{name}_s"))
-    trend = features.global_trend(features.trend_segments(windows)).select(*KEY, F.col("trend").alias("_trend"))
-    most = features.volatility(windows).select(*KEY, F.col("most").alias("_most"))
-    acf = window_arrays(windows, ["value"]).withColumn("s", kernels.acf_period("value")).select(*KEY, F.col("s.has").alias("_has"), F.col("s.period").alias("_period"))
-    all_ = claims.join(at("start"), [*KEY, "start"], "left").join(at("end"), [*KEY, "end"], "left").join(at("idx"), [*KEY, "idx"], "left").join(trend, KEY, "left").join(most, KEY, "left").join(acf, KEY, "left")
-    if variables:
-        lags = corr_ops.best_lags(windows, "value", list(variables)).select(*KEY, "var", F.col("corr").alias("_corr"), F.col("lag").alias("_lag"))
-        all_ = all_.join(lags, [*KEY, "var"], "left")
-    else:
-        all_ = all_.withColumns({"_corr": F.lit(None).cast("double"), "_lag": F.lit(None).cast("int")})
+    known = window_features(windows, list(variables), check=True) if known is None else known
+    w = lambda c: F.col(f"_w.{c}")
+    fields = ("mean", "std", "scale", "trend", "most", "acf", "lags", "value")
+    all_ = claims.join(known.select(*KEY, F.struct(*fields).alias("_w")), KEY, "left")
+    value = lambda c: F.get(w("value"), F.col(c))
     kind = F.col("type")
-    delta = (F.col("_end_v") - F.col("_start_v")) / F.coalesce("_start_s", "_end_s") * 100
+    delta = (value("end") - value("start")) / F.when(value("start").isNotNull() | value("end").isNotNull(), w("scale")) * 100
     near = F.abs(delta - F.col("delta_pct")) <= F.when(kind == "global_net_change", 1.0).otherwise(2.0)
-    z = F.col("_idx_z")
+    z = F.when(value("idx").isNotNull(), F.when(w("std") < EPS, F.lit(0.0)).otherwise((value("idx") - w("mean")) / w("std")))
+    names = F.array(*[F.lit(v) for v in variables]) if variables else F.array().cast("array<string>")
+    lag = F.try_element_at(F.filter(w("lags"), lambda c: F.element_at(names, c["var"] + 1) == F.col("var")), F.lit(1))
+    has, period = w("acf.has"), w("acf.period")
     ok = (
-        F.when(kind == "global_trend_label", F.col("_trend") == F.col("label"))
+        F.when(kind == "global_trend_label", w("trend") == F.col("label"))
         .when(kind.isin("global_net_change", "ramp", "phase"), near)
         .when(kind.isin("peak", "valley"), (F.abs(z - F.col("z")) <= 0.2) & F.when(kind == "peak", z >= 1.0).otherwise(z <= -1.0))
-        .when(kind == "seasonality", (F.col("_has") == F.col("has")) & (~F.col("_has") | F.col("period").isNull() | (F.abs(F.col("_period") - F.col("period")) <= 1)))
-        .when(kind == "volatility_most_segment", F.col("_most") == F.col("most"))
-        .when(kind == "lagged_corr", (F.abs(F.col("_corr") - F.col("corr")) <= 0.05) & (F.col("_lag") == F.col("lag")) & (F.abs("_corr") >= 0.3))
+        .when(kind == "seasonality", (has == F.col("has")) & (~has | F.col("period").isNull() | (F.abs(period - F.col("period")) <= 1)))
+        .when(kind == "volatility_most_segment", w("most") == F.col("most"))
+        .when(kind == "lagged_corr", (F.abs(lag["corr"] - F.col("corr")) <= 0.05) & (lag["lag"] == F.col("lag")) & (F.abs(lag["corr"]) >= 0.3))
     )
     evidence = (
-        F.when(kind == "global_trend_label", F.col("_trend")).when(kind.isin("peak", "valley"), F.round(z, 4).cast("string")).when(kind == "seasonality", F.concat_ws("/", F.col("_has").cast("string"), F.col("_period").cast("string")))
-        .when(kind == "volatility_most_segment", F.col("_most").cast("string")).when(kind == "lagged_corr", F.concat_ws("/", F.round("_corr", 4).cast("string"), F.col("_lag").cast("string"))).otherwise(F.round(delta, 4).cast("string"))
+        F.when(kind == "global_trend_label", w("trend")).when(kind.isin("peak", "valley"), F.round(z, 4).cast("string")).when(kind == "seasonality", F.concat_ws("/", has.cast("string"), period.cast("string")))
+        .when(kind == "volatility_most_segment", w("most").cast("string")).when(kind == "lagged_corr", F.concat_ws("/", F.round(lag["corr"], 4).cast("string"), lag["lag"].cast("string"))).otherwise(F.round(delta, 4).cast("string"))
     )
     sound = F.coalesce(ok, F.lit(False))
-    reason = F.when(sound, "").when((kind == "lagged_corr") & F.col("_corr").isNull(), "var missing").when(kind == "phase", "phase_delta_mismatch").otherwise("mismatch")
+    reason = F.when(sound, "").when((kind == "lagged_corr") & lag.isNull(), "var missing").when(kind == "phase", "phase_delta_mismatch").otherwise("mismatch")
     return all_.select(*claims.columns, sound.alias("ok"), reason.alias("reason"), evidence.alias("evidence"))
 
 
@@ -170,11 +190,14 @@ def caption_records(windows: DataFrame, variables: list[str], dataset: str, task
     """Whole records of windows with ts: checked and repaired claims, features, segments and a rendered caption."""
     from .render import render_zh, summary_en
 
-    checked = validate_claims(build_claims(windows, variables), windows, variables)
+    # what several branches need is formed once: the windows' points, a row of features a window, the checked claims
+    windows = stored(windows.select(*KEY, "w_end", "n", "i", "value", *variables, F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time")), "windows")
+    arrays = stored(window_features(windows, variables, ["time"], check=True), "features")
+    checked = stored(validate_claims(build_claims(windows, variables, arrays), windows, variables, arrays), "claims")
     check = claim_check(checked).drop("n")
     final = apply_policy(amplitude_note(repair_trend(checked)))
     data = F.struct(*[F.round(k, 4).alias(k) if t == "double" else F.col(k) for k, t in DATA.items() if k != "std"])
-    arrays = window_arrays(windows.withColumn("time", F.date_format("ts", "yyyy-MM-dd HH:mm")), ["time", "value", *variables])
+    arrays = arrays.select(*KEY, "w_end", "n", "time", "value", *variables)
     timed = final.join(arrays.select(*KEY, "time"), KEY)
     at = lambda c: F.when(F.col(c).isNotNull(), time_at(F.col("time"), F.col(c)))
     claim = F.struct("ord", "id", "type", F.lit(target).alias("target"), "start", "end", "idx", at("start").alias("t_start"), at("end").alias("t_end"), at("idx").alias("t_idx"), data.alias("data"), F.lit(None).cast("string").alias("sentence"), "ok", "reason")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import lagged_corr
@@ -43,11 +43,17 @@ def best_lags(windows: DataFrame, target: str, variables: list[str]) -> DataFram
     return found.select(*KEY, F.element_at(names, F.col("c.var") + 1).alias("var"), "c.corr", "c.lag", "c.corr_1", "c.lag_1", "c.corr_2", "c.lag_2")
 
 
+def is_stable(c, least: float = 0.3, tolerance: int = 2) -> Column:
+    """Whether both halves (fields corr_1, lag_1, corr_2, lag_2 of `c`) have the sign of the whole, a lag within the
+    tolerance and 0.7 of the least correlation."""
+    sign = (F.signum(c["corr_1"]) == F.signum(c["corr"])) & (F.signum(c["corr_2"]) == F.signum(c["corr"]))
+    near = (F.abs(c["lag_1"] - c["lag"]) <= tolerance) & (F.abs(c["lag_2"] - c["lag"]) <= tolerance)
+    return sign & near & (F.abs(c["corr_1"]) >= least * 0.7) & (F.abs(c["corr_2"]) >= least * 0.7)
+
+
 def with_stability(lags: DataFrame, least: float = 0.3, tolerance: int = 2) -> DataFrame:
     """Adds stable: both halves have the same sign, a lag within the tolerance and 0.7 of the least correlation."""
-    sign = (F.signum("corr_1") == F.signum("corr")) & (F.signum("corr_2") == F.signum("corr"))
-    near = (F.abs(F.col("lag_1") - F.col("lag")) <= tolerance) & (F.abs(F.col("lag_2") - F.col("lag")) <= tolerance)
-    return lags.withColumn("stable", sign & near & (F.abs("corr_1") >= least * 0.7) & (F.abs("corr_2") >= least * 0.7))
+    return lags.withColumn("stable", is_stable({c: F.col(c) for c in lags.columns}, least, tolerance))
 
 
 def kept_correlations(lags: DataFrame, least: float = 0.3, count: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from .windows import KEY, equal_segment
 
 EPS = 1e-8
@@ -166,3 +167,44 @@ def amplitude(windows: DataFrame) -> DataFrame:
     agg = part.groupBy(*KEY).agg(F.min_by("value", "i").alias("start_v"), F.max_by("value", "i").alias("end_v"), F.avg("value").alias("mean"), F.first("low").alias("min_v"), at("low").alias("min_i"), F.first("high").alias("max_v"), at("high").alias("max_i"))
     share = lambda x: F.when(F.abs("mean") <= EPS, F.lit(0.0)).otherwise(x / F.abs("mean") * 100)
     return agg.withColumns({"net_pct": share(F.col("end_v") - F.col("start_v")), "range_pct": share(F.col("max_v") - F.col("min_v"))})
+
+
+def _trend_of(slope: Column, std: Column) -> Column:
+    return F.when(std < EPS, F.lit(0.0)).otherwise(F.coalesce(slope / std, F.lit(0.0)))
+
+
+def window_features(windows: DataFrame, variables: list[str] = (), extra: list[str] = (), check: bool = False) -> DataFrame:
+    """One row a window with all that claims are made of, from one exchange: n, mean, std, scale, trend, start_v, end_v,
+    delta_pct, most (the most volatile third), volatility, season, lags (of `variables` against value), and the value,
+    variables and `extra` columns as arrays in order of i. With `check` also acf, the period by autocorrelation alone.
+
+    The numbers are those of global_trend(), net_change(), volatility(), volatility_label() and the kernels.
+    """
+    seg = equal_segment(F.col("i"), F.col("n"), 3)
+    own = lambda k: F.when(seg == k, F.col("value"))
+    parts = [c for k in range(3) for c in (F.regr_slope(own(k), F.col("i")).alias(f"_slope_{k}"), F.stddev_pop(own(k)).alias(f"_sd_{k}"), F.count(own(k)).alias(f"_c_{k}"))]
+    columns = ["value", *variables, *extra]
+    agg = windows.groupBy(*KEY, "w_end").agg(
+        F.max("n").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min_by("value", "i").alias("start_v"), F.max_by("value", "i").alias("end_v"), *parts, F.array_sort(F.collect_list(F.struct("i", *columns))).alias("_p"),
+    )
+    out = agg.select(*[c for c in agg.columns if c != "_p"], *[F.col(f"_p.{c}").alias(c) for c in columns])
+    std = F.col("std")
+    slopes = [F.when(F.col(f"_c_{k}") > 0, _trend_of(F.col(f"_slope_{k}"), std)) for k in range(3)]
+    label = lambda x: F.when(x > 0.03, "up").when(x < -0.03, "down").when(x.isNotNull(), "flat")
+    first, last = label(slopes[0]), F.coalesce(*[label(x) for x in slopes[::-1]])
+    avg = sum((F.coalesce(x, F.lit(0.0)) for x in slopes), F.lit(0.0)) / 3
+    trend = F.when((first == "up") & (last == "down"), "up_then_down").when((first == "down") & (last == "up"), "down_then_up").when(avg > 0.03, "up").when(avg < -0.03, "down").otherwise("flat")
+    spread = [F.when(std < EPS, F.lit(0.0)).otherwise(F.coalesce(F.col(f"_sd_{k}"), F.lit(-1.0))) for k in range(3)]
+    most = F.when((spread[0] >= spread[1]) & (spread[0] >= spread[2]), 0).when(spread[1] >= spread[2], 1).otherwise(2)
+    scale = F.greatest(F.abs("mean"), std, F.lit(EPS))
+    m = F.size("value") - 1
+    steps = F.zip_with(F.slice("value", 2, F.greatest(m, F.lit(0))), F.slice("value", 1, F.greatest(m, F.lit(0))), lambda a, b: a - b)
+    # the mean of the steps is (end - start) / m, so one pass gives their deviation
+    step_var = F.aggregate(steps, F.lit(0.0), lambda a, d: a + (d - (F.col("end_v") - F.col("start_v")) / m) * (d - (F.col("end_v") - F.col("start_v")) / m)) / m
+    step_std = F.when((std < EPS) | (m < 1), F.lit(0.0)).otherwise(F.sqrt(step_var) / std)
+    volatility_ = F.when(step_std < 0.5, "low").when(step_std < 1.0, "medium").otherwise("high")
+    out = out.withColumns({"scale": scale, "trend": trend, "delta_pct": change_pct(F.col("start_v"), F.col("end_v"), scale), "most": most, "volatility": volatility_})
+    out = out.drop(*[c for c in out.columns if c.startswith("_")]).withColumn("season", kernels.season("value"))
+    if check:
+        out = out.withColumn("acf", kernels.acf_period("value"))
+    return out.withColumn("lags", kernels.lagged_corr("value", F.array(*[F.col(v).cast("array<double>") for v in variables])) if variables else F.lit(None).cast(kernels.CORR))

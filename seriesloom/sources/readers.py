@@ -141,9 +141,14 @@ def read_economic(spark: SparkSession, path: str) -> DataFrame:
     return parse_economic(spark.read.text(path))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Caption records as JSON lines with their explicit nested schema."""
-    return spark.read.schema(RECORD).json(path)
+def read_records(spark: SparkSession, *paths: str) -> DataFrame:
+    """Caption records as JSON lines with their explicit nested schema, from all files below the paths; a folder a data
+    set (`dataset=name`) names the data set of its files."""
+    read = spark.read.schema(RECORD).option("recursiveFileLookup", "true").json(list(paths))
+    if "dataset" not in read.columns:
+        return read
+    named = F.url_decode(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "/dataset=([^/]*)/", 1), F.lit("")))
+    return read.withColumn("dataset", F.coalesce("dataset", named))
 
 
 def read_readme(spark: SparkSession, path: str, most: int = 8000) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,14 @@ def stream_records(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
     """Takes the Parquet files of points that are new in `in_dir`, builds records of their windows and appends them.
 
     A series arrives whole within a batch. The checkpoint remembers files; should a batch be delivered again after a
-    failure, records that are already written are left out by their key.
+    failure, it replaces what it has written. A batch costs the same however much is out: earlier ones of the same
+    checkpoint are not read, those of another one only where their keys meet.
     """
     arrived = spark.readStream.schema(POINTS).option("maxFilesPerTrigger", files_per_batch).parquet(in_dir)
 
     def sink(batch: DataFrame, number: int) -> None:
-        append_records(build(sliding_windows(batch, length, stride)), out_dir)
+        identity = spark.read.text(f"{checkpoint}/metadata").where("value like '%id%'").first().value  # written at the start
+        stream = re.search(r'"id"\s*:\s*"([^"]+)"', identity)[1]
+        append_records(build(sliding_windows(batch, length, stride)), out_dir, stream, number)
 
     arrived.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
