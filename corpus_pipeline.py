@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import bound_batches, documents, stored
+from seriesloom.llm.common import bound_batches, collect_garbage, documents, stored
 from seriesloom.llm.exact_dedup import drop_duplicates
 from seriesloom.llm.mixing import mixed_texts
 from seriesloom.llm.neardup import drop_near_duplicates
@@ -20,26 +20,31 @@ from seriesloom.llm.toxicity import keep_clean, toxicity_chain
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity, by the chain fitted on the labels table, is below one half."""
+    collect_garbage(spark)
     return keep_clean(docs, toxicity_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the document with the largest id."""
+    collect_garbage(spark)
     return drop_duplicates(docs)
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
+    collect_garbage(spark)
     return drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed stream: stretches of documents, as often as the mix of sources takes them, in the order of its shards."""
+    collect_garbage(spark)
     return mixed_texts(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of at most 1024 token ids."""
+    collect_garbage(spark)
     bound_batches(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 

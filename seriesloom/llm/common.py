@@ -76,6 +76,13 @@ def discard(spark: SparkSession, keep: tuple[str, ...] = ()) -> int:
     return gone
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the driver drop what earlier jobs have left: plans, and by Spark's cleaner their shuffle files and broadcasts,
+    which go only when the driver's memory is collected. For callers between two long steps."""
+    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     bound_batches(df.sparkSession)
