@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -278,7 +279,23 @@ def rouge_l(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([rouge_l_of(a, b) for a, b in zip(reference, hypothesis, strict=True)])
 
 
+def clipped_of(reference: list[str], hypothesis: list[str], most: int = 4) -> list[int]:
+    """For orders 1..most, the n-grams of the hypothesis that the reference has, counted at most as often as there; then
+    the numbers of n-grams of the hypothesis."""
+    matched, total = [], []
+    for n in range(1, most + 1):
+        a, b = (Counter(zip(*[words[k:] for k in range(n)], strict=False)) for words in (reference, hypothesis))
+        matched.append(sum((a & b).values()))
+        total.append(max(len(hypothesis) - n + 1, 0))
+    return matched + total
+
+
+@F.pandas_udf(_struct(**{f"{side}_{n}": T.LongType() for side in ("matched", "total") for n in range(1, 5)}))
+def clipped_grams(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([clipped_of(list(a), list(b)) for a, b in zip(reference, hypothesis, strict=True)], columns=[f"{side}_{n}" for side in ("matched", "total") for n in range(1, 5)])
+
+
 def register(spark: SparkSession) -> None:
     """Makes the kernels callable from SQL."""
-    for name, fn in {"acf_period": acf_period, "fft_period": fft_period, "season": season, "dominant_lag": dominant_lag, "lagged_corr": lagged_corr, "select_mmr": select_mmr, "rouge_l": rouge_l}.items():
+    for name, fn in {"acf_period": acf_period, "fft_period": fft_period, "season": season, "dominant_lag": dominant_lag, "lagged_corr": lagged_corr, "select_mmr": select_mmr, "rouge_l": rouge_l, "clipped_grams": clipped_grams}.items():
         spark.udf.register(name, fn)

@@ -57,24 +57,47 @@ def window_flag(labelled: DataFrame, whole: bool = True) -> DataFrame:
     return points.groupBy(*KEY).agg(F.max("label").alias("flag"))
 
 
+#: Parts to which questions of one series are dealt.
+PARTS = 16
+
+
 def fingerprint(series: Column, points: int = 10, digits: int = 4) -> Column:
     """64-bit key of an array's first values, rounded."""
     return F.xxhash64(F.transform(F.slice(series, 1, points), lambda x: F.round(x, digits)))
 
 
+def _magnitude(series: Column, rtol: float, atol: float) -> Column:
+    """A number of which equal series' differ by at most 1: the logarithm of the sum of sizes, in steps of twice the
+    tolerance. If all values are within atol + rtol * abs(b), the sums A and B of sizes are within rtol * (B + c), with
+    c = values * atol / rtol, so the logarithms of A + c and B + c are within little more than rtol."""
+    values = F.flatten(series)
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.abs(F.coalesce(x, F.lit(0.0))))
+    return F.floor(F.log(total + F.size(values) * (atol / rtol) + 1e-300) / (2.1 * rtol)).cast("long")
+
+
 def match_captions(questions: DataFrame, captions: DataFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
     """Per question the first caption (least caption_id) of the same series, all questions kept.
 
-    questions: question_id, series [D][T]; captions: caption_id, series, text. Candidates share number and length
-    of variables and the fingerprint of the first one; all values are then compared within the tolerances.
+    questions: question_id, series [D][T]; captions: caption_id, series, text. Rows with identical series are one
+    candidate with the first caption's text, so constant or repeated series cost one comparison. Candidates share number
+    and length of variables, the fingerprint of the first one and, up to a neighbouring step, the magnitude of the whole
+    series; all values are then compared within the tolerances.
     """
-    q, c = (df.withColumns({"_f": fingerprint(F.col("series")[0]), "_d": F.size("series"), "_t": F.size(F.col("series")[0])}) for df in (questions, captions))
-    c = c.select("caption_id", "text", F.col("series").alias("other"), "_f", "_d", "_t").where("_t > 0")
+
+    def kinds(df: DataFrame) -> DataFrame:
+        return df.withColumns({"_s": F.sha2(F.to_json("series"), 256), "_d": F.size("series"), "_t": F.size(F.col("series")[0])})
+
+    asked = kinds(questions).withColumn("_part", F.pmod(F.xxhash64("question_id"), F.lit(PARTS)))
+    keys = {"_f": fingerprint(F.col("series")[0]), "_m": _magnitude(F.col("series"), rtol, atol)}
+    q = asked.groupBy("_s").agg(*[F.first(c).alias(c) for c in ("series", "_d", "_t")]).withColumns(keys)
+    c = kinds(captions).where("_t > 0").groupBy("_s").agg(F.min(F.struct("caption_id", "text")).alias("best"), *[F.first(c).alias(c) for c in ("series", "_d", "_t")]).withColumns(keys)
+    c = c.select("best", F.col("series").alias("other"), "_f", "_d", "_t", F.explode(F.array(*[F.col("_m") + k for k in (-1, 0, 1)])).alias("_m"))
     flat_a, flat_b = F.flatten("series"), F.flatten("other")
     same = F.forall(F.arrays_zip(flat_a.alias("a"), flat_b.alias("b")), lambda p: F.abs(p["a"] - p["b"]) <= atol + rtol * F.abs(p["b"]))
-    hits = q.join(c, ["_f", "_d", "_t"]).where(same)
-    best = hits.groupBy("question_id").agg(F.min(F.struct("caption_id", "text")).alias("m"))
-    return questions.join(best, "question_id", "left").select("question_id", F.col("m.caption_id").alias("caption_id"), F.col("m.text").alias("text"))
+    hits = q.join(c, ["_f", "_d", "_t", "_m"]).where(same)
+    best = hits.groupBy("_s").agg(F.min("best").alias("m")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    found = asked.select("question_id", "_s", "_part").join(best.withColumn("_part", F.col("_part").cast("long")), ["_s", "_part"], "left")
+    return found.select("question_id", F.col("m.caption_id").alias("caption_id"), F.col("m.text").alias("text"))
 
 
 def match_report(matched: DataFrame) -> DataFrame:
@@ -98,5 +121,14 @@ def with_meaning(rows: DataFrame, meanings: DataFrame, column: str = "name") ->
 
 
 def caption_groups(captions: DataFrame, samples: DataFrame) -> DataFrame:
-    """Captions with the samples that share their group key."""
-    return captions.join(samples.select(F.col("sample_id").alias("positive"), "group_key"), "group_key")
+    """group_key, members (samples of the group) and captions: what a mask of positives needs. A caption's positives are
+    the samples with its group key, so neither lists of members nor pairs are formed."""
+    left = captions.groupBy("group_key").agg(F.count("*").alias("captions"))
+    right = samples.groupBy("group_key").agg(F.count("*").alias("members"))
+    return left.join(right, "group_key").select("group_key", "members", "captions")
+
+
+def batch_positives(batches: DataFrame) -> DataFrame:
+    """Within batches of bounded size (batch, sample_id, group_key): each sample's positives of its batch, as a list."""
+    other = batches.groupBy("batch", "group_key").agg(F.array_sort(F.collect_list("sample_id")).alias("positives"))
+    return batches.join(other, ["batch", "group_key"]).select("batch", "sample_id", "positives")

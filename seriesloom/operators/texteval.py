@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import clipped_grams
+
 ANSWER = "facts struct<trend: string, delta_pct: double, net_change_sign: string, peak: struct<idx: double, value: double>, valley: struct<idx: double, value: double>, seasonality: struct<has: boolean, period: double>, volatility: string>, caption string"
 
 
@@ -41,19 +43,14 @@ def bleu_tokens(text: Column) -> Column:
 
 
 def bleu_counts(pairs: DataFrame) -> DataFrame:
-    """Per order 1..4: matched and total n-grams of the hypotheses, clipped pair by pair. pairs: id, ref, hyp."""
-    tokens = pairs.select("id", bleu_tokens(F.col("ref")).alias("r"), bleu_tokens(F.col("hyp")).alias("h"))
-
-    def grams(side: str) -> Column:
-        def order(n: int) -> Column:
-            places = F.when(F.size(side) >= n, F.sequence(F.lit(1), F.size(side) - n + 1)).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(side, i, n), " ").alias("g")))
-
-        return F.concat(*[order(n) for n in range(1, 5)])
-
-    each = tokens.select("id", F.explode(grams("h")).alias("x"), F.lit(1).alias("h"), F.lit(0).alias("r")).union(tokens.select("id", F.explode(grams("r")).alias("x"), F.lit(0), F.lit(1)))
-    per = each.groupBy("id", "x.n", "x.g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return per.groupBy("n").agg(F.sum(F.least("h", "r")).alias("matched"), F.sum("h").alias("total"))
+    """Per order 1..4: matched and total n-grams of the hypotheses, clipped pair by pair. pairs: id, ref, hyp.
+
+    The clipped matches of a pair are a multiset intersection within its row; only sums are shuffled.
+    """
+    counts = pairs.select(clipped_grams(bleu_tokens(F.col("ref")), bleu_tokens(F.col("hyp"))).alias("c"))
+    sums = counts.agg(*[F.sum(F.col(f"c.{side}_{n}")).alias(f"{side}_{n}") for side in ("matched", "total") for n in range(1, 5)])
+    rows = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"matched_{n}").alias("matched"), F.col(f"total_{n}").alias("total")) for n in range(1, 5)])
+    return sums.select(F.inline(rows)).where("total > 0")
 
 
 def corpus_bleu(pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
@@ -234,11 +235,13 @@ def j7(spark, d):
     return l.match_report(_matched(spark, d))
 
 
-@query("j8_segment_texts", "SELECT l_orderkey AS sample_id, CAST(l_linenumber AS INT) AS segment_id, min(least(greatest(l_partkey % 40 - 5, 0), 29)) AS \"start\", min(greatest(least(greatest(l_partkey % 40 - 5, 0), 29), least(l_partkey % 40, 29))) AS \"end\", CASE WHEN l_linenumber % 2 = 0 THEN 'line ' || l_linenumber ELSE 'no text' END AS text FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = 1")
+@query("j8_segment_texts", "WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS s FROM lineitem) SELECT l_orderkey AS sample_id, CAST(s AS INT) AS segment_id, least(greatest(l_partkey % 40 - 5, 0), 29) AS \"start\", greatest(least(greatest(l_partkey % 40 - 5, 0), 29), least(l_partkey % 40, 29)) AS \"end\", CASE WHEN l_partkey % 2 = 0 THEN 'part ' || l_partkey ELSE 'no text' END AS text FROM g")
 def j8(spark, d):
-    single = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample_id"), F.col("l_linenumber").alias("segment_id")).agg(F.count("*").alias("c"), F.min("l_partkey").alias("k")).where("c = 1")
-    segments = single.select("sample_id", "segment_id", (F.col("k") % 40 - 5).alias("start"), (F.col("k") % 40).alias("end"), F.lit(30).alias("n"))
-    texts = single.where("segment_id % 2 = 0").select("sample_id", "segment_id", F.concat(F.lit("line "), "segment_id").alias("text"))
+    """All lines of an order as its segments, in order; parts of even number have a text."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.row_number().over(order).alias("segment_id"), F.col("l_partkey").alias("k"))
+    segments = lines.select("sample_id", "segment_id", (F.col("k") % 40 - 5).alias("start"), (F.col("k") % 40).alias("end"), F.lit(30).alias("n"))
+    texts = lines.where("k % 2 = 0").select("sample_id", "segment_id", F.concat(F.lit("part "), "k").alias("text"))
     return l.merge_segment_texts(segments, texts, "no text")
 
 
@@ -257,7 +260,7 @@ def j10(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 4).cast("int").alias("label")).join(entries, "label", "left")
 
 
-@query("j11_caption_groups", "SELECT a.conv_id AS group_key, a.turn AS caption, b.turn AS positive FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.role = 'user' WHERE a.role = 'assistant'")
+@query("j11_caption_groups", "SELECT conv_id AS group_key, count(*) FILTER (WHERE role = 'user') AS members, count(*) FILTER (WHERE role = 'assistant') AS captions FROM conversations GROUP BY conv_id HAVING members > 0 AND captions > 0")
 def j11(spark, d):
     """The answers of a conversation as captions, its questions as samples."""
     turns = table(spark, d, "conversations").select(F.col("conv_id").alias("group_key"), "turn", "role")
@@ -265,6 +268,13 @@ def j11(spark, d):
     return l.caption_groups(captions, turns.where("role = 'user'").select("group_key", F.col("turn").alias("sample_id")))
 
 
+@query("j11_batch_positives", "WITH b AS (SELECT o_orderkey // 64 AS batch, o_orderkey AS sample_id, o_custkey % 7 AS g FROM orders) SELECT a.batch, a.sample_id, count(*) AS positives, CAST(sum(b.sample_id) AS BIGINT) AS total FROM b a JOIN b ON a.batch = b.batch AND a.g = b.g GROUP BY a.batch, a.sample_id")
+def j11b(spark, d):
+    """orders in batches of 64 keys, with seven groups."""
+    rows = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 64).alias("batch"), F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 7).alias("group_key"))
+    return l.batch_positives(rows).select("batch", "sample_id", F.size("positives").cast("long").alias("positives"), F.aggregate("positives", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 USAGE = "u AS (SELECT 'task' || (conv_id % 5) || '_L' || (64 * (1 + conv_id % 3)) || '_pred.jsonl' AS file, 'task' || (conv_id % 5) AS task, CAST(64 * (1 + conv_id % 3) AS INT) AS length, CASE WHEN role = 'user' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END AS p, CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END AS c FROM conversations)"
 
 
