@@ -196,3 +196,22 @@ def y1(spark, d):
     return back.select("series_key", F.col("indices")[0].cast("long").alias("w_start"), F.col("indices")[1].cast("long").alias("w_end"))
 
 
+@query("y1_growing_series", f"WITH {USER}, {window_cte('usr', 32, 16)} SELECT CAST(series_key AS VARCHAR) AS series_key, w_start, w_end, count(*) AS points, round(sum(value), 4) AS total FROM win WHERE n = 32 GROUP BY ALL")
+def y1g(spark, d):
+    """Each user's series in three arrivals, cut anywhere; windows end up as in the batch job."""
+    root = shared_path(spark, "growing")
+    points = v_user(spark, d).select(F.col("series_key").cast("string").alias("series_key"), "t", "ts", "value")
+    size = points.groupBy("series_key").agg(F.count("*").alias("n"))
+    cut = points.join(size, "series_key").withColumn("part", F.floor(F.col("t") * 3 / F.col("n")))
+
+    def build(win):
+        values = F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda p: p["value"])
+        spans = win.groupBy("series_key", "w_start", "w_end").agg(F.array(values).alias("timeseries"))
+        return spans.select(F.lit("events").alias("dataset"), "series_key", F.array("w_start", "w_end").cast("array<int>").alias("indices"), "timeseries")
+
+    for part in (0, 1, 2):
+        cut.where(F.col("part") == part).select(*points.columns).write.mode("append").parquet(f"{root}/in")
+        stream_records(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", build, 32, 16, growing=True)
+    back, series = r.read_records(spark, f"{root}/out"), F.col("timeseries")[0]
+    total = F.round(F.aggregate(series, F.lit(0.0), lambda a, x: a + x), 4)
+    return back.select("series_key", F.col("indices")[0].cast("long").alias("w_start"), F.col("indices")[1].cast("long").alias("w_end"), F.size(series).cast("long").alias("points"), total.alias("total"))
