@@ -202,7 +202,16 @@ def v_pairs(spark, d):
     return asked.join(said, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("id"), "ref", "hyp")
 
 
-@query("m4_rouge_l")
+# The table of longest common subsequences row by row: a line is the running maximum of its cells.
+LCS = """WITH RECURSIVE p AS (SELECT a.conv_id || '/' || a.turn AS id, regexp_extract_all(lower(coalesce(a.text, '')), '[a-z0-9]+') AS r, regexp_extract_all(lower(coalesce(b.text, '')), '[a-z0-9]+') AS h
+   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'),
+ lcs AS (SELECT id, r, h, 0 AS i, list_transform(r, lambda x: 0) AS line FROM p
+  UNION ALL SELECT id, r, h, i, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+   SELECT id, r, h, i + 1 AS i, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN r[j] = h[i + 1] THEN coalesce(line[j - 1], 0) + 1 ELSE line[j] END) AS c FROM lcs WHERE i < len(h)))
+ SELECT id, round(CASE WHEN len(r) = 0 OR len(h) = 0 THEN 0.0 ELSE 2 * line[-1] / (len(r) + len(h)) END, 9) AS rouge_l FROM lcs WHERE i = len(h)"""
+
+
+@query("m4_rouge_l", LCS)
 def m4(spark, d):
     return v_pairs(spark, d).select("id", F.round(rouge_l("ref", "hyp"), 9).alias("rouge_l"))
 

@@ -143,7 +143,24 @@ def a23(spark, d):
     return t.best_extreme(e.thin(e.extrema(supp_windows(spark, d))), KEY).select(*KEY, "kind", "i", "value")
 
 
-@query("e10_e11_target_segments")
+# Spans chosen one by one in a recursive table, the strongest first; then ramps and extremes behind them.
+IOU = "greatest(0, least({a}.e, {b}.e) - greatest({a}.s, {b}.s) + 1)"
+MMR = f"""pb AS (SELECT *, greatest(1.5 * abs(end_v - start_v), 0.05 * abs(start_v), 1e-8) AS bound FROM pq),
+ sc AS (SELECT series_key, w_start, s, e, abs(delta_pct) + 3 * ln(1 + e - s + 1) + 50 * std + CASE WHEN max_v > greatest(start_v, end_v) + bound OR min_v < least(start_v, end_v) - bound THEN 10 ELSE 0 END AS score FROM pb),
+ bk AS (SELECT *, least(4, CAST(floor((s - min(s) OVER v) / (max(e) OVER v - min(s) OVER v + 1) * 5) AS INT)) AS b, row_number() OVER (v ORDER BY score DESC, s) AS o FROM sc WINDOW v AS (PARTITION BY series_key, w_start)),
+ mm AS (SELECT series_key, w_start, [{{'s': s, 'e': e, 'b': b}}] AS chosen, 1 AS k FROM bk WHERE o = 1
+  UNION ALL SELECT series_key, w_start, list_append(chosen, pick), k + 1 FROM (
+   SELECT mm.series_key, mm.w_start, any_value(mm.chosen) AS chosen, any_value(k) AS k, arg_max({{'s': bk.s, 'e': bk.e, 'b': bk.b}}, (bk.score - 25 * list_max(list_transform(mm.chosen, lambda c: {IOU.format(a='c', b='bk')} / (c.e - c.s + bk.e - bk.s + 2 - {IOU.format(a='c', b='bk')}))) + CASE WHEN list_contains(list_transform(mm.chosen, lambda c: c.b), bk.b) THEN 0 ELSE 8 END, -o)) AS pick
+   FROM mm JOIN bk ON bk.series_key = mm.series_key AND bk.w_start = mm.w_start AND NOT list_contains(list_transform(mm.chosen, lambda c: c.s), bk.s) WHERE k < 5 GROUP BY mm.series_key, mm.w_start)),
+ lg AS (SELECT series_key, w_start, unnest(chosen) AS c FROM mm QUALIFY k = max(k) OVER (PARTITION BY series_key, w_start))"""
+TARGETS = f"""WITH RECURSIVE {PHASE}, {MMR}, rp AS (SELECT * FROM ({RAMPS})), ex AS (SELECT * FROM (WITH {TOPK} SELECT * FROM tk)),
+ al AS (SELECT series_key, w_start, 0 AS g, row_number() OVER (PARTITION BY series_key, w_start ORDER BY c.s) AS r, 'phase' AS type, c.s AS s, c.e AS e FROM lg
+  UNION ALL SELECT series_key, w_start, 1, row_number() OVER (PARTITION BY series_key, w_start ORDER BY abs(dp) DESC, rank) AS r, 'ramp', s, e FROM rp QUALIFY r <= 2
+  UNION ALL SELECT series_key, w_start, 2, row_number() OVER (PARTITION BY series_key, w_start ORDER BY abs(z) DESC, kind, rank) AS r, kind, i, i FROM ex QUALIFY r <= 2)
+ SELECT series_key, w_start, CAST(row_number() OVER (PARTITION BY series_key, w_start ORDER BY g, r) - 1 AS INT) AS segment_id, type, CAST(s AS INT) AS "start", CAST(e AS INT) AS "end" FROM al"""
+
+
+@query("e10_e11_target_segments", TARGETS)
 def e11(spark, d):
     return c.target_segments(claims_of(spark, d))
 
