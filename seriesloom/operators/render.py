@@ -46,9 +46,16 @@ def phase_forms(phases: DataFrame) -> DataFrame:
     return phases.withColumn("_b", before).withColumn("form", _form(*map(F.col, ("label", "start_v", "end_v", "min_v", "max_v", "_b")))).drop("_b")
 
 
+def told_extremes(claims: Column, most: int = 3) -> Column:
+    """The first `most` peaks, then the first `most` valleys (claims come strongest first), each group in order of time."""
+    by_time = lambda a, b: F.coalesce(a["idx"], F.lit(0)) - F.coalesce(b["idx"], F.lit(0))
+    of = lambda kind: F.array_sort(F.slice(F.filter(claims, lambda c: c["type"] == kind), 1, most), by_time)
+    return F.concat(of("peak"), of("valley"))
+
+
 def render_zh(claims: Column, target: str, series_key: Column, w_start: Column, times: Column) -> Column:
     """A Chinese paragraph: span, trend and change, phases by their form (see phase_forms()), ramps,
-    extremes, relations, seasonality, volatility."""
+    extremes in order of time, relations, seasonality, volatility. A flat phase that continues is told with its range."""
     of = lambda kind: F.filter(claims, lambda c: c["type"] == kind)
     one = lambda kind: F.try_element_at(of(kind), F.lit(1))["data"]
     trend, net, vol, season = one("global_trend_label"), one("global_net_change"), one("volatility_most_segment"), one("seasonality")
@@ -63,14 +70,15 @@ def render_zh(claims: Column, target: str, series_key: Column, w_start: Column,
     def told(c: Column, i: Column) -> Column:
         data = c["data"]
         form = _form(*[data[x] for x in ("label", "start_v", "end_v", "min_v", "max_v")], F.get(shown, i - 1)["data"]["label"])
-        extra = F.when(form == "dip", F.concat(F.lit("，一度下探至"), number_text(data["min_v"]))).when(form == "spike", F.concat(F.lit("，一度冲高至"), number_text(data["max_v"]))).otherwise("")
+        span = F.concat(F.lit("，区间为"), number_text(data["min_v"]), F.lit("至"), number_text(data["max_v"]))
+        extra = F.when((form == "continue") & (data["label"] == "flat"), span).when(form == "dip", F.concat(F.lit("，一度下探至"), number_text(data["min_v"]))).when(form == "spike", F.concat(F.lit("，一度冲高至"), number_text(data["max_v"]))).otherwise("")
         return F.concat(c["t_start"], F.lit("至"), short_time(c["t_end"], c["t_start"]), F.when(form == "continue", "延续").otherwise(""), _words(data["label"], TREND_ZH), F.lit("（"), number_text(data["delta_pct"]), F.lit("%）"), extra)
 
     phase = F.transform(shown, told)
     phases = F.when(n > 0, F.concat(_choice(["分阶段看，", "其中，"], series_key, w_start, F.lit("p")), F.array_join(phase, "；"), F.lit("。")))
     ramp = F.transform(of("ramp"), lambda c: F.concat(c["t_start"], F.lit("至"), short_time(c["t_end"], c["t_start"]), F.when(c["data"]["kind"] == "ramp_up", "快速抬升").otherwise("快速回落"), F.lit("（"), number_text(c["data"]["delta_pct"]), F.lit("%）")))
     ramps = F.when(F.size(ramp) > 0, F.concat(F.lit("幅度最大的变化为"), F.array_join(ramp, "；"), F.lit("。")))
-    extreme = F.transform(F.concat(of("peak"), of("valley")), lambda c: F.concat(F.coalesce(c["t_idx"], F.lit("")), F.when(c["type"] == "peak", "出现峰值").otherwise("出现谷值"), number_text(c["data"]["value"])))
+    extreme = F.transform(told_extremes(claims), lambda c: F.concat(F.coalesce(c["t_idx"], F.lit("")), F.when(c["type"] == "peak", "出现峰值").otherwise("出现谷值"), number_text(c["data"]["value"])))
     extremes = F.when(F.size(extreme) > 0, F.concat(F.array_join(extreme, "，"), F.lit("。")))
     relation = F.transform(of("lagged_corr"), lambda c: F.concat(F.lit("与"), c["data"]["var"], F.when(c["data"]["corr"] > 0, "正相关").otherwise("负相关"), F.lit("（滞后"), c["data"]["lag"].cast("string"), F.lit("步）")))
     relations = F.when(F.size(relation) > 0, F.concat(F.array_join(relation, "，"), F.lit("。")))

@@ -254,10 +254,18 @@ def j9(spark, d):
 README = "Data set X\nClass 1: normal beat\nclass 2 - abnormal beat\n3 = other kind\nTrain size: 100\n4: Test size 5\nLabel 2: re-labelled\n\n9: a"
 
 
-@query("j10_label_semantics", "SELECT c_custkey, CAST(c_custkey % 4 AS INT) AS label, ['normal beat', 're-labelled', 'other kind'][CAST(nullif(c_custkey % 4, 0) AS INT)] AS meaning FROM customer")
+def class_text(name):
+    """The README with a class of the row's own."""
+    return F.replace(F.lit(README), F.lit("normal beat"), F.concat(F.lit("beat of "), name))
+
+
+@query("j10_label_semantics", "SELECT c_custkey, CAST(c_custkey % 4 AS INT) AS label, CASE c_custkey % 4 WHEN 1 THEN 'beat of ' || n_name WHEN 2 THEN 're-labelled' WHEN 3 THEN 'other kind' END AS meaning FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def j10(spark, d):
-    entries = spark.range(1).select(F.explode(x.class_map(F.lit(README))).alias("e")).groupBy(F.col("e.id").cast("int").alias("label")).agg(F.max_by("e.text", "e.place").alias("meaning"))
-    return table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 4).cast("int").alias("label")).join(entries, "label", "left")
+    """Every nation has a README of its own; its customers' labels mean what it says."""
+    entries = table(spark, d, "nation").select("n_nationkey", F.explode(x.class_map(class_text(F.col("n_name")))).alias("e"))
+    meanings = entries.groupBy(F.col("n_nationkey").alias("nation"), F.col("e.id").cast("int").alias("label")).agg(F.max_by("e.text", "e.place").alias("meaning"))
+    own = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 4).cast("int").alias("label"))
+    return own.join(meanings, ["nation", "label"], "left").drop("nation")
 
 
 @query("j11_caption_groups", "SELECT conv_id AS group_key, count(*) FILTER (WHERE role = 'user') AS members, count(*) FILTER (WHERE role = 'assistant') AS captions FROM conversations GROUP BY conv_id HAVING members > 0 AND captions > 0")
@@ -352,9 +360,10 @@ def t4(spark, d):
     return table(spark, d, "documents").select("doc_id", x.sample_id(F.col("source"), F.lit(""), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).alias("id"))
 
 
-@query("t5_class_map", "SELECT c_custkey, unnest(['1', '2', '3']) AS id, unnest(['normal beat', 're-labelled', 'other kind']) AS text FROM customer")
+@query("t5_class_map", "SELECT c_custkey, unnest(['1', '2', '3']) AS id, unnest(['beat of ' || c_custkey || ' in ' || c_mktsegment, 're-labelled', 'other kind']) AS text FROM customer")
 def t5(spark, d):
-    entries = table(spark, d, "customer").select("c_custkey", F.explode(x.class_map(F.lit(README))).alias("e"))
+    name = F.concat_ws(" in ", "c_custkey", "c_mktsegment")
+    entries = table(spark, d, "customer").select("c_custkey", F.explode(x.class_map(class_text(name))).alias("e"))
     return entries.groupBy("c_custkey", F.col("e.id").alias("id")).agg(F.max_by("e.text", "e.place").alias("text"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import claims as c
 from ..operators import tables as t
 from ..operators.events import phases
-from ..operators.render import phase_forms, thinned_phases
+from ..operators.render import phase_forms, thinned_phases, told_extremes
 from ..operators.windows import KEY
 from .q_events import PHASE, RAMP, STABLE, THIN
 from .q_windows import GT, STATS, VL
@@ -192,6 +192,13 @@ def t13(spark, d):
     return phase_forms(thinned_phases(phases(supp_windows(spark, d)))).select(*KEY, "phase", "label", "form")
 
 
+@query("t13_told_extremes", f"WITH {TOPK} SELECT series_key, w_start, CAST(row_number() OVER (PARTITION BY series_key, w_start ORDER BY kind, i) - 1 AS INT) AS place, kind AS type, CAST(i AS INT) AS idx FROM tk")
+def t13e(spark, d):
+    own = claims_of(spark, d).where("type in ('peak', 'valley')").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("ord", "type", "idx"))).alias("claims"))
+    told = own.select(*KEY, F.posexplode(told_extremes(F.col("claims"))).alias("place", "c"))
+    return told.select(*KEY, "place", "c.type", "c.idx")
+
+
 def v_records(spark, d):
     """orders as caption records: a trend, a net change, a peak, a valley and a seasonality claim each."""
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
