@@ -8,13 +8,28 @@ from pyspark.sql import functions as F
 from .windows import KEY
 
 
-def _bucket(ts: Column, seconds: int) -> Column:
+#: An interval is cut into buckets of the first width, in powers of this from the base, that leaves at most so many.
+FAN, LEVELS = 64, 4
+
+
+def _bucket(ts: Column, seconds: Column | int) -> Column:
     return F.floor(F.unix_timestamp(ts) / seconds)
 
 
 def _cut(intervals: DataFrame, seconds: int) -> DataFrame:
-    cover = F.explode(F.sequence(_bucket(F.col("a"), seconds), _bucket(F.col("b"), seconds)))
-    return intervals.where("a <= b").select("series_key", "a", "b", cover.alias("bucket"))
+    """Intervals by series, level and bucket. A long one is cut at a coarser level, so a far end costs a few rows."""
+    span = (F.unix_timestamp("b") - F.unix_timestamp("a")) / seconds
+    level = sum(((span >= FAN**k).cast("int") for k in range(1, LEVELS)), F.lit(0))
+    width = F.lit(seconds) * F.pow(F.lit(FAN), level).cast("long")
+    cover = F.explode(F.sequence(_bucket(F.col("a"), width), _bucket(F.col("b"), width)))
+    return intervals.where("a <= b").select("series_key", "a", "b", level.alias("level"), cover.alias("bucket"))
+
+
+def _dealt(points: DataFrame, cut: DataFrame, seconds: int) -> DataFrame:
+    """Points once for each level that the intervals have (at most LEVELS), with their bucket there."""
+    levels = sorted(r.level for r in cut.select("level").distinct().collect()) or [0]
+    places = F.array(*[F.struct(F.lit(k).alias("level"), _bucket(F.col("ts"), seconds * FAN**k).alias("bucket")) for k in levels])
+    return points.select(*points.columns, F.inline(places))
 
 
 def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], bucket_seconds: int = 86_400) -> DataFrame:
@@ -23,8 +38,9 @@ def label_points(points: DataFrame, intervals: DataFrame, keys: list[str], bucke
     Intervals are cut into time buckets, so the join is an equality on series and bucket; points that several
     intervals cover stay single. A null key, ts or end never matches.
     """
-    dealt = points.withColumn("bucket", _bucket(F.col("ts"), bucket_seconds))
-    hits = dealt.join(_cut(intervals, bucket_seconds), ["series_key", "bucket"]).where("ts between a and b").select(*keys).distinct().withColumn("_hit", F.lit(1))
+    cut = _cut(intervals, bucket_seconds)
+    dealt = _dealt(points, cut, bucket_seconds)
+    hits = dealt.join(cut, ["series_key", "level", "bucket"]).where("ts between a and b").select(*keys).distinct().withColumn("_hit", F.lit(1))
     return points.join(hits, keys, "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
 
 
@@ -46,8 +62,9 @@ def window_intervals(windows: DataFrame, intervals: DataFrame, bucket_seconds: i
 
     Intervals are cut into time buckets as in label_points(), so points meet those of their bucket only.
     """
-    dealt = windows.select(*KEY, "i", "ts", _bucket(F.col("ts"), bucket_seconds).alias("bucket"))
-    covered = dealt.join(_cut(intervals, bucket_seconds), ["series_key", "bucket"]).where("ts between a and b")
+    cut = _cut(intervals, bucket_seconds)
+    dealt = _dealt(windows.select(*KEY, "i", "ts"), cut, bucket_seconds)
+    covered = dealt.join(cut, ["series_key", "level", "bucket"]).where("ts between a and b")
     return covered.groupBy(*KEY, "a", "b").agg(F.min("i").alias("first"), F.max("i").alias("last"))
 
 

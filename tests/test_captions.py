@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -69,3 +70,14 @@ def test_clipped_counts(spark):
     got = texteval.bleu_counts(spark.createDataFrame(pairs, "id string, ref string, hyp string")).collect()
     assert {r.n: (r.matched, r.total) for r in got} == {n: (want[n, "m"], want[n, "t"]) for n in range(1, 5)}
     assert texteval.bleu_counts(spark.createDataFrame([], "id string, ref string, hyp string")).count() == 0
+
+
+def test_long_intervals_cost_few_rows(spark):
+    begin = datetime(2020, 1, 1)
+    spans = [("a", begin, begin + timedelta(days=3)), ("a", begin + timedelta(days=10), datetime(9999, 1, 1)), ("b", datetime(1900, 1, 1), begin + timedelta(days=5)), ("b", begin + timedelta(days=300), begin + timedelta(days=400)), ("c", begin, begin - timedelta(days=1)), (None, begin, begin)]
+    intervals = spark.createDataFrame(spans, "series_key string, a timestamp, b timestamp")
+    assert labels._cut(intervals, 86_400).count() < 200
+    rows = [(k, t, begin + timedelta(hours=6 * t)) for k in ("a", "b", "c") for t in range(0, 2000, 3)] + [(None, 0, begin), ("a", -1, None)]
+    got = labels.label_points(spark.createDataFrame(rows, "series_key string, t int, ts timestamp"), intervals, ["series_key", "t"]).collect()
+    want = {(k, t): int(any(k == s and ts is not None and a <= ts <= b for s, a, b in spans if s)) for k, t, ts in rows}
+    assert {(r.series_key, r.t): r.label for r in got} == want and len(got) == len(rows)
