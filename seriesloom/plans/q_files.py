@@ -3,12 +3,16 @@ the input formats and read back."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hooks import with_hook
 from ..operators import tables as t
 from ..operators.texteval import factual_metrics, metric_means
 from ..sources import readers as r
+from ..sources import series_source
 from ..sources import writers as w
 from ..streaming.incremental import stream_records
 from .q_data import v_fred
@@ -107,6 +111,38 @@ def u1(spark, d):
     return wide.union(ucr).union(nab).union(fred).groupBy("dataset").agg(F.sum("size").alias("points"), F.round(F.sum("value"), 1).alias("total"))
 
 
+def source_points(spark, d, read, names=("daily", "ucr2018", "nab", "fred")):
+    """Files of the formats through the data source; `read` is a reader or a stream's reader of the format."""
+    series_source.register(spark)
+    files = {"daily": (wide_files, {"series": "qty"}), "ucr2018": (labelled_files, {"series": "user"}), "nab": (metric_files, {}), "fred": (economic_files, {})}
+    return reduce(DataFrame.unionByName, [read(n).options(dataset=n, **files[n][1]).load(files[n][0](spark, d)) for n in names])
+
+
+@query("u1_series_source", SQL["u1_datasets"])
+def u1_source(spark, d):
+    """The registry as a data source of Spark."""
+    points = source_points(spark, d, lambda _: spark.read.format("seriesloom"))
+    return points.groupBy("dataset").agg(F.count("*").alias("points"), F.round(F.sum("value"), 1).alias("total"))
+
+
+@query("u1_series_stream", SQL["u1_datasets"])
+def u1_stream(spark, d):
+    """The same as streams: all files there are, then the sink is read."""
+    path = shared_path(spark, "stream")
+    points = source_points(spark, d, lambda name: spark.readStream.format("seriesloom").option("log", f"{path}/seen/{name}"))
+    points.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(series_source.POINTS).parquet(f"{path}/out")
+    return out.groupBy("dataset").agg(F.count("*").alias("points"), F.round(F.sum("value"), 1).alias("total"))
+
+
+@query("s6_s10_series_source", f"SELECT 'nab' AS dataset, series, points, total FROM ({SQL['s6_metric_tree']}) UNION ALL SELECT 'fred', index || '/' || name, points, total FROM ({SQL['s10_s11_economic']})")
+def s6_source(spark, d):
+    """Metric files and economic lines by series."""
+    points = source_points(spark, d, lambda _: spark.read.format("seriesloom"), ("nab", "fred"))
+    series = F.when(F.col("dataset") == "nab", F.regexp_extract("series_key", r"^(.*)/[^/]*$", 1)).otherwise(F.col("series_key"))
+    return points.groupBy("dataset", series.alias("series")).agg(F.count("*").alias("points"), F.round(F.sum("value"), 2).alias("total"))
+
+
 @query("s13_readme", "WITH t AS (SELECT l_suppkey, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_orderkey, l_linenumber, l_partkey) || chr(10) AS text FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey AS supplier, CAST(least(len(text), 8000) AS INT) AS chars, md5(substr(text, 1, 8000)) AS digest FROM t")
 def s13(spark, d):
     """One file a supplier, with the parts of its lines in order; longer ones are cut."""

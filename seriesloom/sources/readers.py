@@ -162,14 +162,21 @@ def read_shards(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.schema(RECORD).json(glob).withColumn("source_dataset", name)
 
 
+# Layouts of the data sets that have one of their own; others are wide tables.
+DATASETS = {"fred": "economic", "ucr2018": "labelled", "nab": "metrics"}
+
+
+def layout_of(name: str) -> str:
+    return DATASETS.get(name, "wide")
+
+
 def read_dataset(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
     """Reader by dataset name: fred, ucr2018, nab, else a wide CSV."""
-    if name == "fred":
+    layout = layout_of(name)
+    if layout == "economic":
         return read_economic(spark, path)
-    if name == "ucr2018":
+    if layout == "labelled":
         return read_labelled(spark, path, options.get("series", "series"), options.get("split", "TRAIN"))
-    if name == "nab":
+    if layout == "metrics":
         return read_metrics(spark, path)
     return read_wide_csv(spark, path, **options)
-
-
