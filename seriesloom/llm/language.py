@@ -14,16 +14,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 # Language families by ISO 639-1 code; a code that is absent is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fo", "is", "nb", "nl", "nn", "no", "sv", "yi"),
     "romance": ("ca", "es", "fr", "gl", "it", "oc", "pt", "ro"),
     "slavic": ("be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"),
 }
-#: Buckets of the hashed features; documents of each language that are fitted on, at most.
+#: Buckets of the hashed features; texts of each language that are fitted on, at most.
 BUCKETS, PER_LANGUAGE = 1 << 11, 1_000
 _OTHER = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -76,22 +78,27 @@ class Languages:
     members: list[list[str]]
     machines: list[list[tuple[int, int, np.ndarray]]]
 
-    def predict(self, x: np.ndarray) -> tuple[str, float]:
-        x = np.append(x, 1.0)
-        margins = self.family_weights @ x
-        f = int(np.argmax(margins))
+    def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of texts whose vectors are the rows of x."""
+        x = np.hstack([x, np.ones((len(x), 1))])
+        margins = x @ self.family_weights.T
+        best = margins.argmax(axis=1)
         shares = 1 / (1 + np.exp(-2 * np.clip(margins, -15, 15)))
-        sure = float(shares[f] / max(shares.sum(), 1e-12))
-        names = self.members[f]
-        votes = np.zeros(len(names))
-        for i, j, w in self.machines[f]:
-            p = 1 / (1 + np.exp(-2 * np.clip(float(w @ x), -15, 15)))
-            votes[i] += p
-            votes[j] += 1 - p
-        if len(names) == 1:
-            return names[0], sure
-        best = int(np.argmax(votes))
-        return names[best], sure * float(votes[best]) / (len(names) - 1)
+        scores = shares[np.arange(len(x)), best] / np.maximum(shares.sum(axis=1), 1e-12)
+        names = [""] * len(x)
+        for f, own in enumerate(self.members):
+            rows = np.flatnonzero(best == f)
+            votes = np.zeros((len(rows), len(own)))
+            for i, j, w in self.machines[f]:
+                p = 1 / (1 + np.exp(-2 * np.clip(x[rows] @ w, -15, 15)))
+                votes[:, i] += p
+                votes[:, j] += 1 - p
+            first = votes.argmax(axis=1)
+            if len(own) > 1:
+                scores[rows] *= votes[np.arange(len(rows)), first] / (len(own) - 1)
+            for row, k in zip(rows, first, strict=True):
+                names[row] = own[k]
+        return names, scores.round(6)  # the order of sums depends on the batch
 
 
 def held_out(key: Column, fold: int = 5) -> Column:
@@ -100,26 +107,34 @@ def held_out(key: Column, fold: int = 5) -> Column:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([vector(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["lang", "x"])
+    for part in by_bytes(batches, 1):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vector(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["lang", "x"])
 
 
-def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
-    """Fits on documents (doc_id, text, lang) with a text and a language: at most `per_language` of each language,
-    those of the least hash of the id. None if there is nothing to learn from."""
-    known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
-    ranks = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).groupBy("lang").agg(F.count("*").alias("n"))
-    sizes = {r.lang: r.n for r in ranks.collect()}  # one row for each language
-    # a hash below the limit for a share; a fifth more than wanted are taken and the rest cut below
+def learning_rows(docs: DataFrame, per_language: int) -> DataFrame:
+    """lang, text: of each language its `per_language` distinct texts of the least hash, or all if it has fewer.
+
+    Rows that repeat a text, under one key or many, count once. Tasks merge them before a shuffle, and hashes above a
+    language's share go at once, so what is shuffled and ranked is about one and a half times the result.
+    """
+    known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()  # one row for each language
     share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.2 * per_language / n)).otherwise(share)
-    taken = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = taken.select("lang", "text").mapInArrow(_vectors, "lang string, x binary").collect()
+    for r in sizes:
+        share = F.when(F.col("lang") == r.lang, min(1.0, 1.5 * per_language / r.n)).otherwise(share)
+    # hashes run over all 64-bit numbers: the lowest share of them
+    near = known.where((F.col("h") / 2.0**64 + 0.5) <= share).groupBy("lang", "h").agg(F.any_value("text").alias("text"))
+    return near.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= per_language).select("lang", "text")
+
+
+def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
+    """Fits on lang and text of the rows that learning_rows() takes: at most `per_language` a language, a row of
+    BUCKETS numbers each on the driver. None if there is nothing to learn from, as in an empty table."""
+    rows = learning_rows(docs, per_language).mapInArrow(_vectors, "lang string, x binary").collect()
     by: dict[str, list[bytes]] = {}
     for r in rows:
         by.setdefault(r.lang, []).append(bytes(r.x))
-    by = {k: sorted(v)[: int(1.2 * per_language) + 100] for k, v in sorted(by.items())}
+    by = {k: sorted(v) for k, v in sorted(by.items())}
     if not by:
         return None
     x = np.stack([np.frombuffer(v, np.float32) for own in by.values() for v in own])
@@ -137,12 +152,23 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Language
 
 
 def predict_languages(docs: DataFrame, model: Languages | None, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per row: key, lang_pred, score (0 to 1). `und` with score 0 if the text is null or has no letter, or nothing was learned."""
+    """Per row: key, lang_pred, score (0 to 1). `und` with score 0 if the text is null or has no letter, or nothing was learned.
+
+    Rows that repeat a key, or have none, each have their row; equal texts have equal values; an empty table gives no
+    rows; other columns are not read. One narrow stage, in parts of bounded bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.predict(vector(t)) if model and has_letter(t) else ("und", 0.0) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["k", "lang_pred", "score"])
+        for part in by_bytes(batches, 1):
+            texts = part.column(1).to_pylist()
+            told = [i for i, t in enumerate(texts) if model and has_letter(t)]
+            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            if told:
+                own, sure = model.predict(np.stack([vector(texts[i]) for i in told]))
+                scores[told] = sure
+                for i, name in zip(told, own, strict=True):
+                    names[i] = name
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["k", "lang_pred", "score"])
 
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
@@ -150,7 +176,8 @@ def predict_languages(docs: DataFrame, model: Languages | None, text: str = "tex
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, lang_pred, score; learned from documents that are not held out."""
+    """Per document: doc_id, held_out, lang_pred, score; learned from documents that are not held out. Rows without a
+    doc_id are neither learned from nor held out; the rest is as predict_languages() says."""
     model = fit_languages(docs.where(~held_out(F.col("doc_id"))))
     out = predict_languages(docs, model)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -647,8 +647,60 @@ def test_language_held_out(spark):
     assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in held) and held
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.9
     model = language.fit_languages(spark.read.parquet(f"{SF}/documents.parquet"))
-    edges = {r.doc_id: r for r in language.predict_languages(docs(spark, [*edge_rows(), (10, "12 34", "a")]), model).collect()}
-    assert edges[1].lang_pred == edges[2].lang_pred == edges[10].lang_pred == "und" and all(0 <= r.score <= 1 for r in edges.values())
+    rows = [*edge_rows(), (10, "12 34", "a")]
+    got = language.predict_languages(docs(spark, rows), model)
+    assert got.columns == ["doc_id", "lang_pred", "score"]
+    own = {t: {(r.lang_pred, r.score) for r in language.predict_languages(docs(spark, [(i, t, s)]), model).collect()} for i, t, s in rows}
+    assert all(len(v) == 1 for v in own.values())
+    assert Counter(tuple(r) for r in got.collect()) == Counter((i, *next(iter(own[t]))) for i, t, _ in rows)
+    for t, ((name, score),) in own.items():
+        assert (name, score) == ("und", 0.0) if not language.has_letter(t) else (name in ("de", "en", "es", "fr") and 0 < score <= 1)
+
+
+def test_language_of_nothing(spark):
+    assert language.fit_languages(docs(spark, []).withColumn("lang", F.lit(None).cast("string"))) is None
+    assert language.language_id(docs(spark, []).withColumn("lang", F.lit("en"))).collect() == []
+    unlearned = language.language_id(docs(spark, edge_rows()).withColumn("lang", F.lit(None).cast("string")))
+    assert unlearned.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    assert Counter((r.doc_id, r.lang_pred, r.score) for r in unlearned.collect()) == Counter((i, "und", 0.0) for i, _, _ in edge_rows())
+    one = language.fit_languages(docs(spark, [(1, "only one language", "a")]).withColumn("lang", F.lit("xx")))
+    assert {r.lang_pred for r in language.predict_languages(docs(spark, [(2, "other", "a"), (3, None, "a")]), one).collect()} == {"xx", "und"}
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_learning_rows_are_the_texts_of_least_hash(spark, parts):
+    hot = [(7, "the same key and text", "en")] * 4000 + [(i, "one text of many keys", "de") for i in range(2000)]
+    rows = [*hot, *[(7, f"text {i} of the same key", "en") for i in range(900)], *[(i, f"texte {i % 300}", "fr") for i in range(900)], (1, None, "en"), (2, "no language", None), (None, "no key", "en")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    got = Counter((r.lang, r.text) for r in language.learning_rows(table, 60).collect())
+    hashes = {(r.lang, r.text): r.h for r in table.dropna(subset=["lang", "text"]).select("lang", "text", F.xxhash64("text").alias("h")).collect()}
+    want = [k for own in ("en", "de", "fr") for k in sorted((k for k in hashes if k[0] == own), key=hashes.get)[:60]]
+    assert got == Counter(want) and len(want) == 121
+    model = language.fit_languages(table, 60)
+    assert model.families == sorted({language.family(n) for n in ("en", "de", "fr")})
+
+
+def test_language_votes_match_a_plain_count():
+    rng = np.random.default_rng(3)
+    names = ["da", "de", "en", "es", "fr", "zh"]
+    families = sorted({language.family(n) for n in names})
+    members = [[n for n in names if language.family(n) == f] for f in families]
+    pairs = [[(i, j, rng.normal(size=language.BUCKETS + 1)) for i in range(len(m)) for j in range(i + 1, len(m))] for m in members]
+    model = language.Languages(families, rng.normal(size=(len(families), language.BUCKETS + 1)), members, pairs)
+    texts = [" ".join(rng.choice(["ab", "é", "wort", "mañana", "字"], 5)) for _ in range(80)]
+    got = model.predict(np.stack([language.vector(t) for t in texts]))
+    chance = lambda w, x: 1 / (1 + np.exp(-2 * float(np.clip(w @ np.append(x, 1.0), -15, 15))))
+    for text, name, score in zip(texts, *got, strict=True):
+        x = language.vector(text)
+        shares = [chance(w, x) for w in model.family_weights]
+        f = shares.index(max(shares))
+        votes = [0.0] * len(members[f])
+        for i, j, w in pairs[f]:
+            votes[i] += chance(w, x)
+            votes[j] += 1 - chance(w, x)
+        best = votes.index(max(votes))
+        sure = shares[f] / sum(shares) * (votes[best] / (len(votes) - 1) if len(votes) > 1 else 1)
+        assert name == members[f][best] and abs(score - sure) < 2e-6
 
 
 def test_pipeline_stages(spark):
