@@ -13,6 +13,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -42,6 +43,10 @@ SVG_TEXT = {"text", "tspan", "textpath", "a", "tref"}
 MATH_TOKENS = HOLDS_HTML["math"]
 #: Spans of cells are cut at the standard's limits; deeper lists and quotes keep their text at the indent of this level.
 MAX_COLSPAN, MAX_ROWSPAN, MAX_INDENTS = 1000, 65534, 200
+#: Columns of a table that are aligned; cells beyond follow in their row.
+MAX_COLUMNS = 1000
+#: Aligning tables and indenting may write this many characters for each one of the page, and this many more.
+LAYOUT_SHARE, LAYOUT_LEAST = 16, 1 << 16
 
 
 class TagEnds:
@@ -292,11 +297,41 @@ def _width(text: str) -> int:
     return len(text) if text.isascii() else sum((not unicodedata.combining(c)) * (1 + (unicodedata.east_asian_width(c) in "WF")) for c in text)
 
 
+class Page:
+    """What a page's layout may still write. Nested tables write inner lines again at every level, and a wide cell pads
+    every row: what goes beyond a page's share is told without alignment or indents, with all its text."""
+
+    def __init__(self, length: int, max_indents: int = MAX_INDENTS) -> None:
+        self.left, self.max_indents = LAYOUT_SHARE * length + LAYOUT_LEAST, max_indents
+
+    def spend(self, n: int) -> bool:
+        if n > self.left:
+            return False
+        self.left -= n
+        return True
+
+
+def flat(lines: list) -> Iterator[str]:
+    """Lines in order; of lists inside, whatever their depth, those that are not blank."""
+    stack = [iter(lines)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, list):
+                stack.append(iter(x))
+                break
+            if x or len(stack) == 1:
+                yield x
+        else:
+            stack.pop()
+
+
 class Flow:
     """Lines of text under construction: collapses white space inside lines and margins between blocks."""
 
-    def __init__(self) -> None:
-        self.lines: list[str] = []
+    def __init__(self, page: Page) -> None:
+        self.page = page
+        self.lines: list[str | list] = []  # a list holds the lines of a cell, as they were
+        self.count = self.size = 0  # lines, and their characters, lists' among them
         self.parts: list[str] = []  # of the open line; none is empty
         self.gap = 0
         self.prefix: list[str] = []  # indents of the open blocks; a list marker replaces the last one once
@@ -329,25 +364,47 @@ class Flow:
         if self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        indent = "".join(self.prefix[:MAX_INDENTS])
+        indent = "".join(self.prefix[: self.page.max_indents])
+        if not self.page.spend(len(indent)):
+            indent = " " * len(self.marker)
         if self.marker:
             indent, self.marker = indent[: len(indent) - len(self.marker)] + self.marker, ""
         self.lines.append((indent + line).rstrip(" "))
+        self.count += 1
+        self.size += len(self.lines[-1])
+
+    def below(self, inner: Flow) -> None:
+        """The lines of a cell, but for blank ones, below what is there: as one list where nothing indents them."""
+        lines = inner.result()
+        if not lines:
+            return
+        if (self.prefix or self.marker) and self.page.spend(inner.size):
+            for line in flat([lines]):
+                self._emit(line)
+            return
+        if self.marker:
+            self._emit("")
+        if self.lines:
+            self.lines += [""] * self.gap
+        self.gap = 0
+        self.lines.append(lines)
+        self.count += inner.count
+        self.size += inner.size
 
     def block(self, blank: int) -> None:
         self.end_line()
         self.gap = max(self.gap, blank)
 
-    def result(self) -> list[str]:
+    def result(self) -> list[str | list]:
         self.end_line()
         while self.lines and not self.lines[-1]:
             self.lines.pop()
         return self.lines
 
 
-def render(root: Node) -> str:
+def render(root: Node, page: Page) -> str:
     """Runs the steps below, each a generator of the steps inside it, on a stack of its own: any depth is laid out."""
-    flow = Flow()
+    flow = Flow(page)
     steps = [_render(root, flow, False, True)]
     while steps:
         inner = next(steps[-1], None)
@@ -355,7 +412,7 @@ def render(root: Node) -> str:
             steps.pop()
         else:
             steps.append(inner)
-    return "\n".join(flow.result())
+    return "\n".join(flat(flow.result()))
 
 
 Steps = Iterator["Steps"]
@@ -545,92 +602,137 @@ def _list(node: Node, flow: Flow, pre: bool, shown: bool) -> Steps:
     flow.block(blank)
 
 
+def _gather(part: Node, into: list[Node], rows: list[Node], foot: list[Node], flow: Flow, shown: bool) -> Steps:
+    """The rows of a table's part; captions go to the flow. No function inside _table(): it would hold all inner lines
+    until Python looks for cycles."""
+    for child in part.children:
+        if not isinstance(child, Node) or child.tag in HIDDEN or "hidden" in child.attrs or _styles(child).get("display") == "none":
+            continue
+        if child.tag == "tr":
+            into.append(child)
+        elif child.tag in ("tbody", "thead"):
+            yield from _gather(child, rows, rows, foot, flow, shown)
+        elif child.tag == "tfoot":
+            yield from _gather(child, foot, rows, foot, flow, shown)
+        elif child.tag == "caption":
+            yield from _children(child, flow, False, shown)
+            flow.end_line()
+
+
 def _table(node: Node, flow: Flow, shown: bool) -> Steps:
-    """Cells in columns as wide as their widest line; spans take the columns they cover."""
+    """Cells in columns as wide as their widest line; spans take the columns they cover. See _aligned() and _told()."""
     rows: list[Node] = []
     foot: list[Node] = []
-
-    def gather(part: Node, into: list[Node]) -> Steps:
-        for child in part.children:
-            if not isinstance(child, Node) or child.tag in HIDDEN or "hidden" in child.attrs or _styles(child).get("display") == "none":
-                continue
-            if child.tag == "tr":
-                into.append(child)
-            elif child.tag in ("tbody", "thead"):
-                yield from gather(child, rows)
-            elif child.tag == "tfoot":
-                yield from gather(child, foot)
-            elif child.tag == "caption":
-                yield from _children(child, flow, False, shown)
-                flow.end_line()
-
-    yield from gather(node, rows)
+    yield from _gather(node, rows, rows, foot, flow, shown)
     rows += foot
-    placed: list[tuple[int, int, int, list[str], bool]] = []  # row, column, columns, lines, right
-    busy: dict[int, int] = {}  # column: first row that is free again
+    placed: list[list[Cell]] = []
+    busy: np.ndarray | None = None  # of each column, the first row that is free again
     for r, row in enumerate(rows):
-        c = 0
+        c, own = 0, []
         for cell in row.children:
             if not isinstance(cell, Node) or cell.tag not in ("td", "th") or "hidden" in cell.attrs or _styles(cell).get("display") == "none":
                 continue
-            while busy.get(c, 0) > r:
-                c += 1
-            across = min(max(_whole(cell.attrs.get("colspan"), 1), 1), MAX_COLSPAN)
+            if busy is not None and c < MAX_COLUMNS and busy[c] > r:
+                free = np.flatnonzero(busy[c:] <= r)
+                c = c + int(free[0]) if len(free) else MAX_COLUMNS
+            across = min(max(_whole(cell.attrs.get("colspan"), 1), 1), MAX_COLSPAN, MAX_COLUMNS - c)
             down = _whole(cell.attrs.get("rowspan"), 1)
             down = min(down, MAX_ROWSPAN) if down > 0 else len(rows) - r
-            inner = Flow()
+            inner = Flow(flow.page)
             style = _styles(cell)
             yield from _children(cell, inner, style.get("white-space", "").startswith("pre"), shown and style.get("visibility", "visible") == "visible")
+            inner.result()
             right = (style.get("text-align") or cell.attrs.get("align", "")).lower() in ("right", "end")
-            placed.append((r, c, across, inner.result(), right))
-            for k in range(c, c + across):
-                busy[k] = max(busy.get(k, 0), r + down)
+            own.append(Cell(c, across, inner, right))
+            if down > 1:
+                busy = np.zeros(MAX_COLUMNS, np.int64) if busy is None else busy
+                busy[c : c + across] = np.maximum(busy[c : c + across], r + down)
             c += across
-    widths: dict[int, int] = {}
-    for _, c, across, lines, _ in sorted(placed, key=lambda p: p[2]):
-        need = max(map(_width, lines), default=0)
-        have = sum(widths.get(k, 0) for k in range(c, c + across)) + 2 * (across - 1)
-        for k in range(c, c + across):
-            widths.setdefault(k, 0)
-        if need > have:
-            widths[c + across - 1] += need - have
-    by_row: dict[int, list] = {}
-    for p in placed:
-        by_row.setdefault(p[0], []).append(p)
-    starts, at = {}, 0
-    for k in sorted(widths):
-        starts[k] = at
-        at += widths[k] + (2 if widths[k] else 0)
-    for r in sorted(by_row):
-        for i in range(max((len(p[3]) for p in by_row[r]), default=0)):
-            line, used = "", 0
-            for _, c, across, lines, right in by_row[r]:
-                text = lines[i] if i < len(lines) else ""
-                begin = starts[c]
-                if right and text:
-                    begin += max(0, sum(widths[k] + (2 if widths[k] and k > c else 0) for k in range(c, c + across)) - _width(text))
-                line += " " * (begin - used) + text
-                used = max(used, begin) + _width(text)
-            flow.add(line)
+        placed.append(own)
+    one_column = all(len(own) <= 1 and not any(cell.column or cell.right for cell in own) for own in placed)
+    lines = None if one_column else _aligned(placed, flow.page)
+    if lines is None:
+        _told(placed, flow)
+        return
+    for line in lines:
+        flow.add(line)
+        flow.end_line()
+
+
+@dataclass
+class Cell:
+    """column, columns that it covers (0 beyond MAX_COLUMNS), its content, whether it stands at the right."""
+
+    column: int
+    across: int
+    flow: Flow
+    right: bool
+
+
+def _aligned(placed: list[list[Cell]], page: Page) -> list[str] | None:
+    """The lines of a table with its cells in columns; None if the page has no share left for it."""
+    if not page.spend(sum(cell.flow.size + cell.flow.count for own in placed for cell in own)):
+        return None
+    texts = [[list(flat(cell.flow.lines)) for cell in own] for own in placed]
+    widths = np.zeros(MAX_COLUMNS, np.int64)
+    needs = [(cell.across, cell.column, max(map(_width, lines), default=0)) for own, mine in zip(placed, texts, strict=True) for cell, lines in zip(own, mine, strict=True) if cell.across]
+    for across, c, need in sorted(needs, key=lambda n: n[0]):
+        have = int(widths[c : c + across].sum()) + 2 * (across - 1) if across > 1 else int(widths[c])
+        widths[c + across - 1] += max(0, need - have)
+    wide = widths > 0
+    starts, sums, columns = ([0, *np.cumsum(x).tolist()] for x in (widths + 2 * wide, widths, wide))
+    out, padding = [], 0
+    for own, mine in zip(placed, texts, strict=True):
+        for i in range(max(map(len, mine), default=0)):
+            line, used = [], 0
+            for cell, lines in zip(own, mine, strict=True):
+                text, end = lines[i] if i < len(lines) else "", cell.column + cell.across
+                if not cell.across:
+                    begin = used + 2 if used and text else used
+                else:
+                    begin = starts[cell.column]
+                    if cell.right and text:
+                        room = sums[end] - sums[cell.column] + 2 * (columns[end] - columns[cell.column + 1])
+                        begin += max(0, room - _width(text))
+                if text:
+                    padding += max(0, begin - used)
+                    if padding > page.left:
+                        return None
+                    line += [" " * (begin - used), text]
+                    used = max(used, begin) + _width(text)
+            out.append("".join(line))
+    page.spend(padding)
+    return out
+
+
+def _told(placed: list[list[Cell]], flow: Flow) -> None:
+    """A table without columns: rows of short cells in a line each, other rows cell by cell."""
+    for own in placed:
+        if len(own) > 1 and all(cell.flow.count <= 1 for cell in own):
+            flow.add("  ".join(line for cell in own for line in flat(cell.flow.lines) if line))
             flow.end_line()
+        else:
+            for cell in own:
+                flow.below(cell.flow)
 
 
-def extract(page: str | None) -> str | None:
-    """A page's visible text; null stays null."""
-    return None if page is None else render(TreeBuilder().feed(page))
+def extract(page: str | None, max_indents: int = MAX_INDENTS) -> str | None:
+    """A page's visible text; null stays null. Levels of lists and quotes below `max_indents` are not indented further."""
+    return None if page is None else render(TreeBuilder().feed(page), Page(len(page), max_indents))
 
 
-def visible_text(pages: DataFrame, html_column: str = "html", key: str = "page_id") -> DataFrame:
+def visible_text(pages: DataFrame, html_column: str = "html", key: str = "page_id", max_indents: int = MAX_INDENTS) -> DataFrame:
     """Per row: key, text (null for a null page, empty where nothing is shown), n_lines, n_chars.
 
-    Repeated rows stay; other columns are not read. One narrow stage.
+    Repeated rows stay; other columns are not read. One narrow stage. Layout writes at most LAYOUT_SHARE characters for
+    each one of a page, and LAYOUT_LEAST: tables beyond that are told without columns, with all their text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                texts = [extract(p) for p in part.column(1).to_pylist()]
+                texts = [extract(p, max_indents) for p in part.column(1).to_pylist()]
                 lines = [t.count("\n") + 1 if t else 0 for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array([len(t or "") for t in texts], pa.int64())], ["k", "text", "n_lines", "n_chars"])
 

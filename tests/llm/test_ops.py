@@ -503,6 +503,45 @@ def test_html_deep_lists_keep_their_text():
     assert got.split() == [x for i in range(3000) for x in ("-", f"w{i}")] and max(map(len, got.split("\n"))) < 500
 
 
+N = 200_000  # letters of a hostile page
+HOSTILE = {
+    "spans": "<table><tr>" + "<td colspan=1000>x" * (N // 18),
+    "spans in rows": "<table><tr>" + "<td>y" * 1000 + "<tr><td colspan=999>x<td>z" * (N // 26),
+    "wide cell": "<table><tr><td>" + "w" * 50_000 + "<tr><td>a<td>b" * (N // 14),
+    "nested": "<table><tr><td>x " * (N // 17),
+    "nested beside": "<table><tr><td>x<td>" * (N // 20),
+    "nested before": "<table><tr><td>" * (N // 28) + "</table><td>x" * (N // 28),
+    "nested in lists": "<ul><li><table><tr><td>x " * (N // 25),
+    "spans of rows": "<table><tr>" + "".join(f"<td rowspan={60000 - i}>c" for i in range(999)) + "<tr><td align=right>x" * (N // 21),
+    "indents": "<ul><li>" * 250 + "<br>x" * (N // 5),
+    "columns": "<table>" + ("<tr>" + "<td>x" * 3000) * 12,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_layout_is_bounded_and_keeps_all_text(name):
+    page, began = HOSTILE[name], time.process_time()
+    text = html.extract(page)
+    assert time.process_time() - began < 15
+    assert len(text) <= (html.LAYOUT_SHARE + 1) * len(page) + html.LAYOUT_LEAST
+    letters = lambda t: Counter(re.sub(r"[\s-]", "", t))
+    assert letters(text) == letters(re.sub("<[^>]*>", "", page))
+
+
+def test_html_tables_beyond_their_share(monkeypatch):
+    page = "<table><caption>c</caption><tr><td>a<td>bb<tr><td>ccc<td><p>d<p>e</table><ul><li><table><tr><td>x<tr><td>y</table></ul>"
+    assert html.extract(page) == "c\na    bb\nccc  d\n     e\n\n- x\n  y"
+    monkeypatch.setattr(html, "LAYOUT_SHARE", 0)
+    monkeypatch.setattr(html, "LAYOUT_LEAST", 0)
+    assert html.extract(page) == "c\na  bb\nccc\nd\ne\n\n-\nx\ny"
+
+
+def test_html_indents_are_a_parameter():
+    page = "<blockquote>" * 5 + "x"
+    assert html.extract(page) == " " * 10 + "x"
+    assert html.extract(page, max_indents=2) == " " * 4 + "x"
+
+
 def test_html_table(spark):
     schema = "page_id long, html string, text string, k int, h string, n_lines long"
     pages = spark.createDataFrame([(1, "<p>x", "y", 1, "z", 9), (2, None, None, None, None, None), (2, "", "y", 1, "z", 9), (None, "<p>a<p>b", "y", 1, "z", 9)], schema)
