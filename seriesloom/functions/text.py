@@ -49,8 +49,10 @@ def class_map(readme: Column) -> Column:
     return F.transform(kept, lambda x: F.struct(x["place"].alias("place"), x["id"].alias("id"), F.when(F.length(x["text"]) > 200, F.concat(F.substring(x["text"], 1, 200), F.lit("..."))).otherwise(x["text"]).alias("text")))
 
 
-def first_lines(text: Column, count: int = 12) -> Column:
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != "")
+def first_lines(text: Column, count: int = 12, ending: str = r"\r?\n") -> Column:
+    """The first lines that are not blank, without the spaces (of any width) around them."""
+    bare = F.transform(F.split(text, ending), lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+$", ""))
+    lines = F.filter(bare, lambda x: x != "")
     return F.array_join(F.slice(lines, 1, count), "\n")
 
 
