@@ -203,12 +203,13 @@ def v_records(spark, d):
     """orders as caption records: a trend, a net change, a peak, a valley and a seasonality claim each."""
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     null = lambda kind: F.lit(None).cast(kind)
+    signed = lambda x, digits: F.when(F.round(x, digits) == 0, x * 0.0).otherwise(F.round(x, digits))  # texts show -0.0
     types = {n: ty for n, ty in c.DATA.items() if n not in ("min_v", "max_v", "std")}
     data = lambda **v: F.struct(*[v.get(n, null(ty)).cast(ty).alias(n) for n, ty in types.items()])
     claim = lambda kind, idx, d_: F.struct(F.lit(kind).alias("id"), F.lit(kind).alias("type"), idx.cast("int").alias("idx"), d_.alias("data"))
     claims_ = F.array(
-        claim("global_trend_label", null("int"), data(label=F.when(k % 2 == 0, "up").otherwise("flat"), label_final=F.when(k % 4 == 1, "down"))), claim("global_net_change", null("int"), data(delta_pct=F.round(p / 777 - 300, 2))),
-        claim("peak", k % 9, data(value=F.round(p / 100, 0))), claim("peak", k % 7, data(value=F.lit(2000.0))), claim("valley", k % 5, data(value=F.round(-p / 100, 0))), claim("seasonality", null("int"), data(has=k % 3 == 0, period=F.when(k % 3 == 0, k % 12))),
+        claim("global_trend_label", null("int"), data(label=F.when(k % 2 == 0, "up").otherwise("flat"), label_final=F.when(k % 4 == 1, "down"))), claim("global_net_change", null("int"), data(delta_pct=signed(p / 777 - 300, 2))),
+        claim("peak", k % 9, data(value=signed(p / 100, 0))), claim("peak", k % 7, data(value=F.lit(2000.0))), claim("valley", k % 5, data(value=signed(-p / 100, 0))), claim("seasonality", null("int"), data(has=k % 3 == 0, period=F.when(k % 3 == 0, k % 12))),
     )
     dense = F.struct(F.struct(F.lit("").alias("zh"), F.when(k % 2 == 0, F.concat(F.lit("caption "), k)).alias("en")).alias("global"), F.struct(null("string").alias("zh"), null("string").alias("en")).alias("domain_integrated"),
         F.array(F.struct((k % 20).cast("int").alias("start"), (k % 20 + k % 40).cast("int").alias("end"), F.lit("phase").alias("type"), F.concat(F.lit("段 "), k).alias("description_zh"), F.when(k % 3 == 0, F.concat(F.lit(" part  "), k)).alias("description_en"))).alias("local"))

@@ -1,6 +1,7 @@
 """Texts as the SQL of their queries has them, where the smallest tables hold no such case."""
 
 import duckdb
+import pytest
 
 from seriesloom.plans.queries import ORACLE_SQL, QUERIES
 
@@ -13,3 +14,16 @@ def test_first_lines_keep_digits_and_lose_spaces(spark, tmp_path):
     got = {r.doc_id: r["head"] for r in QUERIES["t6_first_lines"](spark, str(tmp_path)).collect()}
     assert got == dict(con.execute(ORACLE_SQL["t6_first_lines"]).fetchall())
     assert got[0] == "012 a\n10 b\n2 c 2"
+
+
+@pytest.mark.parametrize("name", ["t12_fact_captions"])
+def test_numbers_that_round_to_zero_keep_their_sign(spark, tmp_path, name):
+    """777 * 300 = 233100: a change of just under nothing is told as -0.00, a valley of under a half as -0.000."""
+    rows = [(k, k, price) for k, price in enumerate([233098.0, 233100.0, 233102.0, 233099.99, 10.0, -10.0, 49.99, 0.0] * 22)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    out = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in out.description]
+    assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == sorted(out.fetchall(), key=repr)
