@@ -16,7 +16,7 @@ def test_first_lines_keep_digits_and_lose_spaces(spark, tmp_path):
     assert got[0] == "012 a\n10 b\n2 c 2"
 
 
-@pytest.mark.parametrize("name", ["t12_fact_captions"])
+@pytest.mark.parametrize("name", ["t12_fact_captions", "k3_sft_rows"])
 def test_numbers_that_round_to_zero_keep_their_sign(spark, tmp_path, name):
     """777 * 300 = 233100: a change of just under nothing is told as -0.00, a valley of under a half as -0.000."""
     rows = [(k, k, price) for k, price in enumerate([233098.0, 233100.0, 233102.0, 233099.99, 10.0, -10.0, 49.99, 0.0] * 22)]
