@@ -145,6 +145,17 @@ def caption_groups(captions: DataFrame, samples: DataFrame) -> DataFrame:
     return left.join(right, "group_key").select("group_key", "members", "captions")
 
 
+def caption_members(captions: DataFrame, samples: DataFrame) -> DataFrame:
+    """All captions (group_key, caption) and samples (group_key, sample_id) as members of their groups: group_key, side
+    (caption or sample), id and positives, the number of members on the other side. A caption's positives are the
+    samples with its group key; they are not expanded into pairs. A large group is dealt to PARTS tasks."""
+    sides = captions.select("group_key", F.lit("caption").alias("side"), F.col("caption").alias("id")).unionByName(samples.select("group_key", F.lit("sample").alias("side"), F.col("sample_id").alias("id")))
+    sizes = sides.groupBy("group_key").agg(F.count_if(F.col("side") == "sample").alias("caption"), F.count_if(F.col("side") == "caption").alias("sample"))
+    dealt = sizes.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    met = sides.withColumn("_part", F.pmod(F.xxhash64("side", "id"), F.lit(PARTS))).join(dealt, ["group_key", "_part"])
+    return met.select("group_key", "side", "id", F.when(F.col("side") == "caption", F.col("caption")).otherwise(F.col("sample")).alias("positives"))
+
+
 def batch_positives(batches: DataFrame) -> DataFrame:
     """Within batches of bounded size (batch, sample_id, group_key): each sample's positives of its batch, as a list."""
     other = batches.groupBy("batch", "group_key").agg(F.array_sort(F.collect_list("sample_id")).alias("positives"))

@@ -56,6 +56,17 @@ def test_groups_leave_no_pairs(spark):
     assert got == {i: own[b, g] for b, i, g in batches}
 
 
+def test_members_give_back_all_pairs(spark):
+    captions = [(i, i % 3) for i in range(30)]
+    samples = [(i, i % 2) for i in range(40)]
+    rows = labels.caption_members(spark.createDataFrame(captions, "caption int, group_key int"), spark.createDataFrame(samples, "sample_id int, group_key int")).collect()
+    assert sorted((r.id, r.group_key) for r in rows if r.side == "caption") == captions
+    assert sorted((r.id, r.group_key) for r in rows if r.side == "sample") == samples
+    pairs = [(c, s) for c, g in captions for s, h in samples if g == h]
+    assert [r.positives for r in sorted(rows, key=lambda r: r.id) if r.side == "caption"] == [sum(c == i for c, _ in pairs) for i in range(30)]
+    assert [r.positives for r in sorted(rows, key=lambda r: r.id) if r.side == "sample"] == [sum(s == i for _, s in pairs) for i in range(40)]
+
+
 def test_clipped_counts(spark):
     rng = random.Random(1)
     pairs = [(str(i), *(" ".join(rng.choice("a b c d e !".split()) for _ in range(rng.randint(0, 30))) for _ in range(2))) for i in range(60)] + [("n", None, "a b"), ("m", "a", None)]
