@@ -14,6 +14,7 @@ from ..sources.scratch import stored
 from . import corr as corr_ops
 from . import events, features
 from .features import EPS, window_features
+from .scan import dealt
 from .windows import KEY
 
 DATA = {
@@ -54,7 +55,8 @@ def build_claims(windows: DataFrame, variables: list[str] = (), known: DataFrame
     """
     if known is None:
         windows = stored(windows.select(*KEY, "w_end", "n", "i", "value", *variables), "windows")
-        known = window_features(windows, list(variables))
+    windows = dealt(windows, KEY, windows.count())
+    known = window_features(windows, list(variables)) if known is None else known
     last = F.col("n") - 1
     whole = F.array(
         _claim("global_trend_label", None, F.lit(0), last, label=F.col("trend")),
@@ -192,7 +194,7 @@ def caption_records(windows: DataFrame, variables: list[str], dataset: str, task
 
     # what several branches need is formed once: the windows' points, a row of features a window, the checked claims
     windows = stored(windows.select(*KEY, "w_end", "n", "i", "value", *variables, F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time")), "windows")
-    arrays = stored(window_features(windows, variables, ["time"], check=True), "features")
+    arrays = stored(window_features(dealt(windows, KEY, windows.count()), variables, ["time"], check=True), "features")
     checked = stored(validate_claims(build_claims(windows, variables, arrays), windows, variables, arrays), "claims")
     check = claim_check(checked).drop("n")
     final = apply_policy(amplitude_note(repair_trend(checked)))

@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 #: Places of a bucket, or seconds of a bucket where points are ordered by time.
 PLACES, SECONDS = 1 << 16, 86_400
 BUCKET = "_bucket"
+#: About as many points as one task sorts.
+TASK_POINTS = 1 << 18
+
+
+def dealt(points: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """`points`, `count` rows, by their keys to so many tasks that each sorts about TASK_POINTS; as they are if Spark's
+    own number of tasks will do. Window functions and groups over the keys need no further exchange."""
+    parts = -(-count // TASK_POINTS)
+    return points.repartition(parts, *keys) if parts > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) else points
 
 
 def bucketed(points: DataFrame, order: str = "t") -> DataFrame:

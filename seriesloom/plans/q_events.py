@@ -45,18 +45,18 @@ JOINED = "segs JOIN zz USING (series_key, w_start) WHERE zz.i BETWEEN segs.s AND
 
 @query("e1_smoothed_slope", f"WITH {STEP} SELECT series_key, w_start, i, round(slope, 6) AS slope FROM sl WHERE slope IS NOT NULL")
 def e1(spark, d):
-    return e.smoothed_slope(supp_windows(spark, d)).where("slope is not null").select("series_key", "w_start", "i", F.round("slope", 6).alias("slope"))
+    return e.smoothed_slope(supp_windows(spark, d, by_window=True)).where("slope is not null").select("series_key", "w_start", "i", F.round("slope", 6).alias("slope"))
 
 
 @query("e2_slope_runs", f"WITH {STEP} SELECT series_key, w_start, CAST(run AS BIGINT) AS run, sign, s, e FROM runs")
 def e2(spark, d):
-    runs = e.slope_runs(supp_windows(spark, d)).where("slope is not null")
+    runs = e.slope_runs(supp_windows(spark, d, by_window=True)).where("slope is not null")
     return runs.groupBy("series_key", "w_start", "run").agg(F.first("sign").alias("sign"), F.min("i").alias("s"), F.max("i").alias("e"))
 
 
 @query("e3_slope_segments", f"WITH {STEP} {merged(10)} SELECT series_key, w_start, CAST(seg AS BIGINT) AS seg, s AS \"start\", e AS \"end\", label, round(regr_slope(z, i), 6) AS slope FROM {JOINED} GROUP BY ALL")
 def e3(spark, d):
-    return e.slope_segments(supp_windows(spark, d)).withColumn("slope", F.round("slope", 6))
+    return e.slope_segments(supp_windows(spark, d, by_window=True)).withColumn("slope", F.round("slope", 6))
 
 
 EXT = STATS + """, x0 AS (SELECT *, lag(z) OVER w AS zl, lead(z) OVER w AS zr FROM zz WINDOW w AS (PARTITION BY series_key, w_start ORDER BY i)),
@@ -69,17 +69,17 @@ THIN = "RECURSIVE " + EXT + """, ev AS (SELECT * FROM ex WHERE kind IS NOT NULL)
 
 @query("e4_extrema", f"WITH {EXT} SELECT series_key, w_start, kind, i, round(z, 6) AS z, round(delta_pct, 6) AS delta_pct FROM ex WHERE kind IS NOT NULL")
 def e4(spark, d):
-    return e.extrema(supp_windows(spark, d)).select("series_key", "w_start", "kind", "i", F.round("z", 6).alias("z"), F.round("delta_pct", 6).alias("delta_pct"))
+    return e.extrema(supp_windows(spark, d, by_window=True)).select("series_key", "w_start", "kind", "i", F.round("z", 6).alias("z"), F.round("delta_pct", 6).alias("delta_pct"))
 
 
 @query("e5_thinned_extrema", f"WITH {THIN} SELECT series_key, w_start, kind, i FROM th")
 def e5(spark, d):
-    return e.thin(e.extrema(supp_windows(spark, d))).select("series_key", "w_start", "kind", "i")
+    return e.thin(e.extrema(supp_windows(spark, d, by_window=True))).select("series_key", "w_start", "kind", "i")
 
 
 @query("e6_top_extrema", f"WITH {THIN} SELECT series_key, w_start, kind, i, row_number() OVER (PARTITION BY series_key, w_start, kind ORDER BY abs(z) DESC, i) - 1 AS rank, round(z, 6) AS z FROM th QUALIFY rank < 3")
 def e6(spark, d):
-    top = e.top_events(e.thin(e.extrema(supp_windows(spark, d))))
+    top = e.top_events(e.thin(e.extrema(supp_windows(spark, d, by_window=True))))
     return top.select("series_key", "w_start", "kind", "i", "rank", F.round("z", 6).alias("z"))
 
 
@@ -89,12 +89,12 @@ RAMP = STEP + merged(10) + f""", rr AS (SELECT series_key, w_start, seg, any_val
 
 @query("e7_ramps", f"WITH {RAMP.format(least=24, dz=0.8)} SELECT series_key, w_start, rank, CASE WHEN label > 0 THEN 'ramp_up' ELSE 'ramp_down' END AS kind, s AS \"start\", e AS \"end\", round(dz, 6) AS delta_z, round(dp, 6) AS delta_pct FROM rk WHERE rank < 3")
 def e7(spark, d):
-    return e.ramps(supp_windows(spark, d)).withColumns({"delta_z": F.round("delta_z", 6), "delta_pct": F.round("delta_pct", 6)})
+    return e.ramps(supp_windows(spark, d, by_window=True)).withColumns({"delta_z": F.round("delta_z", 6), "delta_pct": F.round("delta_pct", 6)})
 
 
 @query("e7_short_ramps", f"WITH {RAMP.format(least=12, dz=0.1)} SELECT series_key, w_start, rank, CASE WHEN label > 0 THEN 'ramp_up' ELSE 'ramp_down' END AS kind, s AS \"start\", e AS \"end\", round(dz, 6) AS delta_z, round(dp, 6) AS delta_pct FROM rk WHERE rank < 3")
 def e7s(spark, d):
-    return e.ramps(supp_windows(spark, d), least=12, z_change=0.1).withColumns({"delta_z": F.round("delta_z", 6), "delta_pct": F.round("delta_pct", 6)})
+    return e.ramps(supp_windows(spark, d, by_window=True), least=12, z_change=0.1).withColumns({"delta_z": F.round("delta_z", 6), "delta_pct": F.round("delta_pct", 6)})
 
 
 PHASE = STEP + merged(20) + f""", ns AS (SELECT series_key, w_start, count(*) AS c FROM segs GROUP BY ALL),
@@ -106,13 +106,13 @@ PHASE = STEP + merged(20) + f""", ns AS (SELECT series_key, w_start, count(*) AS
 
 @query("e8_phases", f"WITH {PHASE} SELECT series_key, w_start, phase, s AS \"start\", e AS \"end\", label, start_v, end_v, round(delta_pct, 6) AS delta_pct, min_v, min_i, max_v, max_i, round(std, 6) AS std FROM pq")
 def e8(spark, d):
-    return e.phases(supp_windows(spark, d)).drop("n").withColumns({"delta_pct": F.round("delta_pct", 6), "std": F.round("std", 6)})
+    return e.phases(supp_windows(spark, d, by_window=True)).drop("n").withColumns({"delta_pct": F.round("delta_pct", 6), "std": F.round("std", 6)})
 
 
 @query("e9_phase_scores", f"""WITH {PHASE}, b AS (SELECT *, greatest(1.5 * abs(end_v - start_v), 0.05 * abs(start_v), 1e-8) AS bound FROM pq)
  SELECT series_key, w_start, phase, round(abs(delta_pct) + 3 * ln(1 + e - s + 1) + 50 * std + CASE WHEN max_v > greatest(start_v, end_v) + bound OR min_v < least(start_v, end_v) - bound THEN 10 ELSE 0 END, 6) AS score FROM b""")
 def e9(spark, d):
-    return e.phase_score(e.phases(supp_windows(spark, d))).select("series_key", "w_start", "phase", F.round("score", 6).alias("score"))
+    return e.phase_score(e.phases(supp_windows(spark, d, by_window=True))).select("series_key", "w_start", "phase", F.round("score", 6).alias("score"))
 
 
 ZEV = STATS + ", zi AS (SELECT *, i - row_number() OVER (PARTITION BY series_key, w_start ORDER BY i) AS g FROM zz WHERE abs(z) >= 1.8), ze AS (SELECT series_key, w_start, g, min(i) AS s, max(i) AS e, arg_max(i, (abs(z), -i)) AS peak_i, arg_max(z, (abs(z), -i)) AS z FROM zi GROUP BY ALL)"
@@ -120,22 +120,22 @@ ZEV = STATS + ", zi AS (SELECT *, i - row_number() OVER (PARTITION BY series_key
 
 @query("e12_z_events", f"WITH {ZEV} SELECT series_key, w_start, s AS \"start\", e AS \"end\", peak_i, round(z, 6) AS z, row_number() OVER (PARTITION BY series_key, w_start ORDER BY abs(z) DESC, s) - 1 AS rank FROM ze")
 def e12(spark, d):
-    return e.z_events(supp_windows(spark, d), 1.8).withColumn("z", F.round("z", 6))
+    return e.z_events(supp_windows(spark, d, by_window=True), 1.8).withColumn("z", F.round("z", 6))
 
 
 @query("e13_lift", f"WITH {WIN} SELECT series_key, w_start, i, round(value - coalesce(avg(value) OVER (PARTITION BY series_key, w_start ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), avg(value) OVER (PARTITION BY series_key, w_start)), 9) AS lift FROM win")
 def e13(spark, d):
-    return e.lift(supp_windows(spark, d)).select("series_key", "w_start", "i", F.round("lift", 9).alias("lift"))
+    return e.lift(supp_windows(spark, d, by_window=True)).select("series_key", "w_start", "i", F.round("lift", 9).alias("lift"))
 
 
 @query("e14_spike_segments", f"WITH {THIN} SELECT series_key, w_start, CASE WHEN z > 0 THEN 'spike' ELSE 'drop' END AS kind, greatest(0, i - 3) AS \"start\", i + 3 AS \"end\", round(z, 6) AS z FROM th WHERE abs(z) >= 1.5")
 def e14(spark, d):
-    return e.spike_segments(e.thin(e.extrema(supp_windows(spark, d))), 1.5).withColumn("z", F.round("z", 6))
+    return e.spike_segments(e.thin(e.extrema(supp_windows(spark, d, by_window=True))), 1.5).withColumn("z", F.round("z", 6))
 
 
 @query("e15_longest_rise", f"WITH {WIN}, u AS (SELECT series_key, w_start, i, CASE WHEN value > lag(value) OVER (PARTITION BY series_key, w_start ORDER BY i) THEN 1 ELSE 0 END AS up FROM win), g AS (SELECT *, sum(1 - up) OVER (PARTITION BY series_key, w_start ORDER BY i) AS g FROM u), r AS (SELECT series_key, w_start, g, CAST(sum(up) AS BIGINT) AS c FROM g GROUP BY ALL) SELECT series_key, w_start, max(c) AS longest, max(c) >= 5 AS long FROM r GROUP BY ALL")
 def e15(spark, d):
-    return e.longest_rise(supp_windows(spark, d))
+    return e.longest_rise(supp_windows(spark, d, by_window=True))
 
 
 @query("e16_first_crossing", f"WITH {WIN}, x AS (SELECT series_key, w_start, min(CASE WHEN value > 95000 THEN i END) AS up, min(CASE WHEN value < 5000 THEN i END) AS down FROM win GROUP BY ALL) SELECT series_key, w_start, up, down, CASE WHEN coalesce(up, 1e9) < coalesce(down, 1e9) THEN 'A' WHEN coalesce(down, 1e9) < coalesce(up, 1e9) THEN 'B' ELSE 'none' END AS first FROM x")

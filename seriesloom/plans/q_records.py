@@ -84,7 +84,7 @@ def shaken(spark, d):
         "z": F.when(F.col("type") == "peak", F.col("z") + off * 0.15).otherwise(F.col("z")),
         "label": F.when((F.col("type") == "global_trend_label") & (F.col("series_key") % 5 == 0), "up").otherwise(F.col("label")),
     })
-    return c.validate_claims(shaken_, supp_windows(spark, d, extra=VARS))
+    return c.validate_claims(shaken_, supp_windows(spark, d, extra=VARS, by_window=True))
 
 
 @query("l3_validated_trend", f"WITH {GT} SELECT series_key, w_start, CASE WHEN series_key % 5 = 0 THEN 'up' ELSE trend END = trend AS ok FROM gt")
@@ -140,7 +140,7 @@ def a21(spark, d):
 def a23(spark, d):
     from ..operators import events as e
 
-    return t.best_extreme(e.thin(e.extrema(supp_windows(spark, d))), KEY).select(*KEY, "kind", "i", "value")
+    return t.best_extreme(e.thin(e.extrema(supp_windows(spark, d, by_window=True))), KEY).select(*KEY, "kind", "i", "value")
 
 
 # Spans chosen one by one in a recursive table, the strongest first; then ramps and extremes behind them.
@@ -182,14 +182,14 @@ def t15(spark, d):
 
 @query("t14_thinned_phases", f"WITH {PHASE}, r AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start ORDER BY phase) - 1 AS r, count(*) OVER (PARTITION BY series_key, w_start) AS c FROM pq) SELECT series_key, w_start, phase FROM r WHERE c <= 5 OR r < 2 OR r >= c - 2 OR (r - 2) % greatest(1, (c - 4) // 2) = 0")
 def t14(spark, d):
-    return thinned_phases(phases(supp_windows(spark, d))).select(*KEY, "phase")
+    return thinned_phases(phases(supp_windows(spark, d, by_window=True))).select(*KEY, "phase")
 
 
 @query("t13_phase_forms", f"""WITH {PHASE}, r AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start ORDER BY phase) - 1 AS r, count(*) OVER (PARTITION BY series_key, w_start) AS c FROM pq),
  kept AS (SELECT *, greatest(1.5 * abs(end_v - start_v), 0.05 * abs(start_v)) AS bound, lag(label) OVER (PARTITION BY series_key, w_start ORDER BY phase) AS before FROM (SELECT * FROM r WHERE c <= 5 OR r < 2 OR r >= c - 2 OR (r - 2) % greatest(1, (c - 4) // 2) = 0))
  SELECT series_key, w_start, phase, label, CASE WHEN min_v < least(start_v, end_v) - bound THEN 'dip' WHEN max_v > greatest(start_v, end_v) + bound THEN 'spike' WHEN before = label THEN 'continue' ELSE 'plain' END AS form FROM kept""")
 def t13(spark, d):
-    return phase_forms(thinned_phases(phases(supp_windows(spark, d)))).select(*KEY, "phase", "label", "form")
+    return phase_forms(thinned_phases(phases(supp_windows(spark, d, by_window=True)))).select(*KEY, "phase", "label", "form")
 
 
 @query("t13_told_extremes", f"WITH {TOPK} SELECT series_key, w_start, CAST(row_number() OVER (PARTITION BY series_key, w_start ORDER BY kind, i) - 1 AS INT) AS place, kind AS type, CAST(i AS INT) AS idx FROM tk")

@@ -109,27 +109,27 @@ def w11(spark, d):
 
 @query("a1_z_score", f"WITH {STATS} SELECT series_key, w_start, i, round(z, 6) AS z FROM zz")
 def a1(spark, d):
-    return f.with_z(supp_windows(spark, d)).select("series_key", "w_start", "i", F.round("z", 6).alias("z"))
+    return f.with_z(supp_windows(spark, d, by_window=True)).select("series_key", "w_start", "i", F.round("z", 6).alias("z"))
 
 
 @query("a2_robust_change", f"WITH {STATS} SELECT series_key, w_start, i, round((value - mean) / scale * 100, 6) AS pct FROM zz")
 def a2(spark, d):
-    return f.with_z(supp_windows(spark, d)).select("series_key", "w_start", "i", F.round(f.change_pct(F.col("mean"), F.col("value"), F.col("scale")), 6).alias("pct"))
+    return f.with_z(supp_windows(spark, d, by_window=True)).select("series_key", "w_start", "i", F.round(f.change_pct(F.col("mean"), F.col("value"), F.col("scale")), 6).alias("pct"))
 
 
 @query("a3_detrend", f"WITH {WIN} SELECT series_key, w_start, i, round(value - (regr_slope(value, i) OVER w * i + regr_intercept(value, i) OVER w), 4) AS residual FROM win WINDOW w AS (PARTITION BY series_key, w_start)")
 def a3(spark, d):
-    return f.detrend(supp_windows(spark, d)).select("series_key", "w_start", "i", F.round("residual", 4).alias("residual"))
+    return f.detrend(supp_windows(spark, d, by_window=True)).select("series_key", "w_start", "i", F.round("residual", 4).alias("residual"))
 
 
 @query("a4_trend_segments", f"WITH {SEG} SELECT series_key, w_start, seg, s AS \"start\", e AS \"end\", round(slope_z, 6) AS slope_z, label FROM lab")
 def a4(spark, d):
-    return f.trend_segments(supp_windows(spark, d)).withColumn("slope_z", F.round("slope_z", 6))
+    return f.trend_segments(supp_windows(spark, d, by_window=True)).withColumn("slope_z", F.round("slope_z", 6))
 
 
 @query("a5_global_trend", f"WITH {GT} SELECT series_key, w_start, round(avg_slope, 6) AS avg_slope, trend FROM gt")
 def a5(spark, d):
-    return f.global_trend(f.trend_segments(supp_windows(spark, d))).withColumn("avg_slope", F.round("avg_slope", 6))
+    return f.global_trend(f.trend_segments(supp_windows(spark, d, by_window=True))).withColumn("avg_slope", F.round("avg_slope", 6))
 
 
 @query("a6_net_change", f"WITH {GT} SELECT series_key, w_start, start_v, end_v, round(delta_pct, 6) AS delta_pct FROM ncd")
@@ -142,7 +142,7 @@ VOL = SEG + ", sv AS (SELECT series_key, w_start, seg, stddev_pop(z) AS ss, any_
 
 @query("a7_volatility", f"WITH {VOL} SELECT series_key, w_start, round(any_value(std / CASE WHEN span > 0 THEN span ELSE 1 END), 6) AS overall_std, round(max(CASE WHEN seg = 0 THEN ss END), 6) AS std_0, round(max(CASE WHEN seg = 1 THEN ss END), 6) AS std_1, round(max(CASE WHEN seg = 2 THEN ss END), 6) AS std_2, CAST(arg_max(seg, (ss, -seg)) AS INT) AS most FROM sv JOIN rg USING (series_key, w_start) GROUP BY ALL")
 def a7(spark, d):
-    v = f.volatility(supp_windows(spark, d))
+    v = f.volatility(supp_windows(spark, d, by_window=True))
     return v.select("series_key", "w_start", *[F.round(c, 6).alias(c) for c in ("overall_std", "std_0", "std_1", "std_2")], "most")
 
 
@@ -151,7 +151,7 @@ VL = STATS + ", dz AS (SELECT series_key, w_start, z - lag(z) OVER (PARTITION BY
 
 @query("a8_volatility_label", f"WITH {VL} SELECT series_key, w_start, round(step_std, 6) AS step_std, CASE WHEN step_std < 0.5 THEN 'low' WHEN step_std < 1 THEN 'medium' ELSE 'high' END AS volatility FROM vl")
 def a8(spark, d):
-    return f.volatility_label(supp_windows(spark, d)).withColumn("step_std", F.round("step_std", 6))
+    return f.volatility_label(supp_windows(spark, d, by_window=True)).withColumn("step_std", F.round("step_std", 6))
 
 
 @query("a13_series_stats", f"WITH {SUPP}, l AS (SELECT series_key, t, unnest(['disc', 'price', 'qty', 'tax']) AS var, unnest([disc, price, qty, tax]) AS value FROM supp), s AS (SELECT series_key, var, avg(value) AS mean, sqrt(var_pop(value) + 1e-6) AS std, min(value) AS min, max(value) AS max, arg_min(value, t) AS a, arg_max(value, t) AS b, count(*) AS length FROM l GROUP BY ALL) SELECT series_key, var, round(mean, 5) AS mean, round(std, 5) AS std, min, max, round((b - a) / (abs(a) + 1e-6), 4) AS change, length FROM s")
@@ -163,7 +163,7 @@ def a13(spark, d):
 
 @query("a14_instance_norm", f"WITH {WIN} SELECT series_key, w_start, i, round((value - avg(value) OVER w) / sqrt(var_pop(value) OVER w + 1e-5), 6) AS normed, round(value, 4) AS restored FROM win WINDOW w AS (PARTITION BY series_key, w_start)")
 def a14(spark, d):
-    return f.instance_norm(supp_windows(spark, d)).select("series_key", "w_start", "i", F.round("normed", 6).alias("normed"), F.round("restored", 4).alias("restored"))
+    return f.instance_norm(supp_windows(spark, d, by_window=True)).select("series_key", "w_start", "i", F.round("normed", 6).alias("normed"), F.round("restored", 4).alias("restored"))
 
 
 CLS = "CASE WHEN {0} > 0.3 THEN 'strong_up' WHEN {0} > 0.1 THEN 'mild_up' WHEN {0} < -0.3 THEN 'strong_down' WHEN {0} < -0.1 THEN 'mild_down' ELSE 'flat' END"
@@ -181,12 +181,12 @@ def a16(spark, d):
 
 @query("a17_segment_table", f"WITH {STATS}, r AS (SELECT series_key, w_start, CAST(least(i // (n // 4), 3) AS INT) AS seg, avg(value) AS mean, stddev_pop(value) AS s, any_value(std) AS a, regr_slope(value, i) * count(*) / (max(value) - min(value)) AS r FROM zz GROUP BY ALL) SELECT series_key, w_start, seg, round(mean, 7) AS mean, round(s, 4) AS std, CASE WHEN s / (a + 1e-6) < 0.7 THEN 'low' WHEN s / (a + 1e-6) > 1.3 THEN 'high' ELSE 'medium' END AS volatility, {CLS.format('r')} AS trend_class FROM r")
 def a17(spark, d):
-    return f.segment_table(supp_windows(spark, d)).withColumns({"mean": F.round("mean", 7), "std": F.round("std", 4)})
+    return f.segment_table(supp_windows(spark, d, by_window=True)).withColumns({"mean": F.round("mean", 7), "std": F.round("std", 4)})
 
 
 @query("a18_trend_strength", f"WITH {SEG}, a AS (SELECT series_key, w_start, avg(slope_z) AS s FROM lab GROUP BY ALL) SELECT series_key, w_start, CASE WHEN s > 0.01 THEN 'up' WHEN s < -0.01 THEN 'down' ELSE 'flat' END AS direction, CASE WHEN abs(s) < 0.015 THEN 'weak' WHEN abs(s) < 0.06 THEN 'moderate' ELSE 'strong' END AS strength FROM a")
 def a18(spark, d):
-    return f.trend_strength(f.trend_segments(supp_windows(spark, d)))
+    return f.trend_strength(f.trend_segments(supp_windows(spark, d, by_window=True)))
 
 
 AMP = WIN + ", m AS (SELECT series_key, w_start, arg_min(value, i) AS start_v, arg_max(value, i) AS end_v, avg(value) AS mean, min(value) AS min_v, max(value) AS max_v FROM win GROUP BY ALL), p AS (SELECT series_key, w_start, min(CASE WHEN value = min_v THEN i END) AS min_i, min(CASE WHEN value = max_v THEN i END) AS max_i FROM win JOIN m USING (series_key, w_start) GROUP BY ALL)"
@@ -194,7 +194,7 @@ AMP = WIN + ", m AS (SELECT series_key, w_start, arg_min(value, i) AS start_v, a
 
 @query("a25_amplitude", f"WITH {AMP} SELECT series_key, w_start, start_v, end_v, round(mean, 9) AS mean, min_v, min_i, max_v, max_i, round((end_v - start_v) / abs(mean) * 100, 6) AS net_pct, round((max_v - min_v) / abs(mean) * 100, 6) AS range_pct FROM m JOIN p USING (series_key, w_start)")
 def a25(spark, d):
-    return f.amplitude(supp_windows(spark, d)).withColumns({"mean": F.round("mean", 9), "net_pct": F.round("net_pct", 6), "range_pct": F.round("range_pct", 6)})
+    return f.amplitude(supp_windows(spark, d, by_window=True)).withColumns({"mean": F.round("mean", 9), "net_pct": F.round("net_pct", 6), "range_pct": F.round("range_pct", 6)})
 
 
 for _mode, _rule in {"any": "max(label)", "majority": "CAST(avg(label) >= 0.5 AS INT)", "first": "arg_min(label, i)", "mode": "CASE WHEN sum(label) > count(*) - sum(label) THEN 1 ELSE 0 END", "constant": "7"}.items():

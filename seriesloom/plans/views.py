@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import sliding_windows
+from ..operators.scan import dealt
+from ..operators.windows import KEY, sliding_windows
 
 LENGTH, STRIDE = 128, 64
 
@@ -18,7 +19,8 @@ def v_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as one multivariate series for each supplier."""
     order = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     t = (F.row_number().over(order) - 1).cast("long")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    return dealt(lines, ["l_suppkey"], lines.count()).select(
         F.col("l_suppkey").alias("series_key"), t.alias("t"), F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"), F.col("l_partkey").alias("part"),
     )
 
@@ -41,9 +43,11 @@ def v_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select(F.col("user_id").alias("series_key"), F.expr("ts - interval 6 hours").alias("a"), F.expr("ts + interval 6 hours").alias("b"))
 
 
-def supp_windows(spark: SparkSession, sf_dir: str, value: str = "price", extra: list[str] | None = None) -> DataFrame:
+def supp_windows(spark: SparkSession, sf_dir: str, value: str = "price", extra: list[str] | None = None, by_window: bool = False) -> DataFrame:
+    """Windows of suppliers; with `by_window` dealt for window functions, which sort whole windows."""
     points = v_supp(spark, sf_dir).select("series_key", "t", "ts", F.col(value).alias("value"), *(extra or []))
-    return sliding_windows(points, LENGTH, STRIDE)
+    windows = sliding_windows(points, LENGTH, STRIDE)
+    return dealt(windows, KEY, table(spark, sf_dir, "lineitem").count() * -(-LENGTH // STRIDE)) if by_window else windows
 
 
 def user_windows(spark: SparkSession, sf_dir: str, length: int = 32, stride: int = 16) -> DataFrame:
