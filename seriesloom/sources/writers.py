@@ -12,9 +12,14 @@ from .readers import read_records
 from .scratch import stored
 
 
-def write_records(records: DataFrame, path: str, mode: str = "overwrite", partitioned: bool = False) -> None:
-    """Caption records as JSON lines; with `partitioned` one folder a dataset."""
-    writer = records.write.mode(mode).option("ignoreNullFields", "false")
+#: Records of a file: a compressed one is read by one task.
+FILE_RECORDS = 1 << 17
+
+
+def write_records(records: DataFrame, path: str, mode: str = "overwrite", partitioned: bool = False, compression: str = "gzip") -> None:
+    """Caption records as JSON lines; with `partitioned` one folder a dataset. Most of a record is names of fields and
+    nulls, so files are compressed; "none" leaves them plain."""
+    writer = records.write.mode(mode).option("ignoreNullFields", "false").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS)
     (writer.partitionBy("dataset") if partitioned else writer).json(path)
 
 

@@ -1,5 +1,7 @@
 """Appending records by batches with a commit log."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +64,16 @@ def test_records_written_at_once_are_known(spark, tmp_path):
         writers.append_records(records(spark, [("a", 0, 9), ("b", 0, 9)]), path)
     assert out(spark, path) == [("a", 0, 9), ("b", 0, 9)]
     assert {r.dataset for r in readers.read_records(spark, path).collect()} == {"d"}
+
+
+def test_records_are_written_small_and_in_bounded_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "FILE_RECORDS", 100)
+    rows = records(spark, [(f"s{i}", i, i + 9) for i in range(1000)]).coalesce(1)
+    plain, small = f"{tmp_path}/plain", f"{tmp_path}/small"
+    writers.write_records(rows, plain, compression="none")
+    writers.write_records(rows, small)
+    files = lambda path: sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    size = lambda path: sum(os.path.getsize(f"{path}/{f}") for f in files(path))
+    assert len(files(small)) == 10 and size(small) * 4 < size(plain)
+    assert readers.read_records(spark, small).exceptAll(readers.read_records(spark, plain)).count() == 0
+    assert readers.read_records(spark, small).count() == 1000
