@@ -23,6 +23,8 @@ from .shared import shared_path
 from .views import USER, table, v_daily, v_user, window_cte
 
 Q, SQL = {}, {}
+#: Files that a task writes, where each series has one of its own.
+FILES = 100
 
 
 def query(name: str, sql: str | None = None):
@@ -76,7 +78,9 @@ def s5b(spark, d):
 def metric_files(spark, d):
     path = shared_path(spark, "metrics")
     rows = v_user(spark, d).select(F.col("series_key").alias("u"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("value").cast("string").alias("value"))
-    rows.repartition("u").write.partitionBy("u").csv(f"{path}/group", header=True)
+    # tasks by the number of files, which cost more than their few bytes tell
+    tasks = -(-rows.agg(F.count_distinct("u")).first()[0] // FILES)
+    rows.repartition(max(tasks, 1), "u").write.partitionBy("u").csv(f"{path}/group", header=True)
     return path
 
 

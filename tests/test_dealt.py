@@ -33,3 +33,13 @@ def test_rows_of_dealt_windows(spark, monkeypatch, name):
     out = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in out.description]
     assert sorted((tuple(r) for r in df.select(*[f"`{c}`" for c in columns]).collect()), key=repr) == sorted(out.fetchall(), key=repr)
+
+
+def test_files_of_series_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    from seriesloom.plans import q_files
+
+    monkeypatch.setattr(q_files, "FILES", 4)
+    names = [r[0] for r in spark.read.option("recursiveFileLookup", True).csv(q_files.metric_files(spark, SF)).select(F.col("_metadata.file_path")).distinct().collect()]
+    users = spark.read.parquet(f"{SF}/events.parquet").agg(F.count_distinct("user_id")).first()[0]
+    assert len(names) == users > 8  # one file a series
+    assert len({n.rsplit("/", 1)[1].split("-")[1] for n in names}) > 2
