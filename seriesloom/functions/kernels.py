@@ -89,20 +89,80 @@ def _cap(n: int) -> int:
     return min(200, n // 2)
 
 
+#: Numbers of windows of one length that are computed at once.
+AT_ONCE = 1 << 15
+
+
+def _alike(values: pd.Series):
+    """The windows of a batch by length: their places and a matrix with a row each, of about AT_ONCE numbers."""
+    sizes = np.array([len(v) for v in values], int)
+    for n in np.unique(sizes):
+        places = np.flatnonzero(sizes == n)
+        step = max(1, AT_ONCE // max(n, 1))
+        for own in (places[k : k + step] for k in range(0, len(places), step)):
+            yield own, np.array([np.asarray(values.iloc[k], float) for k in own]).reshape(len(own), n)
+
+
+def acf_rows(x: np.ndarray, max_lag: int, least: float = 0.3) -> list[tuple[bool, int | None, float]]:
+    """acf_of() of each row."""
+    n = x.shape[1]
+    most = min(max_lag, n - 2)
+    if n < 6 or most < 3:
+        return [acf_of(row, max_lag, least) for row in x]
+    t = np.arange(n) - (n - 1) / 2
+    y = x - x.mean(axis=1, keepdims=True)
+    y = y - ((y * t).sum(axis=1) / (t @ t))[:, None] * t
+    y -= y.mean(axis=1, keepdims=True)
+    var = y.var(axis=1)
+    size = 1 << (2 * n - 1).bit_length()
+    spectrum = np.fft.rfft(y, size)
+    dots = np.fft.irfft(spectrum * np.conj(spectrum), size)[:, 1 : most + 1]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        acf = dots / ((n - np.arange(1, most + 1)) * var[:, None])
+        inner = (acf[:, 1:-1] > acf[:, :-2]) & (acf[:, 1:-1] > acf[:, 2:]) & (acf[:, 1:-1] >= least)
+    best = np.where(inner, acf[:, 1:-1], -np.inf).argmax(axis=1) + 1
+    return [(False, None, 0.0) if v < 1e-8 else (True, int(k) + 1, float(row[k])) if i.any() else (False, None, float(row.max())) for v, i, k, row in zip(var, inner, best, acf, strict=True)]
+
+
+def spectrum_rows(x: np.ndarray) -> list[tuple[int | None, float]]:
+    """spectrum_of() of each row."""
+    n = x.shape[1]
+    frequency = np.arange(n // 2 + 1) / max(n, 1)
+    band = (frequency > 2 / max(n, 1)) & (frequency < 0.4)
+    if n < 10 or not band.any():
+        return [(None, 0.0)] * len(x)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    centred = x - x.mean(axis=1, keepdims=True)
+    power = np.abs(np.fft.rfft(taper * (centred - centred.mean(axis=1, keepdims=True)))) ** 2 / taper.sum() ** 2
+    power[:, 1 : power.shape[1] - (n % 2 == 0)] *= 2
+    inside = power[:, band]
+    at = inside.argmax(axis=1)
+    share = inside[np.arange(len(x)), at] / (inside.sum(axis=1) + 1e-9)
+    return [(int(round(1 / f)), float(v)) for f, v in zip(frequency[band][at], share, strict=True)]
+
+
+def _periods(values: pd.Series, verdicts, columns: list[str]) -> pd.DataFrame:
+    rows = [None] * len(values)
+    for places, x in _alike(values):
+        for k, row in zip(places, verdicts(x), strict=True):
+            rows[k] = row
+    return pd.DataFrame(rows, columns=columns).astype({"period": "Int32"})
+
+
 @F.pandas_udf(PERIOD)
 def acf_period(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([acf_of(v, _cap(len(v))) for v in values], columns=["has", "period", "strength"]).astype({"period": "Int32"})
+    return _periods(values, lambda x: acf_rows(x, _cap(x.shape[1])), ["has", "period", "strength"])
 
 
 @F.pandas_udf(_struct(period=_INT, strength=_DOUBLE))
 def fft_period(values: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([spectrum_of(v) for v in values], columns=["period", "strength"]).astype({"period": "Int32"})
+    return _periods(values, spectrum_rows, ["period", "strength"])
 
 
 @F.pandas_udf(PERIOD)
 def season(values: pd.Series) -> pd.DataFrame:
-    rows = [fused(acf_of(v, _cap(len(v))), spectrum_of(v)) for v in values]
-    return pd.DataFrame(rows, columns=["has", "period", "strength"]).astype({"period": "Int32"})
+    both = lambda x: map(fused, acf_rows(x, _cap(x.shape[1])), spectrum_rows(x))
+    return _periods(values, both, ["has", "period", "strength"])
 
 
 @F.pandas_udf(_struct(lag=_INT, strength=_DOUBLE))
@@ -209,21 +269,76 @@ def best_pearsons(y: np.ndarray, x: np.ndarray, max_lag: int) -> tuple[np.ndarra
 CORR = T.ArrayType(_struct(var=_INT, corr=_DOUBLE, lag=_INT, corr_1=_DOUBLE, lag_1=_INT, corr_2=_DOUBLE, lag_2=_INT))
 
 
+def _lag_rows(y: np.ndarray, x: np.ndarray, max_lag: int):
+    """_lag_sums() of many windows of one length, y by window and place, x by window, column and place: each sum by lag,
+    window and column."""
+    n, yy_, xx_, rows = y.shape[1], y * y, x * x, []
+    lags = np.arange(-max_lag, max_lag + 1)
+    lags = lags[n - np.abs(lags) >= 8]
+    for lag in lags:
+        a, b = (slice(lag, n), slice(0, n - lag)) if lag >= 0 else (slice(0, n + lag), slice(-lag, n))
+        rows.append((y[:, a].sum(axis=1)[:, None], yy_[:, a].sum(axis=1)[:, None], x[:, :, b].sum(axis=2), xx_[:, :, b].sum(axis=2), np.einsum("wi,wvi->wv", y[:, a], x[:, :, b])))
+    return lags, (n - np.abs(lags)).astype(float)[:, None, None], *(np.array(column) for column in zip(*rows, strict=True))
+
+
+def _greatest_rows(c: np.ndarray, lags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_greatest() by window and column."""
+    flat = c.reshape(len(lags), -1)
+    value, at = _greatest(flat, lags)
+    return value.reshape(c.shape[1:]), at.reshape(c.shape[1:])
+
+
+def cosine_rows(y: np.ndarray, x: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """best_cosine() of many windows."""
+    if y.shape[1] < 8:
+        return np.zeros(x.shape[:2]), np.zeros(x.shape[:2], int)
+    y = (y - y.mean(axis=1, keepdims=True)) / (y.std(axis=1, keepdims=True) + 1e-9)
+    x = (x - x.mean(axis=2, keepdims=True)) / (x.std(axis=2, keepdims=True) + 1e-9)
+    lags, _, _, yy, _, xx, xy = _lag_rows(y, x, max_lag)
+    return _greatest_rows(xy / (np.sqrt(xx) * np.sqrt(yy) + 1e-9), lags)
+
+
+def pearson_rows(y: np.ndarray, x: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """best_pearsons() of many windows without gaps; those with a slice that hardly varies one by one."""
+    if y.shape[1] < 8:
+        return np.zeros(x.shape[:2]), np.zeros(x.shape[:2], int)
+    own, other = y - y.mean(axis=1, keepdims=True), x - x.mean(axis=2, keepdims=True)
+    lags, n, sy, yy, sx, xx, xy = _lag_rows(own, other, max_lag)
+    vy, vx = yy - sy * sy / n, xx - sx * sx / n
+    size = y.shape[1]
+    unsure = (vy <= np.maximum(1e-9 * (own * own).sum(axis=1), 1e-13 * size)[None, :, None]) | (vx <= np.maximum(1e-9 * (other * other).sum(axis=2), 1e-13 * size)[None])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        corr, at = _greatest_rows((xy - sx * sy / n) / np.sqrt(vx * vy), lags)
+    for w in np.flatnonzero(unsure.any(axis=(0, 2))):
+        corr[w], at[w] = best_pearsons(y[w], x[w].T, max_lag)
+    return corr, at
+
+
 @F.pandas_udf(CORR)
 def lagged_corr(target: pd.Series, candidates: pd.Series) -> pd.Series:
-    """Best lag in -24..24 of every candidate against the target, on the window and on its halves."""
-    out = []
-    for y, xs in zip(target, candidates, strict=True):
-        y = np.asarray(y, float)
-        if len(y) < 20 or not len(xs):
-            out.append([])
+    """Best lag in -24..24 of every candidate against the target, on the window and on its halves. Windows of one length
+    and number of candidates are computed together; those with gaps and long ones alone."""
+    out = [[] for _ in target]
+    for places, ys in _alike(target):
+        n, half = ys.shape[1], ys.shape[1] // 2
+        if n < 20:
             continue
-        x = np.stack([np.asarray(v, float) for v in xs], axis=1)
-        corr, lag = best_cosine(y, x, 24)
-        half = len(y) // 2
-        (c1, l1), (c2, l2) = best_pearsons(y[:half], x[:half], 24), best_pearsons(y[half:], x[half:], 24)
-        rows = [{"var": k, "corr": float(corr[k]), "lag": int(lag[k]), "corr_1": float(c1[k]), "lag_1": int(l1[k]), "corr_2": float(c2[k]), "lag_2": int(l2[k])} for k in range(x.shape[1])]
-        out.append(rows)
+        lists = [[np.asarray(v, float) for v in candidates.iloc[k]] for k in places]
+        many = np.array([len(v) for v in lists])
+        for count in np.unique(many[many > 0]):
+            own = np.flatnonzero(many == count)
+            x, y = np.array([lists[k] for k in own]), ys[own]
+            whole = np.isfinite(y).all(axis=1) & np.isfinite(x).all(axis=(1, 2)) & (n <= 1024)
+            found = {}
+            if whole.any():
+                a, b = y[whole], x[whole]
+                parts = cosine_rows(a, b, 24), pearson_rows(a[:, :half], b[:, :, :half], 24), pearson_rows(a[:, half:], b[:, :, half:], 24)
+                found = {k: [p[j] for part in parts for p in part] for j, k in enumerate(np.flatnonzero(whole))}
+            for k in np.flatnonzero(~whole):
+                a, b = y[k], x[k].T
+                found[k] = [p for part in (best_cosine(a, b, 24), best_pearsons(a[:half], b[:half], 24), best_pearsons(a[half:], b[half:], 24)) for p in part]
+            for k, (corr, lag, c1, l1, c2, l2) in found.items():
+                out[places[own[k]]] = [{"var": v, "corr": float(corr[v]), "lag": int(lag[v]), "corr_1": float(c1[v]), "lag_1": int(l1[v]), "corr_2": float(c2[v]), "lag_2": int(l2[v])} for v in range(count)]
     return pd.Series(out)
 
 

@@ -34,10 +34,6 @@ def _claim(claim: str, number=None, start=None, end=None, idx=None, **data) -> C
     return F.struct(whole[0].cast("int").alias("ord"), whole[1].alias("id"), whole[2].alias("type"), *[s.cast("int").alias(n) for s, n in zip(spans, ("start", "end", "idx"), strict=True)], *cells)
 
 
-def _claims(rows: DataFrame, claim: str, number=None, start=None, end=None, idx=None, **data) -> DataFrame:
-    return rows.select(*KEY, _claim(claim, number, start, end, idx, **data).alias("c")).select(*KEY, "c.*")
-
-
 def _lag_claims(variables: list[str], least: float = 0.3, count: int = 3) -> Column:
     """The `count` greatest correlations of a window at or above `least`, as corr.kept_correlations() ranks them."""
     names = F.array(*[F.lit(v) for v in variables])
@@ -46,39 +42,39 @@ def _lag_claims(variables: list[str], least: float = 0.3, count: int = 3) -> Col
     return F.transform(kept, lambda x, i: _claim("lagged_corr", i, var=x["name"], corr=x["c"]["corr"], lag=x["c"]["lag"], stable=x["stable"]))
 
 
+def with_claims(known: DataFrame, variables: list[str] = ()) -> DataFrame:
+    """Rows of features.window_features() with all claims about the window as an array, in order of ord."""
+    last = F.col("n") - 1
+    every = lambda events_, claim: F.transform(events_, claim)
+    z = lambda e: {"value": e["value"], "z": e["z"], "delta_pct_vs_mean": e["delta_pct"]}
+    spread = ("label", "start_v", "end_v", "delta_pct", "min_v", "max_v", "std")
+    season = _claim("seasonality", None, F.lit(0), last, has=F.col("season.has") & F.col("season.period").isNotNull(), period=F.col("season.period"), strength=F.col("season.strength"))
+    parts = [
+        F.array(
+            _claim("global_trend_label", None, F.lit(0), last, label=F.col("trend")),
+            _claim("global_net_change", None, F.lit(0), last, start_v=F.col("start_v"), end_v=F.col("end_v"), delta_pct=F.col("delta_pct")),
+        ),
+        every("ramps", lambda e, k: _claim("ramp", k, e["start"], e["end"], kind=e["kind"], delta_pct=e["delta_pct"])),
+        every("phases", lambda e: _claim("phase", e["phase"], e["start"], e["end"], **{c: e[c] for c in spread})),
+        F.array(_claim("volatility_most_segment", None, F.lit(0), last, label=F.col("volatility"), most=F.col("most"))),
+        every("peaks", lambda e, k: _claim("peak", k, idx=e["i"], **z(e))),
+        every("valleys", lambda e, k: _claim("valley", k, idx=e["i"], **z(e))),
+        F.array(season),
+    ]
+    if variables:
+        parts.append(_lag_claims(list(variables)))
+    return events.with_events(known).withColumn("claims", F.concat(*parts)).drop("ramps", "phases", "peaks", "valleys")
+
+
 def build_claims(windows: DataFrame, variables: list[str] = (), known: DataFrame | None = None) -> DataFrame:
-    """All claims of windows (value: the target; `variables`: columns to correlate with it).
+    """All claims of windows (value: the target; `variables`: columns to correlate with it), a row each.
 
-    Claims about a whole window come from its row of features.window_features() (`known`, if the caller has them
-    stored), exploded once; ramps, phases and extremes from the windows' points. Without `known`, the windows' points are
-    stored first, so that they are formed once.
+    They come from a window's row of features.window_features() (`known`, if the caller has them), exploded once; points
+    are brought together once, by window. Callers with many of them have them dealt by window (scan.dealt()).
     """
-    if known is None:
-        windows = stored(windows.select(*KEY, "w_end", "n", "i", "value", *variables), "windows")
-    windows = dealt(windows, KEY, windows.count())
     known = window_features(windows, list(variables)) if known is None else known
-    last = F.col("n") - 1
-    whole = F.array(
-        _claim("global_trend_label", None, F.lit(0), last, label=F.col("trend")),
-        _claim("global_net_change", None, F.lit(0), last, start_v=F.col("start_v"), end_v=F.col("end_v"), delta_pct=F.col("delta_pct")),
-        _claim("volatility_most_segment", None, F.lit(0), last, label=F.col("volatility"), most=F.col("most")),
-        _claim("seasonality", None, F.lit(0), last, has=F.col("season.has") & F.col("season.period").isNotNull(), period=F.col("season.period"), strength=F.col("season.strength")),
-    )
-    if variables:
-        whole = F.concat(whole, _lag_claims(list(variables)))
-    tops = events.top_events(events.thin(events.extrema(windows)))
-    number, z = F.col("rank"), {"value": F.col("value"), "z": F.col("z"), "delta_pct_vs_mean": F.col("delta_pct")}
-    extreme = F.when(F.col("kind") == "peak", _claim("peak", number, idx=F.col("i"), **z)).otherwise(_claim("valley", number, idx=F.col("i"), **z))
-    parts = [
-        known.select(*KEY, F.inline(whole)),
-        _claims(r := events.ramps(windows), "ramp", r["rank"], r["start"], r["end"], kind=r["kind"], delta_pct=r["delta_pct"]),
-        _claims(p := events.phases(windows), "phase", p["phase"], p["start"], p["end"], **{c: p[c] for c in ("label", "start_v", "end_v", "delta_pct", "min_v", "max_v", "std")}),
-        tops.select(*KEY, extreme.alias("c")).select(*KEY, "c.*"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # no list is empty; inline() would have Spark test that first, on a copy of all that the list is made of
+    return with_claims(known, variables).select(*KEY, F.inline_outer("claims"))
 
 
 def validate_claims(claims: DataFrame, windows: DataFrame, variables: list[str] = (), known: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .features import per_window, with_z
+from .features import EPS, per_window, with_z
 from .windows import KEY, even_cut
 
 
@@ -118,13 +118,78 @@ def phases(windows: DataFrame, least: int = 20, fallback: int = 3) -> DataFrame:
     return agg.where("end > start").select(*KEY, "n", "phase", "start", "end", label.alias("label"), "start_v", "end_v", (delta / scale * 100).alias("delta_pct"), F.col("lo.value").alias("min_v"), F.col("lo.i").alias("min_i"), F.col("hi.value").alias("max_v"), (-F.col("hi.j")).alias("max_i"), (F.col("sd") / scale).alias("std"))
 
 
+def score_of(start: Column, end: Column, start_v: Column, end_v: Column, delta_pct: Column, min_v: Column, max_v: Column, std: Column) -> Column:
+    """Of a phase: change, length, spread, and a bonus if an inner extreme goes well beyond both ends."""
+    bound = F.greatest(1.5 * F.abs(end_v - start_v), 0.05 * F.abs(start_v), F.lit(1e-8))
+    beyond = (max_v > F.greatest(start_v, end_v) + bound) | (min_v < F.least(start_v, end_v) - bound)
+    return F.abs(delta_pct) + 3.0 * F.log1p(end - start + 1) + 50.0 * std + 10.0 * F.when(beyond, 1.0).otherwise(0.0)
+
+
 def phase_score(phase: DataFrame) -> DataFrame:
-    """Adds score: change, length, spread, and a bonus if an inner extreme goes well beyond both ends."""
-    bound = F.greatest(1.5 * F.abs(F.col("end_v") - F.col("start_v")), 0.05 * F.abs("start_v"), F.lit(1e-8))
-    beyond = (F.col("max_v") > F.greatest("start_v", "end_v") + bound) | (F.col("min_v") < F.least("start_v", "end_v") - bound)
-    spike = F.when(beyond, 1.0).otherwise(0.0)
-    score = F.abs("delta_pct") + 3.0 * F.log1p(F.col("end") - F.col("start") + 1) + 50.0 * F.col("std") + 10.0 * spike
-    return phase.withColumn("score", score)
+    """Adds score, see score_of()."""
+    return phase.withColumn("score", score_of(*map(F.col, ("start", "end", "start_v", "end_v", "delta_pct", "min_v", "max_v", "std"))))
+
+
+def with_events(rows: DataFrame, distance: int = 5, count: int = 3) -> DataFrame:
+    """One row a window (value: its points in order; mean, std, scale) with its events as arrays of structs: peaks and
+    valleys (i, z, value, delta_pct), ramps (kind, start, end, delta_pct), phases (phase, start, end, label, start_v,
+    end_v, delta_pct, min_v, max_v, std).
+
+    They are those of top_events(thin(extrema())), ramps() and phases(), without a sort or an exchange of points; a
+    null value is no step.
+    """
+    n = F.size("value")
+    z = F.transform("value", lambda x: F.when(F.col("std") < EPS, F.lit(0.0)).otherwise((x - F.col("mean")) / F.col("std")))
+    m = F.greatest(n - 1, F.lit(0))
+    step = F.zip_with(F.slice("_z", 2, m), F.slice("_z", 1, m), lambda b, a: F.coalesce(b - a, F.lit(0.0)))
+    out = rows.withColumn("_z", z).withColumn("_d", step)
+
+    def sign(d: Column, i: Column) -> Column:
+        five = sum((F.coalesce(d if j == 0 else F.get("_d", i + j), F.lit(0.0)) for j in range(-2, 3)), F.lit(0.0))
+        head, tail = F.when(i <= 1, F.get("_d", F.lit(0))).otherwise(0.0), F.when(i >= n - 3, F.get("_d", n - 2)).otherwise(0.0)
+        slope = (five + head + tail) / 5
+        return F.when(n <= 3, 0).when(slope > 0.02, 1).when(slope < -0.02, -1).otherwise(0)
+
+    known = lambda places: F.filter(places, lambda i: i.isNotNull())
+    out = out.withColumn("_sign", F.transform("_d", sign))
+    out = out.withColumn("_runs", known(F.transform("_sign", lambda s, i: F.when((i == 0) | (s != F.get("_sign", i - 1)), i))))
+    heads = lambda least: F.filter("_runs", lambda s, k: (k == 0) | (F.coalesce(F.get("_runs", k + 1), n - 1) - s + 1 >= least))
+    spans = lambda h: F.transform(h, lambda s, k: F.struct(s.alias("start"), F.coalesce(F.get(h, k + 1), n - 1).alias("end"), F.get("_sign", s).alias("label")))
+    at = lambda i: F.get("value", i)
+    scale = F.col("scale")
+
+    out = out.withColumns({"_long": heads(10), "_parts": heads(20)}).withColumns({"_long": spans(F.col("_long")), "_parts": spans(F.col("_parts"))})
+    steep = F.filter("_long", lambda s: (s["label"] != 0) & (s["end"] - s["start"] + 1 >= 24))
+    rising = F.transform(steep, lambda s: F.struct((-F.abs(F.get("_z", s["end"]) - F.get("_z", s["start"]))).alias("o"), *[s[c].alias(c) for c in ("start", "end", "label")]))
+    top = F.slice(F.array_sort(F.filter(rising, lambda s: s["o"] <= -0.8)), 1, count)
+    ramps_ = F.transform(top, lambda s: F.struct(F.when(s["label"] > 0, "ramp_up").otherwise("ramp_down").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), ((at(s["end"]) - at(s["start"])) / scale * 100).alias("delta_pct")))
+
+    cuts = [F.lit(0), *[even_cut(F.lit(k), n, 3).cast("int") for k in (1, 2)], n]
+    thirds = F.array(*[F.struct(a.alias("start"), (b - 1).alias("end")) for a, b in zip(cuts, cuts[1:], strict=False)])
+    own = F.when(F.size("_parts") < 2, thirds).otherwise(F.transform("_parts", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    numbered = F.transform(own, lambda s, k: F.struct(k.alias("phase"), s["start"].alias("start"), s["end"].alias("end")))
+    values = lambda s: F.array_compact(F.slice("value", s["start"] + 1, s["end"] - s["start"] + 1))
+    cut = F.transform(F.filter(numbered, lambda s: s["end"] > s["start"]), lambda s: F.struct(*[s[c].alias(c) for c in ("phase", "start", "end")], values(s).alias("v")))
+    level = F.transform("_cut", lambda s: F.struct(s.alias("s"), (F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(s["v"]), F.lit(0))).alias("mean")))
+
+    def phase(p: Column) -> Column:
+        s, start_v, end_v = p["s"], at(p["s"]["start"]), at(p["s"]["end"])
+        sd = F.sqrt(F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + (x - p["mean"]) * (x - p["mean"])) / F.nullif(F.size(s["v"]), F.lit(0)))
+        label = F.when(F.abs(end_v - start_v) <= 0.01 * scale, "flat").when(end_v - start_v > 0, "up").otherwise("down")
+        ends = [s["phase"].alias("phase"), s["start"].alias("start"), s["end"].alias("end"), label.alias("label"), start_v.alias("start_v"), end_v.alias("end_v"), ((end_v - start_v) / scale * 100).alias("delta_pct")]
+        return F.struct(*ends, F.array_min(s["v"]).alias("min_v"), F.array_max(s["v"]).alias("max_v"), (sd / scale).alias("std"))
+
+    def strongest(is_one) -> Column:
+        places = known(F.transform("_z", lambda x, i: F.when(is_one(x, F.get("_z", i - 1), F.get("_z", i + 1)), i)))
+        keep = lambda acc, i: F.when((F.size(acc) == 0) | (i - F.element_at(acc, -1) >= distance), F.concat(acc, F.array(i))).otherwise(acc)
+        kept = F.aggregate(places, F.array().cast("array<int>"), keep)
+        order = F.slice(F.array_sort(F.transform(kept, lambda i: F.struct((-F.abs(F.get("_z", i))).alias("o"), i.alias("i")))), 1, count)
+        return F.transform(order, lambda p: F.struct(p["i"].alias("i"), F.get("_z", p["i"]).alias("z"), at(p["i"]).alias("value"), ((at(p["i"]) - F.col("mean")) / scale * 100).alias("delta_pct")))
+
+    peaks = strongest(lambda x, low, high: (x >= 1.0) & (x > low) & (x > high))
+    valleys = strongest(lambda x, low, high: (x <= -1.0) & (x < low) & (x < high))
+    out = out.withColumns({"ramps": ramps_, "_cut": cut, "peaks": peaks, "valleys": valleys}).withColumn("_level", level).withColumn("phases", F.transform("_level", phase))
+    return out.drop("_z", "_d", "_sign", "_runs", "_long", "_parts", "_cut", "_level")
 
 
 def z_events(windows: DataFrame, bound: float = 2.5) -> DataFrame:

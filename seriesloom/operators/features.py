@@ -187,7 +187,9 @@ def window_features(windows: DataFrame, variables: list[str] = (), extra: list[s
     agg = windows.groupBy(*KEY, "w_end").agg(
         F.max("n").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min_by("value", "i").alias("start_v"), F.max_by("value", "i").alias("end_v"), *parts, F.array_sort(F.collect_list(F.struct("i", *columns))).alias("_p"),
     )
-    out = agg.select(*[c for c in agg.columns if c != "_p"], *[F.col(f"_p.{c}").alias(c) for c in columns])
+    of = lambda c: lambda p: p[c]
+    # by transform(), not as fields of the array, which Spark would form anew at each place that reads one
+    out = agg.select(*[c for c in agg.columns if c != "_p"], *[F.transform("_p", of(c)).alias(c) for c in columns])
     std = F.col("std")
     slopes = [F.when(F.col(f"_c_{k}") > 0, _trend_of(F.col(f"_slope_{k}"), std)) for k in range(3)]
     label = lambda x: F.when(x > 0.03, "up").when(x < -0.03, "down").when(x.isNotNull(), "flat")

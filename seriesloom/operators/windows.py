@@ -19,13 +19,14 @@ def sliding_windows(points: DataFrame, length: int, stride: int = 1) -> DataFram
 
     A series shorter than `length`, or a length below 1, gives one window of the whole series. Points are never
     joined to windows: each names its windows by arithmetic. The length of a series comes from counts of its buckets, so
-    the points of a long one are never brought together.
+    the points of a long one are never brought together; points that know it already have it as n_all.
     """
     whole = F.lit(length <= 0) | (F.col("n_all") < length)
     first = F.greatest(F.lit(0), F.ceil((F.col("t") - length + 1) / F.lit(float(stride)))).cast("long")
     last = F.least(F.floor(F.col("t") / stride), F.floor((F.col("n_all") - length) / stride)).cast("long")
     ids = F.when(whole, F.array(F.lit(0).cast("long"))).when(first <= last, F.sequence(first, last))
-    out = with_size(points, ["series_key"], "t", "n_all").withColumn("w", F.explode(ids))
+    sized = points if "n_all" in points.columns else with_size(points, ["series_key"], "t", "n_all")
+    out = sized.withColumn("w", F.explode(ids))
     size = F.when(whole, F.col("n_all")).otherwise(F.lit(length)).cast("long")
     out = out.withColumn("w_start", F.when(whole, F.lit(0)).otherwise(F.col("w") * stride).cast("long")).withColumn("n", size)
     return out.withColumn("w_end", F.col("w_start") + F.col("n") - 1).withColumn("i", F.col("t") - F.col("w_start")).drop("w", "n_all")

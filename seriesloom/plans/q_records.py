@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None):
 
 
 def claims_of(spark, d, variables=()):
-    return c.build_claims(supp_windows(spark, d, extra=VARS), list(variables))
+    return c.build_claims(supp_windows(spark, d, extra=VARS, by_window=True), list(variables))
 
 
 TOPK = THIN + ", tk AS (SELECT *, row_number() OVER (PARTITION BY series_key, w_start, kind ORDER BY abs(z) DESC, i) - 1 AS rank FROM th QUALIFY rank < 3)"

@@ -45,7 +45,8 @@ def v_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supp_windows(spark: SparkSession, sf_dir: str, value: str = "price", extra: list[str] | None = None, by_window: bool = False) -> DataFrame:
     """Windows of suppliers; with `by_window` dealt for window functions, which sort whole windows."""
-    points = v_supp(spark, sf_dir).select("series_key", "t", "ts", F.col(value).alias("value"), *(extra or []))
+    size = F.count("*").over(Window.partitionBy("series_key"))  # v_supp() has each series in one task, in order
+    points = v_supp(spark, sf_dir).select("series_key", "t", "ts", F.col(value).alias("value"), *(extra or []), size.alias("n_all"))
     windows = sliding_windows(points, LENGTH, STRIDE)
     return dealt(windows, KEY, table(spark, sf_dir, "lineitem").count() * -(-LENGTH // STRIDE)) if by_window else windows
 
