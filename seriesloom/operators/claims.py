@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..sources.scratch import stored
 from . import corr as corr_ops
 from . import events, features
 from .features import EPS, window_features
-from .scan import dealt
 from .windows import KEY
 
 DATA = {
@@ -77,32 +75,23 @@ def build_claims(windows: DataFrame, variables: list[str] = (), known: DataFrame
     return with_claims(known, variables).select(*KEY, F.inline_outer("claims"))
 
 
-def validate_claims(claims: DataFrame, windows: DataFrame, variables: list[str] = (), known: DataFrame | None = None) -> DataFrame:
-    """Adds ok, reason and evidence (the recomputed number or word, as text) by recomputing each claim from the points.
-
-    Tolerances: net change 1 point, ramps and phases 2, z 0.2, period 1, correlation 0.05. Seasonality is checked by
-    autocorrelation alone, so a period that only the spectrum shows does not pass. A claim meets its window's row of
-    features.window_features() (`known`, if the caller has them stored) in one join.
-    """
-    known = window_features(windows, list(variables), check=True) if known is None else known
-    w = lambda c: F.col(f"_w.{c}")
-    fields = ("mean", "std", "scale", "trend", "most", "acf", "lags", "value")
-    all_ = claims.join(known.select(*KEY, F.struct(*fields).alias("_w")), KEY, "left")
-    value = lambda c: F.get(w("value"), F.col(c))
-    kind = F.col("type")
+def _verdict(own, w, variables: list[str]) -> tuple[Column, Column, Column]:
+    """ok, reason and evidence of the claim with the fields own(name), in the window with the columns w(name)."""
+    value = lambda c: F.get(w("value"), own(c))
+    kind = own("type")
     delta = (value("end") - value("start")) / F.when(value("start").isNotNull() | value("end").isNotNull(), w("scale")) * 100
-    near = F.abs(delta - F.col("delta_pct")) <= F.when(kind == "global_net_change", 1.0).otherwise(2.0)
+    near = F.abs(delta - own("delta_pct")) <= F.when(kind == "global_net_change", 1.0).otherwise(2.0)
     z = F.when(value("idx").isNotNull(), F.when(w("std") < EPS, F.lit(0.0)).otherwise((value("idx") - w("mean")) / w("std")))
     names = F.array(*[F.lit(v) for v in variables]) if variables else F.array().cast("array<string>")
-    lag = F.try_element_at(F.filter(w("lags"), lambda c: F.element_at(names, c["var"] + 1) == F.col("var")), F.lit(1))
+    lag = F.try_element_at(F.filter(w("lags"), lambda c: F.element_at(names, c["var"] + 1) == own("var")), F.lit(1))
     has, period = w("acf.has"), w("acf.period")
     ok = (
-        F.when(kind == "global_trend_label", w("trend") == F.col("label"))
+        F.when(kind == "global_trend_label", w("trend") == own("label"))
         .when(kind.isin("global_net_change", "ramp", "phase"), near)
-        .when(kind.isin("peak", "valley"), (F.abs(z - F.col("z")) <= 0.2) & F.when(kind == "peak", z >= 1.0).otherwise(z <= -1.0))
-        .when(kind == "seasonality", (has == F.col("has")) & (~has | F.col("period").isNull() | (F.abs(period - F.col("period")) <= 1)))
-        .when(kind == "volatility_most_segment", w("most") == F.col("most"))
-        .when(kind == "lagged_corr", (F.abs(lag["corr"] - F.col("corr")) <= 0.05) & (lag["lag"] == F.col("lag")) & (F.abs(lag["corr"]) >= 0.3))
+        .when(kind.isin("peak", "valley"), (F.abs(z - own("z")) <= 0.2) & F.when(kind == "peak", z >= 1.0).otherwise(z <= -1.0))
+        .when(kind == "seasonality", (has == own("has")) & (~has | own("period").isNull() | (F.abs(period - own("period")) <= 1)))
+        .when(kind == "volatility_most_segment", w("most") == own("most"))
+        .when(kind == "lagged_corr", (F.abs(lag["corr"] - own("corr")) <= 0.05) & (lag["lag"] == own("lag")) & (F.abs(lag["corr"]) >= 0.3))
     )
     evidence = (
         F.when(kind == "global_trend_label", w("trend")).when(kind.isin("peak", "valley"), F.round(z, 4).cast("string")).when(kind == "seasonality", F.concat_ws("/", has.cast("string"), period.cast("string")))
@@ -110,7 +99,21 @@ def validate_claims(claims: DataFrame, windows: DataFrame, variables: list[str]
     )
     sound = F.coalesce(ok, F.lit(False))
     reason = F.when(sound, "").when((kind == "lagged_corr") & lag.isNull(), "var missing").when(kind == "phase", "phase_delta_mismatch").otherwise("mismatch")
-    return all_.select(*claims.columns, sound.alias("ok"), reason.alias("reason"), evidence.alias("evidence"))
+    return sound, reason, evidence
+
+
+def validate_claims(claims: DataFrame, windows: DataFrame, variables: list[str] = (), known: DataFrame | None = None) -> DataFrame:
+    """Adds ok, reason and evidence (the recomputed number or word, as text) by recomputing each claim from the points.
+
+    Tolerances: net change 1 point, ramps and phases 2, z 0.2, period 1, correlation 0.05. Seasonality is checked by
+    autocorrelation alone, so a period that only the spectrum shows does not pass. A claim meets its window's row of
+    features.window_features() (`known`, if the caller has them stored) in one join.
+    """
+    known = window_features(windows, list(variables), check=True) if known is None else known
+    fields = ("mean", "std", "scale", "trend", "most", "acf", "lags", "value")
+    all_ = claims.join(known.select(*KEY, F.struct(*fields).alias("_w")), KEY, "left")
+    ok, reason, evidence = _verdict(F.col, lambda c: F.col(f"_w.{c}"), variables)
+    return all_.select(*claims.columns, ok.alias("ok"), reason.alias("reason"), evidence.alias("evidence"))
 
 
 def claim_check(checked: DataFrame) -> DataFrame:
@@ -179,30 +182,78 @@ def target_segments(claims: DataFrame) -> DataFrame:
     return every.select(*KEY, (F.row_number().over(Window.partitionBy(*KEY).orderBy("g", "r")) - 1).alias("segment_id"), "type", "start", "end")
 
 
+def checked_claims(rows: DataFrame, variables: list[str] = (), least: float = 10.0, reach: float = 30.0) -> DataFrame:
+    """Rows of with_claims() (features with `check`) with their claims as apply_policy(amplitude_note(repair_trend(
+    validate_claims()))) leaves them, with ok and reason; adds pass and n_failed as in claim_check()."""
+    names = ["ord", "id", "type", "start", "end", "idx", *DATA]
+
+    def judged(c: Column) -> Column:
+        ok, reason, _ = _verdict(lambda x: c[x], F.col, variables)
+        return F.struct(*[c[x].alias(x) for x in names], ok.alias("ok"), reason.alias("reason"))
+
+    of = lambda kind: F.filter("claims", lambda c: c["type"] == kind)
+    ramps = F.transform(of("ramp"), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind")))
+    out = rows.withColumn("claims", F.transform("claims", judged))
+    out = out.withColumns({
+        "pass": F.forall("claims", lambda c: c["ok"]), "n_failed": F.size(F.filter("claims", lambda c: ~c["ok"])), "_net": F.array_max(F.transform(of("global_net_change"), lambda c: c["delta_pct"])),
+        "_first": F.array_min(ramps)["kind"], "_last": F.array_max(ramps)["kind"], "_reach": F.array_max(F.transform("claims", lambda c: F.abs(c["delta_pct_vs_mean"]))),
+    })
+    first, last, net = F.col("_first"), F.col("_last"), F.col("_net")
+    both = F.when((first == "ramp_down") & (last == "ramp_up"), "down_then_up").when((first == "ramp_up") & (last == "ramp_down"), "up_then_down")
+    repaired = F.coalesce(both, F.when(net > 0, "up").otherwise("down"))
+
+    def settled(c: Column) -> Column:
+        kind, ok = c["type"], c["ok"]
+        is_trend, corr, season = kind == "global_trend_label", ~ok & (kind == "lagged_corr"), ~ok & (kind == "seasonality")
+        change = is_trend & (c["label"] == "flat") & (F.abs(net) >= least)
+        noted = (kind == "volatility_most_segment") & (c["label"] == "low") & (F.col("_reach") >= reach)
+        new = {
+            "label_raw": F.when(is_trend, c["label"]), "label_final": F.when(change, repaired).when(is_trend, c["label"]), "note": F.when(noted, "low_short_term_but_large_amplitude").otherwise(c["note"]),
+            "stable": F.when(corr, F.lit(False)).otherwise(c["stable"]), "has": F.when(season, F.lit(False)).otherwise(c["has"]), "period": F.when(~season, c["period"]),
+        }
+        reason = F.when(change, F.concat(c["reason"], F.lit("|repaired:flat_vs_delta"))).otherwise(c["reason"])
+        return F.struct(*[new.get(x, c[x]).alias(x) for x in names], (ok | corr | season).alias("ok"), reason.alias("reason"))
+
+    kept = F.filter("claims", lambda c: c["ok"] | c["type"].isin("lagged_corr", "seasonality", "global_net_change"))
+    return out.withColumn("claims", F.transform(kept, settled)).drop("_net", "_first", "_last", "_reach")
+
+
+def with_segments(rows: DataFrame) -> DataFrame:
+    """Adds the segments of target_segments() to rows of claims, as an array of type, start and end in their order."""
+    fields = ("start", "end", "start_v", "end_v", "delta_pct", "min_v", "max_v", "std")
+    scored = F.transform(F.filter("claims", lambda c: c["type"] == "phase"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), events.score_of(*[c[x] for x in fields]).alias("score")))
+    segment = lambda kind, s: F.struct(kind.alias("type"), s["start"].alias("start"), s["end"].alias("end"))
+
+    def top(kinds: list[str], by: str) -> Column:
+        own = F.filter("claims", lambda c: c["type"].isin(kinds))
+        order = F.transform(own, lambda c: F.struct((-F.coalesce(F.abs(c[by]), F.lit(-1.0))).alias("o"), c["ord"].alias("ord"), c["type"].alias("type"), F.coalesce(c["start"], c["idx"]).alias("start"), F.coalesce(c["end"], c["idx"]).alias("end")))
+        return F.transform(F.slice(F.array_sort(order), 1, 2), lambda s: segment(s["type"], s))
+
+    out = rows.withColumn("_scored", F.array_sort(scored)).withColumn("_chosen", kernels.select_mmr("_scored"))
+    phases = F.transform("_chosen", lambda i: segment(F.lit("phase"), F.get("_scored", i)))
+    return out.withColumn("segments", F.concat(phases, top(["ramp"], "delta_pct"), top(["peak", "valley"], "z"))).drop("_scored", "_chosen")
+
+
 def time_at(times, i):
     """The time text at a place, clamped to the array."""
     return F.element_at(times, F.least(F.greatest(i, F.lit(0)), F.size(times) - 1) + 1)
 
 
 def caption_records(windows: DataFrame, variables: list[str], dataset: str, task: str = "forecasting", target: str = "value", domain_context: str = "") -> DataFrame:
-    """Whole records of windows with ts: checked and repaired claims, features, segments and a rendered caption."""
+    """Whole records of windows with ts: checked and repaired claims, features, segments and a rendered caption.
+
+    A window's points meet once; all else is done within its row. Callers with many windows have them dealt by window
+    (scan.dealt()).
+    """
     from .render import render_zh, summary_en
 
-    # what several branches need is formed once: the windows' points, a row of features a window, the checked claims
-    windows = stored(windows.select(*KEY, "w_end", "n", "i", "value", *variables, F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time")), "windows")
-    arrays = stored(window_features(dealt(windows, KEY, windows.count()), variables, ["time"], check=True), "features")
-    checked = stored(validate_claims(build_claims(windows, variables, arrays), windows, variables, arrays), "claims")
-    check = claim_check(checked).drop("n")
-    final = apply_policy(amplitude_note(repair_trend(checked)))
-    data = F.struct(*[F.round(k, 4).alias(k) if t == "double" else F.col(k) for k, t in DATA.items() if k != "std"])
-    arrays = arrays.select(*KEY, "w_end", "n", "time", "value", *variables)
-    timed = final.join(arrays.select(*KEY, "time"), KEY)
-    at = lambda c: F.when(F.col(c).isNotNull(), time_at(F.col("time"), F.col(c)))
-    claim = F.struct("ord", "id", "type", F.lit(target).alias("target"), "start", "end", "idx", at("start").alias("t_start"), at("end").alias("t_end"), at("idx").alias("t_idx"), data.alias("data"), F.lit(None).cast("string").alias("sentence"), "ok", "reason")
-    lists = timed.groupBy(*KEY).agg(F.array_sort(F.collect_list(claim)).alias("claims"))
-    parts = target_segments(final).join(arrays.select(*KEY, "time"), KEY)
-    local = parts.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("segment_id", "start", "end", time_at(F.col("time"), F.col("start")).alias("t_start"), time_at(F.col("time"), F.col("end")).alias("t_end"), "type"))).alias("segments"))
-    joined = arrays.join(lists, KEY).join(check, KEY).join(local, KEY, "left")
+    points = windows.select(*KEY, "w_end", "n", "i", "value", *variables, F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"))
+    rows = checked_claims(with_claims(window_features(points, variables, ["time"], check=True), variables), variables)
+    data = lambda c: F.struct(*[F.round(c[k], 4).alias(k) if t == "double" else c[k].alias(k) for k, t in DATA.items() if k != "std"])
+    at = lambda i: F.when(i.isNotNull(), time_at(F.col("time"), i))
+    claim = lambda c: F.struct(c["ord"].alias("ord"), c["id"].alias("id"), c["type"].alias("type"), F.lit(target).alias("target"), *[c[x].alias(x) for x in ("start", "end", "idx")], *[at(c[x]).alias(f"t_{x}") for x in ("start", "end", "idx")], data(c).alias("data"), F.lit(None).cast("string").alias("sentence"), c["ok"].alias("ok"), c["reason"].alias("reason"))
+    rows = with_segments(rows).withColumn("claims", F.transform("claims", claim))
+    joined = rows.withColumn("segments", F.transform("segments", lambda s, i: F.struct(i.alias("segment_id"), s["start"].alias("start"), s["end"].alias("end"), time_at(F.col("time"), s["start"]).alias("t_start"), time_at(F.col("time"), s["end"]).alias("t_end"), s["type"].alias("type"))))
     names = [target, *variables]
     step = lambda i: F.array(*[F.element_at(c, i + 1) for c in ("value", *variables)])
     matrix = F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), step)
@@ -212,11 +263,12 @@ def caption_records(windows: DataFrame, variables: list[str], dataset: str, task
     related = F.transform(F.filter("claims", lambda c: c["type"] == "lagged_corr"), lambda c: F.struct(F.array(F.lit(target), c["data"]["var"]).alias("pair"), c["data"]["corr"].alias("rho")))
     features_ = F.struct(pick("global_trend_label")["label_raw"].alias("trend"), pick("volatility_most_segment")["label"].alias("volatility"), F.struct(season["period"].alias("period"), strength.alias("strength")).alias("seasonality"), related.alias("correlations"))
     meta = F.array(*[F.struct(F.lit(v).alias("name"), F.lit(i).alias("index"), F.lit("feature" if i else "target").alias("role"), F.lit(v).alias("meaning"), F.lit("").alias("unit")) for i, v in enumerate(names)])
-    zh, en = render_zh(F.col("claims"), target, F.col("series_key"), F.col("w_start"), F.col("time")), summary_en(F.col("claims"))
-    texts = F.transform(F.coalesce("segments", F.array().cast("array<struct<segment_id:int,start:int,end:int,t_start:string,t_end:string,type:string>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t_start"].alias("t_start"), s["t_end"].alias("t_end"), s["type"].alias("type"), F.lit("").alias("description_zh"), F.lit("").alias("description_en")))
+    joined = joined.withColumns({"_zh": render_zh(F.col("claims"), target, F.col("series_key"), F.col("w_start"), F.col("time")), "_en": summary_en(F.col("claims"))})
+    zh, en = F.col("_zh"), F.col("_en")
+    texts = F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t_start"].alias("t_start"), s["t_end"].alias("t_end"), s["type"].alias("type"), F.lit("").alias("description_zh"), F.lit("").alias("description_en")))
     return joined.select(
         F.lit(dataset).alias("dataset"), F.lit(task).alias("task"), F.col("series_key").cast("string").alias("series_key"), F.array("w_start", "w_end").cast("array<int>").alias("indices"), "time", matrix.alias("timeseries"), meta.alias("variables"),
-        F.lit(None).cast("string").alias("label"), features_.alias("features"), F.transform("claims", lambda c: c.dropFields("ord", "data.min_v", "data.max_v")).alias("claims"), F.struct(F.col("pass"), F.col("n_failed").cast("int").alias("n_failed")).alias("claim_check"),
+        F.lit(None).cast("string").alias("label"), features_.alias("features"), F.transform("claims", lambda c: c.dropFields("ord", "data.min_v", "data.max_v")).alias("claims"), F.struct(F.col("pass"), F.col("n_failed").alias("n_failed")).alias("claim_check"),
         F.array(zh, en).alias("descriptions"), F.struct(F.struct(zh.alias("zh"), en.alias("en")).alias("global"), F.struct(zh.alias("zh"), en.alias("en")).alias("domain_integrated"), texts.alias("local"), F.lit("timestamp").alias("time_kind")).alias("dense_captions"), F.lit(domain_context).alias("domain_context"),
     )
 

@@ -166,7 +166,7 @@ def e11(spark, d):
 
 
 def records(spark, d):
-    return c.caption_records(supp_windows(spark, d, extra=VARS), VARS, "supp")
+    return c.caption_records(supp_windows(spark, d, extra=VARS, by_window=True), VARS, "supp")
 
 
 @query("l8_caption_records")
