@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..sources.scratch import stored
 from . import corr as corr_ops
 from . import events, features
 from .features import EPS, window_features
@@ -248,7 +249,9 @@ def caption_records(windows: DataFrame, variables: list[str], dataset: str, task
     from .render import render_zh, summary_en
 
     points = windows.select(*KEY, "w_end", "n", "i", "value", *variables, F.date_format("ts", "yyyy-MM-dd HH:mm").alias("time"))
-    rows = checked_claims(with_claims(window_features(points, variables, ["time"], check=True), variables), variables)
+    # stored, since the choice of segments is a kernel over what comes of other kernels
+    known = stored(window_features(points, variables, ["time"], check=True), "features")
+    rows = checked_claims(with_claims(known, variables), variables)
     data = lambda c: F.struct(*[F.round(c[k], 4).alias(k) if t == "double" else c[k].alias(k) for k, t in DATA.items() if k != "std"])
     at = lambda i: F.when(i.isNotNull(), time_at(F.col("time"), i))
     claim = lambda c: F.struct(c["ord"].alias("ord"), c["id"].alias("id"), c["type"].alias("type"), F.lit(target).alias("target"), *[c[x].alias(x) for x in ("start", "end", "idx")], *[at(c[x]).alias(f"t_{x}") for x in ("start", "end", "idx")], data(c).alias("data"), F.lit(None).cast("string").alias("sentence"), c["ok"].alias("ok"), c["reason"].alias("reason"))
