@@ -203,7 +203,12 @@ def v_records(spark, d):
     """orders as caption records: a trend, a net change, a peak, a valley and a seasonality claim each."""
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     null = lambda kind: F.lit(None).cast(kind)
-    signed = lambda x, digits: F.when(F.round(x, digits) == 0, x * 0.0).otherwise(F.round(x, digits))  # texts show -0.0
+
+    def signed(x, digits):
+        """Rounded as the SQL's engine does, in doubles instead of the decimals that are shown; texts show -0.0."""
+        near = F.round(x * 10.0**digits, 0) / 10.0**digits
+        return F.when(near == 0, x * 0.0).otherwise(near)
+
     types = {n: ty for n, ty in c.DATA.items() if n not in ("min_v", "max_v", "std")}
     data = lambda **v: F.struct(*[v.get(n, null(ty)).cast(ty).alias(n) for n, ty in types.items()])
     claim = lambda kind, idx, d_: F.struct(F.lit(kind).alias("id"), F.lit(kind).alias("type"), idx.cast("int").alias("idx"), d_.alias("data"))

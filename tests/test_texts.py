@@ -27,3 +27,18 @@ def test_numbers_that_round_to_zero_keep_their_sign(spark, tmp_path, name):
     out = con.execute(ORACLE_SQL[name])
     columns = [c[0] for c in out.description]
     assert sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) == sorted(out.fetchall(), key=repr)
+
+
+@pytest.mark.parametrize("name", ["k3_sft_rows", "t12_fact_captions", "b1_facts"])
+def test_numbers_halfway_are_rounded_as_in_the_sql(spark, tmp_path, name):
+    """27.195 / 777 - 300 = -299.965: a hundredfold it is under the half as a double, and on it as the digits shown. Each
+    key is odd and divisible by 7, so that k3_sft_rows tells the facts."""
+    prices = [27.195, 73.815, 742178.745, -27.195, 233103.885, 233096.115, 233100.0, 125050.0, -125050.0, 49.995, 50.0, 1e17, 0.0, -0.0]
+    rows = [(7 * (2 * i + 1), i, price) for i, price in enumerate(prices)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    out = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in out.description]
+    got = QUERIES[name](spark, str(tmp_path)).select(*columns)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(out.fetchall(), key=repr)
