@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
-from .vectors import SAME, block_pairs, folded, met, metric_index, nearest_pairs, unit_rows
+from .vectors import SAME, Side, band, banded, block_pairs, folded, from_bytes, matrix, met, metric_index, nearest_pairs, part_count, to_bytes, unit, unit_rows
 
 #: Positive pairs a query up to which they are compared one by one; beyond, block by block.
 FEW_POSITIVES = 64
-#: Blocks whose candidates give a short list's first floors.
-HEAD = 2
+#: Blocks whose candidates give a short list's first floors; candidate blocks up to which all are searched at once.
+HEAD, ONCE = 2, 8
 
 
 def normalized(vec: Column) -> Column:
@@ -131,10 +131,10 @@ def rank_report(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.count("*").alias("queries"), at(1).alias("r1"), at(5).alias("r5"), at(10).alias("r10"), F.percentile("rank", F.lit(0.5)).alias("median"), F.avg("rank").alias("mean"), F.avg(1.0 / F.col("rank")).alias("mrr"))
 
 
-def _shortlist(queries: DataFrame, candidates: DataFrame, count: int, by_group: bool) -> DataFrame:
-    """id, candidate (its id, or its group), sim: the `count` best of each query, from two rounds: the blocks nearest
-    to a block of queries give floors, then come the blocks that may hold something above them."""
-    left, right = metric_index(queries), metric_index(candidates, by_group)
+def _shortlist(left: DataFrame, right: DataFrame, count: int, by_group: bool) -> DataFrame:
+    """q (the query's block), id, candidate (its id, or its group), sim, rank: the `count` best of each query of an
+    index, from two rounds: the blocks nearest to a block of queries give floors, then come the blocks that may hold
+    something above them."""
     pairs = stored(block_pairs(left, right), "block-pairs")
 
     def tops(row: np.ndarray, name: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,16 +149,18 @@ def _shortlist(queries: DataFrame, candidates: DataFrame, count: int, by_group:
         return row[first], name[first], sim[first]
 
     def step(q, c, sim, state):
-        order = np.argsort(c.groups if by_group else c.ids, kind="stable")
-        sim, names = sim[:, order], c.ids[order]
-        if by_group:  # the greatest similarity of each group in this block
-            names, begin = np.unique(c.groups[order], return_index=True)
+        names = c.ids
+        if by_group:  # the greatest similarity of each group in this block, whose rows lie by group
+            names, begin = np.unique(c.groups, return_index=True)
             sim = np.maximum.reduceat(sim, begin, axis=1)
-        if count < len(names):  # whatever reaches the count-th value
-            kth = np.partition(sim, len(names) - count, axis=1)[:, len(names) - count]
-            row, col = np.nonzero(sim >= kth[:, None])
-        else:
-            row, col = np.divmod(np.arange(sim.size), len(names))
+        ends = np.searchsorted(state[0], np.arange(len(q.ids) + 1))
+        full = np.diff(ends) == count
+        floor = np.full(len(q.ids), -np.inf)
+        floor[full] = state[2][ends[1:][full] - 1]
+        some = sim >= floor[:, None]
+        if count < len(names) and np.count_nonzero(some) > 2 * count * len(q.ids):  # whatever reaches the count-th value
+            some &= sim >= np.partition(sim, len(names) - count, axis=1)[:, len(names) - count, None]
+        row, col = np.nonzero(some)
         return tops(*(np.concatenate(x) for x in zip(state, (row, names[col], sim[row, col]), strict=True)))
 
     def start(q):
@@ -179,6 +181,8 @@ def _shortlist(queries: DataFrame, candidates: DataFrame, count: int, by_group:
             found = found.groupBy("q", "id", "candidate").agg(F.max("sim").alias("sim"))
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
 
+    if right.count() <= ONCE:
+        return ranked(met(pairs, left, right).mapInArrow(best, schema))
     first = nearest_pairs(pairs, HEAD, F.col("most"))
     heads = stored(met(first, left, right).mapInArrow(best, schema), "first-lists")
     floors = ranked(heads).where(F.col("rank") == count).groupBy("q").agg(F.min("sim").alias("floor"), F.count("*").alias("full"))
@@ -186,12 +190,12 @@ def _shortlist(queries: DataFrame, candidates: DataFrame, count: int, by_group:
     open_ = pairs.join(first.select("q", "c"), ["q", "c"], "left_anti").join(size, "q").join(floors, "q", "left")
     useless = (F.col("full") == F.col("q_n")) & (F.col("most") < F.col("floor") - SAME)
     rest = met(open_.where(~F.coalesce(useless, F.lit(False))), left, right).mapInArrow(best, schema)
-    return ranked(heads.unionByName(rest)).select("id", "candidate", "sim", "rank")
+    return ranked(heads.unionByName(rest))
 
 
 def shortlist(queries: DataFrame, candidates: DataFrame, count: int) -> DataFrame:
     """The `count` most similar candidates of each query: id, candidate, sim, rank from 1; ties by candidate id."""
-    return _shortlist(queries, candidates, count, by_group=False)
+    return _shortlist(metric_index(queries), metric_index(candidates), count, by_group=False).select("id", "candidate", "sim", "rank")
 
 
 def iou(a0: Column, a1: Column, b0: Column, b1: Column, inclusive: bool = False) -> Column:
@@ -202,6 +206,23 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column, inclusive: bool = False)
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
+def _best_of(v: np.ndarray, reach: int, count: int) -> tuple[np.ndarray, ...]:
+    """row, rank from 0, start, end and mean of the best spans of up to `reach` places, as top_spans() has them."""
+    n = v.shape[1]
+    total, means, width, start = v, [], [], []
+    for k in range(1, min(reach, n) + 1):
+        if k > 1:
+            total = total[:, :-1] + v[:, k - 1 :]
+        means.append(np.round(total / k, 12))
+        width.append(np.full(n - k + 1, k))
+        start.append(np.arange(n - k + 1))
+    mean, width, start = np.concatenate(means, axis=1), np.concatenate(width), np.concatenate(start)
+    order = np.argsort(-mean, axis=1, kind="stable")[:, :count]  # columns: shorter first, then earlier; NaN last
+    row, rank = np.nonzero(~np.isnan(np.take_along_axis(mean, order, axis=1)))
+    col = order[row, rank]
+    return row, rank, start[col], start[col] + width[col], mean[row, col]
+
+
 def top_spans(scores: DataFrame, most: int, count: int) -> DataFrame:
     """Per id the `count` spans of greatest mean score, up to `most` places long: id, rank, start, end (exclusive), score.
 
@@ -221,20 +242,9 @@ def top_spans(scores: DataFrame, most: int, count: int) -> DataFrame:
                 rows = np.flatnonzero(known & (size == n))
                 for part in np.array_split(rows, -(-len(rows) * n * reach // (1 << 21))):
                     v = np.asarray(lists.take(pa.array(part)).flatten().cast(pa.float64()).fill_null(np.nan), float).reshape(len(part), n)
-                    total, means, width, start = v, [], [], []
-                    for k in range(1, min(reach, n) + 1):
-                        if k > 1:
-                            total = total[:, :-1] + v[:, k - 1 :]
-                        means.append(np.round(total / k, 12))
-                        width.append(np.full(n - k + 1, k))
-                        start.append(np.arange(n - k + 1))
-                    mean, width, start = np.concatenate(means, axis=1), np.concatenate(width), np.concatenate(start)
-                    order = np.argsort(-mean, axis=1, kind="stable")[:, :count]  # columns: shorter first, then earlier; NaN last
-                    row, rank = np.nonzero(~np.isnan(np.take_along_axis(mean, order, axis=1)))
-                    col = order[row, rank]
-                    begin = start[col]
+                    row, rank, begin, end, mean = _best_of(v, reach, count)
                     ids = b.column(0).take(pa.array(part[row]))
-                    yield _batch(["id", "rank", "start", "end", "score"], ids, rank.astype(np.int32) + 1, begin.astype(np.int32), (begin + width[col]).astype(np.int32), mean[row, col])
+                    yield _batch(["id", "rank", "start", "end", "score"], ids, rank.astype(np.int32) + 1, begin.astype(np.int32), end.astype(np.int32), mean)
 
     kind = scores.schema["id"].dataType.simpleString()
     return scores.select("id", F.col("values").cast("array<double>")).mapInArrow(run, f"id {kind}, rank int, start int, end int, score double")
@@ -256,6 +266,13 @@ def span_recall(spans: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5)
     return per.agg(F.count("*").alias("queries"), F.avg("best_1").alias("miou"), *cells)
 
 
+def _whole(patches: DataFrame) -> DataFrame:
+    """series, p: the vectors of a series in order of patch."""
+    each = F.struct("patch", F.col("vec").cast("array<double>").alias("vec"))
+    whole = patches.where(F.col("vec").isNotNull()).groupBy("series").agg(F.array_sort(F.collect_list(each)).alias("p"))
+    return whole.select("series", F.col("p.vec").alias("p"))
+
+
 def patch_scores(queries: DataFrame, patches: DataFrame) -> DataFrame:
     """Dot products of each query's vector with the patches of its series: id, series, values in order of patch.
 
@@ -270,19 +287,96 @@ def patch_scores(queries: DataFrame, patches: DataFrame) -> DataFrame:
             each = np.einsum("ij,ij->i", np.repeat(q, np.diff(ends), axis=0), p)
             yield _batch(["id", "series", "values"], b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(each)))
 
-    queries, patches = (df.where(F.col("vec").isNotNull()) for df in (queries, patches))
-    whole = patches.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("patch", F.col("vec").cast("array<double>").alias("vec")))).alias("p"))
-    joined = queries.select("id", "series", F.col("vec").cast("array<double>").alias("vec")).join(whole.select("series", F.col("p.vec").alias("p")), "series")
+    queries = queries.where(F.col("vec").isNotNull())
+    joined = queries.select("id", "series", F.col("vec").cast("array<double>").alias("vec")).join(_whole(patches), "series")
     return joined.select("id", "series", "vec", "p").mapInArrow(dots, "id long, series long, values array<double>")
 
 
+def _spans_by_pair(asked: DataFrame, queries: DataFrame, patches: DataFrame, most: int) -> DataFrame:
+    """id, series, start, end, score of the best span of each query and series of its list; vectors go to the series."""
+    pairs = asked.select("series", F.explode("asked").alias("id")).join(queries.select("id", "vec"), "id")
+    pair = patch_scores(pairs, patches).select(F.struct("id", "series").alias("id"), "values")
+    return top_spans(pair, most, 1).select("id.id", "id.series", "start", "end", "score")
+
+
+def _spans_by_band(asked: DataFrame, left: DataFrame, patches: DataFrame, count: int) -> DataFrame:
+    """As _spans_by_pair(), where the queries of a band share series: a series goes to a band once. Of a query's spans
+    the `count` best of each part are left. (The best span of all has one place: see top_spans().)"""
+    names = ["id", "series", "start", "end", "score"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [b.column(1)[i].values for i in range(b.num_rows)]
+            single, data = zip(*(to_bytes(matrix(p)) for p in rows), strict=True) if rows else ((), ())
+            yield _batch(["block", "n", "single", "data"], b.column(0), pa.array([len(p) for p in rows], pa.int32()), pa.array(single, pa.bool_()), pa.array(data, pa.binary()))
+
+    def best(ids: np.ndarray, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if found:
+            cells = [np.concatenate(x) for x in zip(*found, strict=True)]
+            order = np.lexsort((cells[1], -cells[4], cells[0]))
+            at = cells[0][order]
+            order = order[np.arange(len(at)) - np.searchsorted(at, at) < count]
+            at, series, begin, end, score = (x[order] for x in cells)
+            yield _batch(names, ids[at], series, begin.astype(np.int32), end.astype(np.int32), score)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vec, found, waiting = None, np.zeros(0, np.int64), np.zeros((0, 0)), [], {}
+
+        def decide() -> None:
+            for each in waiting.values():  # series of as many patches
+                rows, series, values = (np.concatenate(x) for x in zip(*each, strict=True))
+                row, _, begin, end, score = _best_of(values, 1, 1)
+                found.append((rows[row], series[row], begin, end, score))
+            waiting.clear()
+
+        for b in batches:
+            ends, asked = np.asarray(b.column("asked").offsets), np.asarray(b.column("asked").values)
+            band_rows = np.asarray(b.column("asked").is_null())
+            for i in range(b.num_rows):
+                new = (b.column("band")[i].as_py(), b.column("part")[i].as_py())
+                if new != key:
+                    decide()
+                    yield from best(ids, found)
+                    key, sides, found = new, [], []
+                if band_rows[i]:
+                    sides.append(Side(b, i))
+                    continue
+                if sides:
+                    ids, vec = np.concatenate([s.ids for s in sides]), np.concatenate([s.vec for s in sides])
+                    order = np.argsort(ids, kind="stable")
+                    ids, vec, sides = ids[order], vec[order], []
+                rows = np.searchsorted(ids, asked[ends[i] : ends[i + 1]])
+                n = b.column("n")[i].as_py()
+                p = unit(from_bytes(n, b.column("single")[i].as_py(), b.column("data")[i].as_py()))
+                waiting.setdefault(n, []).append((rows, np.full(len(rows), b.column("block")[i].as_py(), np.int64), vec[rows] @ p.T))
+            decide()
+        yield from best(ids, found)
+
+    parts = part_count(left, 0)
+    packs = _whole(patches).select(F.col("series").cast("long"), "p").mapInArrow(packed, "block long, n int, single boolean, data binary")
+    dealt = asked.withColumn("part", F.pmod(F.xxhash64("series"), F.lit(parts)).cast("int")).withColumnRenamed("series", "block")
+    none = [F.lit(None).cast("binary").alias(c) for c in ("ids", "groups", "sims", "ats")]
+    series = dealt.join(packs, "block").select("band", "part", "asked", "block", "n", *none, "single", "data")
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    own = left.select(band(F.col("block")).alias("band"), part, F.lit(None).cast("array<bigint>").alias("asked"), "block", "n", "ids", "groups", "sims", "ats", "single", "data")
+    return banded(own.unionByName(series)).mapInArrow(run, "id long, series long, start int, end int, score double")
+
+
 def corpus_grounding(queries: DataFrame, series: DataFrame, patches: DataFrame, near: int = 50, most: int = 32, count: int = 5) -> DataFrame:
     """Two stages: the `near` most similar series of a query, the best span in each, then the `count` best of these:
-    id, rank, series, start, end, score."""
-    chosen = shortlist(queries, series, near).select("id", F.col("candidate").alias("series"))
-    scored = patch_scores(chosen.join(queries.select("id", "vec"), "id"), patches)
-    pair = scored.withColumn("pair", F.struct("id", "series")).select(F.col("pair").alias("id"), "values")
-    best = top_spans(pair, most, 1).select("id.id", "id.series", "start", "end", "score")
+    id, rank, series, start, end, score. Ids are unique.
+
+    Queries and the series of their lists meet in bands of queries if that moves fewer vectors than pair by pair."""
+    left = metric_index(queries)
+    chosen = _shortlist(left, metric_index(series), near, by_group=False)
+    lists = chosen.groupBy(band(F.col("q")).alias("band"), F.col("candidate").alias("series")).agg(F.collect_list("id").alias("asked"))
+    asked = stored(lists, "asked")
+    sent = asked.agg(F.count("*").alias("lists"), F.sum(F.size("asked")).alias("pairs")).first()
+    size = patches.agg((F.count("*") / F.greatest(F.approx_count_distinct("series"), F.lit(1))).alias("n")).first()["n"]
+    if sent.lists * size <= (sent.pairs or 0):
+        best = _spans_by_band(asked, left, patches, count)
+    else:
+        best = _spans_by_pair(asked, queries, patches, most)
     order = Window.partitionBy("id").orderBy(F.desc("score"), "series")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count)
 
@@ -290,7 +384,8 @@ def corpus_grounding(queries: DataFrame, series: DataFrame, patches: DataFrame,
 def best_patch_shortlist(queries: DataFrame, patches: DataFrame, count: int) -> DataFrame:
     """The `count` series of greatest single patch similarity: id, series, sim, rank. Patches: id, group_key (the
     series, a number), vec. A pair of blocks leaves at most `count` series a query."""
-    return _shortlist(queries, patches, count, by_group=True).withColumnRenamed("candidate", "series")
+    best = _shortlist(metric_index(queries), metric_index(patches, by_group=True), count, by_group=True)
+    return best.select("id", F.col("candidate").alias("series"), "sim", "rank")
 
 
 def span_embedding(spans: DataFrame, patches: DataFrame) -> DataFrame:

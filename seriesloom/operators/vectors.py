@@ -24,18 +24,43 @@ BLOCK, SAMPLE, CELLS, ROUNDS = 1024, 4096, 64, 5
 SLACK = 1e-6
 #: Similarities this close are equal.
 SAME = 1e-12
-#: Parts over which pairs of blocks are formed, and parts of the candidates of a query block.
-SLOTS, PARTS = 64, 8
+#: Parts over which pairs of blocks are formed; parts of the candidates of a band, up to which they only serve to occupy
+#: all cores, and candidate blocks of a part beyond which there are more.
+SLOTS, PARTS, LONG = 64, 8, 256
+#: A band is up to 1 << BAND neighbouring query blocks, to which a candidate block travels once.
+BAND = 5
 
-SCHEMA = "block long, n int, ids binary, groups binary, sims binary, ats binary, low double, high double, pivot array<double>, radius double, data binary"
+SCHEMA = "block long, n int, ids binary, groups binary, sims binary, ats binary, low double, high double, pivot array<double>, radius double, single boolean, data binary"
 
 
-def unit_rows(column: pa.Array) -> np.ndarray:
-    """The vectors (of one length) at unit length; the norm is at least 1e-8."""
-    m = np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors (of one length) as rows."""
+    return np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    """The rows at unit length; the norm is at least 1e-8."""
     return m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-8)[:, None]
 
 
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """The vectors (of one length) at unit length."""
+    return unit(matrix(column))
+
+
+def to_bytes(m: np.ndarray) -> tuple[bool, bytes]:
+    """Whether single precision holds the numbers exactly, and their bytes in it or in double precision."""
+    with np.errstate(over="ignore"):
+        short = m.astype(np.float32)
+    single = bool((short == m).all())
+    return single, (short if single else m).tobytes()
+
+
+def from_bytes(n: int, single: bool, data: bytes) -> np.ndarray:
+    """The n rows of to_bytes() in double precision."""
+    return np.frombuffer(data, np.float32 if single else float).astype(float).reshape(n, -1)
+
+
 def _centres(rows: DataFrame) -> np.ndarray:
     """Directions around which the vectors lie, from at most SAMPLE of them (those of the least hash). They only decide
     which vectors share a block."""
@@ -65,14 +90,15 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
     held: list[pa.RecordBatch] = []
 
     def block(b: pa.RecordBatch) -> pa.RecordBatch:
-        unit = unit_rows(b.column("vec"))
-        centre = unit.sum(axis=0)
+        rows = matrix(b.column("vec"))
+        even = unit(rows)
+        centre = even.sum(axis=0)
         pivot = centre / max(np.linalg.norm(centre), 1e-8)
-        radius = float(np.arccos(np.clip(unit @ pivot, -1, 1)).max()) + SLACK
+        radius = float(np.arccos(np.clip(even @ pivot, -1, 1)).max()) + SLACK
         sims, ats = np.asarray(b.column("sim"), float), np.asarray(b.column("at"), np.int64)
         packed = [np.asarray(b.column(c), np.int64).tobytes() for c in ("id", "grp")]
-        row = [number, len(unit), *packed, sims.tobytes(), ats.tobytes(), float(sims.min()), float(sims.max()), pivot.tolist(), radius, unit.tobytes()]
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.binary()]
+        row = [number, len(rows), *packed, sims.tobytes(), ats.tobytes(), float(sims.min()), float(sims.max()), pivot.tolist(), radius, *to_bytes(rows)]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, pa.float64(), pa.float64(), pa.list_(pa.float64()), pa.float64(), pa.bool_(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
     for batch in batches:
@@ -118,40 +144,61 @@ def block_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.select("q", "c", "q_low", "q_high", "c_n", least.alias("least"), most.alias("most"))
 
 
+def band(block: Column) -> Column:
+    """The band of a block: its number without the last bits. Tasks number their blocks from multiples of 1 << 32."""
+    return F.shiftright(block, BAND)
+
+
+def part_count(queries: DataFrame, candidates: int) -> int:
+    """Parts of the candidates (a number of blocks) of a band of `queries`: few, as each sends the band once more, but
+    enough for all cores, and for tasks that do not grow with the candidates."""
+    bands = queries.select(band(F.col("block")).alias("band")).distinct().count()
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(PARTS, -(-2 * cores // max(bands, 1))), -(-candidates // LONG))
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """Rows of a band and part one after another in one task, those of the band (asked is null) first."""
+    return rows.repartition("band", "part").sortWithinPartitions("band", "part", F.col("asked").isNotNull())
+
+
 def met(pairs: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The pairs (q, c) with both blocks' contents: columns q_ and c_ of the index. The candidates of a query block are
-    dealt to PARTS parts, and the pairs of a block and part follow one another in one task."""
-    side = lambda df, p: df.select(F.col("block").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "ids", "groups", "sims", "ats", "data")])
-    dealt = pairs.select("q", "c", F.pmod(F.xxhash64("c"), F.lit(PARTS)).cast("int").alias("part")).join(side(candidates, "c"), "c")
-    copies = side(queries, "q").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return dealt.join(copies.hint("merge"), ["q", "part"])
+    """The pairs (q, c) with both blocks' contents, for folded(): of each band and part of the candidates the query
+    blocks, then the candidate blocks with the numbers of the query blocks that ask for them."""
+    content = ["n", "ids", "groups", "sims", "ats", "single", "data"]
+    part = F.pmod(F.xxhash64("c"), F.lit(part_count(queries, candidates.count()))).cast("int").alias("part")
+    asked = pairs.select(band(F.col("q")).alias("band"), part, "c", "q").groupBy("band", "part", "c").agg(F.collect_set("q").alias("asked"))
+    right = asked.join(candidates.select(F.col("block").alias("c"), *content), "c").withColumnRenamed("c", "block")
+    left = asked.select("band", "part", F.explode("asked").alias("block")).distinct().join(queries.select("block", *content), "block")
+    return banded(left.withColumn("asked", F.lit(None).cast("array<bigint>")).unionByName(right))
 
 
 class Side:
     """One block's contents: ids, groups, known similarities and their candidates, vectors."""
 
-    def __init__(self, b: pa.RecordBatch, i: int, p: str) -> None:
-        self.ids, self.groups, self.ats = (np.frombuffer(b.column(f"{p}_{c}")[i].as_py(), np.int64) for c in ("ids", "groups", "ats"))
-        self.sims = np.frombuffer(b.column(f"{p}_sims")[i].as_py(), float)
-        self.vec = np.frombuffer(b.column(f"{p}_data")[i].as_py(), float).reshape(len(self.ids), -1)
+    def __init__(self, b: pa.RecordBatch, i: int) -> None:
+        self.ids, self.groups, self.ats = (np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in ("ids", "groups", "ats"))
+        self.sims = np.frombuffer(b.column("sims")[i].as_py(), float)
+        self.vec = unit(from_bytes(len(self.ids), b.column("single")[i].as_py(), b.column("data")[i].as_py()))
 
 
 def folded(batches: Iterator[pa.RecordBatch], start: Callable, step: Callable, finish: Callable) -> Iterator[pa.RecordBatch]:
-    """One result for each run of pairs of a query block: finish(block, its contents, state) after
+    """One result for each query block of a band and part: finish(block, its contents, state) after
     state = step(contents, candidate block's contents, their products, state) over its pairs, from start(contents)."""
-    key, q, state = None, None, None
+    key, held = None, {}
     for b in batches:
         for i in range(b.num_rows):
-            new = (b.column("q")[i].as_py(), b.column("part")[i].as_py())
+            new = (b.column("band")[i].as_py(), b.column("part")[i].as_py())
             if new != key:
-                if key is not None:
-                    yield finish(key[0], q, state)
-                key, q = new, Side(b, i, "q")
-                state = start(q)
-            c = Side(b, i, "c")
-            state = step(q, c, q.vec @ c.vec.T, state)
-    if key is not None:
-        yield finish(key[0], q, state)
+                yield from (finish(block, q, state) for block, (q, state) in held.items())
+                key, held = new, {}
+            asked, side = b.column("asked")[i].as_py(), Side(b, i)
+            if asked is None:
+                held[b.column("block")[i].as_py()] = side, start(side)
+            for block in asked or []:
+                q, state = held[block]
+                held[block] = q, step(q, side, q.vec @ side.vec.T, state)
+    yield from (finish(block, q, state) for block, (q, state) in held.items())
 
 
 def nearest_pairs(pairs: DataFrame, count: int, order: Column) -> DataFrame:

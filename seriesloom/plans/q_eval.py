@@ -136,14 +136,14 @@ def v_series(spark, d):
 
 
 def v_queries(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("group_key"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 SERIES = "sd AS (SELECT id // 10 AS series, unnest(range(64)) AS dim, unnest(v) AS x FROM e0), sm AS (SELECT series, dim, avg(x) AS x FROM sd GROUP BY ALL), sv AS (SELECT series, list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-8)) AS v FROM (SELECT series, list(x ORDER BY dim) AS v FROM sm GROUP BY series))"
 
 
-@query("r11_corpus_grounding", f"""WITH {PATCH}, {SERIES}, sh AS (SELECT q.id, c.series FROM emb q JOIN sv c ON q.id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, c.v) DESC, c.series) <= {NEAR}),
+@query("r11_corpus_grounding", f"""WITH {PATCH}, {SERIES}, sh AS (SELECT q.id, c.series FROM emb q CROSS JOIN sv c QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_inner_product(q.v, c.v) DESC, c.series) <= {NEAR}),
  sc AS (SELECT sh.id, sh.series, p.patch, round(list_inner_product(q.v, p.v), 12) AS s FROM sh JOIN emb q ON q.id = sh.id JOIN pt p ON p.series = sh.series), b AS (SELECT id, series, max(s) AS score FROM sc GROUP BY ALL)
  SELECT id, series, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, series) AS INT) AS rank, round(score, 9) AS score FROM b QUALIFY rank <= {KEEP}""")
 def r11(spark, d):
@@ -154,7 +154,7 @@ def r11(spark, d):
 @query("r12_best_patch_shortlist", f"WITH {PATCH}, sc AS (SELECT q.id, p.series, max(list_inner_product(q.v, p.v)) AS sim FROM emb q JOIN pt p ON q.id % 100 = 0 GROUP BY ALL) SELECT id, series, round(sim, 9) AS sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, series) AS INT) AS rank FROM sc QUALIFY rank <= 5")
 def r12(spark, d):
     patches = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("group_key"), F.col("embedding").cast("array<double>").alias("vec"))
-    return r.best_patch_shortlist(v_queries(spark, d), patches, 5).withColumn("sim", F.round("sim", 9))
+    return r.best_patch_shortlist(v_queries(spark, d).where("id % 100 = 0"), patches, 5).withColumn("sim", F.round("sim", 9))
 
 
 @query("r13_span_embedding", "WITH x AS (SELECT vec_id // 10 AS span_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v, vec_id % 10 AS p FROM embeddings) SELECT span_id, CAST(dim AS INT) AS dim, round(avg(v), 9) AS value FROM x WHERE p >= span_id % 4 AND p < span_id % 4 + 3 GROUP BY ALL")
