@@ -151,10 +151,10 @@ def r11(spark, d):
     return g.select("id", "series", "rank", F.round("score", 9).alias("score"))
 
 
-@query("r12_best_patch_shortlist", f"WITH {PATCH}, sc AS (SELECT q.id, p.series, max(list_inner_product(q.v, p.v)) AS sim FROM emb q JOIN pt p ON q.id % 100 = 0 GROUP BY ALL) SELECT id, series, round(sim, 9) AS sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, series) AS INT) AS rank FROM sc QUALIFY rank <= 5")
+@query("r12_best_patch_shortlist", f"WITH {PATCH}, sc AS (SELECT q.id, p.series, max(list_inner_product(q.v, p.v)) AS sim FROM emb q CROSS JOIN pt p GROUP BY ALL) SELECT id, series, round(sim, 9) AS sim, CAST(row_number() OVER (PARTITION BY id ORDER BY sim DESC, series) AS INT) AS rank FROM sc QUALIFY rank <= 5")
 def r12(spark, d):
     patches = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("group_key"), F.col("embedding").cast("array<double>").alias("vec"))
-    return r.best_patch_shortlist(v_queries(spark, d).where("id % 100 = 0"), patches, 5).withColumn("sim", F.round("sim", 9))
+    return r.best_patch_shortlist(v_queries(spark, d), patches, 5).withColumn("sim", F.round("sim", 9))
 
 
 @query("r13_span_embedding", "WITH x AS (SELECT vec_id // 10 AS span_id, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v, vec_id % 10 AS p FROM embeddings) SELECT span_id, CAST(dim AS INT) AS dim, round(avg(v), 9) AS value FROM x WHERE p >= span_id % 4 AND p < span_id % 4 + 3 GROUP BY ALL")

@@ -45,6 +45,20 @@ def test_corpus_grounding_asks_for_every_row(spark):
         assert [x for _, _, x in sorted(got[i])] == pytest.approx(best[k][want].tolist(), abs=2e-9)
 
 
+def test_best_patch_shortlist_asks_for_every_row(spark):
+    ids, m = embeddings()
+    got = {}
+    for r in entry.queries()["r12_best_patch_shortlist"](spark, SF).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.series, r.sim))
+    assert set(got) == set(ids.tolist())
+    number = np.unique(ids // 10)
+    best = np.stack([(unit(m) @ unit(m[ids // 10 == s]).T).max(axis=1) for s in number], axis=1)
+    for k, i in enumerate(ids.tolist()):
+        want = firsts(best[k], 5)
+        assert [s for _, s, _ in sorted(got[i])] == number[want].tolist()
+        assert [x for _, _, x in sorted(got[i])] == pytest.approx(best[k][want].tolist(), abs=2e-9)
+
+
 @pytest.mark.parametrize("queries,path", [(90, "_spans_by_band"), (2, "_spans_by_pair")])
 @pytest.mark.parametrize("single", [True, False])
 def test_grounding_by_band_and_by_pair(spark, monkeypatch, queries, path, single):
