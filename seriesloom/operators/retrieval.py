@@ -33,6 +33,13 @@ def _batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
+def _products(a: np.ndarray, b: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Products of rows of a with rows of b one by one: equal vectors give equal ones, which those of a whole block need
+    not (they differ in the last digit by place and size), so ties stay ties."""
+    parts = [np.zeros(0), *(np.einsum("ij,ij->i", a[row[k : k + 32768]], b[col[k : k + 32768]]) for k in range(0, len(row), 32768))]
+    return np.concatenate(parts)
+
+
 def _best_by_pair(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """id, sim, at: each query's best candidate of its group, from an equality join on the group."""
 
@@ -149,19 +156,22 @@ def _shortlist(left: DataFrame, right: DataFrame, count: int, by_group: bool) ->
         return row[first], name[first], sim[first]
 
     def step(q, c, sim, state):
-        names = c.ids
-        if by_group:  # the greatest similarity of each group in this block, whose rows lie by group
-            names, begin = np.unique(c.groups, return_index=True)
-            sim = np.maximum.reduceat(sim, begin, axis=1)
+        names = c.groups if by_group else c.ids
         ends = np.searchsorted(state[0], np.arange(len(q.ids) + 1))
         full = np.diff(ends) == count
         floor = np.full(len(q.ids), -np.inf)
         floor[full] = state[2][ends[1:][full] - 1]
-        some = sim >= floor[:, None]
-        if count < len(names) and np.count_nonzero(some) > 2 * count * len(q.ids):  # whatever reaches the count-th value
-            some &= sim >= np.partition(sim, len(names) - count, axis=1)[:, len(names) - count, None]
+        some = sim >= floor[:, None] - SAME
+        if np.count_nonzero(some) > 2 * count * len(q.ids):  # of each group its greatest, and whatever reaches the count-th value
+            each = sim
+            if by_group:
+                begin = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))  # a block's rows lie by group
+                each = np.maximum.reduceat(sim, begin, axis=1)
+                some &= sim >= np.repeat(each, np.diff(np.append(begin, len(names))), axis=1) - SAME
+            if count < each.shape[1]:
+                some &= sim >= np.partition(each, each.shape[1] - count, axis=1)[:, each.shape[1] - count, None] - SAME
         row, col = np.nonzero(some)
-        return tops(*(np.concatenate(x) for x in zip(state, (row, names[col], sim[row, col]), strict=True)))
+        return tops(*(np.concatenate(x) for x in zip(state, (row, names[col], _products(q.vec, c.vec, row, col)), strict=True)))
 
     def start(q):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)

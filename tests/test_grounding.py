@@ -108,3 +108,26 @@ def test_a_short_list_has_all_of_two_rounds(spark, monkeypatch):
     got = {(r.id, r["rank"]): r.candidate for r in retrieval.shortlist(*args, 3).collect()}
     sim = unit(q) @ unit(c).T
     assert got == {(k, n): int(j) for k in range(50) for n, j in enumerate(firsts(sim[k], 3), 1)}
+
+
+@pytest.mark.parametrize("by_group", [False, True])
+def test_copies_are_ties_in_any_block(spark, monkeypatch, by_group):
+    """Equal vectors in blocks of several sizes: of equally similar ones, those of the least numbers are listed."""
+    monkeypatch.setattr(vectors, "BLOCK", 135)
+    rng = np.random.default_rng(7)
+    kinds = rng.normal(size=(6, 64))
+    kind = rng.integers(0, 6, 301)
+    q = rng.normal(size=(4000, 64))
+    series = np.arange(301) // 3 * 2
+    rows = [(i, int(series[i % 301])) for i in range(4000)]
+    args = [table(spark, "id long, group_key long", rows[: len(m)], m) for m in (q, kinds[kind])]
+    find = retrieval.best_patch_shortlist if by_group else retrieval.shortlist
+    got = {(r.id, r["rank"]): r[1] for r in find(*args, 60).collect()}
+    sim = np.round(unit(q) @ unit(kinds).T, 10)[:, kind]
+    for k in range(4000):
+        if by_group:
+            number = np.unique(series)
+            want = number[firsts(np.array([sim[k][series == s].max() for s in number]), 60)]
+        else:
+            want = firsts(sim[k], 60)
+        assert [got[k, n] for n in range(1, 61)] == want.tolist()
